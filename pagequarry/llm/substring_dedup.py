@@ -32,177 +32,202 @@ from .common import WordHashes, batch_of, bound_batches, mix, rows_of, window_ha
 BLOCK_WINDOWS = 2_000_000
 #: Bytes of text for one bucket, about two million windows.
 BUCKET_BYTES = 12_000_000
-#: Rows of a packed payload's batch; a payload is a block's share of one bucket.
-_ENTRY = pa.schema([("bucket", pa.int64()), ("doc", pa.int64()), ("text_key", pa.int64()), ("hashes", pa.binary()), ("docs", pa.binary()), ("starts", pa.binary())])
+#: Rows of bucket >= 0 are entries of that bucket; those of bucket -1 - g are marks for the documents of group g.
+_ENTRY = pa.schema([("bucket", pa.int64()), ("hashes", pa.binary()), ("docs", pa.binary()), ("starts", pa.binary())])
+_MARK = pa.schema([("grp", pa.int64()), ("docs", pa.binary()), ("starts", pa.binary())])
+_DOC = pa.schema([("doc", pa.int64()), ("text_key", pa.int64()), ("starts", pa.binary())])
 MADE = ["n_words", "n_removed", "removed", "clean_text"]
-_ENTRY_SQL = "bucket long, doc long, text_key long, hashes binary, docs binary, starts binary"
-_MARK = pa.schema([("doc", pa.int64()), ("text_key", pa.int64()), ("starts", pa.binary())])
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """Ascending positions as differences, in byte planes, compressed."""
-    steps = np.diff(values.astype(np.uint32), prepend=np.uint32(0))
-    return zstandard.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+def _pack(keys: np.ndarray, row: np.ndarray, start: np.ndarray) -> tuple[bytes, bytes]:
+    """Places in order of document and position: the documents with their numbers of places, and steps between positions.
 
+    ``row`` are indexes into ``keys`` (pairs of id and text key). Steps lie in byte planes and are compressed.
+    """
+    turn = np.flatnonzero(np.diff(row, prepend=-1))
+    head = np.column_stack([keys[row[turn]], np.diff(np.append(turn, len(row)))])
+    steps = np.diff(start, prepend=0)
+    steps[turn] = start[turn]
+    return zstandard.compress(head.tobytes(), 1), zstandard.compress(steps.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpack(docs: bytes, starts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(documents with their numbers of places, positions)"""
+    head = np.frombuffer(zstandard.decompress(docs), np.int64).reshape(-1, 3)
+    planes = np.frombuffer(zstandard.decompress(starts), np.uint8).reshape(4, -1)
+    total = np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.int64)
+    turn = np.cumsum(head[:, 2]) - head[:, 2]
+    before = np.where(turn > 0, total[turn - 1], 0)
+    return head, total - np.repeat(before, head[:, 2])
+
+
+def _all(packed: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, row, start) of several packed lists."""
+    parts = [_unpack(*p) for p in packed]
+    head = np.concatenate([p[0] for p in parts])
+    return head[:, :2], np.repeat(np.arange(len(head)), head[:, 2]), np.concatenate([p[1] for p in parts])
+
+
+def _runs(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return np.flatnonzero(new)
 
-def _unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8)
-    return np.cumsum(np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel(), dtype=np.uint32)
 
+def _by_group(keys: np.ndarray, row: np.ndarray, start: np.ndarray, groups: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """Marks, packed by group of documents; they come in order of document and position."""
+    group = (mix(keys[:, 0].astype(np.int64).view(np.uint64)) % np.uint64(groups)).astype(np.int64)[row]
+    order = np.argsort(group, kind="stable")
+    for part in np.split(order, _runs(group[order])[1:]) if len(order) else ():
+        yield int(group[part[0]]), *_pack(keys, row[part], start[part])
 
-def _per_doc(docs: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(index of the document, ascending starts) from pairs sorted by document, then start."""
-    cuts = np.flatnonzero(np.diff(docs)) + 1
-    for part in np.split(np.arange(len(docs)), cuts) if len(docs) else ():
-        yield int(docs[part[0]]), starts[part]
 
+def _batches(rows: list[tuple], schema: pa.Schema, size: int = 64) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(rows), size):
+        yield batch_of(dict(zip(schema.names, zip(*rows[i : i + size], strict=True), strict=True)), schema)
 
-def _block(keys: list[tuple[int, int]], parts: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
+
+def _block(docs: list[tuple], buckets: int, groups: int) -> Iterator[pa.RecordBatch]:
     """The payloads of one block for the buckets, and the marks that the block alone decides."""
-    sizes = [len(h) for h, _ in parts]
-    ids = np.array([k[0] for k in keys], np.int64)
-    order = np.argsort(ids, kind="stable")
-    rank = np.empty(len(ids), np.int64)
-    rank[order] = np.arange(len(ids))
-    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    start = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
-    h = np.concatenate([x for x, _ in parts])
-    bucket = (np.concatenate([x for _, x in parts]) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-    by = np.lexsort((rank[row], h, bucket))  # the first of each (bucket, hash) is in the block's smallest document
-    h, bucket, row, start = h[by], bucket[by].astype(np.int64), row[by], start[by]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (bucket[1:] != bucket[:-1])
-    first = np.flatnonzero(new)
-    smallest = np.repeat(ids[row[first]], np.diff(np.append(first, len(h))))
-    marked = ids[row] > smallest
-    out: list[tuple] = []
+    docs = sorted(docs, key=lambda d: d[:2])
+    keys = np.array([d[:2] for d in docs], np.int64)
+    sizes = [len(d[2]) for d in docs]
+    row = np.repeat(np.arange(len(docs)), sizes)
+    start = np.concatenate([np.arange(n) for n in sizes])
+    h = np.concatenate([d[2] for d in docs])
+    bucket = ((np.concatenate([d[3] for d in docs]) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(h, kind="stable")  # equal hashes stay in order of their documents
+    first = _runs(h[order])
+    smallest = np.repeat(keys[row[order[first]], 0], np.diff(np.append(first, len(h))))
+    marked = np.empty(len(h), bool)
+    marked[order] = keys[row[order], 0] > smallest
     at = np.flatnonzero(marked)
-    at = at[np.lexsort((start[at], row[at]))]
-    for i, positions in _per_doc(row[at], start[at]):
-        out.append((-1 - (mix(np.array([keys[i][0]], np.int64).view(np.uint64))[0] % np.uint64(buckets)).astype(np.int64), *keys[i], None, None, _pack(positions)))
-    h, bucket, row, start = h[first], bucket[first], row[first], start[first]
-    edges = np.searchsorted(bucket, np.arange(buckets + 1))
-    for b in range(buckets):
-        lo, hi = edges[b], edges[b + 1]
-        if lo == hi:
-            continue
-        by = np.lexsort((start[lo:hi], row[lo:hi])) + lo
-        rows, starts = row[by], start[by]
-        turn = np.flatnonzero(np.diff(rows, prepend=-1))
-        head = np.array([(*keys[i], n) for i, n in zip(rows[turn], np.diff(np.append(turn, hi - lo)), strict=True)], np.int64)
-        # positions ascend inside each document only; the offset of 2**31 a document isn't needed as the head tells where one ends
-        steps = np.diff(starts.astype(np.int64), prepend=0)
-        steps[turn] = starts[turn]
-        out.append((b, None, None, h[by].tobytes(), zstandard.compress(head.tobytes(), 1), zstandard.compress(steps.astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)))
-    for i in range(0, len(out), 256):
-        yield batch_of(dict(zip(_ENTRY.names, zip(*out[i : i + 256], strict=True), strict=True)), _ENTRY)
-
-
-def _emit(k: int, buckets: int):
+    out = [(-1 - g, None, d, s) for g, d, s in _by_group(keys, row[at], start[at], groups)]
+    leads = np.zeros(len(h), bool)
+    leads[order[first]] = True
+    entries = np.flatnonzero(leads)
+    by = entries[np.argsort(bucket[entries].astype(np.uint16) if buckets < 65536 else bucket[entries], kind="stable")]
+    for part in np.split(by, _runs(bucket[by])[1:]):
+        out.append((int(bucket[part[0]]), h[part].tobytes(), *_pack(keys, row[part], start[part])))
+    yield from _batches(out, _ENTRY)
+
+
+def _emit(k: int, buckets: int, groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        keys, parts, n = [], [], 0
+        docs, n = [], 0
         for batch in batches:
             for doc, text_key, text in rows_of(batch):
                 if doc is None:
                     continue
                 h = known.of(words(text))
                 if len(h) >= k:
-                    keys.append((doc, text_key))
-                    parts.append((window_hashes(h, k), window_hashes(h, k, 1)))
+                    docs.append((doc, text_key, window_hashes(h, k), window_hashes(h, k, 1)))
                     n += len(h) - k + 1
                     if n >= BLOCK_WINDOWS:
-                        yield from _block(keys, parts, buckets)
-                        keys, parts, n = [], [], 0
-        if keys:
-            yield from _block(keys, parts, buckets)
+                        yield from _block(docs, buckets, groups)
+                        docs, n = [], 0
+        if docs:
+            yield from _block(docs, buckets, groups)
 
     return run
 
 
-def _marks_of(payloads: list[tuple]) -> Iterator[tuple]:
+def _bucket_marks(payloads: list[tuple], groups: int) -> list[tuple]:
     """What a bucket marks: every entry but those of the smallest document of its hash."""
-    heads = [np.frombuffer(zstandard.decompress(p[4]), np.int64).reshape(-1, 3) for p in payloads]
-    if len(payloads) < 2:
-        return
-    h = np.concatenate([np.frombuffer(p[3], np.uint64) for p in payloads])
-    head = np.concatenate(heads)
-    row = np.repeat(np.arange(len(head)), head[:, 2])
-    steps = np.concatenate([np.ascontiguousarray(np.frombuffer(zstandard.decompress(p[5]), np.uint8).reshape(4, -1).T).view(np.uint32).ravel() for p in payloads]).astype(np.int64)
-    turn = np.cumsum(head[:, 2]) - head[:, 2]
-    total = np.cumsum(steps)
-    start = total - np.repeat(total[turn] - steps[turn], head[:, 2])
-    doc = head[row, 0]
-    by = np.lexsort((doc, h))
-    hs = h[by]
-    new = np.ones(len(hs), bool)
-    new[1:] = hs[1:] != hs[:-1]
-    first = np.flatnonzero(new)
-    smallest = np.repeat(doc[by][first], np.diff(np.append(first, len(hs))))
-    at = by[doc[by] > smallest]
-    at = at[np.lexsort((start[at], row[at]))]
-    for i, positions in _per_doc(row[at], start[at]):
-        yield int(head[i, 0]), int(head[i, 1]), _pack(positions)
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if len(payloads) < 2:  # one block has decided by itself
+        return []
+    keys, row, start = _all([p[2:] for p in payloads])
+    h = np.concatenate([np.frombuffer(p[1], np.uint64) for p in payloads])
+    order = np.argsort(h)
+    first = _runs(h[order])
+    doc = keys[row[order], 0]
+    smallest = np.repeat(np.minimum.reduceat(doc, first), np.diff(np.append(first, len(h))))
+    marked = np.empty(len(h), bool)
+    marked[order] = doc > smallest
+    at = np.flatnonzero(marked)
+    return list(_by_group(keys, row[at], start[at], groups))
+
+
+def _count(groups: int):
     """Buckets arrive whole and in order; marks that blocks have decided pass through."""
 
-    def send(out: list[tuple]) -> Iterator[pa.RecordBatch]:
-        for i in range(0, len(out), 4096):
-            yield batch_of(dict(zip(_MARK.names, zip(*out[i : i + 4096], strict=True), strict=True)), _MARK)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            passed = []
+            for row in rows_of(batch):
+                if row[0] < 0:
+                    passed.append((-1 - row[0], *row[2:]))
+                    continue
+                if row[0] != now:
+                    yield from _batches(_bucket_marks(held, groups), _MARK)
+                    now, held = row[0], []
+                held.append(row)
+            yield from _batches(passed, _MARK)
+        yield from _batches(_bucket_marks(held, groups), _MARK)
+
+    return run
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups arrive whole and in order; one row for each document with marks leaves."""
+
+    def of_group(held: list[tuple]) -> list[tuple]:
+        if not held:
+            return []
+        keys, row, start = _all(held)
+        order = np.lexsort((start, keys[row, 1], keys[row, 0]))
+        row, start = row[order], start[order]
+        cut = np.flatnonzero((keys[row[1:]] != keys[row[:-1]]).any(1)) + 1
+        return [(int(keys[r[0], 0]), int(keys[r[0], 1]), zstandard.compress(s.astype(np.uint32).tobytes(), 1)) for r, s in zip(np.split(row, cut), np.split(start, cut), strict=True)]
 
     now, held = None, []
     for batch in batches:
-        passed = []
-        for row in rows_of(batch):
-            if row[0] < 0:
-                passed.append((row[1], row[2], row[5]))
-                continue
-            if row[0] != now:
-                yield from send(list(_marks_of(held)))
-                now, held = row[0], []
-            held.append(row)
-        yield from send(passed)
-    yield from send(list(_marks_of(held)))
+        for group, *packed in rows_of(batch):
+            if group != now:
+                yield from _batches(of_group(held), _DOC, 2048)
+                now, held = group, []
+            held.append(tuple(packed))
+    yield from _batches(of_group(held), _DOC, 2048)
 
 
 def removal_marks(docs: DataFrame, k: int) -> DataFrame:
-    """(doc, text_key, starts): packed start positions of the windows to remove; several rows for a document."""
+    """(doc, text_key, starts): compressed start positions of the windows to remove, one row for each document that has any."""
     spark = docs.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_BYTES)
-    entries = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), "text").mapInArrow(_emit(k, buckets), _ENTRY_SQL)
-    return entries.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_count, "doc long, text_key long, starts binary")
+    buckets = max(16, partitions, total // BUCKET_BYTES)
+    entries = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), "text").mapInArrow(_emit(k, buckets, partitions), "bucket long, hashes binary, docs binary, starts binary")
+    marks = entries.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(partitions), "grp long, docs binary, starts binary")
+    return marks.repartition(partitions, "grp").sortWithinPartitions("grp").mapInArrow(_gather, "doc long, text_key long, starts binary")
 
 
-def _cut(text: str | None, marks: list[bytes] | None, k: int) -> tuple:
+_BLANK = np.zeros(256, bool)
+_BLANK[list(b" \t\n\r\x0b\x0c")] = True
+
+
+def _cut(text: str | None, marks: bytes | None, k: int, known: WordHashes) -> tuple:
     """(number of words, number removed, intervals of words, what is left of the text)."""
     tokens = words(text)
     if not marks or not tokens:
         return len(tokens), 0, [], text
+    starts = np.frombuffer(zstandard.decompress(marks), np.uint32)
+    same = window_hashes(known.of(tokens), k)
+    starts = np.flatnonzero(np.isin(same, same[starts]))  # an entry stands for all places of its window in the document
     covered = np.zeros(len(tokens) + 1, np.int32)
-    starts = np.unique(np.concatenate([_unpack(m) for m in marks]))
-    h = WordHashes().of(tokens)
-    same = window_hashes(h, k)
-    # an entry stands for all places of its window in the document
-    starts = np.flatnonzero(np.isin(same, same[starts]))
-    np.add.at(covered, starts, 1)
-    np.add.at(covered, starts + k, -1)
+    covered[starts] += 1
+    covered[starts + k] -= 1
     gone = np.cumsum(covered[:-1]) > 0
-    turn = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
-    intervals = turn.reshape(-1, 2)
+    intervals = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))).reshape(-1, 2)
     data = text.encode()
-    ends = np.empty((len(tokens), 2), np.int64)
-    at = 0
-    for i, w in enumerate(tokens):
-        at = data.index(w, at)
-        ends[i] = at, at + len(w)
-        at += len(w)
+    inside = ~_BLANK[np.frombuffer(data, np.uint8)]
+    begins = np.flatnonzero(np.diff(np.concatenate([[0], inside.view(np.int8)])) == 1)
     left, at = [], 0
     for a, b in intervals.tolist():
-        left.append(data[at : ends[a, 0]])
-        at = int(ends[b, 0]) if b < len(tokens) else len(data)
+        left.append(data[at : begins[a]])
+        at = int(begins[b]) if b < len(tokens) else len(data)
     left.append(data[at:])
     return len(tokens), int(gone.sum()), intervals.tolist(), b"".join(left).decode()
 
@@ -213,7 +238,7 @@ def substring_dedup(docs: DataFrame, k: int = 13) -> DataFrame:
     clean_text is the text without the removed intervals; what separates the kept words stays.
     """
     bound_batches(docs.sparkSession)
-    marks = removal_marks(docs, k).groupBy(F.col("doc").alias("_doc"), F.col("text_key").alias("_key")).agg(F.collect_list("starts").alias("_marks"))
+    marks = removal_marks(docs, k).select(F.col("doc").alias("_doc"), F.col("text_key").alias("_key"), F.col("starts").alias("_marks"))
     kept = docs.drop(*MADE)
     rows = kept.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_text_key", F.xxhash64("text")).join(
         marks, (F.col("_id") == F.col("_doc")) & (F.col("_text_key") == F.col("_key")), "left"
@@ -222,8 +247,9 @@ def substring_dedup(docs: DataFrame, k: int = 13) -> DataFrame:
     names, text_at, width = kept.columns, kept.columns.index("text"), len(kept.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for batch in batches:
-            cut = [_cut(t, m, k) for t, m in zip(batch.column(text_at).to_pylist(), batch.column(width).to_pylist(), strict=True)]
+            cut = [_cut(t, m, k, known) for t, m in zip(batch.column(text_at).to_pylist(), batch.column(width).to_pylist(), strict=True)]
             new = [pa.array([c[i] for c in cut], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.string()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], *new], names=[*names, *MADE])
 
