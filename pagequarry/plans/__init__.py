@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: Modules that register queries.
-MODULES = ["text_queries", "retrieval_queries"]
+MODULES = ["text_queries", "retrieval_queries", "table_queries"]
 
 
 def load_queries():
