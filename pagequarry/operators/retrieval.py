@@ -19,6 +19,7 @@ MOST_BROADCAST_QUERIES = 10_000
 
 @dataclass(frozen=True)
 class Bm25Index:
+    docs: DataFrame  # doc_id
     postings: DataFrame  # doc_id, term, tf, dl
     terms: DataFrame  # term, df
     stats: DataFrame  # one row: n_docs, avgdl
@@ -30,21 +31,26 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     sized = tokens.select("doc_id", F.size("terms").alias("dl"), "terms")
     stats = sized.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     postings = sized.select("doc_id", "dl", F.explode("terms").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    return Bm25Index(postings, postings.groupBy("term").agg(F.count("*").alias("df")), stats)
+    return Bm25Index(docs.select(F.col(doc_id).alias("doc_id")), postings, postings.groupBy("term").agg(F.count("*").alias("df")), stats)
 
 
-def bm25_scores(index: Bm25Index, queries: DataFrame, k1: float = 1.5, b: float = 0.75, delta: float = 1.0) -> DataFrame:
+def bm25_scores(index: Bm25Index, queries: DataFrame, k1: float = 1.5, b: float = 0.75, delta: float = 1.0, fill: int = 0) -> DataFrame:
     """(query_id, doc_id, score) for every document that shares a term with a query (query_id, text).
 
-    The score of one that shares none is the query's base alone; ``bm25_base`` has it.
+    A document that shares none has the query's base score alone. With ``fill``, enough of these come too, by the smallest ids,
+    for every query to have ``fill`` documents.
     """
     asked = queries.select("query_id", F.explode(search_terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     known = asked.join(index.terms, "term").crossJoin(F.broadcast(index.stats))  # one row of statistics
     weighted = known.select("query_id", "term", (F.col("qtf") * F.ln((F.col("n_docs") + 1) / F.col("df"))).alias("w"), "avgdl")
     base = weighted.groupBy("query_id").agg(F.sum(F.col("w") * delta).alias("base"))
     gain = F.col("w") * F.col("tf") * (k1 + 1) / (k1 * (1 - b + b * F.col("dl") / F.col("avgdl")) + F.col("tf"))
-    shared = index.postings.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.sum(gain).alias("gain"))
-    return shared.join(base, "query_id").select("query_id", "doc_id", F.round(F.col("gain") + F.col("base"), 9).alias("score"))
+    shared = index.postings.join(weighted, "term").select("query_id", "doc_id", gain.alias("gain"))
+    if fill:
+        first = index.docs.orderBy("doc_id").limit(fill)  # any query's best documents lie among its matches and these
+        shared = shared.union(queries.select("query_id").crossJoin(F.broadcast(first)).select("query_id", "doc_id", F.lit(0.0)))
+    summed = shared.groupBy("query_id", "doc_id").agg(F.sum("gain").alias("gain")).join(base, "query_id", "left")
+    return summed.select("query_id", "doc_id", F.round(F.col("gain") + F.coalesce("base", F.lit(0.0)), 9).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int, *ties: Column, score: str = "score", query: str = "query_id") -> DataFrame:
@@ -54,8 +60,8 @@ def top_k(scores: DataFrame, k: int, *ties: Column, score: str = "score", query:
 
 
 def bm25_top_k(index: Bm25Index, queries: DataFrame, k: int = 15) -> DataFrame:
-    """(query_id, doc_id, score, rank). Where fewer than k documents share a term, only these are ranked."""
-    return top_k(bm25_scores(index, queries), k)
+    """(query_id, doc_id, score, rank) of the k best documents, those that share no term last, by their ids."""
+    return top_k(bm25_scores(index, queries, fill=k), k)
 
 
 def dot(a: Column, b: Column) -> Column:
