@@ -185,4 +185,5 @@ def fit_in_one_task(sample: DataFrame, fit: Callable[[list[str], np.ndarray], by
         model = fit([r[2] for r in rows], np.array([r[3] for r in rows], np.float64))
         yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
 
-    return bytes(sample.repartition(1).mapInArrow(run, "model binary").collect()[0][0])
+    models = sample.repartition(1).mapInArrow(run, "model binary").collect()
+    return bytes(models[0][0]) if models else fit([], np.empty(0))  # an empty sample has no task
