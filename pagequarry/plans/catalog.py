@@ -33,15 +33,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # --- derived inputs --------------------------------------------------------------------------------------------------
 
 #: One statement per nation and year; amounts are decimals first, so that both engines have the same doubles.
-STATEMENTS_SQL = """
+
+
+def _share(x: str) -> str:
+    return f"CAST(round(rev * CAST({x} AS DECIMAL(3, 2)), 2) AS DOUBLE)"
+
+
+_SHARES = {
+    "cogs": "0.6", "gross_profit": "0.4", "operating_income": "0.25", "net_income": "0.18", "total_assets": "2", "current_assets": "0.7", "inventory": "0.2", "total_liabilities": "1.1",
+    "current_liabilities": "0.5", "shareholders_equity": "0.9", "ebitda": "0.3", "market_cap": "5", "enterprise_value": "6",
+}
+STATEMENTS_SQL = f"""
 statements AS (
-  SELECT company, fy, CAST(rev AS DOUBLE) AS revenue, CAST(rev * 0.6 AS DOUBLE) AS cogs, CAST(rev * 0.4 AS DOUBLE) AS gross_profit,
-         CAST(rev * 0.25 AS DOUBLE) AS operating_income, CAST(rev * 0.18 AS DOUBLE) AS net_income, CAST(interest AS DOUBLE) AS interest_expense,
-         CAST(rev * 2 AS DOUBLE) AS total_assets, CAST(rev * 0.7 AS DOUBLE) AS current_assets, CAST(rev * 0.2 AS DOUBLE) AS inventory,
-         CAST(rev * 1.1 AS DOUBLE) AS total_liabilities, CAST(rev * 0.5 AS DOUBLE) AS current_liabilities, CAST(rev * 0.9 AS DOUBLE) AS shareholders_equity,
-         CAST(rev * 0.3 AS DOUBLE) AS ebitda, CAST(rev * 5 AS DOUBLE) AS market_cap, CAST(rev * 6 AS DOUBLE) AS enterprise_value
-  FROM (SELECT n_name AS company, year(o_orderdate) AS fy, CAST(round(sum(l_extendedprice * (1 - l_discount)), 2) AS DECIMAL(18, 2)) AS rev,
-               CAST(round(sum(l_extendedprice * l_tax), 2) AS DECIMAL(18, 2)) AS interest
+  SELECT company, fy, CAST(rev AS DOUBLE) AS revenue, CAST(interest AS DOUBLE) AS interest_expense, {", ".join(f"{_share(x)} AS {n}" for n, x in _SHARES.items())}
+  FROM (SELECT n_name AS company, year(o_orderdate) AS fy, round(sum(CAST(l_extendedprice AS DECIMAL(12, 2)) * (1 - CAST(l_discount AS DECIMAL(4, 2)))), 2) AS rev,
+               round(sum(CAST(l_extendedprice AS DECIMAL(12, 2)) * CAST(l_tax AS DECIMAL(4, 2))), 2) AS interest
         FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
         GROUP BY n_name, year(o_orderdate)) s)
 """
@@ -53,20 +59,14 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("fy"))
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("company"))
-    money = lambda c: F.round(F.sum(c), 2).cast("decimal(18,2)")
+    price, part = F.col("l_extendedprice").cast("decimal(12,2)"), lambda c: F.col(c).cast("decimal(4,2)")
     rows = (
         line.join(orders, F.col("o_orderkey") == F.col("l_orderkey")).join(customer, F.col("c_custkey") == F.col("o_custkey"))
         .join(nation, F.col("n_nationkey") == F.col("c_nationkey")).groupBy("company", "fy")
-        .agg(money(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("rev"), money(F.col("l_extendedprice") * F.col("l_tax")).alias("interest"))
-    )
-    share = lambda x: (F.col("rev") * F.lit(x).cast("decimal(3,2)")).cast("double")
-    return rows.select(
-        "company", "fy", F.col("rev").cast("double").alias("revenue"), share("0.6").alias("cogs"), share("0.4").alias("gross_profit"),
-        share("0.25").alias("operating_income"), share("0.18").alias("net_income"), F.col("interest").cast("double").alias("interest_expense"),
-        share("2").alias("total_assets"), share("0.7").alias("current_assets"), share("0.2").alias("inventory"), share("1.1").alias("total_liabilities"),
-        share("0.5").alias("current_liabilities"), share("0.9").alias("shareholders_equity"), share("0.3").alias("ebitda"), share("5").alias("market_cap"),
-        share("6").alias("enterprise_value"),
+        .agg(F.round(F.sum(price * (1 - part("l_discount"))), 2).alias("rev"), F.round(F.sum(price * part("l_tax")), 2).alias("interest"))
     )
+    share = lambda x: F.round(F.col("rev") * F.lit(x).cast("decimal(3,2)"), 2).cast("double")
+    return rows.select("company", "fy", F.col("rev").cast("double").alias("revenue"), F.col("interest").cast("double").alias("interest_expense"), *(share(x).alias(n) for n, x in _SHARES.items()))
 
 
 #: A Markdown table per company, one row a year; amounts are cents as integers over 100.
