@@ -8,9 +8,10 @@
    from band to band. The number of candidates is thus at most the number of bucket entries.
 4. Candidates are confirmed on the full shingle sets of both texts. Links found so far give components.
 5. Buckets whose members still lie in different components may hide a link that no hub showed. There, every member outside the
-   bucket's largest component is compared with the members of the other components by their signatures, in blocks of bounded
-   size inside a task. Only pairs whose estimate is at most ``MARGIN`` below the threshold leave the task, each from the first
-   bucket that it shares, to be confirmed like the others.
+   bucket's largest component is compared with the members of the other components, in blocks of bounded size inside a task:
+   first by signatures, with ``MARGIN`` below the threshold, then by the sets' 32-bit hashes where a set has at most
+   ``WHOLE_SETS`` shingles. Only pairs that pass leave the task, each from the first bucket that it shares, to be confirmed
+   like the others.
 
 With 44 bands of 6 rows, a pair at similarity 0.8 shares no bucket with a chance of 2e-6, and less above it. A link that only
 step 5 can show is missed with a chance of 3e-5 (four standard deviations of the estimate).
@@ -40,6 +41,8 @@ BINS = BANDS * ROWS
 MARGIN = 0.1
 #: Members of a bucket that are compared with as many others in one piece.
 BLOCK = 2048
+#: Shingles up to which a set goes along as a whole; of larger sets the signature alone decides before the confirmation.
+WHOLE_SETS = 2048
 
 
 def shingles(text: str | None, size: int, known: WordHashes) -> np.ndarray:
@@ -78,16 +81,14 @@ def _describe(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            counts, digests, bands, prints = [], [], [], []
+            counts, digests, bands = [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text, size, known)
                 counts.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                sig = signature(s) if len(s) else None
-                bands.append(band_keys(sig) if len(s) else None)
-                prints.append((mix(sig) & np.uint64(255)).astype(np.uint8).tobytes() if len(s) else None)
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(prints, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "digest", "bands", "print"])
+                bands.append(band_keys(signature(s)) if len(s) else None)
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "digest", "bands"])
 
     return run
 
@@ -112,6 +113,26 @@ def _confirm(size: int, percent: int):
     return run
 
 
+def _sketch(size: int):
+    """A text's band keys, its signature in a byte a bin, and its whole set in 32-bit hashes if that isn't too large."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in batches:
+            counts, bands, prints, sets = [], [], [], []
+            for text in batch.column(1).to_pylist():
+                s = shingles(text, size, known)
+                sig = signature(s) if len(s) else None
+                counts.append(len(s))
+                bands.append(band_keys(sig).tobytes() if len(s) else None)
+                prints.append((mix(sig) & np.uint64(255)).astype(np.uint8).tobytes() if len(s) else None)
+                sets.append(np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() if 0 < len(s) <= WHOLE_SETS else None)
+            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(bands, pa.binary()), pa.array(prints, pa.binary()), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["rep", "n", "bands", "print", "whole"])
+
+    return run
+
+
 def _across(percent: int):
     """Pairs of members of different components that may meet the threshold, from whole (bucket, block, block) groups in order."""
     least = percent / 100 - MARGIN
@@ -126,12 +147,18 @@ def _across(percent: int):
                 held.append(row)
         yield from pairs(held)
 
+    def may_link(a: bytes | None, b: bytes | None, a_size: int, b_size: int) -> bool:
+        if a is None or b is None:
+            return True
+        both = np.intersect1d(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32), assume_unique=True).size + 2  # equal hashes in a set cost at most so many
+        return 100 * both >= percent * (a_size + b_size - both)
+
     def pairs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         if len(rows) < 2:
             return
         bucket, one, two = rows[0][:3]
         block, rep, n, component, largest = (np.array([r[i] for r in rows], np.int64) for i in range(3, 8))
-        bands = np.array([r[8] for r in rows], np.int64)
+        bands = np.frombuffer(b"".join(r[8] for r in rows), np.int64).reshape(-1, BANDS)
         prints = np.frombuffer(b"".join(r[9] for r in rows), np.uint8).reshape(-1, BINS)
         for x in np.flatnonzero(component != largest):
             fits = (component != component[x]) & ((component == largest) | (component > component[x])) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
@@ -140,9 +167,9 @@ def _across(percent: int):
             at = np.flatnonzero(fits)
             at = at[(prints[at] == prints[x]).mean(1) >= least]
             at = at[bands[x][(bands[at] == bands[x]).argmax(1)] == bucket]  # the first bucket that both are in
-            if len(at):
-                a, b = np.maximum(rep[at], rep[x]), np.minimum(rep[at], rep[x])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            at = [i for i in at.tolist() if may_link(rows[x][10], rows[i][10], n[x], n[i])]
+            if at:
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(rep[at], rep[x])), pa.array(np.minimum(rep[at], rep[x]))], names=["a", "b"])
 
     return run
 
@@ -156,7 +183,7 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 5, percent: int = 80)
     bound_batches(spark)
     scratch = Scratch(spark, "near-dedup")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described = scratch.save(source.mapInArrow(_describe(shingle), "doc_id long, n_shingles long, digest binary, bands array<long>, print binary"), "described")
+    described = scratch.save(source.mapInArrow(_describe(shingle), "doc_id long, n_shingles long, digest binary, bands array<long>"), "described")
     linkable = described.where("digest is not null and doc_id is not null")
     several = described.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.count_distinct("digest").alias("texts")).where("rows > 1").select("doc_id", "texts")
     repeats = not several.isEmpty()
@@ -164,10 +191,9 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 5, percent: int = 80)
     classes = linkable.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     placed = linkable.join(classes, "digest")
     reps = placed.where("doc_id = rep").dropDuplicates(["digest"])
-    entries = reps.select("rep", F.col("n_shingles").alias("n"), "digest", F.explode("bands").alias("bucket"))
+    entries = reps.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     hubs = (
-        entries.groupBy("bucket")
-        .agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("bucket", "rep", "digest").alias("rank"), "rep", "n", "digest")).alias("hub"))
+        entries.groupBy("bucket").agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("bucket", "rep").alias("rank"), "rep", "n")).alias("hub"))
         .where("members > 1").drop("members")
     )
     shared = scratch.save(entries.join(hubs, "bucket"), "shared")  # a bucket of one member links nothing
@@ -176,17 +202,17 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 5, percent: int = 80)
         """Sizes whose sets can meet the threshold at all."""
         return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
+    # the texts that any later step can ask for; the join is a shuffle at every size, as the ids' number follows the input
+    wanted = shared.select(F.col("rep").alias("id")).distinct().hint("merge")
+    texts = source.join(wanted, source["doc_id"] == wanted["id"], "left_semi")
+    texts = scratch.save(texts.distinct() if repeats else texts, "texts")
+
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """The links among candidate pairs (a, b), by the full sets of both texts."""
-        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        texts = source.join(wanted, source["doc_id"] == wanted["id"], "left_semi")
-        texts = scratch.save(texts.distinct() if repeats else texts, f"{name}-texts")
         mine = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text"))
         theirs = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text"))
         both = pairs.join(mine, "a").join(theirs, "b").select("a", "b", "a_text", "b_text")
-        links = scratch.save(both.mapInArrow(_confirm(shingle, percent), "a long, b long").distinct(), f"{name}-links")
-        scratch.drop(f"{name}-texts")
-        return links
+        return scratch.save(both.mapInArrow(_confirm(shingle, percent), "a long, b long").distinct(), f"{name}-links")
 
     stars = shared.select(F.col("rep").alias("a"), F.col("hub.rep").alias("b"), "n", F.col("hub.n").alias("m"))
     pairs = scratch.save(stars.where((F.col("a") != F.col("b")) & fit("n", "m")).select("a", "b").distinct(), "stars")
@@ -206,8 +232,9 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 5, percent: int = 80)
     blocks = opened.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     dealt = opened.join(blocks, "bucket").withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    marks = reps.select("rep", F.col("n_shingles").alias("n"), "bands", "print")
-    dealt = dealt.join(marks, ["rep", "n"]).select("bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "rep", "n", "component", "largest", "bands", "print")
+    asked = opened.select(F.col("rep").alias("id")).distinct()
+    marks = texts.join(asked, texts["doc_id"] == asked["id"], "left_semi").mapInArrow(_sketch(shingle), "rep long, n long, bands binary, print binary, whole binary")
+    dealt = dealt.join(marks, ["rep", "n"]).select("bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "rep", "n", "component", "largest", "bands", "print", "whole")
     dealt = dealt.repartition("bucket", "one", "two").sortWithinPartitions("bucket", "one", "two")
     across = dealt.mapInArrow(_across(percent), "a long, b long").where("a <> b").distinct()
     tested = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
