@@ -6,15 +6,19 @@ which a cluster adds up doubles.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagequarry.functions.text import search_terms
 
-#: A postings or vector side is broadcast only if the planner knows it to be small; the query side is checked against this.
-MOST_BROADCAST_QUERIES = 10_000
+#: Query vectors that go to the vectors at once, and asked terms that go to the documents.
+QUERY_BLOCK = 2_000
+MOST_BROADCAST_TERMS = 500_000
 
 
 @dataclass(frozen=True)
@@ -25,12 +29,26 @@ class Bm25Index:
     stats: DataFrame  # one row: n_docs, avgdl
 
 
-def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Bm25Index:
-    """Postings, document frequencies and corpus statistics over all documents, those without terms included."""
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term, qtf) of queries (query_id, text)."""
+    return queries.select("query_id", F.explode(search_terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+
+
+def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", queries: DataFrame | None = None) -> Bm25Index:
+    """Postings, document frequencies and corpus statistics over all documents, those without terms included.
+
+    With ``queries``, the index holds only what these ask for: other terms go before anything is shuffled. The asked terms are
+    broadcast if there are at most ``MOST_BROADCAST_TERMS``, else joined.
+    """
     tokens = docs.select(F.col(doc_id).alias("doc_id"), search_terms(F.coalesce(F.col(text), F.lit(""))).alias("terms"))
     sized = tokens.select("doc_id", F.size("terms").alias("dl"), "terms")
     stats = sized.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    postings = sized.select("doc_id", "dl", F.explode("terms").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    places = sized.select("doc_id", "dl", F.explode("terms").alias("term"))
+    if queries is not None:
+        asked = query_terms(queries).select("term").distinct()
+        few = asked.limit(MOST_BROADCAST_TERMS + 1).count() <= MOST_BROADCAST_TERMS
+        places = places.join(F.broadcast(asked) if few else asked, "term", "left_semi")
+    postings = places.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     return Bm25Index(docs.select(F.col(doc_id).alias("doc_id")), postings, postings.groupBy("term").agg(F.count("*").alias("df")), stats)
 
 
@@ -40,8 +58,7 @@ def bm25_scores(index: Bm25Index, queries: DataFrame, k1: float = 1.5, b: float
     A document that shares none has the query's base score alone. With ``fill``, enough of these come too, by the smallest ids,
     for every query to have ``fill`` documents.
     """
-    asked = queries.select("query_id", F.explode(search_terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    known = asked.join(index.terms, "term").crossJoin(F.broadcast(index.stats))  # one row of statistics
+    known = query_terms(queries).join(index.terms, "term").crossJoin(F.broadcast(index.stats))  # one row of statistics
     weighted = known.select("query_id", "term", (F.col("qtf") * F.ln((F.col("n_docs") + 1) / F.col("df"))).alias("w"), "avgdl")
     base = weighted.groupBy("query_id").agg(F.sum(F.col("w") * delta).alias("base"))
     gain = F.col("w") * F.col("tf") * (k1 + 1) / (k1 * (1 - b + b * F.col("dl") / F.col("avgdl")) + F.col("tf"))
@@ -72,17 +89,37 @@ def dot(a: Column, b: Column) -> Column:
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 15) -> DataFrame:
     """(query_id, doc_id, score, rank) of queries (query_id, vector) against all vectors (doc_id, vector), exactly.
 
-    Queries go to the vectors in one block, a row with all of them, if there are at most ``MOST_BROADCAST_QUERIES``; else in
-    several blocks that are joined one after the other. Each task keeps its own best k before the final ranking.
+    Queries come in blocks of at most ``QUERY_BLOCK``, which are broadcast; a batch of vectors meets a block in one matrix
+    product and keeps its own best k for each query, so what is shuffled is a small share of the pairs. Rows without id or
+    vector match nothing.
     """
-    n = queries.count()
-    blocks = -(-n // MOST_BROADCAST_QUERIES) or 1
+    spark = vectors.sparkSession
+    schema = f"query_id long, doc_id {vectors.schema['doc_id'].dataType.simpleString()}, score double"
+    rows = vectors.where("doc_id IS NOT NULL AND vector IS NOT NULL").select("doc_id", "vector")
+    asked = queries.where("query_id IS NOT NULL AND vector IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), "vector")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+
+    def scores(block):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, matrix = block.value
+            for b in batches:
+                if not len(b) or not len(ids):
+                    continue
+                own = np.array(b.column(1).to_pylist(), np.float64)
+                product = np.round(matrix @ own.T, 9)
+                keep = min(k, len(b))
+                floor = np.partition(product, len(b) - keep, axis=1)[:, len(b) - keep]  # ties with the k-th stay
+                q, d = np.nonzero(product >= floor[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), b.column(0).take(pa.array(d)), pa.array(product[q, d])], names=["query_id", "doc_id", "score"])
+
+        return run
+
     parts = []
     for i in range(blocks):
-        block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        packed = block.agg(F.collect_list(F.struct("query_id", "vector")).alias("queries"))
-        pairs = vectors.select("doc_id", "vector").crossJoin(F.broadcast(packed)).select("doc_id", "vector", F.explode("queries").alias("q"))
-        parts.append(pairs.select("q.query_id", "doc_id", F.round(dot(F.col("vector"), F.col("q.vector")), 9).alias("score")))
+        block = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)).collect()  # QUERY_BLOCK rows or about as many
+        matrix = np.array([r["vector"] for r in block], np.float64)
+        sent = spark.sparkContext.broadcast((np.array([r["query_id"] for r in block], np.int64), matrix))
+        parts.append(rows.mapInArrow(scores(sent), schema))
     scored = parts[0]
     for p in parts[1:]:
         scored = scored.union(p)
@@ -144,7 +181,7 @@ def retrieve(chunks: DataFrame, queries: DataFrame, mode: str = "hybrid", route:
     if mode != "sparse_only":
         dense = dense_top_k(chunks, queries, settings.dense_k)
     if mode != "dense_only":
-        sparse = bm25_top_k(index or build_index(chunks), queries, settings.sparse_k)
+        sparse = bm25_top_k(index or build_index(chunks, queries=queries), queries, settings.sparse_k)
     fused = fuse_ranks(dense if dense is not None else empty(sparse), sparse if sparse is not None else empty(dense), settings.rrf_k)
     fused = fused.where(F.col("rank") <= settings.candidates)
     if mode == "rerank":

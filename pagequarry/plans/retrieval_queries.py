@@ -23,6 +23,11 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def index_of(spark: SparkSession, sf_dir: str) -> r.Bm25Index:
+    """All documents' postings of the terms that are asked for."""
+    return r.build_index(docs_of(spark, sf_dir), queries=asked(spark, sf_dir))
+
+
 BM25_SQL = f"""
 tok AS (SELECT doc_id, {_TERMS} AS ts FROM INPUT_DOCS),
 st AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM tok),
@@ -40,13 +45,13 @@ _BM25 = BM25_SQL.replace("INPUT_DOCS", "documents")
 
 @query(f"WITH {_BM25} SELECT query_id, doc_id, round(score, 4) AS score, CAST(rank AS INTEGER) AS rank FROM bmk")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = r.bm25_top_k(r.build_index(docs_of(spark, sf_dir)), asked(spark, sf_dir))
+    top = r.bm25_top_k(index_of(spark, sf_dir), asked(spark, sf_dir))
     return top.select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
 
 
 @query(f"WITH {_BM25} SELECT query_id, CAST(count(*) AS BIGINT) AS n_docs, round(max(score), 4) AS best, round(min(score), 4) AS least FROM bm GROUP BY 1")
 def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = r.bm25_scores(r.build_index(docs_of(spark, sf_dir)), asked(spark, sf_dir))
+    scores = r.bm25_scores(index_of(spark, sf_dir), asked(spark, sf_dir))
     return scores.groupBy("query_id").agg(F.count("*").alias("n_docs"), F.round(F.max("score"), 4).alias("best"), F.round(F.min("score"), 4).alias("least"))
 
 
@@ -181,14 +186,14 @@ def hybrid_search_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_BM25}, m AS (SELECT query_id // 4 AS topic, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf, min((query_id, rank)) AS f FROM bmk WHERE rank <= 8 GROUP BY 1, 2), "
        "n AS (SELECT topic, doc_id, rrf, row_number() OVER (PARTITION BY topic ORDER BY rrf DESC, f) AS rank FROM m) SELECT topic, doc_id, rrf, CAST(rank AS INTEGER) AS rank FROM n WHERE rank <= 8")
 def multi_query_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = r.bm25_top_k(r.build_index(docs_of(spark, sf_dir)), asked(spark, sf_dir), 8)
+    ranked = r.bm25_top_k(index_of(spark, sf_dir), asked(spark, sf_dir), 8)
     return r.fuse_queries(ranked.withColumn("topic", F.floor(F.col("query_id") / 4)), "topic")
 
 
 @query(f"WITH {_BM25}, p AS (SELECT query_id // 4 AS topic, doc_id, query_id * 100 + rank AS pos FROM bmk), o AS (SELECT topic, doc_id, min(pos) AS pos FROM p GROUP BY 1, 2) SELECT topic, doc_id, pos FROM o")
 def dedup_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pool of several queries, each chunk where it comes first."""
-    ranked = r.bm25_top_k(r.build_index(docs_of(spark, sf_dir)), asked(spark, sf_dir))
+    ranked = r.bm25_top_k(index_of(spark, sf_dir), asked(spark, sf_dir))
     pool = ranked.select(F.floor(F.col("query_id") / 4).alias("topic"), "doc_id", (F.col("query_id") * 100 + F.col("rank")).alias("pos"))
     first = Window.partitionBy("topic", "doc_id").orderBy("pos")
     return pool.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")

@@ -135,9 +135,15 @@ def plan_dominant_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.dominant_strategy(_subtasks(spark, sf_dir), "doc_id")
 
 
+def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts that the workflow's queries ask with."""
+    questions = asked(spark, sf_dir)
+    return questions.union(questions.select("query_id", F.concat(F.lit("the "), F.substring("text", 1, 30), F.lit(" (FY2024)"))))
+
+
 def _workflow(spark: SparkSession, sf_dir: str) -> w.Workflow:
     chunks = collection(spark, sf_dir).withColumnRenamed("chunk_id", "doc_id")
-    return w.Workflow(chunks, r.build_index(docs_of(spark, sf_dir)))
+    return w.Workflow(chunks, r.build_index(docs_of(spark, sf_dir), queries=_probes(spark, sf_dir)))
 
 
 _RERANK = """
