@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagequarry.functions.text import search_terms
@@ -52,6 +52,18 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", que
     return Bm25Index(docs.select(F.col(doc_id).alias("doc_id")), postings, postings.groupBy("term").agg(F.count("*").alias("df")), stats)
 
 
+def save_index(index: Bm25Index, path: str) -> None:
+    """Write an index as Parquet; postings lie in ranges of terms, so that a few terms' postings are found by file statistics."""
+    index.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    index.terms.write.mode("overwrite").parquet(f"{path}/terms")
+    index.stats.write.mode("overwrite").parquet(f"{path}/stats")
+    index.docs.write.mode("overwrite").parquet(f"{path}/docs")
+
+
+def load_index(spark: SparkSession, path: str) -> Bm25Index:
+    return Bm25Index(*(spark.read.parquet(f"{path}/{name}") for name in ("docs", "postings", "terms", "stats")))
+
+
 def bm25_scores(index: Bm25Index, queries: DataFrame, k1: float = 1.5, b: float = 0.75, delta: float = 1.0, fill: int = 0) -> DataFrame:
     """(query_id, doc_id, score) for every document that shares a term with a query (query_id, text).
 

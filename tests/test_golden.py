@@ -125,6 +125,26 @@ def test_sparse_results_are_filled(spark):
     assert [(r.query_id, r.doc_id) for r in top] == [(0, 4), (0, 1), (0, 2), (1, 1), (1, 2), (1, 3)] and top[3].score == 0.0
 
 
+def test_saved_index_gives_the_same(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    asked = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    index = retrieval.build_index(docs)
+    retrieval.save_index(index, str(tmp_path / "index"))
+    rows = lambda i: sorted(map(tuple, retrieval.bm25_top_k(i, asked, 5).collect()))
+    assert rows(index) == rows(retrieval.load_index(spark, str(tmp_path / "index"))) == rows(retrieval.build_index(docs, queries=asked))
+
+
+def test_dense_blocks_give_the_same(spark, sf, monkeypatch):
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    asked = vectors.where("doc_id < 30").select(F.col("doc_id").alias("query_id"), "vector")
+    odd = vectors.union(spark.createDataFrame([(9_999, None)], vectors.schema))
+    rows = lambda: sorted(map(tuple, retrieval.dense_top_k(odd, asked, 4).collect()))
+    one = rows()
+    assert len(one) == 120 and all(r[3] != 1 or r[0] == r[1] for r in one)  # a vector is nearest to itself
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
+    assert rows() == one and retrieval.dense_top_k(vectors.limit(0), asked, 4).isEmpty() and retrieval.dense_top_k(vectors, asked.limit(0), 4).isEmpty()
+
+
 def test_citations_and_missing_data(spark):
     answers = spark.createDataFrame([(1, "A [Source: r.pdf, page 3] B [Source: x.pdf, page 9]"), (2, "none"), (3, None)], "answer_id int, answer string")
     rows = {r.answer_id: r for r in verify.verify_citations(answers, spark.createDataFrame([(1, "r.pdf", 3)], "answer_id int, doc string, page int")).collect()}
