@@ -5,7 +5,8 @@ Text and items are normalised alike: A-Z in lower case, words joined by one spac
 What it finds maps back to character offsets of the original text.
 
 The items are broadcast to the scan. They are collected only in shards of at most ``SHARD_BYTES`` of text; a benchmark beyond
-that is scanned shard by shard and the hits of a document are merged, so the bound changes no result.
+that is scanned shard by shard, over held blocks of documents, and the hits of a document are merged, so the bound changes no
+result.
 
 Defined results: a null or empty text has no words and no hits. Items without words match nothing. An item with a null id
 counts as the id "". Items that repeat an id are one item. Other columns pass through.
@@ -26,6 +27,8 @@ from .common import LOWER_WORD, bound_batches
 
 #: Bytes of item text that one automaton holds; a node costs about 60 bytes and a window about seventy nodes at most.
 SHARD_BYTES = 128_000
+#: Bytes of documents that are held while one automaton of several follows the other.
+HELD_BYTES = 32_000_000
 
 MADE = T.StructType([
     T.StructField("n_words", T.LongType()),
@@ -65,15 +68,21 @@ def _scan(automaton, text: str | None) -> tuple[int, list[list[int]], set[str]]:
         return len(tokens), [], set()
     ends = np.cumsum([len(t) + 1 for t in tokens])  # where the space after each word stands
     last = np.searchsorted(ends, [e for e, _ in matches])
-    spans: list[list[int]] = []
-    for a, b in sorted((int(j) - n + 1, int(j) + 1) for j, (_, (n, _)) in zip(last, matches, strict=True)):
-        if spans and a <= spans[-1][1]:
-            spans[-1][1] = max(spans[-1][1], b)
-        else:
-            spans.append([a, b])
+    spans = _merged([[int(j) - n + 1, int(j) + 1] for j, (_, (n, _)) in zip(last, matches, strict=True)])
     return len(tokens), spans, {i for _, (_, ids) in matches for i in ids}
 
 
+def _merged(spans: list[list[int]]) -> list[list[int]]:
+    """The union of intervals, in order; intervals that touch are one."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
 def _offsets(text: str, spans: list[list[int]]) -> list[list[int]]:
     """Character offsets in the original text of intervals of words."""
     if not spans:
@@ -105,33 +114,42 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
     kept = docs.drop(*MADE.names)
     names, text_at, width = kept.columns, kept.columns.index("text"), len(kept.columns)
 
-    # with several shards the intervals of words travel in the column that later holds offsets
     sent = [context.broadcast(s) for s in shards]
 
+    def finish(batch: pa.RecordBatch, found: list) -> pa.RecordBatch:
+        """found: (number of words, intervals of words, items) of each row; intervals of several shards may overlap."""
+        out = []
+        for text, (n, spans, ids) in zip(batch.column(text_at).to_pylist(), found, strict=True):
+            merged = _merged(spans)
+            out.append((n, sum(b - a for a, b in merged), sorted(ids), _offsets(text, merged)))
+        new = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.list_(pa.int64()))))]
+        return pa.RecordBatch.from_arrays([*batch.columns[:width], *new], names=[*names, *MADE.names])
+
+    def by_shards(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One automaton after the other over what is held."""
+        found = [[[0, [], set()] for _ in range(len(b))] for b in held]
+        for s in sent:
+            automaton = _automaton(s.value, window)
+            for b, rows in zip(held, found, strict=True):
+                for f, text in zip(rows, b.column(text_at).to_pylist(), strict=True):
+                    n, spans, ids = _scan(automaton, text)
+                    f[0], f[1], f[2] = n, f[1] + spans, f[2] | ids
+        for b, rows in zip(held, found, strict=True):
+            yield finish(b, rows)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        single = _automaton(sent[0].value, window) if len(sent) == 1 else None
-        for batch in batches:
-            texts = batch.column(text_at).to_pylist()
-            if len(sent) == 1:
-                found = [_scan(single, t) for t in texts]
-            else:
-                found = [[0, [], set()] for _ in texts]
-                for s in sent:
-                    automaton = _automaton(s.value, window)
-                    for f, t in zip(found, texts, strict=True):
-                        n, spans, ids = _scan(automaton, t)
-                        f[0], f[1] = n, f[1] + spans
-                        f[2] |= ids
-            out = []
-            for t, (n, spans, ids) in zip(texts, found, strict=True):
-                merged: list[list[int]] = []
-                for a, b in sorted(spans):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], b)
-                    else:
-                        merged.append([a, b])
-                out.append((n, sum(b - a for a, b in merged), sorted(ids), _offsets(t, merged)))
-            new = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.list_(pa.int64()))))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *new], names=[*names, *MADE.names])
+        if len(sent) == 1:
+            automaton = _automaton(sent[0].value, window)
+            for b in batches:
+                yield finish(b, [_scan(automaton, t) for t in b.column(text_at).to_pylist()])
+            return
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.nbytes
+            if size >= HELD_BYTES:
+                yield from by_shards(held)
+                held, size = [], 0
+        yield from by_shards(held)
 
     return kept.mapInArrow(run, T.StructType([*kept.schema, *MADE]))
