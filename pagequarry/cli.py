@@ -17,6 +17,7 @@ from pagequarry.config import Config, override, parse_overrides
 from pagequarry.operators import chunking, retrieval
 from pagequarry.plans.workflow import Workflow, build_citations
 from pagequarry.registry import build_registry
+from pagequarry.session import build_session
 from pagequarry.sources.collections import Collections
 
 
@@ -52,7 +53,7 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--show-retrieval", action="store_true")
     commands.add_parser("tools")
     given = parser.parse_args(args)
-    spark = SparkSession.builder.appName("pagequarry").getOrCreate()
+    spark = build_session()
     if given.command == "ingest":
         print(ingest(spark, given.pages, given.root, given.collection, given.chunk_max_tokens, given.overlap), "chunks")
     elif given.command == "ask":
