@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, bound_batches
 
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
+#: Captures without bytes of their own that are broadcast, at about a hundred bytes each.
+MOST_BROADCAST = 200_000
 #: Given to every record, so that an archive of the same pages is the same.
 DATE = "2024-01-01T00:00:00Z"
 
@@ -76,10 +78,13 @@ def write_archive(pages: DataFrame, scratch: Scratch, least: int = 0) -> Archive
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(headers, pa.binary())], names=["page_id", "digest", "header"])
 
     written = scratch.save(records.mapInArrow(head, "page_id long, digest string, header binary"), "records")
-    # one capture of each payload brings its bytes; the others' ids are few or their join is a shuffle like any other
+    # one capture of each payload brings its bytes; the others are left out by a list of them if that is short, else by a join
     others = index.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).select(F.col("page_id").alias("other"), F.col("digest").alias("same"))
+    others = scratch.save(others, "others")
+    if others.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        others = F.broadcast(others)
     bytes_of = rows.select("page_id", F.sha2("payload", 256).alias("digest"), "payload")
-    once = bytes_of.join(others, bytes_of["page_id"].eqNullSafe(others["other"]) & (bytes_of["digest"] == others["same"]), "left_anti").select("digest", "payload")
+    once = bytes_of.join(others, (bytes_of["digest"] == F.col("same")) & bytes_of["page_id"].eqNullSafe(F.col("other")), "left_anti").select("digest", "payload")
     ties = index.groupBy("digest", "page_id").count().where("count > 1")
     if not ties.isEmpty():
         once = once.groupBy("digest").agg(F.min("payload").alias("payload"))
