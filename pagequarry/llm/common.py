@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -174,15 +177,31 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, p
     )
 
 
-def fit_in_one_task(sample: DataFrame, fit: Callable[[list[str], np.ndarray], bytes]) -> bytes:
+def release() -> None:
+    """Give freed memory back to the system: a worker stays for later tasks, and what it holds counts against its executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def fit_in_one_task(sample: DataFrame, preparer: Callable[[], Callable[[str], Any]], fit: Callable[[list, np.ndarray], bytes]) -> bytes:
     """Fit a model to a bounded sample in one task, which Spark repeats if its executor is lost; returns the pickled model.
 
-    The rows are put in a fixed order first, so that the model doesn't depend on how they arrive.
+    ``preparer()`` gives a function that makes a text's features as it arrives, so that texts aren't held. Rows are put in a
+    fixed order first, so that the model doesn't depend on how they arrive.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((xxhash.xxh3_64_intdigest(str(i).encode()), i, t, y) for b in batches for i, t, y in rows_of(b))
+        prepare = preparer()
+        rows = [(xxhash.xxh3_64_intdigest(str(i).encode()), i, prepare(t), y) for b in batches for i, t, y in rows_of(b)]
+        rows.sort(key=lambda r: r[:2])
+        prepare = None
         model = fit([r[2] for r in rows], np.array([r[3] for r in rows], np.float64))
+        rows = []
+        release()
         yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
 
     models = sample.repartition(1).mapInArrow(run, "model binary").collect()

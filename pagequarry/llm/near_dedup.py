@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, bound_batches, mix, rows_of, sequence_hash, window_hashes, words
+from .common import Scratch, WordHashes, bound_batches, mix, release, rows_of, sequence_hash, window_hashes, words
 from .components import components
 
 BANDS, ROWS = 44, 6
@@ -146,6 +146,8 @@ def _across(percent: int):
                     now, held = row[:3], []
                 held.append(row)
         yield from pairs(held)
+        held = []
+        release()
 
     def may_link(a: bytes | None, b: bytes | None, a_size: int, b_size: int) -> bool:
         if a is None or b is None:

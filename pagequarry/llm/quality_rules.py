@@ -97,16 +97,23 @@ def _platt(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(w[0], 1e-3)), float(w[1])
 
 
-def fit(texts: list[str], labels: np.ndarray) -> bytes:
+def preparer():
+    """text -> (features, their values)"""
+    known = WordHashes()
+
+    def prepare(text: str) -> tuple[np.ndarray, np.ndarray]:
+        parts = [np.unique(g, return_counts=True) for g in grams(text, known)]
+        return np.concatenate([p[0] for p in parts]).astype(np.int32), np.concatenate([SCALE * p[1] / max(1, p[1].sum()) for p in parts]).astype(np.float32)
+
+    return prepare
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> bytes:
     """Pickled (weights, intercept), with the calibration in both."""
     share = (labels.sum() + 1) / (len(labels) + 2)
     prior = float(np.log(share / (1 - share)))
     if not 0 < labels.sum() < len(labels):
         return pickle.dumps((np.zeros(GROUPS << BITS, np.float32), prior))
-    known, rows = WordHashes(), []
-    for text in texts:
-        parts = [np.unique(g, return_counts=True) for g in grams(text, known)]
-        rows.append((np.concatenate([p[0] for p in parts]).astype(np.int32), np.concatenate([SCALE * p[1] / max(1, p[1].sum()) for p in parts]).astype(np.float32)))
     order = np.random.default_rng(11).permutation(len(rows))
     apart = order[: len(rows) // 5]
     train = order[len(rows) // 5 :]
@@ -154,4 +161,4 @@ def apply_quality_rules(docs: DataFrame, model: bytes, limits: Thresholds = Thre
 
 
 def train_quality_rules(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> bytes:
-    return fit_in_one_task(labelled_sample(docs, labels, "quality", most), fit)
+    return fit_in_one_task(labelled_sample(docs, labels, "quality", most), preparer, fit)

@@ -110,9 +110,13 @@ def predict_trees(model: dict, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-(model["start"] + model["value"][tree, node].sum(1))))
 
 
-def fit(texts: list[str], labels: np.ndarray) -> bytes:
+def preparer():
     known = WordHashes()
-    return pickle.dumps(fit_trees(np.array([statistics(t, known) for t in texts], np.float64).reshape(len(texts), len(statistics("", known))), labels))
+    return lambda text: statistics(text, known)
+
+
+def fit(rows: list[list[float]], labels: np.ndarray) -> bytes:
+    return pickle.dumps(fit_trees(np.array(rows, np.float64).reshape(len(rows), len(statistics("", WordHashes()))), labels))
 
 
 def score_quality(docs: DataFrame, model: bytes, made: str = "quality") -> DataFrame:
@@ -133,4 +137,4 @@ def score_quality(docs: DataFrame, model: bytes, made: str = "quality") -> DataF
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> bytes:
-    return fit_in_one_task(labelled_sample(docs, labels, "quality", most), fit)
+    return fit_in_one_task(labelled_sample(docs, labels, "quality", most), preparer, fit)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, batch_of, bound_batches, mix, rows_of, window_hashes, words
+from .common import WordHashes, batch_of, bound_batches, mix, release, rows_of, window_hashes, words
 
 #: Windows of one block of a map task; bounds its memory.
 BLOCK_WINDOWS = 2_000_000
@@ -93,8 +93,8 @@ def _block(docs: list[tuple], buckets: int, groups: int) -> Iterator[pa.RecordBa
     docs = sorted(docs, key=lambda d: d[:2])
     keys = np.array([d[:2] for d in docs], np.int64)
     sizes = [len(d[2]) for d in docs]
-    row = np.repeat(np.arange(len(docs)), sizes)
-    start = np.concatenate([np.arange(n) for n in sizes])
+    row = np.repeat(np.arange(len(docs), dtype=np.int32), sizes)
+    start = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
     h = np.concatenate([d[2] for d in docs])
     bucket = ((np.concatenate([d[3] for d in docs]) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     order = np.argsort(h, kind="stable")  # equal hashes stay in order of their documents
@@ -130,6 +130,8 @@ def _emit(k: int, buckets: int, groups: int):
                         docs, n = [], 0
         if docs:
             yield from _block(docs, buckets, groups)
+        docs = []
+        release()
 
     return run
 
@@ -167,6 +169,8 @@ def _count(groups: int):
                 held.append(row)
             yield from _batches(passed, _MARK)
         yield from _batches(_bucket_marks(held, groups), _MARK)
+        held = []
+        release()
 
     return run
 

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -40,16 +41,19 @@ def features(text: str | None, known: WordHashes) -> np.ndarray:
     return (np.concatenate([h, pairs, skips]) >> np.uint64(43)).astype(np.int64)
 
 
-def fit(texts: list[str], labels: np.ndarray) -> bytes:
+def preparer():
+    """text -> (digest of the text, its distinct features)"""
+    known = WordHashes()
+    return lambda text: (xxhash.xxh3_128_digest(text.encode()), np.unique(features(text, known)).astype(np.int32))
+
+
+def fit(prepared: list[tuple[bytes, np.ndarray]], labels: np.ndarray) -> bytes:
     """Pickled (indexes, weights, intercept)."""
     share = (labels.sum() + 1) / (len(labels) + 2)
     if not 0 < labels.sum() < len(labels):
         return pickle.dumps((np.empty(0, np.int64), np.empty(0), float(np.log(share / (1 - share)))))
-    known, seen, rows = WordHashes(), set(), []
-    for text, y in zip(texts, labels, strict=True):
-        if text not in seen:
-            seen.add(text)
-            rows.append((np.unique(features(text, known)), y))
+    once = {digest: (at, y) for (digest, at), y in zip(reversed(prepared), reversed(labels), strict=True)}
+    rows = list(reversed(once.values()))
     z, n = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS)
     bias, bias_n = float(np.log(share / (1 - share))), 0.0
 
@@ -101,4 +105,4 @@ def score_toxicity(docs: DataFrame, model: bytes, made: str = "toxicity") -> Dat
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> bytes:
-    return fit_in_one_task(labelled_sample(docs, labels, "toxic", most), fit)
+    return fit_in_one_task(labelled_sample(docs, labels, "toxic", most), preparer, fit)
