@@ -211,7 +211,7 @@ _F0, _F1 = _FACTOR.format(cjk=""), _FACTOR.format(cjk=" WHEN '万' THEN 10000.0
 @query(
     f"WITH t AS (SELECT c_custkey, {_UNIT_TEXT} AS raw FROM customer), m AS (SELECT c_custkey, raw, regexp_replace(raw, '[, ]', '', 'g') AS c FROM t), "
     r"v AS (SELECT c_custkey, raw, TRY_CAST(nullif(regexp_extract(c, '^([\d.]+)([a-zA-Z%\x{4e00}-\x{9fa5}]*)$', 1), '') AS DOUBLE) AS n, regexp_extract(c, '^([\d.]+)([a-zA-Z%\x{4e00}-\x{9fa5}]*)$', 2) AS u FROM m) "
-    f"SELECT c_custkey, raw, round(n * CAST({_F0} AS DOUBLE), 4) AS absolute, round(n * CAST({_F0} AS DOUBLE) / 1e3, 4) AS thousands, round(n * CAST({_F1} AS DOUBLE), 4) AS with_cjk FROM v"
+    f"SELECT c_custkey, raw, round(n * CAST({_F0} AS DOUBLE), 4) AS absolute, round(n * CAST({_F0} AS DOUBLE) / 0.01, 4) AS percent, round(n * CAST({_F1} AS DOUBLE), 4) AS with_cjk FROM v"
 )
 def unit_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
@@ -222,7 +222,7 @@ def unit_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 11 == 9, F.concat(s(k % 31), F.lit("zz"))).otherwise(s(k))
     )
     t = table(spark, sf_dir, "customer").select("c_custkey", raw.alias("raw"))
-    return t.select("c_custkey", "raw", finance.normalize_units(F.col("raw")).alias("absolute"), finance.normalize_units(F.col("raw"), "K").alias("thousands"), finance.normalize_units(F.col("raw"), cjk_units=True).alias("with_cjk"))
+    return t.select("c_custkey", "raw", finance.normalize_units(F.col("raw")).alias("absolute"), finance.normalize_units(F.col("raw"), "%").alias("percent"), finance.normalize_units(F.col("raw"), cjk_units=True).alias("with_cjk"))
 
 
 _IDENTIFY = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(q, '{w}')" for w in ws) + f" THEN '{m}'" for m, ws in finance.METRIC_WORDS.items()) + " END"
