@@ -10,6 +10,9 @@ intervals.
 Two windows count as equal if their 64-bit hashes and their buckets (from a second, independent hash) agree. As the number of
 buckets follows the input, the odds that a window is taken for another one are about 1e-13, whatever the size of the input.
 
+What a block decides and what it sends belong together, so a task that is repeated must see its documents in the same order. It
+does where documents are read from files, as written tables are; write an input whose order isn't fixed before it is cut.
+
 Defined results: a null, empty or short text (fewer than ``k`` words) has no windows and stays as it is. A null id is smaller
 than none and nothing is removed from it. Rows that repeat an id are one document (equal ids are not smaller), each row being
 cut by itself. A window that repeats only inside one document stays. Other columns pass through.
