@@ -1,16 +1,19 @@
 """Scoring by a probabilistic suffix tree over words.
 
 Tokens are a text's words (A-Z in lower case) and one end. The root of the tree is the add-one unigram distribution over all
-training tokens. A context of one or two words is a candidate if its share of the training tokens reaches ``LEAST_SHARE``; it
-is retained if its next-symbol distribution diverges from that of its longest retained suffix: the log-likelihood ratio must
-reach ``LEAST_GAIN`` nats. A state keeps the counts of its frequent next symbols; what is left of its mass, and ``SMOOTH``
-counts more, goes to its suffix's distribution, so every state's probabilities sum to one. A token is scored by the state of
-the longest suffix of the words before it.
-
-Counting: map tasks sum their tokens in blocks, then Spark sums by the tokens' 64-bit hashes. The counts of all tokens stay a
-distributed table. The tree and the counts of the most frequent tokens are broadcast; their least shares bound their
-size. Other tokens get their counts by a join, which is exact: such a token is never a symbol of the tree, so its probability
-is its unigram one times the mass that its state leaves.
+training tokens. Every context of one or two words that occurs ``LEAST_COUNT`` times is a candidate, and every word is a
+symbol. A candidate is retained if its next-symbol distribution diverges from that of its longest retained suffix: the
+log-likelihood ratio must reach ``LEAST_GAIN`` nats. A state keeps the counts of the next symbols that follow it
+``LEAST_COUNT`` times; what is left of its mass, and ``SMOOTH`` counts more, goes to its suffix's distribution, so every
+state's probabilities sum to one. A token is scored by the state of the longest suffix of the words before it. A context seen
+once can't reach the gain below 7e10 training tokens, so that no state is lost to ``LEAST_COUNT``.
+
+The tree is a distributed table; it grows with the training texts. Words, pairs and triples are told by 64-bit hashes. Map
+tasks sum pairs and triples in blocks and send them packed by bucket; a bucket adds them up. As the logarithm of a token's
+probability is the root's plus one term for each longer context, and these are the state's (the mass it leaves) plus what the
+kept symbol adds, a text's score is a sum of one value for each of its words, pairs and triples. The values of the most
+frequent ones are broadcast (their least shares bound their size); the others meet the texts' keys in buckets, or in a join
+for words.
 
 Defined results: null and empty texts are one end token. Without training texts every token is unknown and has probability 1.
 Rows with a null id belong to fold 0. Rows that repeat an id train and are scored each by itself. Other columns pass through;
@@ -19,25 +22,30 @@ the text doesn't.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, WordHashes, bound_batches, fold, words
+from .common import Scratch, WordHashes, bound_batches, fold, mix, release, rows_of, words
 
 #: Tokens that a map task sums at once.
 BLOCK_TOKENS = 3_000_000
 #: Tokens of this share or more have their counts broadcast: 5,000,000 at most, of 16 bytes each.
 HEAD_SHARE = 2e-7
-#: A word is a symbol of the tree, and a context a candidate, from this share of the tokens; so there are 2,000 of each length at most.
-LEAST_SHARE = 5e-4
-#: A state keeps next symbols from this share of LEAST_SHARE; so there are 200,000 of each length at most.
-LEAST_NEXT = 1e-2
+#: Pairs and triples of this share or more have their values broadcast: 6,000,000 at most, of 16 bytes each.
+HEAD_GRAMS = 5e-7
+#: Tokens whose pairs and triples a map task holds at once, and for which there is one bucket.
+BLOCK_GRAMS = 1_500_000
+BUCKET_TOKENS = 1_000_000
+#: A context is a candidate, and a state keeps a next symbol, from this count.
+LEAST_COUNT = 2
 LEAST_GAIN = 25.0
 SMOOTH = 5.0
 _SYMBOL_BITS = 11
@@ -52,7 +60,7 @@ MADE = T.StructType([
 
 @dataclass(frozen=True)
 class Tree:
-    """Arrays; contexts and symbols are indexes into ``symbols``, -1 being every other token."""
+    """The tree in memory, over 2,000 words at most, which the distributed one is held against. Contexts and symbols are indexes into ``symbols``, -1 being every other token."""
 
     symbols: np.ndarray  # hashes, ascending
     one_left: np.ndarray  # by word: the factor of the root's probability (1 where the word is no state)
@@ -89,6 +97,8 @@ def _summed(texts: DataFrame, keys_of, name: str) -> DataFrame:
                     parts, held = [], 0
         if parts:
             yield from _sums(parts, name)
+        parts = []
+        release()
 
     return texts.mapInArrow(run, f"{name} long, n long").groupBy(name).agg(F.sum("n").alias("n"))
 
@@ -150,7 +160,7 @@ def grow(symbols: np.ndarray, symbol_counts: np.ndarray, keys: np.ndarray, count
     for at in groups(np.flatnonzero(~first)):
         context = int(before[at[0]]) << _SYMBOL_BITS | int(word[at[0]])
         n = pair_count.get(context, 0.0)
-        if n < LEAST_SHARE * total:
+        if n < LEAST_COUNT:
             continue
         found = _find(one_keys, word[at] << _SYMBOL_BITS | symbol[at])
         parent = root[symbol[at]] * one_left[word[at]] + np.where(found >= 0, one_add[found] if len(one_add) else 0.0, 0.0)
@@ -188,6 +198,295 @@ def probabilities(tree: Tree, h: np.ndarray, root: np.ndarray, starts: np.ndarra
     return p
 
 
+# --- the distributed tree --------------------------------------------------------------------------------------------
+
+_PAIR, _TRIPLE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
+#: Rows of a bucket: when counting, triples (kind 3); when scoring, kind 0 are values of keys, kind 1 keys of texts.
+_SENT = "bucket long, kind int, a binary, b binary, c binary, n binary"
+
+
+def _pair(b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return mix(b * _PAIR + c)
+
+
+def _triple(a: np.ndarray, bc: np.ndarray) -> np.ndarray:
+    return mix(bc * _TRIPLE + a)
+
+
+def _pack(x: np.ndarray) -> bytes:
+    return zstandard.compress(x.tobytes(), 1)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Steps between values, in byte planes."""
+    steps = np.diff(x, prepend=x.dtype.type(0))
+    return zstandard.compress(steps.view(np.uint8).reshape(len(x), -1).T.tobytes(), 1)
+
+
+def _flat(x: np.ndarray) -> bytes:
+    """Values of 32 bits in byte planes."""
+    return zstandard.compress(x.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unflat(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
+def _unpack(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), kind)
+
+
+def _unplanes(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(kind).ravel(), dtype=kind)
+
+
+def _slices(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
+    """The buckets of ascending keys."""
+    bucket = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    cuts = [*np.flatnonzero(np.diff(bucket, prepend=bucket[:1] + np.uint64(1))).tolist(), len(keys)]
+    for i, j in zip(cuts, cuts[1:], strict=False):
+        yield int(bucket[i]), slice(i, j)
+
+
+def _rows(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    types = (pa.int64(), pa.int32(), *[pa.binary()] * 4)
+    for i in range(0, len(rows), 64):
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[i : i + 64], strict=True), types, strict=True)], names=["bucket", "kind", "a", "b", "c", "n"])
+
+
+def _grams(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens of several texts, where pairs begin, where triples begin)"""
+    h = np.concatenate(parts)
+    last = np.zeros(len(h), bool)
+    last[np.cumsum([len(p) for p in parts]) - 1] = True
+    two = np.flatnonzero(~last)
+    return h, two, two[~last[two + 1]]
+
+
+def _counted(buckets: int):
+    """Packed sums of a block's triples, by the bucket of their last two words; a text's first pair has 0 before it."""
+
+    def block(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        h, two, _ = _grams(parts)
+        if not len(two):
+            return
+        begins = np.cumsum([0, *(len(p) for p in parts[:-1])])
+        own, ids = np.unique(np.append(h, np.uint64(0)), return_inverse=True)
+        ids = ids.astype(np.uint32)
+        before = np.append(ids[-1:], ids[:-2])
+        before[begins] = ids[-1]
+        pairs = _pair(h[two], h[two + 1])
+        keys = _triple(own[before[two]], pairs)
+        order = np.argsort(keys)
+        first = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]))
+        at, n = order[first], np.diff(np.append(first, len(keys))).astype(np.uint32)
+        keys = order = first = None
+        order = np.argsort(pairs[at])
+        at, n = at[order], n[order]
+        pairs, at, place, out = pairs[at], two[at], np.zeros(len(own), np.uint32), []
+        for bucket, part in _slices(pairs, buckets):
+            here = at[part]
+            order = np.argsort(ids[here].astype(np.uint64) << np.uint64(32) | ids[here + 1])
+            here = here[order]
+            three = (before[here], ids[here], ids[here + 1])
+            used = np.zeros(len(own), bool)  # a bucket gets the words of its triples once, and places in this list
+            for x in three:
+                used[x] = True
+            used = np.flatnonzero(used)
+            place[used] = np.arange(len(used), dtype=np.uint32)
+            out.append((bucket, 3, _planes(own[used]), _flat(np.concatenate([place[x] for x in three])), b"", _flat(n[part][order])))
+        yield from _rows(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, parts, held = WordHashes(), [], 0
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                parts.append(tokens_of(text, known))
+                held += len(parts[-1])
+                if held >= BLOCK_GRAMS:
+                    yield from block(parts)
+                    parts, held = [], 0
+        if parts:
+            yield from block(parts)
+        parts = []
+        release()
+
+    return run
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Buckets arrive whole and in order."""
+    now, held = None, []
+    for batch in batches:
+        for row in rows_of(batch):
+            if row[0] != now and held:
+                yield held
+                held = []
+            now = row[0]
+            held.append(row)
+    if held:
+        yield held
+
+
+def _sum_of(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each key, its sum) of the keys whose sum is LEAST_COUNT or more."""
+    order = np.argsort(keys)
+    first = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]))
+    n = np.add.reduceat(n[order], first)
+    return order[first][n >= LEAST_COUNT], n[n >= LEAST_COUNT]
+
+
+def _bucket_sums(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+    a, b, c = np.concatenate([_unplanes(r[2], np.uint64)[_unflat(r[3]).reshape(3, -1)] for r in held], axis=1)
+    n = np.concatenate([_unflat(r[5]) for r in held]).astype(np.int64)
+    pairs = _pair(b, c)
+    at, sums = _sum_of(pairs, n)
+    found = [(2, (pairs[at], b[at], c[at], sums))]
+    whole = np.flatnonzero(a)
+    if len(whole):
+        a, b, pairs, n = a[whole], b[whole], pairs[whole], n[whole]
+        keys = _triple(a, pairs)
+        at, sums = _sum_of(keys, n)
+        found.append((3, (keys[at], _pair(a[at], b[at]), pairs[at], sums)))
+    for kind, new in found:
+        for i in range(0, len(new[0]), 50_000):
+            part = [pa.array(x[i : i + 50_000].view(np.int64)) for x in new]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), kind, np.int32)), *part], names=["kind", "key", "ctx", "suf", "n"])
+
+
+def _added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, key, ctx, suf, n) of a bucket's pairs and triples that occur LEAST_COUNT times."""
+    for held in _by_bucket(batches):
+        yield from _bucket_sums(held)
+        held = None
+    release()
+
+
+def _states(grams: DataFrame) -> DataFrame:
+    """(key, n, p, gain, ctx, n_ctx, left) of grams (key, ctx, n, n_ctx, pp), pp being the suffix's probability.
+
+    p is the symbol's probability after ctx and gain the log10 that the symbol adds. One row of each state has ctx, n_ctx and
+    left, the log10 of the mass that the state leaves.
+    """
+    of = Window.partitionBy("ctx")
+    share = F.col("n") / F.col("n_ctx") / F.col("pp")
+    sums = grams.withColumns({"_sum": F.sum("n").over(of), "_pp": F.sum("pp").over(of), "_llr": F.sum(F.col("n") * F.log(share)).over(of), "_at": F.row_number().over(of.orderBy("key"))})
+    rest = F.col("n_ctx") - F.col("_sum")
+    llr = F.col("_llr") + F.when(rest > 0, rest * F.log(rest / F.col("n_ctx") / F.greatest(F.lit(1e-12), 1 - F.col("_pp")))).otherwise(0.0)
+    is_state = F.round(llr, 9) >= LEAST_GAIN
+    left = (rest + SMOOTH) / (F.col("n_ctx") + SMOOTH)
+    p = F.col("pp") * left + F.col("n") / (F.col("n_ctx") + SMOOTH)
+    first = is_state & (F.col("_at") == 1)
+    return sums.select(
+        "key", "n", F.when(is_state, p).otherwise(F.col("pp")).alias("p"), F.when(is_state, F.log10(p / F.col("pp") / left)).otherwise(0.0).alias("gain"),
+        F.when(first, F.col("ctx")).alias("ctx"), F.when(first, F.col("n_ctx")).alias("n_ctx"), F.when(first, F.log10(left)).alias("left"),
+    )
+
+
+def _valued(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+            keys, v = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(keys)
+            keys, v = keys[order], v[order]
+            yield from _rows([(bucket, 0, _planes(keys[part]), _pack(v[part]), b"", b"") for bucket, part in _slices(keys, buckets)])
+
+        parts, held = [], 0
+        for b in batches:
+            parts.append((b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()))
+            held += len(b)
+            if held >= BLOCK_GRAMS:
+                yield from block(parts)
+                parts, held = [], 0
+        if held:
+            yield from block(parts)
+
+    return run
+
+
+def _asked(buckets: int, sent, kind: int):
+    """Packed keys of the texts' pairs (kind 2) or triples; those whose values are broadcast are summed at once."""
+
+    def block(parts: list[np.ndarray], ids: list[int]) -> Iterator[pa.RecordBatch]:
+        h, two, three = _grams(parts)
+        row = np.repeat(np.arange(len(parts), dtype=np.uint32), [len(p) for p in parts])
+        at = two if kind == 2 else three
+        keys, row = _pair(h[at + kind - 2], h[at + kind - 1]), row[at]
+        if kind == 3:
+            keys = _triple(h[at], keys)
+        ids = np.array(ids, np.uint64)
+        order = np.argsort(keys)
+        keys, row = keys[order], row[order]
+        head, v = sent.value
+        if len(head):
+            # both ascend, so the few head keys look for themselves in the block
+            a, b = np.searchsorted(keys, head), np.searchsorted(keys, head, "right")
+            sizes = b - a
+            at = np.repeat(a - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            sums = np.bincount(row[at], np.repeat(v, sizes), len(ids))
+            yield from _rows([(-1, 1, _planes(ids), _pack(sums), b"", b"")])
+            tail = np.ones(len(keys), bool)
+            tail[at] = False
+            keys, row = keys[tail], row[tail]
+        yield from _rows([(bucket, 1, _planes(keys[part]), _flat(row[part]), _planes(ids), b"") for bucket, part in _slices(keys, buckets)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, parts, ids, held = WordHashes(), [], [], 0
+        for b in batches:
+            for text, i in rows_of(b):
+                parts.append(tokens_of(text, known))
+                ids.append(i)
+                held += len(parts[-1])
+                if held >= BLOCK_GRAMS:
+                    yield from block(parts, ids)
+                    parts, ids, held = [], [], 0
+        if parts:
+            yield from block(parts, ids)
+        parts = []
+        release()
+
+    return run
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_row, v): sums of the values of a text's keys in a bucket."""
+
+    def out(ids: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        at = np.flatnonzero(sums)
+        return pa.RecordBatch.from_arrays([pa.array(ids[at].view(np.int64)), pa.array(sums[at])], names=["_row", "v"])
+
+    for held in _by_bucket(batches):
+        if held[0][0] < 0:
+            for r in held:
+                yield out(_unplanes(r[2], np.uint64), _unpack(r[3], np.float64))
+            continue
+        values = [r for r in held if r[1] == 0]
+        if not values:
+            continue
+        k, v = np.concatenate([_unplanes(r[2], np.uint64) for r in values]), np.concatenate([_unpack(r[3], np.float64) for r in values])
+        order = np.argsort(k)
+        k, v = k[order], v[order]
+        first = np.flatnonzero(np.diff(k, prepend=~k[:1]))
+        k, v = k[first], np.add.reduceat(v, first)
+        for r in held:
+            if r[1] == 1:
+                found = _find(k, _unplanes(r[2], np.uint64))
+                row, ids = _unflat(r[3])[found >= 0], _unplanes(r[4], np.uint64)
+                yield out(ids, np.bincount(row, v[found[found >= 0]], len(ids)))
+    release()
+
+
+def _forget(spark: SparkSession) -> None:
+    """Let Spark remove the shuffles of what has been saved."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _bucketed(sent: DataFrame, buckets: int) -> DataFrame:
+    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+
+
 def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
     """``docs`` (text, ...) without text, with n_tokens, n_known, train_tokens, base_score and score; learnt from ``training``.
 
@@ -199,22 +498,39 @@ def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
     texts = training.select("text")
     counts = scratch.save(_summed(texts, lambda t, known: ((h := tokens_of(t, known)), len(h)), "h"), "counts")
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_TOKENS)
+    grams = scratch.save(_bucketed(texts.mapInArrow(_counted(buckets), _SENT), buckets).mapInArrow(_added_up, "kind int, key long, ctx long, suf long, n long"), "grams")
+    _forget(spark)
+    often = counts.where(F.col("n") >= LEAST_COUNT)
+    root = often.select(F.col("h").alias("suf"), ((F.col("n") + 1) / F.lit(total + kinds + 1)).alias("pp"))
+    two = scratch.save(_states(grams.where("kind = 2").join(root, "suf").join(often.select(F.col("h").alias("ctx"), F.col("n").alias("n_ctx")), "ctx")), "pairs")
+    _forget(spark)
+    three = scratch.save(_states(
+        grams.where("kind = 3").join(two.select(F.col("key").alias("suf"), F.col("p").alias("pp")), "suf").join(two.select(F.col("key").alias("ctx"), F.col("n").alias("n_ctx")), "ctx")
+    ).drop("p"), "triples")
+    left = two.where("left IS NOT NULL").select(F.col("ctx").alias("h"), "left")
+    tokens = scratch.save(counts.join(left, "h", "left").select("h", "n", F.coalesce("left", F.lit(0.0)).alias("left")), "tokens")
+    values = scratch.save(
+        two.where("gain != 0").select(F.lit(2).alias("kind"), "key", F.col("gain").alias("v"), "n")
+        .union(three.where("gain != 0").select(F.lit(3), "key", "gain", "n"))
+        .union(three.where("left IS NOT NULL").select(F.lit(2), "ctx", "left", "n_ctx")), "values"
+    )
+    for name in ("counts", "grams", "pairs", "triples"):
+        scratch.drop(name)
+    _forget(spark)
     least = max(1.0, HEAD_SHARE * total)
-    head = counts.where(F.col("n") >= least).toArrow()
-    head_h, head_n = head.column("h").to_numpy().view(np.uint64), head.column("n").to_numpy()
+    head = tokens.where(F.col("n") >= least).orderBy("n").toArrow()
+    head_h, head_n, head_left = head.column("h").to_numpy().view(np.uint64), head.column("n").to_numpy(), head.column("left").to_numpy()
     order = np.argsort(head_h)
-    head_h, head_n = head_h[order], head_n[order]
-    frequent = head_n >= max(2, LEAST_SHARE * total)
-    symbols, symbol_counts = head_h[frequent], head_n[frequent]
-    nexts = _summed(texts, _contexts(symbols), "key").where(F.col("n") >= max(2.0, LEAST_NEXT * LEAST_SHARE * total)).toArrow()
-    tree = grow(symbols, symbol_counts, nexts.column("key").to_numpy(), nexts.column("n").to_numpy(), total, kinds)
-    sent = spark.sparkContext.broadcast((head_h, head_n, tree))
+    sent = spark.sparkContext.broadcast((head_h[order], head_n[order], head_left[order]))
+    least_gram = max(1.0, HEAD_GRAMS * total)
+    least_gram = max(1.0, HEAD_GRAMS * total)
     least_p = np.log10(total + kinds + 1)
     kept = docs.drop(*MADE.names, "text")
-    names = kept.columns
+    names = ["_row", *kept.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head_h, head_n, tree = sent.value
+        head_h, head_n, head_left = sent.value
         known = WordHashes()
         for b in batches:
             if not len(b):
@@ -227,23 +543,39 @@ def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
             found = _find(head_h, kinds_here)[at]
             is_head = found >= 0
             log_root = np.where(is_head, np.log10((head_n[found] if len(head_n) else np.zeros(len(h))) + 1.0) - least_p, 0.0)
-            p = probabilities(tree, h, np.where(is_head, 10.0**log_root, 1.0), starts)
+            log_left = np.where(is_head, head_left[found] if len(head_n) else 0.0, 0.0)
             add = lambda x: np.add.reduceat(x, starts)
             tails = np.split(h[~is_head].view(np.int64), np.cumsum(add((~is_head).astype(np.int64)))[:-1])
-            new = [pa.array(sizes, pa.int64()), pa.array(add(is_head.astype(np.int64))), pa.array(add(log_root)), pa.array(add(np.log10(p))), pa.array(tails, pa.list_(pa.int64()))]
+            new = [pa.array(sizes, pa.int64()), pa.array(add(is_head.astype(np.int64))), pa.array(add(log_root)), pa.array(add(log_root + log_left)), pa.array(tails, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *new], names=[*names, "n_tokens", "_known", "_base", "_score", "_tail"])
 
-    parts = T.StructType([*kept.schema, T.StructField("n_tokens", T.LongType()), T.StructField("_known", T.LongType()), T.StructField("_base", T.DoubleType()), T.StructField("_score", T.DoubleType()), T.StructField("_tail", T.ArrayType(T.LongType()))])
-    rows = scratch.save(docs.select("text", *kept.columns).mapInArrow(run, parts).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    # the rows get their numbers once, so that all that is summed for them agrees
+    numbered = scratch.save(docs.select("text", F.monotonically_increasing_id().alias("_row"), *kept.columns), "docs")
+    parts = T.StructType([T.StructField("_row", T.LongType()), *kept.schema, T.StructField("n_tokens", T.LongType()), T.StructField("_known", T.LongType()), T.StructField("_base", T.DoubleType()), T.StructField("_score", T.DoubleType()), T.StructField("_tail", T.ArrayType(T.LongType()))])
+    rows = scratch.save(numbered.mapInArrow(run, parts), "rows")
     n = F.coalesce("n", F.lit(0))
     tail = (
-        rows.select("_row", F.explode("_tail").alias("h")).join(counts.where(F.col("n") < least), "h", "left")
-        .groupBy("_row").agg(F.sum(F.log10(n + 1.0) - F.lit(float(least_p))).alias("_rest"), F.sum((n > 0).cast("long")).alias("_more"))
+        rows.select("_row", F.explode("_tail").alias("h")).join(tokens.where(F.col("n") < least), "h", "left")
+        .groupBy("_row").agg(F.sum(F.log10(n + 1.0) - F.lit(float(least_p))).alias("_rest"), F.sum(F.coalesce("left", F.lit(0.0))).alias("_left"), F.sum((n > 0).cast("long")).alias("_more"))
     )
-    rest = F.coalesce("_rest", F.lit(0.0))
-    return rows.drop("_tail").join(tail, "_row", "left").select(
+    longer = []
+    for kind in (2, 3):
+        of = values.where(F.col("kind") == kind)
+        head = of.where(F.col("n") >= least_gram).toArrow()
+        keys, at = np.unique(head.column("key").to_numpy().view(np.uint64), return_inverse=True)
+        sent_grams = spark.sparkContext.broadcast((keys, np.bincount(at, head.column("v").to_numpy(), len(keys))))
+        asked = numbered.select("text", "_row").mapInArrow(_asked(buckets, sent_grams, kind), _SENT)
+        packed = of.where(F.col("n") < least_gram).select("key", "v").mapInArrow(_valued(buckets), _SENT)
+        longer.append(scratch.save(_bucketed(asked.union(packed), buckets).mapInArrow(_answered, "_row long, v double").groupBy("_row").agg(F.sum("v").alias("v")), f"sums-{kind}"))
+        del of, asked, packed
+        _forget(spark)
+    scratch.drop("docs")
+    scratch.drop("values")
+    more = longer[0].union(longer[1]).groupBy("_row").agg(F.sum("v").alias("_longer"))
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    return rows.drop("_tail").join(tail, "_row", "left").join(more, "_row", "left").select(
         *kept.columns, "n_tokens", (F.col("_known") + F.coalesce("_more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("_base") + rest).alias("base_score"), (F.col("_score") + rest).alias("score"),
+        (F.col("_base") + zero("_rest")).alias("base_score"), (F.col("_score") + zero("_rest") + zero("_left") + zero("_longer")).alias("score"),
     )
 
 

@@ -395,6 +395,39 @@ def test_language_model_on_odd_rows(spark):
     assert language_model.score_texts(empty(spark), docs).isEmpty() and language_model.score_texts(empty(spark), empty(spark)).isEmpty()
 
 
+def test_every_word_and_context_enters_the_tree(spark, monkeypatch):
+    """Against the tree in memory; many words, and nearly all pairs, have less than a share of 5e-4."""
+    rng = random.Random(12)
+    follow = {a: rng.sample(range(1900), 2) for a in range(1900)}
+    texts = []
+    for i in range(420):
+        w = [rng.randrange(1900)]
+        while len(w) < 1200:
+            w.append(follow[w[-1]][sum(w[-2:]) % 2] if rng.random() < 0.9 else rng.randrange(1900))
+        texts.append((i, " ".join(f"v{x}" for x in w)))
+    docs = spark.createDataFrame([*texts, (1000, None), (1001, "v1"), (1002, "v1 never v2 v3")], "doc_id long, text string")
+    training = docs.where("doc_id < 400")
+    known = WordHashes()
+    parts = [language_model.tokens_of(t, known) for i, t in texts if i < 400]
+    h, n = np.unique(np.concatenate(parts), return_counts=True)
+    total, kinds = int(n.sum()), len(h)
+    assert (n < 5e-4 * total).sum() > 500
+    k, kn = np.unique(np.concatenate([language_model._contexts(h)(t, known)[0] for i, t in texts if i < 400]), return_counts=True)
+    tree = language_model.grow(h, n, k[kn >= 2], kn[kn >= 2], total, kinds)
+    assert len(tree.two_contexts) and (tree.one_left < 1).sum() > 1000
+    want = {}
+    for i, t in [(r.doc_id, r.text) for r in docs.collect()]:
+        x = language_model.tokens_of(t, known)
+        at = language_model._find(h, x)
+        root = (np.where(at >= 0, n[at], 0) + 1) / (total + kinds + 1)
+        want[i] = round(float(np.log10(language_model.probabilities(tree, x, root, np.array([0]))).sum()), 6)
+    for share, block in ((2e-6, 2_000_000), (2e-4, 30_000)):  # all values broadcast, and few of them; one block and several
+        monkeypatch.setattr(language_model, "HEAD_SHARE", share)
+        monkeypatch.setattr(language_model, "HEAD_GRAMS", share)
+        monkeypatch.setattr(language_model, "BLOCK_GRAMS", block)
+        assert {r.doc_id: round(r.score, 6) for r in language_model.score_texts(docs, training).collect()} == want
+
+
 # --- whole queries ---------------------------------------------------------------------------------------------------
 
 
