@@ -110,7 +110,7 @@ def step(turns: DataFrame, budget: Budget = Budget()) -> DataFrame:
     over = totals(turns, budget)
     cut = truncate(turns, budget)
     held = context(cut, budget.tokens).groupBy("conv_id").agg(F.sum("token_count").alias("held"), F.count("*").alias("n"))
-    summary = cut.where("is_summary").select("conv_id", F.substring("text", len(SUMMARY_HEAD) + 1, 1_000_000).alias("summary"))
+    summary = cut.where("is_summary").select("conv_id", F.expr(f"substring(text, {len(SUMMARY_HEAD) + 1})").alias("summary"))
     size = turns.groupBy("conv_id").agg(F.count("*").alias("all"))
     joined = over.join(held, "conv_id", "left").join(summary, "conv_id", "left").join(size, "conv_id")
     return joined.select("conv_id", F.col("over").alias("truncated"), F.when(F.col("over"), F.coalesce("held", F.lit(0))).otherwise(F.col("total_tokens")).alias("total_tokens"), F.when(F.col("over"), F.coalesce("n", F.lit(0))).otherwise(F.col("all")).alias("n_turns"), "summary")

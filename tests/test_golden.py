@@ -161,6 +161,13 @@ def test_memory(spark):
     assert [r.turn for r in memory.context(turns, 10).orderBy("turn").collect()] == [0, 2]
 
 
+def test_a_long_summary_stays_whole(spark):
+    turns = spark.createDataFrame([(1, i, "user", "w", 9_000, False) for i in range(6)], "conv_id int, turn int, role string, text string, token_count long, is_summary boolean")
+    turns = turns.withColumn("text", F.when(F.col("turn") == 0, F.expr("repeat('abcdefghi ', 550000)")).otherwise(F.col("text")))
+    [row] = memory.step(turns).select(F.length("summary").alias("n"), F.substring("summary", -11, 11).alias("end")).collect()
+    assert row.n > 1_000_000 and row.end == "compressed]"
+
+
 def test_boxes(spark):
     a, b = (F.struct(*(F.lit(float(v)).alias(n) for n, v in zip(("x1", "y1", "x2", "y2"), c))) for c in ((0, 0, 10, 10), (5, 5, 15, 15)))
     assert round(value(spark, geometry.iou(a, b)), 4) == round(value(spark, geometry.iou(b, a)), 4) == 0.1429 and value(spark, geometry.contains(a, b)) is False
