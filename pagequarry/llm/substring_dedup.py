@@ -2,7 +2,7 @@
 
 Every window of ``k`` consecutive words gets a Rabin-Karp hash. A map task works through its documents in blocks of a few
 million windows. Inside a block all but the smallest document of a hash are already known to repeat, so a block sends one
-entry per distinct hash (hash, document, position), packed by bucket; a hash that a third of all documents hold costs one
+entry per distinct hash (hash, document, position), packed by bucket, and one for each other text of that document; a hash that a third of all documents hold costs one
 entry per block and not one per document. A bucket counts its hashes and finds the smallest document of each; the windows of
 larger documents are marked. The marks return to the documents, where the marked windows merge into maximal removal
 intervals.
@@ -107,8 +107,12 @@ def _block(docs: list[tuple], buckets: int, groups: int) -> Iterator[pa.RecordBa
     marked[order] = keys[row[order], 0] > smallest
     at = np.flatnonzero(marked)
     out = [(-1 - g, None, d, s) for g, d, s in _by_group(keys, row[at], start[at], groups)]
+    text_key = keys[row[order], 1]
+    new = np.ones(len(h), bool)
+    new[1:] = text_key[1:] != text_key[:-1]
+    new[first] = True
     leads = np.zeros(len(h), bool)
-    leads[order[first]] = True
+    leads[order] = new & ~marked[order]  # the smallest document's first place in each of its texts
     entries = np.flatnonzero(leads)
     by = entries[np.argsort(bucket[entries].astype(np.uint16) if buckets < 65536 else bucket[entries], kind="stable")]
     for part in np.split(by, _runs(bucket[by])[1:]):

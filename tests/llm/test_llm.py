@@ -315,6 +315,16 @@ def test_substring_dedup_matches_brute_force(spark, monkeypatch):
         assert sum(r.n_removed for r in got) == sum(b - a for r in got for a, b in r.removed) and all(r.other == "o" for r in got)
 
 
+def test_rows_of_one_id_in_a_block_are_each_cut(spark, tmp_path, monkeypatch):
+    rng = random.Random(14)
+    shared = prose(rng, 20)
+    rows = [(7, "one " + shared), (7, shared + " other"), (7, shared + " other"), (3, shared + " small")]
+    monkeypatch.setattr(substring_dedup, "BLOCK_WINDOWS", 24)  # the first three rows are a block, the last one is another
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "rows"))
+    got = substring_dedup.substring_dedup(spark.read.parquet(str(tmp_path / "rows")).coalesce(1), 13).collect()
+    assert sorted((r.doc_id, " ".join(r.clean_text.split())) for r in got) == sorted((i, " ".join(w)) for i, w in brute_cut(rows, 13))
+
+
 def test_substring_dedup_on_odd_rows(spark):
     rows = substring_dedup.substring_dedup(odd_docs(spark)).collect()
     by = {}
