@@ -162,12 +162,13 @@ def _across(percent: int):
         block, rep, n, component, largest = (np.array([r[i] for r in rows], np.int64) for i in range(3, 8))
         bands = np.frombuffer(b"".join(r[8] for r in rows), np.int64).reshape(-1, BANDS)
         prints = np.frombuffer(b"".join(r[9] for r in rows), np.uint8).reshape(-1, BINS)
+        whole = np.array([r[10] is not None for r in rows])
         for x in np.flatnonzero(component != largest):
             fits = (component != component[x]) & ((component == largest) | (component > component[x])) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x]))
             if one != two:
                 fits &= block != block[x]
             at = np.flatnonzero(fits)
-            at = at[(prints[at] == prints[x]).mean(1) >= least]
+            at = at[whole[at] & whole[x] | ((prints[at] == prints[x]).mean(1) >= least)]  # whole sets need no estimate
             at = at[bands[x][(bands[at] == bands[x]).argmax(1)] == bucket]  # the first bucket that both are in
             at = [i for i in at.tolist() if may_link(rows[x][10], rows[i][10], n[x], n[i])]
             if at:

@@ -11,6 +11,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -125,6 +126,20 @@ def test_split_buckets_are_compared(spark):
     assert got == brute_classes(texts, 4, 80)
 
 
+def test_whole_sets_are_compared_whatever_their_signatures_estimate():
+    bands = np.zeros(near_dedup.BANDS, np.int64).tobytes()
+    sets = [np.arange(x, x + 100, dtype=np.uint32).tobytes() for x in (0, 5, 60)]
+    row = lambda i, estimate, whole: (0, 0, 0, 0, i, 100, i, 1, bands, bytes([estimate]) * near_dedup.BINS, whole)
+
+    def found(rows):
+        names = ["bucket", "one", "two", "block", "rep", "n", "component", "largest", "bands", "print", "whole"]
+        batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=names)
+        return [(a, b) for out in near_dedup._across(80)(iter([batch])) for a, b in near_dedup.rows_of(out)]
+
+    assert found([row(1, 1, sets[0]), row(2, 2, sets[1]), row(3, 1, sets[2])]) == [(2, 1)]
+    assert found([row(1, 1, None), row(2, 2, sets[1])]) == []
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5)], "a long, b long")
     got = {r.node: r.component for r in components.components(edges, Scratch(spark, "t"), "c").collect()}
