@@ -6,13 +6,13 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch. Texts may be long, so that a batch of the default 10,000 rows could exceed a worker's memory.
@@ -65,6 +65,34 @@ def fold(column: str, parts: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % parts
 
 
+# --- columns ---------------------------------------------------------------------------------------------------------
+
+
+def named(column: str) -> Column:
+    """A column by its exact name, whatever characters that has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def fresh(df: DataFrame, wanted: str) -> str:
+    """``wanted``, or the next name like it that no column of ``df`` has in any case."""
+    taken, name, n = {c.lower() for c in df.columns}, wanted, 0
+    while name.lower() in taken:
+        name, n = f"{wanted}_{n}", n + 1
+    return name
+
+
+def nested(df: DataFrame, left_out: Iterable[str] = ()) -> tuple[Column, list[str]]:
+    """All columns but ``left_out`` as one struct, under whose roof no name can clash, and their names."""
+    out = {c.lower() for c in left_out}
+    kept = [c for c in df.columns if c.lower() not in out]
+    return F.struct(*map(named, kept)) if kept else F.struct(F.lit(None).cast("int").alias("nothing")), kept
+
+
+def unnested(kept: list[str], own: str = "own") -> list[Column]:
+    """The columns of ``nested`` again."""
+    return [F.col(own).getField(c).alias(c) for c in kept]
+
+
 # --- words -----------------------------------------------------------------------------------------------------------
 
 #: Lower-cases A-Z and nothing else, in UTF-8 bytes.

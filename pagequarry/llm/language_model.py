@@ -1,583 +1,414 @@
 """Scoring by a probabilistic suffix tree over words.
 
 Tokens are a text's words (A-Z in lower case) and one end. The root of the tree is the add-one unigram distribution over all
-training tokens. Every context of one or two words that occurs ``LEAST_COUNT`` times is a candidate, and every word is a
-symbol. A candidate is retained if its next-symbol distribution diverges from that of its longest retained suffix: the
-log-likelihood ratio must reach ``LEAST_GAIN`` nats. A state keeps the counts of the next symbols that follow it
-``LEAST_COUNT`` times; what is left of its mass, and ``SMOOTH`` counts more, goes to its suffix's distribution, so every
-state's probabilities sum to one. A token is scored by the state of the longest suffix of the words before it. A context seen
-once can't reach the gain below 7e10 training tokens, so that no state is lost to ``LEAST_COUNT``.
-
-The tree is a distributed table; it grows with the training texts. Words, pairs and triples are told by 64-bit hashes. Map
-tasks sum pairs and triples in blocks and send them packed by bucket; a bucket adds them up. As the logarithm of a token's
-probability is the root's plus one term for each longer context, and these are the state's (the mass it leaves) plus what the
-kept symbol adds, a text's score is a sum of one value for each of its words, pairs and triples. The values of the most
-frequent ones are broadcast (their least shares bound their size); the others meet the texts' keys in buckets, or in a join
-for words.
+training tokens. Every context of one to ``depth`` words that training texts hold ``LEAST_COUNT`` times or more is a candidate,
+and every word is a symbol. A candidate is retained as a state if its next-symbol distribution diverges from that of its
+longest retained suffix: the log-likelihood ratio over all its continuations must reach ``LEAST_GAIN`` nats. A state's
+distribution is its counts smoothed by ``SMOOTH`` counts of its suffix's distribution, so every state's probabilities sum to
+one. A token is scored by the state of the longest suffix of the words before it.
+
+The tree grows level by level and is never held in one place. Texts are tokenised once, into blocks of about ``BLOCK_TOKENS``
+tokens (a text is never split) with a dictionary of their words. For each level a block asks, packed by bucket, for the
+continuations of those of its contexts that are frequent enough; whatever isn't has no longer context either. A bucket adds up
+what all blocks sent for a context, tests it, and answers every block with the counts and the verdicts. A block sends each
+distinct continuation once with its count, so repeated passages cost one entry a block. A context of ``hot`` occurrences or more
+is dealt out by continuation; its sums come together in an aggregation, and the verdicts of these contexts are broadcast (there
+are at most 1 / ``HOT_SHARE`` of them, 16 bytes each). So no task reads more of a context than its share, and what is gathered
+follows the input. Words and contexts are told by 64-bit hashes, continuations of a context by 48 bits of theirs.
 
 Defined results: null and empty texts are one end token. Without training texts every token is unknown and has probability 1.
-Rows with a null id belong to fold 0. Rows that repeat an id train and are scored each by itself. Other columns pass through;
-the text doesn't.
+A row whose ``teaches`` is null teaches nothing. Rows that repeat an id, and equal texts, teach and are scored each by itself.
+A text of any length is one piece of a block. Other columns pass through, whatever their names; the text doesn't, and columns
+named like the made ones are replaced.
 """
 
 from __future__ import annotations
 
 import gc
+import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, WordHashes, bound_batches, fold, mix, release, rows_of, words
-
-#: Tokens that a map task sums at once.
-BLOCK_TOKENS = 3_000_000
-#: Tokens of this share or more have their counts broadcast: 5,000,000 at most, of 16 bytes each.
-HEAD_SHARE = 2e-7
-#: Pairs and triples of this share or more have their values broadcast: 6,000,000 at most, of 16 bytes each.
-HEAD_GRAMS = 5e-7
-#: Tokens whose pairs and triples a map task holds at once, and for which there is one bucket.
-BLOCK_GRAMS = 1_500_000
-BUCKET_TOKENS = 1_000_000
-#: A context is a candidate, and a state keeps a next symbol, from this count.
-LEAST_COUNT = 2
+from .common import Scratch, WordHashes, bound_batches, fold, mix, nested, release, rows_of, unnested, words
+
+#: Words of the longest context, and how often a context must be seen.
+DEPTH = 5
+LEAST_COUNT = 4
 LEAST_GAIN = 25.0
 SMOOTH = 5.0
-_SYMBOL_BITS = 11
+#: Tokens that a map task holds at once, and asked continuations for which there is one bucket.
+BLOCK_TOKENS = 1_500_000
+BUCKET_ENTRIES = 1_500_000
+#: A context is hot from this count, and from this share of all training tokens.
+HOT_LEAST, HOT_SHARE = 1_000_000, 1e-6
 _END = b"\n"
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_TOLD = np.uint64(~0xFFFF & (1 << 64) - 1)
 
 MADE = T.StructType([
     *(T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")),
     T.StructField("base_score", T.DoubleType()),
     T.StructField("score", T.DoubleType()),
 ])
-
-
-@dataclass(frozen=True)
-class Tree:
-    """The tree in memory, over 2,000 words at most, which the distributed one is held against. Contexts and symbols are indexes into ``symbols``, -1 being every other token."""
-
-    symbols: np.ndarray  # hashes, ascending
-    one_left: np.ndarray  # by word: the factor of the root's probability (1 where the word is no state)
-    one_keys: np.ndarray  # (context, symbol), ascending
-    one_add: np.ndarray
-    two_contexts: np.ndarray  # (word before, word), ascending
-    two_left: np.ndarray
-    two_keys: np.ndarray  # (index of the context, symbol), ascending
-    two_add: np.ndarray
+#: What blocks and buckets send one another. A block's state has no bucket.
+_MAIL = "block long, bucket long, payload binary, tokens long, kinds long"
+_MAIL_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("payload", pa.binary()), ("tokens", pa.int64()), ("kinds", pa.int64())])
 
 
 def tokens_of(text: str | None, known: WordHashes) -> np.ndarray:
     return known.of([*words(text, lower=True), _END])
 
 
-def _sums(parts: list[np.ndarray], name: str) -> Iterator[pa.RecordBatch]:
-    keys, n = np.unique(np.concatenate(parts), return_counts=True)
-    for i in range(0, len(keys), 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 50_000].view(np.int64)), pa.array(n[i : i + 50_000].astype(np.int64))], names=[name, "n"])
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays in byte planes, compressed together."""
+    flat = [(a.dtype.str, a.view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b"") for a in map(np.ascontiguousarray, arrays)]
+    return zstandard.compress(pickle.dumps(flat), 1)
 
 
-def _summed(texts: DataFrame, keys_of, name: str) -> DataFrame:
-    """(name, n) of all keys that ``keys_of`` gives for the texts."""
+def _unpack(data: bytes) -> list[np.ndarray]:
+    out = []
+    for kind, planes in pickle.loads(zstandard.decompress(data)):
+        bytes_of = np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+        out.append(np.ascontiguousarray(bytes_of.T).view(kind).ravel())
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, parts, held = WordHashes(), [], 0
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                keys, size = keys_of(text, known)
-                parts.append(keys)
-                held += size
-                if held >= BLOCK_TOKENS:
-                    yield from _sums(parts, name)
-                    parts, held = [], 0
-        if parts:
-            yield from _sums(parts, name)
-        parts = []
-        release()
 
-    return texts.mapInArrow(run, f"{name} long, n long").groupBy(name).agg(F.sum("n").alias("n"))
+def _small(n: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits where they fit."""
+    return n.astype(np.uint32 if not len(n) or n.max() < 1 << 32 else np.uint64)
 
 
-def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Where ``wanted`` stand in the ascending ``keys``, or -1."""
-    if not len(keys):
-        return np.full(len(wanted), -1)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1)
+def _mail(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, bucket, payload, tokens, kinds) as small batches."""
+    for i in range(0, len(rows), 64):
+        columns = zip(zip(*rows[i : i + 64], strict=True), _MAIL_ARROW.types, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], schema=_MAIL_ARROW)
 
 
-def _contexts(symbols: np.ndarray):
-    """Keys of (word before or none, word, symbol) where all are symbols."""
+def _groups(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[list[tuple]]:
+    """Groups arrive whole and one after the other."""
+    now, held = None, []
+    for batch in batches:
+        for row in rows_of(batch):
+            if row[key] != now and held:
+                yield held
+                held = []
+            now = row[key]
+            held.append(row)
+    if held:
+        yield held
 
-    def keys_of(text: str | None, known: WordHashes) -> tuple[np.ndarray, int]:
-        h = tokens_of(text, known)
-        s = _find(symbols, h)
-        one = np.flatnonzero((s[:-1] >= 0) & (s[1:] >= 0))
-        pairs = s[one] << _SYMBOL_BITS | s[one + 1]
-        two = np.flatnonzero((s[:-2] >= 0) & (s[1:-1] >= 0) & (s[2:] >= 0))
-        triples = (s[two] + 1) << 2 * _SYMBOL_BITS | s[two + 1] << _SYMBOL_BITS | s[two + 2]
-        return np.concatenate([pairs, triples]), len(h)
 
-    return keys_of
+def _slices(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
+    """The buckets of ascending keys."""
+    bucket = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    cuts = [*np.flatnonzero(np.diff(bucket, prepend=bucket[:1] + np.uint64(1))).tolist(), len(keys)]
+    for i, j in zip(cuts, cuts[1:], strict=False):
+        yield int(bucket[i]), slice(i, j)
 
 
-def _gain(counts: np.ndarray, total: float, parent: np.ndarray) -> float:
-    """Log-likelihood ratio of a context's distribution against its parent's, what isn't kept taken as one symbol."""
-    rest, parent_rest = total - counts.sum(), max(1e-12, 1 - parent.sum())
-    out = float((counts * np.log(counts / total / parent)).sum())
-    return out + (rest * np.log(rest / total / parent_rest) if rest > 0 else 0.0)
+def _firsts(ascending: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    new = np.ones(len(ascending), bool)
+    new[1:] = ascending[1:] != ascending[:-1]
+    return np.flatnonzero(new)
 
 
-def grow(symbols: np.ndarray, symbol_counts: np.ndarray, keys: np.ndarray, counts: np.ndarray, total: int, kinds: int) -> Tree:
-    """The tree from the counts of contexts and next symbols; ``symbols`` ascend and ``keys`` are those of ``_contexts``."""
-    mask = (1 << _SYMBOL_BITS) - 1
-    root = (symbol_counts + 1) / (total + kinds + 1)
+def _total(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a place of each distinct key, its sum, which distinct key each entry has)"""
     order = np.argsort(keys)
-    keys, counts = keys[order], counts[order].astype(float)
-    before, word, symbol = (keys >> 2 * _SYMBOL_BITS) - 1, keys >> _SYMBOL_BITS & mask, keys & mask
-    one_left, one_total = np.ones(len(symbols)), symbol_counts.astype(float)
-    first = before < 0
-    one_keys, one_add = [], []
-    pair_count = dict(zip((keys[first]).tolist(), counts[first].tolist(), strict=True))
-
-    def groups(at: np.ndarray) -> list[np.ndarray]:
-        return np.split(at, np.flatnonzero(np.diff(keys[at] >> _SYMBOL_BITS)) + 1) if len(at) else []
-
-    for at in groups(np.flatnonzero(first)):
-        w = int(word[at[0]])
-        if _gain(counts[at], one_total[w], root[symbol[at]]) >= LEAST_GAIN:
-            one_left[w] = (one_total[w] - counts[at].sum() + SMOOTH) / (one_total[w] + SMOOTH)
-            one_keys.append(keys[at])
-            one_add.append(counts[at] / (one_total[w] + SMOOTH))
-    one_keys = np.concatenate(one_keys) if one_keys else np.empty(0, np.int64)
-    one_add = np.concatenate(one_add) if one_add else np.empty(0)
-    two_contexts, two_left, two_keys, two_add = [], [], [], []
-    for at in groups(np.flatnonzero(~first)):
-        context = int(before[at[0]]) << _SYMBOL_BITS | int(word[at[0]])
-        n = pair_count.get(context, 0.0)
-        if n < LEAST_COUNT:
-            continue
-        found = _find(one_keys, word[at] << _SYMBOL_BITS | symbol[at])
-        parent = root[symbol[at]] * one_left[word[at]] + np.where(found >= 0, one_add[found] if len(one_add) else 0.0, 0.0)
-        if _gain(counts[at], n, parent) >= LEAST_GAIN:
-            two_keys.append(len(two_contexts) << _SYMBOL_BITS | symbol[at])
-            two_contexts.append(context)
-            two_left.append((n - counts[at].sum() + SMOOTH) / (n + SMOOTH))
-            two_add.append(counts[at] / (n + SMOOTH))
-    join = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
-    return Tree(symbols, one_left, one_keys, one_add, np.array(two_contexts, np.int64), np.array(two_left), join(two_keys, np.int64), join(two_add, float))
-
-
-def probabilities(tree: Tree, h: np.ndarray, root: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Of each token, given the root's probabilities; ``starts`` are the first tokens of texts."""
-    s = _find(tree.symbols, h)
-    before = np.concatenate([[-1], s[:-1]])
-    before[starts] = -1
-    before2 = np.concatenate([[-1, -1], s[:-2]])[: len(s)]
-    before2[starts] = -1
-    before2[starts[starts + 1 < len(s)] + 1] = -1
-    p = root.copy()
-    at = np.flatnonzero(before >= 0)
-    p[at] *= tree.one_left[before[at]]
-    at = at[s[at] >= 0]
-    found = _find(tree.one_keys, before[at] << _SYMBOL_BITS | s[at])
-    p[at[found >= 0]] += tree.one_add[found[found >= 0]]
-    at = np.flatnonzero((before >= 0) & (before2 >= 0))
-    context = _find(tree.two_contexts, before2[at] << _SYMBOL_BITS | before[at])
-    at, context = at[context >= 0], context[context >= 0]
-    p[at] *= tree.two_left[context]
-    known = s[at] >= 0
-    at, context = at[known], context[known]
-    found = _find(tree.two_keys, context << _SYMBOL_BITS | s[at])
-    p[at[found >= 0]] += tree.two_add[found[found >= 0]]
-    return p
-
-
-# --- the distributed tree --------------------------------------------------------------------------------------------
-
-_PAIR, _TRIPLE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
-#: Rows of a bucket: when counting, triples (kind 3); when scoring, kind 0 are values of keys, kind 1 keys of texts.
-_SENT = "bucket long, kind int, a binary, b binary, c binary, n binary"
-
-
-def _pair(b: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return mix(b * _PAIR + c)
-
-
-def _triple(a: np.ndarray, bc: np.ndarray) -> np.ndarray:
-    return mix(bc * _TRIPLE + a)
+    first = _firsts(keys[order])
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
+    return order[first], np.bincount(which, n, len(first)).astype(np.int64) if len(keys) else n, which
+
+
+# --- blocks ----------------------------------------------------------------------------------------------------------
+
+
+class _Block:
+    """A block's tokens and what is known of them: arrays over its tokens, one after the other, text after text."""
+
+    def __init__(self, payload: bytes):
+        self.kept = _unpack(payload)
+        self.own, self.totals, ids, self.sizes, teaches = self.kept[:5]
+        self.levels = [self.kept[i : i + 2] for i in range(5, len(self.kept), 2)]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.h = self.own[ids]
+        self.place = np.arange(len(ids)) - np.repeat(self.starts, self.sizes)
+        self.teaches = np.repeat(teaches, self.sizes)
+        self.count = self.totals[ids].astype(np.int64) if len(self.totals) else None  # of the words that end at a token
+
+    def follow(self, total: int, kinds: int) -> None:
+        """Go up all known levels: probabilities, counts and keys of what ends at each token."""
+        self.p = (self.count + 1.0) / (total + kinds + 1)
+        self.root = self.p.copy()
+        self.n, self.key = self.count, self.h
+        for found, verdicts in self.levels:
+            self.step(found, np.unpackbits(verdicts, count=len(found)).astype(bool))
+
+    def step(self, found: np.ndarray, state: np.ndarray) -> None:
+        """One level further: counts of the asked continuations, and whether their contexts are states."""
+        at, n_context, gram, _ = self.asked()
+        n = found.astype(np.int64)
+        self.p[at[state]] = (n[state] + SMOOTH * self.p[at[state]]) / (n_context[state] + SMOOTH)
+        self.n, self.key = np.zeros(len(self.h), np.int64), np.zeros(len(self.h), np.uint64)
+        self.n[at], self.key[at] = n, gram
+        self.place = self.place - 1
+
+    def candidates(self) -> np.ndarray:
+        """Tokens whose context is a candidate of the next level."""
+        at = np.flatnonzero(self.place >= 1)
+        return at[self.n[at - 1] >= LEAST_COUNT]
+
+    def asked(self) -> tuple[np.ndarray, ...]:
+        """(candidates, counts of their contexts, keys of the continuations, keys of the contexts)"""
+        at = self.candidates()
+        context = self.key[at - 1]
+        return at, self.n[at - 1], mix(context * _STEP + self.h[at]), context
+
+    def entries(self, hot: int) -> tuple[np.ndarray, ...]:
+        """(candidates, entry of each; then by entry, in the order of sending: a candidate, route, context, its count, key)"""
+        at, n_context, gram, context = self.asked()
+        order = np.argsort(gram)
+        first = _firsts(gram[order])
+        which = np.empty(len(at), np.int64)
+        which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(at))))
+        some = order[first]
+        route = np.where(n_context[some] >= hot, gram[some], context[some])
+        turn = np.argsort(route, kind="stable")
+        rank = np.empty(len(turn), np.int64)
+        rank[turn] = np.arange(len(turn))
+        some = some[turn]
+        return at, rank[which], some, route[turn], context[some], n_context[some], gram[some]
+
+
+def _tokenise(names: list[str]):
+    """Rows of texts with the block and the place that they have there, and a row with the payload of each block."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, parts, teach, held = WordHashes(), [], [], 0
+        block, own_type = TaskContext.get().partitionId() << 32, None
 
-def _pack(x: np.ndarray) -> bytes:
-    return zstandard.compress(x.tobytes(), 1)
-
-
-def _planes(x: np.ndarray) -> bytes:
-    """Steps between values, in byte planes."""
-    steps = np.diff(x, prepend=x.dtype.type(0))
-    return zstandard.compress(steps.view(np.uint8).reshape(len(x), -1).T.tobytes(), 1)
-
+        def payload() -> bytes:
+            own, ids = np.unique(np.concatenate(parts), return_inverse=True)
+            return _pack(own, np.empty(0, np.uint32), ids.astype(np.uint32), np.array([len(p) for p in parts], np.int64), np.array(teach, bool))
 
-def _flat(x: np.ndarray) -> bytes:
-    """Values of 32 bits in byte planes."""
-    return zstandard.compress(x.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+        def flush() -> pa.RecordBatch:
+            row = [pa.nulls(1, own_type), pa.array([block], pa.int64()), pa.array([None], pa.int64()), pa.array([payload()], pa.binary())]
+            return pa.RecordBatch.from_arrays(row, names=names)
 
+        for b in batches:
+            own_type, blocks, places, done = b.column(2).type, [], [], []
+            for text, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                parts.append(tokens_of(text, known))
+                teach.append(bool(t))
+                blocks.append(block)
+                places.append(len(parts) - 1)
+                held += len(parts[-1])
+                if held >= BLOCK_TOKENS:
+                    done.append(flush())
+                    parts, teach, held, block = [], [], 0, block + 1
+            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(blocks, pa.int64()), pa.array(places, pa.int64()), pa.nulls(len(b), pa.binary())], names=names)
+            yield from done
+        if parts:
+            yield flush()
+        parts = []
+        release()
 
-def _unflat(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+    return run
 
 
-def _unpack(data: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), kind)
+def _word_mail(buckets: int):
+    """A block's words and how often its training texts hold them, by the words' buckets."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, payload in rows_of(batch):
+                own, _, ids, sizes, teaches = _unpack(payload)
+                n = _small(np.bincount(ids[np.repeat(teaches, sizes)], minlength=len(own)))
+                yield from _mail([(number, bucket, _pack(own[part], n[part]), None, None) for bucket, part in _slices(own, buckets)])
+        release()
 
-def _unplanes(data: bytes, kind: type) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(kind).ravel(), dtype=kind)
+    return run
 
 
-def _slices(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
-    """The buckets of ascending keys."""
-    bucket = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-    cuts = [*np.flatnonzero(np.diff(bucket, prepend=bucket[:1] + np.uint64(1))).tolist(), len(keys)]
-    for i, j in zip(cuts, cuts[1:], strict=False):
-        yield int(bucket[i]), slice(i, j)
+def _word_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers for blocks, and one row of sums for each bucket."""
+    for held in _groups(batches, 1):
+        sent = [_unpack(r[2]) for r in held]
+        at, total, which = _total(np.concatenate([s[0] for s in sent]), np.concatenate([s[1] for s in sent]))
+        parts = np.split(total[which], np.cumsum([len(s[0]) for s in sent])[:-1])
+        yield from _mail([(r[0], r[1], _pack(_small(x)), None, None) for r, x in zip(held, parts, strict=True)])
+        yield from _mail([(None, held[0][1], None, int(total.sum()), int((total > 0).sum()))])
+    release()
 
 
-def _rows(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    types = (pa.int64(), pa.int32(), *[pa.binary()] * 4)
-    for i in range(0, len(rows), 64):
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[i : i + 64], strict=True), types, strict=True)], names=["bucket", "kind", "a", "b", "c", "n"])
-
-
-def _grams(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(tokens of several texts, where pairs begin, where triples begin)"""
-    h = np.concatenate(parts)
-    last = np.zeros(len(h), bool)
-    last[np.cumsum([len(p) for p in parts]) - 1] = True
-    two = np.flatnonzero(~last)
-    return h, two, two[~last[two + 1]]
-
-
-def _counted(buckets: int):
-    """Packed sums of a block's triples, by the bucket of their last two words; a text's first pair has 0 before it."""
-
-    def block(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        h, two, _ = _grams(parts)
-        if not len(two):
-            return
-        begins = np.cumsum([0, *(len(p) for p in parts[:-1])])
-        own, ids = np.unique(np.append(h, np.uint64(0)), return_inverse=True)
-        ids = ids.astype(np.uint32)
-        before = np.append(ids[-1:], ids[:-2])
-        before[begins] = ids[-1]
-        pairs = _pair(h[two], h[two + 1])
-        keys = _triple(own[before[two]], pairs)
-        order = np.argsort(keys)
-        first = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]))
-        at, n = order[first], np.diff(np.append(first, len(keys))).astype(np.uint32)
-        keys = order = first = None
-        order = np.argsort(pairs[at])
-        at, n = at[order], n[order]
-        pairs, at, place, out = pairs[at], two[at], np.zeros(len(own), np.uint32), []
-        for bucket, part in _slices(pairs, buckets):
-            here = at[part]
-            order = np.argsort(ids[here].astype(np.uint64) << np.uint64(32) | ids[here + 1])
-            here = here[order]
-            three = (before[here], ids[here], ids[here + 1])
-            used = np.zeros(len(own), bool)  # a bucket gets the words of its triples once, and places in this list
-            for x in three:
-                used[x] = True
-            used = np.flatnonzero(used)
-            place[used] = np.arange(len(used), dtype=np.uint32)
-            out.append((bucket, 3, _planes(own[used]), _flat(np.concatenate([place[x] for x in three])), b"", _flat(n[part][order])))
-        yield from _rows(out)
+def _ask(total: int, kinds: int, buckets: int, hot: int):
+    """The continuations of a block's candidate contexts, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, parts, held = WordHashes(), [], 0
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                parts.append(tokens_of(text, known))
-                held += len(parts[-1])
-                if held >= BLOCK_GRAMS:
-                    yield from block(parts)
-                    parts, held = [], 0
-        if parts:
-            yield from block(parts)
-        parts = []
+        for batch in batches:
+            for number, payload in rows_of(batch):
+                block = _Block(payload)
+                block.follow(total, kinds)
+                at, entry, some, route, context, n_context, gram = block.entries(hot)
+                n = _small(np.bincount(entry, block.teaches[at], len(some)))
+                p, is_hot = block.p[at[some]].astype(np.float32), n_context >= hot
+                block = at = entry = None
+                out = []
+                for bucket, part in _slices(route, buckets):
+                    first = _firsts(context[part])
+                    runs = np.diff(np.append(first, part.stop - part.start)).astype(np.uint32)
+                    out.append((number, bucket, _pack(context[part][first], runs, is_hot[part][first], gram[part] & _TOLD, n[part], p[part]), None, None))
+                yield from _mail(out)
         release()
 
     return run
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Buckets arrive whole and in order."""
-    now, held = None, []
-    for batch in batches:
-        for row in rows_of(batch):
-            if row[0] != now and held:
-                yield held
-                held = []
-            now = row[0]
-            held.append(row)
-    if held:
-        yield held
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts and verdicts for each block that asked, and a row without block with a bucket's sums of hot contexts."""
+    for held in _groups(batches, 1):
+        sent = [_unpack(r[2]) for r in held]
+        context, is_hot = (np.concatenate([np.repeat(s[i], s[1]) for s in sent]) for i in (0, 2))
+        gram, n, p = (np.concatenate([s[i] for s in sent]) for i in (3, 4, 5))
+        some, total, which = _total(mix(context * _STEP + gram), n)
+        of, _, owner = _total(context[some], np.ones(len(some)))
+        gain = np.bincount(owner, total * np.log(np.maximum(total, 1) / p[some].astype(np.float64)), len(of))
+        n_context = np.bincount(owner, total, len(of))
+        verdict = np.round(gain - n_context * np.log(np.maximum(n_context, 1)), 6) >= LEAST_GAIN
+        counts, verdicts = total[which], verdict[owner][which]
+        cuts = np.cumsum([len(s[3]) for s in sent])[:-1]
+        yield from _mail([(r[0], r[1], _pack(_small(c), np.packbits(v)), None, None) for r, c, v in zip(held, np.split(counts, cuts), np.split(verdicts, cuts), strict=True)])
+        parts = np.flatnonzero(is_hot[some][of])
+        if len(parts):
+            yield from _mail([(None, held[0][1], _pack(context[some][of][parts], n_context[parts], gain[parts]), None, None)])
+    release()
 
 
-def _sum_of(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(a place of each key, its sum) of the keys whose sum is LEAST_COUNT or more."""
-    order = np.argsort(keys)
-    first = np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]))
-    n = np.add.reduceat(n[order], first)
-    return order[first][n >= LEAST_COUNT], n[n >= LEAST_COUNT]
-
-
-def _bucket_sums(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-    a, b, c = np.concatenate([_unplanes(r[2], np.uint64)[_unflat(r[3]).reshape(3, -1)] for r in held], axis=1)
-    n = np.concatenate([_unflat(r[5]) for r in held]).astype(np.int64)
-    pairs = _pair(b, c)
-    at, sums = _sum_of(pairs, n)
-    found = [(2, (pairs[at], b[at], c[at], sums))]
-    whole = np.flatnonzero(a)
-    if len(whole):
-        a, b, pairs, n = a[whole], b[whole], pairs[whole], n[whole]
-        keys = _triple(a, pairs)
-        at, sums = _sum_of(keys, n)
-        found.append((3, (keys[at], _pair(a[at], b[at]), pairs[at], sums)))
-    for kind, new in found:
-        for i in range(0, len(new[0]), 50_000):
-            part = [pa.array(x[i : i + 50_000].view(np.int64)) for x in new]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part[0]), kind, np.int32)), *part], names=["kind", "key", "ctx", "suf", "n"])
-
-
-def _added_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, key, ctx, suf, n) of a bucket's pairs and triples that occur LEAST_COUNT times."""
-    for held in _by_bucket(batches):
-        yield from _bucket_sums(held)
-        held = None
-    release()
+def _hot_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for (payload,) in rows_of(batch):
+            context, n, gain = _unpack(payload)
+            yield pa.RecordBatch.from_arrays([pa.array(context.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(gain)], names=["context", "n", "gain"])
 
 
-def _states(grams: DataFrame) -> DataFrame:
-    """(key, n, p, gain, ctx, n_ctx, left) of grams (key, ctx, n, n_ctx, pp), pp being the suffix's probability.
+def _hear(total: int, kinds: int, hot: int, states) -> object:
+    """Blocks with the answers of one level, or of the words where ``states`` is None, and how many candidates follow."""
 
-    p is the symbol's probability after ctx and gain the log10 that the symbol adds. One row of each state has ctx, n_ctx and
-    left, the log10 of the mass that the state leaves.
-    """
-    of = Window.partitionBy("ctx")
-    share = F.col("n") / F.col("n_ctx") / F.col("pp")
-    sums = grams.withColumns({"_sum": F.sum("n").over(of), "_pp": F.sum("pp").over(of), "_llr": F.sum(F.col("n") * F.log(share)).over(of), "_at": F.row_number().over(of.orderBy("key"))})
-    rest = F.col("n_ctx") - F.col("_sum")
-    llr = F.col("_llr") + F.when(rest > 0, rest * F.log(rest / F.col("n_ctx") / F.greatest(F.lit(1e-12), 1 - F.col("_pp")))).otherwise(0.0)
-    is_state = F.round(llr, 9) >= LEAST_GAIN
-    left = (rest + SMOOTH) / (F.col("n_ctx") + SMOOTH)
-    p = F.col("pp") * left + F.col("n") / (F.col("n_ctx") + SMOOTH)
-    first = is_state & (F.col("_at") == 1)
-    return sums.select(
-        "key", "n", F.when(is_state, p).otherwise(F.col("pp")).alias("p"), F.when(is_state, F.log10(p / F.col("pp") / left)).otherwise(0.0).alias("gain"),
-        F.when(first, F.col("ctx")).alias("ctx"), F.when(first, F.col("n_ctx")).alias("n_ctx"), F.when(first, F.log10(left)).alias("left"),
-    )
-
-
-def _valued(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def block(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-            keys, v = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(keys)
-            keys, v = keys[order], v[order]
-            yield from _rows([(bucket, 0, _planes(keys[part]), _pack(v[part]), b"", b"") for bucket, part in _slices(keys, buckets)])
-
-        parts, held = [], 0
-        for b in batches:
-            parts.append((b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()))
-            held += len(b)
-            if held >= BLOCK_GRAMS:
-                yield from block(parts)
-                parts, held = [], 0
-        if held:
-            yield from block(parts)
+        for held in _groups(batches, 0):
+            answers = [_unpack(r[2]) for r in held[1:]]
+            block = _Block(held[0][2])
+            kept = block.kept
+            if states is None:
+                kept[1] = _small(np.concatenate([a[0] for a in answers]))
+                block = _Block(_pack(*kept))
+                block.follow(total, kinds)
+            else:
+                block.follow(total, kinds)
+                _, entry, _, _, context, n_context, _ = block.entries(hot)
+                counts, verdicts = np.empty(0, np.uint32), np.empty(0, bool)
+                if answers:
+                    counts = np.concatenate([a[0].astype(np.int64) for a in answers])
+                    verdicts = np.concatenate([np.unpackbits(a[1], count=len(a[0])) for a in answers]).astype(bool)
+                at = np.flatnonzero(n_context >= hot)
+                verdicts[at] = np.isin(context[at], states.value)
+                found, state = _small(counts[entry]), verdicts[entry]
+                block.step(found, state)
+                kept = [*kept, found, np.packbits(state)]
+            yield from _mail([(held[0][0], None, _pack(*kept), len(block.candidates()), None)])
+        release()
 
     return run
 
 
-def _asked(buckets: int, sent, kind: int):
-    """Packed keys of the texts' pairs (kind 2) or triples; those whose values are broadcast are summed at once."""
-
-    def block(parts: list[np.ndarray], ids: list[int]) -> Iterator[pa.RecordBatch]:
-        h, two, three = _grams(parts)
-        row = np.repeat(np.arange(len(parts), dtype=np.uint32), [len(p) for p in parts])
-        at = two if kind == 2 else three
-        keys, row = _pair(h[at + kind - 2], h[at + kind - 1]), row[at]
-        if kind == 3:
-            keys = _triple(h[at], keys)
-        ids = np.array(ids, np.uint64)
-        order = np.argsort(keys)
-        keys, row = keys[order], row[order]
-        head, v = sent.value
-        if len(head):
-            # both ascend, so the few head keys look for themselves in the block
-            a, b = np.searchsorted(keys, head), np.searchsorted(keys, head, "right")
-            sizes = b - a
-            at = np.repeat(a - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-            sums = np.bincount(row[at], np.repeat(v, sizes), len(ids))
-            yield from _rows([(-1, 1, _planes(ids), _pack(sums), b"", b"")])
-            tail = np.ones(len(keys), bool)
-            tail[at] = False
-            keys, row = keys[tail], row[tail]
-        yield from _rows([(bucket, 1, _planes(keys[part]), _flat(row[part]), _planes(ids), b"") for bucket, part in _slices(keys, buckets)])
+def _scores(total: int, kinds: int):
+    """(block, place, ...) of every text of a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, parts, ids, held = WordHashes(), [], [], 0
-        for b in batches:
-            for text, i in rows_of(b):
-                parts.append(tokens_of(text, known))
-                ids.append(i)
-                held += len(parts[-1])
-                if held >= BLOCK_GRAMS:
-                    yield from block(parts, ids)
-                    parts, ids, held = [], [], 0
-        if parts:
-            yield from block(parts, ids)
-        parts = []
+        for batch in batches:
+            for number, payload in rows_of(batch):
+                block = _Block(payload)
+                block.follow(total, kinds)
+                by_text = lambda x, starts=block.starts: pa.array(np.add.reduceat(x, starts))
+                new = [by_text((block.count > 0).astype(np.int64)), by_text(np.log10(block.root)), by_text(np.log10(block.p))]
+                places = [pa.array(np.full(len(block.sizes), number)), pa.array(np.arange(len(block.sizes))), pa.array(block.sizes)]
+                yield pa.RecordBatch.from_arrays([*places, *new], names=["block", "place", "n_tokens", "n_known", "base_score", "score"])
         release()
 
     return run
 
 
-def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(_row, v): sums of the values of a text's keys in a bucket."""
-
-    def out(ids: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
-        at = np.flatnonzero(sums)
-        return pa.RecordBatch.from_arrays([pa.array(ids[at].view(np.int64)), pa.array(sums[at])], names=["_row", "v"])
-
-    for held in _by_bucket(batches):
-        if held[0][0] < 0:
-            for r in held:
-                yield out(_unplanes(r[2], np.uint64), _unpack(r[3], np.float64))
-            continue
-        values = [r for r in held if r[1] == 0]
-        if not values:
-            continue
-        k, v = np.concatenate([_unplanes(r[2], np.uint64) for r in values]), np.concatenate([_unpack(r[3], np.float64) for r in values])
-        order = np.argsort(k)
-        k, v = k[order], v[order]
-        first = np.flatnonzero(np.diff(k, prepend=~k[:1]))
-        k, v = k[first], np.add.reduceat(v, first)
-        for r in held:
-            if r[1] == 1:
-                found = _find(k, _unplanes(r[2], np.uint64))
-                row, ids = _unflat(r[3])[found >= 0], _unplanes(r[4], np.uint64)
-                yield out(ids, np.bincount(row, v[found[found >= 0]], len(ids)))
-    release()
-
-
 def _forget(spark: SparkSession) -> None:
     """Let Spark remove the shuffles of what has been saved."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
-def _bucketed(sent: DataFrame, buckets: int) -> DataFrame:
-    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+def score_texts(docs: DataFrame, teaches: Column, depth: int = DEPTH) -> DataFrame:
+    """``docs`` (text, ...) without text, with n_tokens, n_known, train_tokens, base_score and score.
 
-
-def score_texts(docs: DataFrame, training: DataFrame) -> DataFrame:
-    """``docs`` (text, ...) without text, with n_tokens, n_known, train_tokens, base_score and score; learnt from ``training``.
-
-    Scores are sums of log10 probabilities: base_score of the root's, score of the tree's.
+    The model learns from the rows where ``teaches`` holds; all rows are scored. Scores are sums of log10 probabilities:
+    base_score of the root's, score of the tree's.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     scratch = Scratch(spark, "language-model")
-    texts = training.select("text")
-    counts = scratch.save(_summed(texts, lambda t, known: ((h := tokens_of(t, known)), len(h)), "h"), "counts")
-    total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_TOKENS)
-    grams = scratch.save(_bucketed(texts.mapInArrow(_counted(buckets), _SENT), buckets).mapInArrow(_added_up, "kind int, key long, ctx long, suf long, n long"), "grams")
-    _forget(spark)
-    often = counts.where(F.col("n") >= LEAST_COUNT)
-    root = often.select(F.col("h").alias("suf"), ((F.col("n") + 1) / F.lit(total + kinds + 1)).alias("pp"))
-    two = scratch.save(_states(grams.where("kind = 2").join(root, "suf").join(often.select(F.col("h").alias("ctx"), F.col("n").alias("n_ctx")), "ctx")), "pairs")
-    _forget(spark)
-    three = scratch.save(_states(
-        grams.where("kind = 3").join(two.select(F.col("key").alias("suf"), F.col("p").alias("pp")), "suf").join(two.select(F.col("key").alias("ctx"), F.col("n").alias("n_ctx")), "ctx")
-    ).drop("p"), "triples")
-    left = two.where("left IS NOT NULL").select(F.col("ctx").alias("h"), "left")
-    tokens = scratch.save(counts.join(left, "h", "left").select("h", "n", F.coalesce("left", F.lit(0.0)).alias("left")), "tokens")
-    values = scratch.save(
-        two.where("gain != 0").select(F.lit(2).alias("kind"), "key", F.col("gain").alias("v"), "n")
-        .union(three.where("gain != 0").select(F.lit(3), "key", "gain", "n"))
-        .union(three.where("left IS NOT NULL").select(F.lit(2), "ctx", "left", "n_ctx")), "values"
-    )
-    for name in ("counts", "grams", "pairs", "triples"):
-        scratch.drop(name)
-    _forget(spark)
-    least = max(1.0, HEAD_SHARE * total)
-    head = tokens.where(F.col("n") >= least).orderBy("n").toArrow()
-    head_h, head_n, head_left = head.column("h").to_numpy().view(np.uint64), head.column("n").to_numpy(), head.column("left").to_numpy()
-    order = np.argsort(head_h)
-    sent = spark.sparkContext.broadcast((head_h[order], head_n[order], head_left[order]))
-    least_gram = max(1.0, HEAD_GRAMS * total)
-    least_gram = max(1.0, HEAD_GRAMS * total)
-    least_p = np.log10(total + kinds + 1)
-    kept = docs.drop(*MADE.names, "text")
-    names = ["_row", *kept.columns]
+    own, kept = nested(docs, [*MADE.names, "text"])
+    names = ["own", "block", "place", "payload"]
+    rows = docs.select(F.col("text"), F.coalesce(teaches, F.lit(False)).alias("teaches"), own.alias("own"))
+    made = T.StructType([T.StructField("own", rows.schema["own"].dataType), T.StructField("block", T.LongType()), T.StructField("place", T.LongType()), T.StructField("payload", T.BinaryType())])
+    whole = scratch.save(rows.mapInArrow(_tokenise(names), made), "texts")
+    texts, blocks = whole.where("payload IS NULL").select("own", "block", "place"), whole.where("payload IS NOT NULL").select("block", "payload")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_blocks = blocks.select("block").count()
+    by_block = max(partitions, 2 * n_blocks)
+
+    def exchanged(mail: DataFrame, buckets: int, answer, name: str) -> DataFrame:
+        answered = mail.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(answer, _MAIL)
+        saved = scratch.save(answered, name)
+        _forget(spark)
+        return saved
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head_h, head_n, head_left = sent.value
-        known = WordHashes()
-        for b in batches:
-            if not len(b):
-                continue
-            parts = [tokens_of(t, known) for t in b.column(0).to_pylist()]
-            h = np.concatenate(parts)
-            sizes = np.array([len(p) for p in parts])
-            starts = np.cumsum(sizes) - sizes
-            kinds_here, at = np.unique(h, return_inverse=True)
-            found = _find(head_h, kinds_here)[at]
-            is_head = found >= 0
-            log_root = np.where(is_head, np.log10((head_n[found] if len(head_n) else np.zeros(len(h))) + 1.0) - least_p, 0.0)
-            log_left = np.where(is_head, head_left[found] if len(head_n) else 0.0, 0.0)
-            add = lambda x: np.add.reduceat(x, starts)
-            tails = np.split(h[~is_head].view(np.int64), np.cumsum(add((~is_head).astype(np.int64)))[:-1])
-            new = [pa.array(sizes, pa.int64()), pa.array(add(is_head.astype(np.int64))), pa.array(add(log_root)), pa.array(add(log_root + log_left)), pa.array(tails, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], *new], names=[*names, "n_tokens", "_known", "_base", "_score", "_tail"])
-
-    # the rows get their numbers once, so that all that is summed for them agrees
-    numbered = scratch.save(docs.select("text", F.monotonically_increasing_id().alias("_row"), *kept.columns), "docs")
-    parts = T.StructType([T.StructField("_row", T.LongType()), *kept.schema, T.StructField("n_tokens", T.LongType()), T.StructField("_known", T.LongType()), T.StructField("_base", T.DoubleType()), T.StructField("_score", T.DoubleType()), T.StructField("_tail", T.ArrayType(T.LongType()))])
-    rows = scratch.save(numbered.mapInArrow(run, parts), "rows")
-    n = F.coalesce("n", F.lit(0))
-    tail = (
-        rows.select("_row", F.explode("_tail").alias("h")).join(tokens.where(F.col("n") < least), "h", "left")
-        .groupBy("_row").agg(F.sum(F.log10(n + 1.0) - F.lit(float(least_p))).alias("_rest"), F.sum(F.coalesce("left", F.lit(0.0))).alias("_left"), F.sum((n > 0).cast("long")).alias("_more"))
-    )
-    longer = []
-    for kind in (2, 3):
-        of = values.where(F.col("kind") == kind)
-        head = of.where(F.col("n") >= least_gram).toArrow()
-        keys, at = np.unique(head.column("key").to_numpy().view(np.uint64), return_inverse=True)
-        sent_grams = spark.sparkContext.broadcast((keys, np.bincount(at, head.column("v").to_numpy(), len(keys))))
-        asked = numbered.select("text", "_row").mapInArrow(_asked(buckets, sent_grams, kind), _SENT)
-        packed = of.where(F.col("n") < least_gram).select("key", "v").mapInArrow(_valued(buckets), _SENT)
-        longer.append(scratch.save(_bucketed(asked.union(packed), buckets).mapInArrow(_answered, "_row long, v double").groupBy("_row").agg(F.sum("v").alias("v")), f"sums-{kind}"))
-        del of, asked, packed
+    def heard(states: DataFrame, answers: DataFrame, hear, name: str) -> DataFrame:
+        sent = states.select("block", F.lit(None).cast("long").alias("bucket"), "payload").union(answers.where("block IS NOT NULL").select("block", "bucket", "payload"))
+        saved = scratch.save(sent.repartition(by_block, "block").sortWithinPartitions("block", F.col("bucket").asc_nulls_first()).mapInArrow(hear, _MAIL), name)
         _forget(spark)
-    scratch.drop("docs")
-    scratch.drop("values")
-    more = longer[0].union(longer[1]).groupBy("_row").agg(F.sum("v").alias("_longer"))
-    zero = lambda x: F.coalesce(x, F.lit(0.0))
-    return rows.drop("_tail").join(tail, "_row", "left").join(more, "_row", "left").select(
-        *kept.columns, "n_tokens", (F.col("_known") + F.coalesce("_more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("_base") + zero("_rest")).alias("base_score"), (F.col("_score") + zero("_rest") + zero("_left") + zero("_longer")).alias("score"),
-    )
-
-
-def training_rows(docs: DataFrame, parts: int = 7, left_out: int = 2) -> DataFrame:
-    return docs.where(fold("doc_id", parts) != left_out)
+        return saved
+
+    buckets = max(16, partitions, n_blocks)
+    answers = exchanged(blocks.mapInArrow(_word_mail(buckets), _MAIL), buckets, _word_totals, "words")
+    total, kinds = answers.where("block IS NULL").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    hot = int(max(HOT_LEAST, HOT_SHARE * total))
+    now = heard(blocks, answers, _hear(total, kinds, hot, None), "level-0")
+    scratch.drop("words")
+    for level in range(1, depth + 1):
+        open_tokens = now.agg(F.sum("tokens")).first()[0] or 0
+        if not open_tokens:
+            break
+        buckets = max(16, partitions, open_tokens // BUCKET_ENTRIES)
+        answers = exchanged(now.select("block", "payload").mapInArrow(_ask(total, kinds, buckets, hot), _MAIL), buckets, _answer, f"answers-{level}")
+        sums = answers.where("block IS NULL").select("payload").mapInArrow(_hot_sums, "context long, n long, gain double").groupBy("context").agg(F.sum("n").alias("n"), F.sum("gain").alias("gain"))
+        passed = F.round(F.col("gain") - F.col("n") * F.log(F.greatest("n", F.lit(1))), 6) >= LEAST_GAIN
+        states = sums.where(passed).select("context").toArrow().column(0).to_numpy()  # at most 1 / HOT_SHARE
+        sent = spark.sparkContext.broadcast(np.sort(states.view(np.uint64)))
+        before, now = now, heard(now, answers, _hear(total, kinds, hot, sent), f"level-{level}")
+        scratch.drop(f"answers-{level}")
+        scratch.drop(f"level-{level - 1}")
+        del before
+    scores = now.select("block", "payload").mapInArrow(_scores(total, kinds), "block long, place long, n_tokens long, n_known long, base_score double, score double")
+    found = texts.join(scores, ["block", "place"])
+    return found.select(*unnested(kept), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def teaching(parts: int = 7, left_out: int = 2) -> Column:
+    return fold("doc_id", parts) != left_out
