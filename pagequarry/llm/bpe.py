@@ -6,7 +6,8 @@ white space never sees beyond it, so the pieces' ids in a row are the ids of the
 
 The rank file is read by the driver and sent to the workers; a vocabulary's size bounds it.
 
-Defined results: a null text counts as empty and has no ids. Other columns pass through.
+Defined results: a null text counts as empty and has no ids. Rows that repeat an id or a text are encoded each by itself. Other
+columns pass through, whatever their names; a column named like the made one is replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import bound_batches
+from .common import with_made
 
 #: Characters from which a text is cut, and of a piece at least.
 PIECE_CHARS = 50_000
@@ -69,19 +70,13 @@ def encode_text(encoder: tiktoken.Encoding, text: str | None) -> list[int]:
 
 
 def _with_column(df: DataFrame, source: str, made: str, kind: T.DataType, arrow: pa.DataType, rank_data: bytes, pattern: str, function) -> DataFrame:
-    bound_batches(df.sparkSession)
-    kept = df.drop(made)
-    names, at = kept.columns, kept.columns.index(source)
     sent = df.sparkSession.sparkContext.broadcast(rank_data)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def maker():
         encoder = encoding(sent.value, pattern)
-        for batch in batches:
-            for small in (batch.slice(i, 50) for i in range(0, len(batch), 50)):  # ids take several times the room of their text
-                column = pa.array([function(encoder, x) for x in small.column(at).to_pylist()], arrow)
-                yield pa.RecordBatch.from_arrays([*small.columns, column], names=[*names, made])
+        return lambda values: [pa.array([function(encoder, x) for x in values], arrow)]
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema, T.StructField(made, kind)]))
+    return with_made(df, source, T.StructType([T.StructField(made, kind)]), maker, at_once=50)  # ids take several times the room of their text
 
 
 def bpe_encode(docs: DataFrame, rank_data: bytes, pattern: str, made: str = "ids") -> DataFrame:

@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from pagequarry.sources.shared import shared_path
 
 #: Rows of one Arrow batch. Texts may be long, so that a batch of the default 10,000 rows could exceed a worker's memory.
 BATCH_ROWS = 200
+#: Bytes of the texts that a model is fitted to.
+MOST_SAMPLE_BYTES = 512_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,23 +33,15 @@ def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for tables that cut lineage: ``spark.checkpoint.dir``, or a temporary one where that is unset in local mode."""
-    context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not base:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
-        base = context.getCheckpointDir()
-    return base
+_OPEN: dict[str, list[Scratch]] = {}
 
 
 class Scratch:
-    """Parquet tables of one operator's run under the shared folder."""
+    """Parquet tables of one operator's run under the shared folder. A result may read them, so they stay until ``clean_up``."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.spark, self.base = spark, shared_path(spark, name)
+        _OPEN.setdefault(spark.sparkContext.applicationId, []).append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return the written table; its lineage ends there."""
@@ -54,12 +49,30 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, name: str) -> None:
+    def drop(self, name: str = "") -> None:
+        """Remove one table, or all of them."""
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}" if name else self.base)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def clean_up(spark: SparkSession) -> None:
+    """Remove all tables that operators of this application have written; call it when their results are stored."""
+    for scratch in _OPEN.pop(spark.sparkContext.applicationId, []):
+        scratch.drop()
+
+
+_SCANS = {"Project", "Filter", "LogicalRelation", "DataSourceV2ScanRelation", "LogicalRDD"}
+
+
+def is_scan(df: DataFrame) -> bool:
+    """Whether ``df`` only reads files row by row, so that a task that is repeated sees its rows in the same order."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() in _SCANS and node.children().length() == 1:
+        node = node.children().apply(0)
+    return node.children().length() == 0 and node.getClass().getSimpleName() in ("LogicalRelation", "DataSourceV2ScanRelation")
+
+
 def fold(column: str, parts: int):
     """crc32 of the id as text, modulo ``parts``; a null id counts as empty text (remainder 0)."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % parts
@@ -183,14 +196,36 @@ def batch_of(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns.values(), schema.types, strict=True)], schema=schema)
 
 
+def with_made(docs: DataFrame, source: str, made: T.StructType, maker: Callable[[], Callable[[list], list[pa.Array]]], at_once: int = BATCH_ROWS) -> DataFrame:
+    """``docs`` with the columns ``made``, which a function of a list of ``source`` values gives; ``maker`` makes it in each task.
+
+    All columns pass through, whatever their names; columns named like the made ones are replaced.
+    """
+    bound_batches(docs.sparkSession)
+    own, _ = nested(docs, [*made.names, source])
+    rows = docs.select(named(source).alias("source"), own.alias("own"))
+    out = T.StructType([*(T.StructField(f.name, f.dataType) for f in rows.schema), *made])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = maker()
+        for batch in batches:
+            for part in (batch.slice(i, at_once) for i in range(0, len(batch), at_once)):
+                yield pa.RecordBatch.from_arrays([*part.columns, *make(part.column(0).to_pylist())], names=out.names)
+
+    left = [c for c in docs.columns if c.lower() not in {n.lower() for n in made.names}]
+    old = (F.col("source") if c.lower() == source.lower() else F.col("own").getField(c) for c in left)
+    return rows.mapInArrow(run, out).select(*(x.alias(c) for x, c in zip(old, left, strict=True)), *made.names)
+
+
 # --- labelled samples ------------------------------------------------------------------------------------------------
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, parts: int = 5) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, parts: int = 5, most_bytes: int = MOST_SAMPLE_BYTES) -> DataFrame:
     """(doc_id, text, label) of at most ``most`` labelled documents outside fold 0, taken by a hash of the id.
 
-    ``most`` bounds what is broadcast and what one task later reads. Rows without id or label, and ids with
-    contradicting labels, teach nothing.
+    ``most`` bounds what is broadcast, and ``most_bytes`` the texts that one task later reads: rows come in order of the hash
+    until their texts exceed it. Rows without id or label, and ids with contradicting labels, teach nothing. Of rows that repeat
+    an id, the one with the smallest text teaches, so that a sample doesn't depend on the order of the rows.
     """
     ids = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold("doc_id", parts) != 0))
@@ -199,10 +234,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, p
         .select(F.col("doc_id").alias("_id"), F.col("label").cast("int").alias("label"))
         .orderBy(F.xxhash64("_id"), "_id").limit(most)
     )
-    return (
+    sample = (
         docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
-        .select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label").dropDuplicates(["doc_id"])
+        .withColumn("text", F.coalesce("text", F.lit(""))).groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
     )
+    in_order = Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("doc_id"), "doc_id")  # over ``most`` rows
+    return sample.withColumn("so_far", F.sum(F.octet_length("text").cast("long")).over(in_order)).where(F.col("so_far") <= most_bytes).drop("so_far")
 
 
 def release() -> None:

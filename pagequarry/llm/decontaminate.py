@@ -1,21 +1,24 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over the windows of all benchmark items, one scan of each text.
-
-Text and items are normalised alike: A-Z in lower case, words joined by one space. The automaton holds every window of
-``window`` consecutive item words (an item of fewer words is one window) as " w1 w2 ... ", so matches begin and end at words.
-What it finds maps back to character offsets of the original text.
-
-The items are broadcast to the scan. They are collected only in shards of at most ``SHARD_BYTES`` of text; a benchmark beyond
-that is scanned shard by shard, over held blocks of documents, and the hits of a document are merged, so the bound changes no
-result.
-
-Defined results: a null or empty text has no words and no hits. Items without words match nothing. An item with a null id
-counts as the id "". Items that repeat an id are one item. Other columns pass through.
+"""Benchmark decontamination: one Aho-Corasick automaton over all benchmark items, one scan of each text.
+
+Text and items are normalised alike: A-Z in lower case, words joined by one space. A window is ``window`` consecutive words of an
+item; an item of fewer words is one window. The automaton holds few of a window's words: of each item the pieces of
+``(window + 1) // 2`` words that begin at multiples of that number. Every window contains one such piece as a whole, so a place
+that matches a piece is compared word by word with the item to both sides, and a run of ``window`` equal words is a hit. A piece
+that stands in more than ``MOST_PLACES`` places of items isn't compared; the windows that contain no other piece are in the
+automaton as they are, like the short items. So every window is found, and a node serves about one word of an item. What is
+found maps back to character offsets of the original text.
+
+The items are collected, broadcast once and made into one automaton by each worker. A benchmark of more than ``most_item_bytes``
+of text is refused with an error before any text is read: decontaminate it in parts.
+
+Defined results: a null or empty text has no words and no hits, and a text of any length is scanned as a whole. Items without
+words match nothing. An item with a null id counts as the id "". Items that repeat an id are one item; rows of documents that
+repeat an id are scanned each by itself. Other columns pass through, whatever their names; columns named like the made ones are
+replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import ahocorasick
 import numpy as np
 import pyarrow as pa
@@ -23,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER_WORD, bound_batches
+from .common import LOWER_WORD, with_made
 
-#: Bytes of item text that one automaton holds; a node costs about 60 bytes and a window about seventy nodes at most.
-SHARD_BYTES = 128_000
-#: Bytes of documents that are held while one automaton of several follows the other.
-HELD_BYTES = 32_000_000
+#: Bytes of item text that one automaton holds; it takes about fifty bytes of memory for each.
+MOST_ITEM_BYTES = 6_000_000
+#: Places of items with which a match of a piece is compared.
+MOST_PLACES = 16
 
 MADE = T.StructType([
     T.StructField("n_words", T.LongType()),
@@ -42,34 +45,61 @@ def _normal(text: str | None) -> list[bytes]:
     return text.encode().translate(LOWER_WORD).split() if text else []
 
 
-def _automaton(items: list[tuple[str, str]], window: int):
-    """Over latin-1 strings, so that a character is a byte."""
-    holders: dict[tuple[bytes, ...], set[str]] = {}
-    for item, text in items:
-        w = _normal(text)
-        for i in range(max(1, len(w) - window + 1) if w else 0):
-            holders.setdefault(tuple(w[i : i + window]), set()).add(item)
-    found = ahocorasick.Automaton()
-    for w, ids in holders.items():
-        found.add_word((b" " + b" ".join(w) + b" ").decode("latin-1"), (len(w), tuple(ids)))
-    if holders:
-        found.make_automaton()
-    return found if holders else None
-
-
-def _scan(automaton, text: str | None) -> tuple[int, list[list[int]], set[str]]:
-    """(number of words, hit intervals of words with their ends exclusive, items)"""
-    tokens = _normal(text)
-    if automaton is None or not tokens:
-        return len(tokens), [], set()
-    flat = (b" " + b" ".join(tokens) + b" ").decode("latin-1")
-    matches = list(automaton.iter(flat))
-    if not matches:
-        return len(tokens), [], set()
-    ends = np.cumsum([len(t) + 1 for t in tokens])  # where the space after each word stands
-    last = np.searchsorted(ends, [e for e, _ in matches])
-    spans = _merged([[int(j) - n + 1, int(j) + 1] for j, (_, (n, _)) in zip(last, matches, strict=True)])
-    return len(tokens), spans, {i for _, (_, ids) in matches for i in ids}
+class Scanner:
+    """The automaton, over latin-1 strings, so that a character is a byte; and the items' words."""
+
+    def __init__(self, items: list[tuple[str, str]], window: int):
+        self.window, self.size = window, (window + 1) // 2
+        self.items = [(item, w) for item, w in ((item, _normal(text)) for item, text in items) if w]
+        places: dict[tuple[bytes, ...], list[tuple[int, int]]] = {}
+        for i, (_, w) in enumerate(self.items):
+            if len(w) >= window:
+                for at in range(0, len(w) - self.size + 1, self.size):
+                    places.setdefault(tuple(w[at : at + self.size]), []).append((i, at))
+        places = {piece: found for piece, found in places.items() if len(found) <= MOST_PLACES}
+        whole: dict[tuple[bytes, ...], set[str]] = {}
+        for item, w in self.items:
+            if len(w) < window:
+                whole.setdefault(tuple(w), set()).add(item)
+            for start in range(len(w) - window + 1):
+                at = -(-start // self.size) * self.size
+                if tuple(w[at : at + self.size]) not in places:
+                    whole.setdefault(tuple(w[start : start + window]), set()).add(item)
+        self.automaton = ahocorasick.Automaton()
+        for key in places.keys() | whole.keys():
+            self.automaton.add_word((b" " + b" ".join(key) + b" ").decode("latin-1"), (len(key), tuple(whole.get(key, ())), places.get(key, ())))
+        if self.items:
+            self.automaton.make_automaton()
+
+    def scan(self, text: str | None) -> tuple[int, list[list[int]], set[str]]:
+        """(number of words, hit intervals of words with their ends exclusive, items)"""
+        tokens = _normal(text)
+        if not self.items or not tokens:
+            return len(tokens), [], set()
+        matches = list(self.automaton.iter((b" " + b" ".join(tokens) + b" ").decode("latin-1")))
+        if not matches:
+            return len(tokens), [], set()
+        ends = np.cumsum([len(t) + 1 for t in tokens])  # where the space after each word stands
+        spans, found, compared = [], set(), {}
+        for last, (n, items, places) in zip(np.searchsorted(ends, [e for e, _ in matches]).tolist(), (m for _, m in matches), strict=True):
+            start = last - n + 1
+            if items:
+                spans.append([start, last + 1])
+                found.update(items)
+            for i, at in places:
+                item, w = self.items[i]
+                if compared.get((i, start - at), -1) > last:  # in the run of an earlier piece
+                    continue
+                low, high = start, last + 1
+                while low and at > start - low and tokens[low - 1] == w[at - (start - low) - 1]:
+                    low -= 1
+                while high < len(tokens) and at + high - start < len(w) and tokens[high] == w[at + high - start]:
+                    high += 1
+                compared[i, start - at] = high
+                if high - low >= self.window:
+                    spans.append([low, high])
+                    found.add(item)
+        return len(tokens), _merged(spans), found
 
 
 def _merged(spans: list[list[int]]) -> list[list[int]]:
@@ -94,62 +124,29 @@ def _offsets(text: str, spans: list[list[int]]) -> list[list[int]]:
     return [[int(chars[turn[a, 0]]) - 1, int(chars[turn[b - 1, 1] - 1])] for a, b in spans]
 
 
-def _shards(items: DataFrame) -> Iterator[list[tuple[str, str]]]:
-    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").where("text is not null")
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // SHARD_BYTES)
-    for i in range(n):
-        part = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i) if n > 1 else rows
-        yield [(r[0], r[1]) for r in part.collect()]
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, most_item_bytes: int = MOST_ITEM_BYTES) -> DataFrame:
     """``docs`` (doc_id, text, ...) with n_words, n_hit, items (ids, sorted) and spans (character offsets of the hits).
 
     ``items`` has item_id and text. A document is contaminated if n_hit > 0.
     """
-    bound_batches(docs.sparkSession)
-    shards = list(_shards(items)) or [[]]
-    context = docs.sparkSession.sparkContext
-    kept = docs.drop(*MADE.names)
-    names, text_at, width = kept.columns, kept.columns.index("text"), len(kept.columns)
-
-    sent = [context.broadcast(s) for s in shards]
-
-    def finish(batch: pa.RecordBatch, found: list) -> pa.RecordBatch:
-        """found: (number of words, intervals of words, items) of each row; intervals of several shards may overlap."""
-        out = []
-        for text, (n, spans, ids) in zip(batch.column(text_at).to_pylist(), found, strict=True):
-            merged = _merged(spans)
-            out.append((n, sum(b - a for a, b in merged), sorted(ids), _offsets(text, merged)))
-        new = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.list_(pa.int64()))))]
-        return pa.RecordBatch.from_arrays([*batch.columns[:width], *new], names=[*names, *MADE.names])
-
-    def by_shards(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One automaton after the other over what is held."""
-        found = [[[0, [], set()] for _ in range(len(b))] for b in held]
-        for s in sent:
-            automaton = _automaton(s.value, window)
-            for b, rows in zip(held, found, strict=True):
-                for f, text in zip(rows, b.column(text_at).to_pylist(), strict=True):
-                    n, spans, ids = _scan(automaton, text)
-                    f[0], f[1], f[2] = n, f[1] + spans, f[2] | ids
-        for b, rows in zip(held, found, strict=True):
-            yield finish(b, rows)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if len(sent) == 1:
-            automaton = _automaton(sent[0].value, window)
-            for b in batches:
-                yield finish(b, [_scan(automaton, t) for t in b.column(text_at).to_pylist()])
-            return
-        held, size = [], 0
-        for b in batches:
-            held.append(b)
-            size += b.nbytes
-            if size >= HELD_BYTES:
-                yield from by_shards(held)
-                held, size = [], 0
-        yield from by_shards(held)
-
-    return kept.mapInArrow(run, T.StructType([*kept.schema, *MADE]))
+    asked = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").where("text is not null")
+    size = asked.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
+    if size > most_item_bytes:
+        raise ValueError(f"the benchmark has {size} bytes of text, more than {most_item_bytes}; decontaminate it in parts")
+    sent = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in asked.collect()])
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.list_(pa.int64())))
+
+    def maker():
+        scanner = Scanner(sent.value, window)
+
+        def row(text: str | None) -> tuple:
+            n, spans, found = scanner.scan(text)
+            return n, sum(b - a for a, b in spans), sorted(found), _offsets(text, spans)
+
+        def make(texts: list) -> list[pa.Array]:
+            rows = [row(t) for t in texts]
+            return [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+
+        return make
+
+    return with_made(docs, "text", MADE, maker)

@@ -9,7 +9,8 @@ Only words of templates matter for a match, so texts are reduced to these at onc
 threshold have no blocks. Everything is a DataFrame expression or a join; the templates are a constant of this module.
 
 Defined results: a null text counts as empty: no words, no places, no labels, score 0. Rows that repeat an id are scanned each
-by itself. Other columns pass through; the text doesn't.
+by itself; ties of labels are told by their order. Other columns pass through, whatever their names; the text doesn't, and columns
+named like the made ones are replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, nested, unnested
 
 BLOCK_LINES = 3
 PERCENT = 80
@@ -73,9 +74,9 @@ def scan_licenses(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     need = [ceil(percent * len(w) / 100) for _, w in templates]
     vocabulary = sorted({w for _, ws in templates for w in ws})
     made = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
-    kept = docs.drop(*made, "text").columns
+    own, kept = nested(docs, [*made, "text"])
 
-    read = docs.select(*kept, F.coalesce("text", F.lit("")).alias("_text")).withColumn("_words", _words(F.col("_text")))
+    read = docs.select(own.alias("own"), F.coalesce("text", F.lit("")).alias("_text")).withColumn("_words", _words(F.col("_text")))
     read = read.withColumn("_flat", F.when(F.array_contains("_words", "license"), F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" "))))
     read = read.withColumn("_seen", F.array_intersect("_words", _strings(vocabulary)))
     n_words, counts, firsts, lasts, labels = F.size("_words").cast("long"), [], [], [], []
@@ -90,7 +91,7 @@ def scan_licenses(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     for (_, ws), least in zip(templates, need, strict=True):
         could = could | (F.size(F.array_intersect("_seen", _strings(ws))) >= least)
     base = read.select(
-        *kept, "_seen", n_words.alias("n_words"), sum(counts[1:], counts[0]).cast("long").alias("n_base"),
+        "own", "_seen", n_words.alias("n_words"), sum(counts[1:], counts[0]).cast("long").alias("n_base"),
         F.least(*firsts).cast("long").alias("first_word"), F.greatest(*lasts).cast("long").alias("last_word"),
         F.array_sort(F.array_compact(F.array(*labels))).alias("_base_labels"),
         F.when(could, F.split("_text", "\n")).alias("_lines"),
@@ -109,22 +110,23 @@ def scan_licenses(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     prefixes = docs.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(word_rank, template, template_at, template_size, need, label, ranks)")
 
     starts = F.sequence(F.lit(1), F.size("_lines"))
-    blocks = base.where("_lines is not null").select("_row", F.posexplode(F.transform(starts, lambda i: F.array_join(F.slice("_lines", i, BLOCK_LINES), "\n"))).alias("block", "_text"))
+    line_blocks = F.transform(starts, lambda i: F.array_join(F.slice("_lines", i, BLOCK_LINES), "\n"))
+    blocks = base.where("_lines is not null").select("_row", F.posexplode(line_blocks).alias("block", "_text"))
     rank_of = F.create_map(*(F.lit(x) for w in order for x in (w, rank[w])))
-    own = F.sort_array(F.transform(F.array_intersect(_words(F.col("_text")), _strings(vocabulary)), lambda w: F.element_at(rank_of, w)))
-    blocks = blocks.select("_row", "block", own.alias("own")).where(F.size("own") >= min(need))
-    probes = blocks.select("_row", "block", "own", F.posexplode("own").alias("own_at", "word_rank"))
-    pairs = probes.join(F.broadcast(prefixes), "word_rank").where(F.size("own") >= F.col("need"))
+    block_ranks = F.sort_array(F.transform(F.array_intersect(_words(F.col("_text")), _strings(vocabulary)), lambda w: F.element_at(rank_of, w)))
+    blocks = blocks.select("_row", "block", block_ranks.alias("ranks_of_block")).where(F.size("ranks_of_block") >= min(need))
+    probes = blocks.select("_row", "block", "ranks_of_block", F.posexplode("ranks_of_block").alias("own_at", "word_rank"))
+    pairs = probes.join(F.broadcast(prefixes), "word_rank").where(F.size("ranks_of_block") >= F.col("need"))
     # the first common word of a pair decides: no word of either before it is common
-    first = pairs.groupBy("_row", "block", "template").agg(F.min(F.struct("own_at", "template_at", "template_size", "need", "label", "ranks", "own")).alias("p")).select("_row", "p.*")
-    open_pairs = first.where(1 + F.least(F.col("template_size") - F.col("template_at") - 1, F.size("own") - F.col("own_at") - 1) >= F.col("need"))
-    common = F.size(F.array_intersect("own", "ranks"))
+    first = pairs.groupBy("_row", "block", "template").agg(F.min(F.struct("own_at", "template_at", "template_size", "need", "label", "ranks", "ranks_of_block")).alias("p")).select("_row", "p.*")
+    open_pairs = first.where(1 + F.least(F.col("template_size") - F.col("template_at") - 1, F.size("ranks_of_block") - F.col("own_at") - 1) >= F.col("need"))
+    common = F.size(F.array_intersect("ranks_of_block", "ranks"))
     matches = open_pairs.select("_row", "label", "need", common.alias("common"), (common / F.col("template_size")).alias("share")).where(F.col("common") >= F.col("need"))
     found = matches.groupBy("_row").agg(F.collect_set("label").alias("_labels"), F.max("share").alias("_share"))
 
     none = F.array().cast("array<string>")
     return base.drop("_seen", "_lines").join(found, "_row", "left").select(
-        *kept, "n_words", "n_base", "first_word", "last_word", F.array_join("_base_labels", ",").alias("base_labels"),
+        *unnested(kept), "n_words", "n_base", "first_word", "last_word", F.array_join("_base_labels", ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union("_base_labels", F.coalesce("_labels", none))), ",").alias("labels"),
         F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("_share", F.lit(0.0))).alias("score"),
     )

@@ -18,7 +18,8 @@ step 5 can show is missed with a chance of 3e-5 (four standard deviations of the
 
 Defined results: a text without words (null, empty, blank) has an empty set and is linked with nothing. A text with fewer words
 than a shingle has one shingle, the whole sequence. Rows that repeat an id are one node, linked through any of their texts.
-A row with a null id is linked with nothing, has a null component and is kept. Other columns pass through.
+A row with a null id is linked with nothing, has a null component and is kept. Ties go to the smaller id. ``near_duplicate_classes``
+reads doc_id and text alone; ``keep_one`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, bound_batches, mix, release, rows_of, sequence_hash, window_hashes, words
+from .common import Scratch, WordHashes, bound_batches, fresh, mix, named, release, rows_of, sequence_hash, window_hashes, words
 from .components import components
 
 BANDS, ROWS = 44, 6
@@ -228,13 +229,13 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 5, percent: int = 80)
     member = shared.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
     split = (
         member.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-        .groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("size", "component")).alias("largest"))
+        .groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("size", "component")).alias("largest"), F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"))
         .where("parts > 1").drop("parts")
     )
     opened = scratch.save(member.join(split, "bucket"), "open")
-    blocks = opened.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = opened.join(blocks, "bucket").withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # read from files, so that a bucket's members are spread out before they are dealt to pairs of blocks
+    dealt = opened.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     asked = opened.select(F.col("rep").alias("id")).distinct()
     marks = texts.join(asked, texts["doc_id"] == asked["id"], "left_semi").mapInArrow(_sketch(shingle), "rep long, n long, bands binary, print binary, whole binary")
     dealt = dealt.join(marks, ["rep", "n"]).select("bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "rep", "n", "component", "largest", "bands", "print", "whole")
@@ -258,9 +259,10 @@ def near_duplicate_classes(docs: DataFrame, shingle: int = 5, percent: int = 80)
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row of every near-duplicate group of ``docs``, the one with the smallest id; all columns stay as they are."""
-    gone = near_duplicate_classes(docs, shingle, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    named = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if named.isEmpty():
+    gone_id = fresh(docs, "gone")
+    gone = near_duplicate_classes(docs, shingle, percent).where("not kept").select(F.col("doc_id").alias(gone_id)).distinct()
+    left = docs.join(gone, F.col("doc_id").cast("long") == named(gone_id), "left_anti")
+    repeated = docs.select("doc_id").where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1")
+    if repeated.isEmpty():
         return left
     return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))

@@ -1,17 +1,19 @@
 """Quality rules: counted base rules, and a logistic regression over hashed word and character n-grams.
 
-The regression sees the shares of a text's words, word pairs, byte 3-grams and byte 4-grams (of the text in lower-case A-Z).
+The regression sees the shares of a text's words, word pairs, character 3-grams and character 4-grams (code points of the text in
+lower-case A-Z).
 It is fitted by Adagrad on most of a bounded sample of labelled rows; Platt scaling on the remaining rows makes its margins
 probabilities. Texts are scored in Arrow batches against the fixed thresholds of ``Thresholds``.
 
 Defined results: null and empty texts have zero counts and fail the base rules; their probability is that of the intercept.
-Without labelled rows of both classes the probability is the smoothed share of label 1. Other columns pass through.
+Without labelled rows of both classes the probability is the smoothed share of label 1. Rows that repeat an id or a text are
+scored each by itself; which of them teaches is told in ``labelled_sample``. Other columns pass through, whatever their names;
+columns named like the made ones are replaced.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import LOWER, WordHashes, bound_batches, fit_in_one_task, labelled_sample, mix, window_hashes
+from .common import LOWER, WordHashes, fit_in_one_task, labelled_sample, mix, window_hashes, with_made
 
 MOST_ROWS = 8_000
 BITS = 17
@@ -27,6 +29,7 @@ GROUPS = 4
 SCALE = 20.0
 EPOCHS, STEP = 8, 0.5
 _SYMBOLS = b"#*$%&|<>"
+_MANY = np.uint32(0x01000193)
 #: The six separators and the bytes that continue a code point.
 _NOT_COUNTED = bytes([9, 10, 11, 12, 13, 32, *range(0x80, 0xC0)])
 
@@ -68,10 +71,10 @@ def grams(text: str | None, known: WordHashes) -> list[np.ndarray]:
     data = text.encode().translate(LOWER) if text else b""
     h = known.of(data.split())
     shift = np.uint64(64 - BITS)
-    c = np.frombuffer(data, np.uint8).astype(np.uint32)
+    c = np.frombuffer(data.decode().encode("utf-32-le"), np.uint32)  # code points
     pairs = mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) if len(h) > 1 else h[:0]
-    low = c[:-2] | c[1:-1] << np.uint32(8) | c[2:] << np.uint32(16) if len(c) > 2 else c[:0]
-    wide = low[:-1] | c[3:] << np.uint32(24) if len(c) > 3 else c[:0]
+    low = (c[:-2] * _MANY + c[1:-1]) * _MANY + c[2:] if len(c) > 2 else c[:0]
+    wide = low[:-1] * _MANY + c[3:] if len(c) > 3 else c[:0]
     out = [(h >> shift).astype(np.int64), (pairs >> shift).astype(np.int64)]
     out += [((x * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.int64) for x in (low, wide)]
     return [x + (g << BITS) for g, x in enumerate(out)]
@@ -139,25 +142,26 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> bytes:
 
 def apply_quality_rules(docs: DataFrame, model: bytes, limits: Thresholds = Thresholds()) -> DataFrame:
     """``docs`` (text, ...) with the counts, base_failed, quality (probability of label 1) and kept."""
-    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.drop(*MADE.names)
-    names, text_at = kept.columns, kept.columns.index("text")
+    kinds = (*[pa.int64()] * 5, pa.bool_(), pa.float64(), pa.bool_())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def maker():
         w, bias = pickle.loads(sent.value)
         known = WordHashes()
-        for b in batches:
-            out = []
-            for text in b.column(text_at).to_pylist():
-                n = counts(text, known)
-                failed = n[0] < limits.least_words or 100 * n[4] > limits.most_repeat_percent * n[0]
-                quality = float(_sigmoid(bias + SCALE * sum(float(w[g].mean(dtype=np.float64)) for g in grams(text, known) if len(g))))
-                out.append((*n, failed, quality, not failed and quality >= limits.least_quality))
-            kinds = (*[pa.int64()] * 5, pa.bool_(), pa.float64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([r[i] for r in out], k) for i, k in enumerate(kinds))], names=[*names, *MADE.names])
-
-    return kept.mapInArrow(run, T.StructType([*kept.schema, *MADE]))
+
+        def row(text: str | None) -> tuple:
+            n = counts(text, known)
+            failed = n[0] < limits.least_words or 100 * n[4] > limits.most_repeat_percent * n[0]
+            quality = float(_sigmoid(bias + SCALE * sum(float(w[g].mean(dtype=np.float64)) for g in grams(text, known) if len(g))))
+            return *n, failed, quality, not failed and quality >= limits.least_quality
+
+        def make(texts: list) -> list[pa.Array]:
+            rows = [row(t) for t in texts]
+            return [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+
+        return make
+
+    return with_made(docs, "text", MADE, maker)
 
 
 def train_quality_rules(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> bytes:

@@ -7,21 +7,21 @@ few vectorised steps.
 The model is fitted in one task on at most ``MOST_ROWS`` labelled rows outside the held-out fold. Every text is scored whole.
 
 Defined results: null and empty texts have statistics of zero and get the score of these. Without labelled rows of both classes
-the score is the smoothed share of label 1. Other columns pass through.
+the score is the smoothed share of label 1. Rows that repeat an id or a text are scored each by itself; which of them teaches is
+told in ``labelled_sample``. Other columns pass through, whatever their names; a column named like the made one is replaced.
 """
 
 from __future__ import annotations
 
 import pickle
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import WordHashes, bound_batches, fit_in_one_task, labelled_sample, window_hashes
+from .common import WordHashes, fit_in_one_task, labelled_sample, window_hashes, with_made
 
 MOST_ROWS = 16_000
 TREES, DEPTH, BINS = 80, 4, 64
@@ -121,19 +121,13 @@ def fit(rows: list[list[float]], labels: np.ndarray) -> bytes:
 
 def score_quality(docs: DataFrame, model: bytes, made: str = "quality") -> DataFrame:
     """``docs`` (text, ...) with the probability of label 1."""
-    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.drop(made)
-    names, text_at = kept.columns, kept.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def maker():
         trees, known = pickle.loads(sent.value), WordHashes()
-        for b in batches:
-            x = np.array([statistics(t, known) for t in b.column(text_at).to_pylist()], np.float64)
-            scores = predict_trees(trees, x) if len(x) else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*names, made])
+        return lambda texts: [pa.array(predict_trees(trees, np.array([statistics(t, known) for t in texts], np.float64)), pa.float64())]
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema, T.StructField(made, T.DoubleType())]))
+    return with_made(docs, "text", T.StructType([T.StructField(made, T.DoubleType())]), maker)
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> bytes:

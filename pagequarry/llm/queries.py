@@ -112,7 +112,7 @@ SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, m.u AS component_id, n.doc_i
 """
 
 OP2_SQL = f"""
-WITH iw AS (SELECT CAST(item_id AS VARCHAR) AS item, {_sql_words("text", _ALNUM, True)} AS ws FROM benchmark),
+WITH iw AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_sql_words("text", _ALNUM, True)} AS ws FROM benchmark),
 win AS (SELECT DISTINCT item, least(len(ws), 10) AS k, array_to_string(ws[i:i + least(len(ws), 10) - 1], ' ') AS g
         FROM (SELECT item, ws, unnest(range(1, greatest(len(ws) - 10, 0) + 2)) AS i FROM iw WHERE len(ws) > 0)),
 dw AS (SELECT doc_id, {_sql_words("text", _ALNUM, True)} AS ws FROM documents),

@@ -4,18 +4,20 @@ Every window of ``k`` consecutive words gets a Rabin-Karp hash. A map task works
 million windows. Inside a block all but the smallest document of a hash are already known to repeat, so a block sends one
 entry per distinct hash (hash, document, position), packed by bucket, and one for each other text of that document; a hash that a third of all documents hold costs one
 entry per block and not one per document. A bucket counts its hashes and finds the smallest document of each; the windows of
-larger documents are marked. The marks return to the documents, where the marked windows merge into maximal removal
-intervals.
+larger documents are marked. The marks return to the documents in groups that follow the texts' bytes, and there the marked windows
+merge into maximal removal intervals. Every bucket and every group is a partition of its own.
 
 Two windows count as equal if their 64-bit hashes and their buckets (from a second, independent hash) agree. As the number of
-buckets follows the input, the odds that a window is taken for another one are about 1e-13, whatever the size of the input.
+buckets follows the input, the odds that a window is taken for another one are about 1e-13, whatever the size of the input: of
+the 1.6e13 windows of 100 TB, one or two would be.
 
 What a block decides and what it sends belong together, so a task that is repeated must see its documents in the same order. It
-does where documents are read from files, as written tables are; write an input whose order isn't fixed before it is cut.
+does where documents are read from files; an input that is anything but a scan of files is written to the shared folder first.
 
 Defined results: a null, empty or short text (fewer than ``k`` words) has no windows and stays as it is. A null id is smaller
 than none and nothing is removed from it. Rows that repeat an id are one document (equal ids are not smaller), each row being
-cut by itself. A window that repeats only inside one document stays. Other columns pass through.
+cut by itself. A window that repeats only inside one document stays. Other columns pass through, whatever their names; columns
+named like the made ones are replaced.
 """
 
 from __future__ import annotations
@@ -29,12 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, batch_of, bound_batches, mix, release, rows_of, window_hashes, words
+from .common import Scratch, WordHashes, batch_of, bound_batches, is_scan, mix, nested, release, rows_of, window_hashes, words
 
 #: Windows of one block of a map task; bounds its memory.
 BLOCK_WINDOWS = 2_000_000
 #: Bytes of text for one bucket, about two million windows.
 BUCKET_BYTES = 12_000_000
+#: Bytes of text whose documents' marks come together in one group.
+GROUP_BYTES = 48_000_000
 #: Rows of bucket >= 0 are entries of that bucket; those of bucket -1 - g are marks for the documents of group g.
 _ENTRY = pa.schema([("bucket", pa.int64()), ("hashes", pa.binary()), ("docs", pa.binary()), ("starts", pa.binary())])
 _MARK = pa.schema([("grp", pa.int64()), ("docs", pa.binary()), ("starts", pa.binary())])
@@ -210,9 +214,11 @@ def removal_marks(docs: DataFrame, k: int) -> DataFrame:
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, partitions, total // BUCKET_BYTES)
-    entries = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text"), "text").mapInArrow(_emit(k, buckets, partitions), "bucket long, hashes binary, docs binary, starts binary")
-    marks = entries.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(partitions), "grp long, docs binary, starts binary")
-    return marks.repartition(partitions, "grp").sortWithinPartitions("grp").mapInArrow(_gather, "doc long, text_key long, starts binary")
+    groups = max(partitions, total // GROUP_BYTES)
+    entries = docs.select("doc_id", F.xxhash64("text"), "text").mapInArrow(_emit(k, buckets, groups), "bucket long, hashes binary, docs binary, starts binary")
+    place = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.pmod(F.xxhash64("bucket"), F.lit(buckets)))  # marks pass through anywhere
+    marks = entries.repartitionById(buckets, place.cast("int")).sortWithinPartitions("bucket").mapInArrow(_count(groups), "grp long, docs binary, starts binary")
+    return marks.repartitionById(groups, F.col("grp").cast("int")).sortWithinPartitions("grp").mapInArrow(_gather, "doc long, text_key long, starts binary")
 
 
 _BLANK = np.zeros(256, bool)
@@ -248,20 +254,25 @@ def substring_dedup(docs: DataFrame, k: int = 13) -> DataFrame:
 
     clean_text is the text without the removed intervals; what separates the kept words stays.
     """
-    bound_batches(docs.sparkSession)
-    marks = removal_marks(docs, k).select(F.col("doc").alias("_doc"), F.col("text_key").alias("_key"), F.col("starts").alias("_marks"))
-    kept = docs.drop(*MADE)
-    rows = kept.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_text_key", F.xxhash64("text")).join(
-        marks, (F.col("_id") == F.col("_doc")) & (F.col("_text_key") == F.col("_key")), "left"
-    ).drop("_id", "_doc", "_text_key", "_key")
-    out = T.StructType([*kept.schema, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("clean_text", T.StringType())])
-    names, text_at, width = kept.columns, kept.columns.index("text"), len(kept.columns)
+    spark = docs.sparkSession
+    bound_batches(spark)
+    own, kept = nested(docs, [*MADE, "text"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), own.alias("own"))
+    if not is_scan(rows):
+        rows = Scratch(spark, "substring-dedup").save(rows, "documents")
+    marks = removal_marks(rows, k).select("doc", "text_key", "starts")
+    rows = rows.withColumn("key", F.xxhash64("text"))
+    rows = rows.join(marks, (F.col("doc_id") == F.col("doc")) & (F.col("key") == F.col("text_key")), "left").select("text", "starts", "own")
+    names = ["own", "text", *MADE]
+    kinds = ("text string", "n_words long", "n_removed long", "removed array<array<long>>", "clean_text string")
+    out = T.StructType([T.StructField("own", rows.schema["own"].dataType), *T.StructType.fromDDL(", ".join(kinds)).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            cut = [_cut(t, m, k, known) for t, m in zip(batch.column(text_at).to_pylist(), batch.column(width).to_pylist(), strict=True)]
+            cut = [_cut(t, m, k, known) for t, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             new = [pa.array([c[i] for c in cut], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *new], names=[*names, *MADE])
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0), *new], names=names)
 
-    return rows.mapInArrow(run, out)
+    left = [c for c in docs.columns if c.lower() not in MADE]
+    return rows.mapInArrow(run, out).select(*(F.col("text").alias(c) if c.lower() == "text" else F.col("own").getField(c).alias(c) for c in left), *MADE)

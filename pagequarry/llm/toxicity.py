@@ -8,13 +8,14 @@ The model is fitted in one task on at most ``MOST_ROWS`` labelled rows outside t
 Every text is scored whole.
 
 Defined results: null and empty texts get the score of the intercept alone. Without labelled rows of both classes the score is
-the smoothed share of label 1 (one half if there are none). Other columns pass through.
+the smoothed share of label 1 (one half if there are none). Rows that repeat an id or a text are scored each by itself; which of
+them teaches is told in ``labelled_sample``. Other columns pass through, whatever their names; a column named like the made one is
+replaced.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import LOWER_WORD, WordHashes, bound_batches, fit_in_one_task, labelled_sample, mix
+from .common import LOWER_WORD, WordHashes, fit_in_one_task, labelled_sample, mix, with_made
 
 MOST_ROWS = 16_000
 DIMENSIONS = 1 << 21
@@ -81,12 +82,9 @@ def fit(prepared: list[tuple[bytes, np.ndarray]], labels: np.ndarray) -> bytes:
 
 def score_toxicity(docs: DataFrame, model: bytes, made: str = "toxicity") -> DataFrame:
     """``docs`` (text, ...) with the probability of label 1."""
-    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most DIMENSIONS weights
-    kept = docs.drop(made)
-    names, text_at = kept.columns, kept.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def maker():
         at, values, bias = pickle.loads(sent.value)
         w = np.zeros(DIMENSIONS, np.float32)
         w[at] = values
@@ -97,11 +95,9 @@ def score_toxicity(docs: DataFrame, model: bytes, made: str = "toxicity") -> Dat
             f = np.unique(f[w[f] != 0])
             return float(1 / (1 + np.exp(-np.clip(w[f].sum(dtype=np.float64) + bias, -35, 35))))
 
-        for b in batches:
-            scores = pa.array([score(t) for t in b.column(text_at).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, scores], names=[*names, made])
+        return lambda texts: [pa.array([score(t) for t in texts], pa.float64())]
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema, T.StructField(made, T.DoubleType())]))
+    return with_made(docs, "text", T.StructType([T.StructField(made, T.DoubleType())]), maker)
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS) -> bytes:

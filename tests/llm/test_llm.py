@@ -170,12 +170,58 @@ def test_decontamination_spans_and_items(spark):
     assert (got[4].n_words, got[4].n_hit, got[5].n_words) == (0, 0, 0)
 
 
-def test_decontamination_in_shards_gives_the_same(spark, sf, monkeypatch):
+def test_decontamination_without_items_or_documents_and_beyond_its_bound(spark, sf):
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
-    one = sorted(map(str, decontaminate.decontaminate(docs, items).select("doc_id", "n_hit", "items", "spans").collect()))
-    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 2000)
-    assert one == sorted(map(str, decontaminate.decontaminate(docs, items).select("doc_id", "n_hit", "items", "spans").collect()))
     assert decontaminate.decontaminate(docs, items.limit(0)).where("n_hit > 0").isEmpty() and decontaminate.decontaminate(empty(spark), items).isEmpty()
+    with pytest.raises(ValueError, match="in parts"):
+        decontaminate.decontaminate(docs, items, most_item_bytes=100)
+
+
+def brute_hits(items, text, window):
+    """(hit words, items) by trying every window at every place."""
+    w, hit, found = decontaminate._normal(text), set(), set()
+    for item, t in items:
+        x = decontaminate._normal(t)
+        k = min(len(x), window)
+        windows = {tuple(x[i : i + k]) for i in range(len(x) - k + 1)} if k else set()
+        for i in range(len(w) - k + 1 if k else 0):
+            if tuple(w[i : i + k]) in windows:
+                hit.update(range(i, i + k))
+                found.add(item)
+    return hit, found
+
+
+@pytest.mark.parametrize("most_places", [0, 1, 16])
+def test_scanner_matches_brute_force(monkeypatch, most_places):
+    monkeypatch.setattr(decontaminate, "MOST_PLACES", most_places)
+    rng = random.Random(21)
+    for window in (1, 2, 5, 10):
+        items = [(str(i), prose(rng, rng.choice([0, 1, 3, 9, 10, 11, 14, 40]), 6)) for i in range(30)]
+        items += [(f"again {i}", t) for i, t in items[:9]]
+        scanner = decontaminate.Scanner(items, window)
+        for _ in range(40):
+            part = rng.choice(items)[1].split()
+            text = " ".join([prose(rng, rng.randrange(12), 6), *part[rng.randrange(4) : len(part) - rng.randrange(4)], prose(rng, 8, 6)])
+            n, spans, found = scanner.scan(text)
+            assert n == len(text.split()) and ({x for a, b in spans for x in range(a, b)}, found) == brute_hits(items, text, window)
+
+
+def test_decontamination_with_megabytes_of_items_is_one_scan(spark):
+    rng = random.Random(22)
+    items = [(i, " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(30_000)}" for _ in range(100))) for i in range(5_000)]
+    size = sum(len(t) for _, t in items)
+    assert 2_500_000 < size < decontaminate.MOST_ITEM_BYTES
+    docs = [(i, "before " + " ".join(items[i][1].split()[17:40]) + " after") for i in range(0, 5_000, 50)] + [(9_000, prose(rng, 500))]
+    scans = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            scans.add(len(b))
+            yield b
+
+    source = spark.createDataFrame(docs, "doc_id long, text string").mapInArrow(seen, "doc_id long, text string")
+    got = decontaminate.decontaminate(source, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert scans.value == len(docs) and all((r.n_hit, r.items) == ((23, [str(r.doc_id)]) if r.doc_id < 9_000 else (0, [])) for r in got)
 
 
 def test_decontamination_keeps_other_columns(spark):
@@ -248,26 +294,34 @@ def test_flat_trees_equal_a_walk_down_each():
 # --- archive ---------------------------------------------------------------------------------------------------------
 
 
-def test_archive_round_trip(spark):
-    pages = [(3, "http://a/x", "<p>é</p>"), (1, "http://a/y z", "<p>é</p>"), (2, None, None), (4, "http://b", ""), (5, "http://c", "solo\r\n\r\nWARC/1.1"), (None, "http://n", "<p>é</p>"), (1, "http://a/again", "<p>é</p>")]
-    rows = warc.read_archive(warc.write_archive(spark.createDataFrame(pages, "page_id long, url string, html string"), Scratch(spark, "w"))).collect()
-    assert len(rows) == 7
+PAGES = "page_id long, url string, html string"
+
+
+@pytest.mark.parametrize("most_broadcast", [0, 200_000])
+def test_archive_round_trip(spark, monkeypatch, most_broadcast):
+    monkeypatch.setattr(warc, "MOST_BROADCAST", most_broadcast)  # both ways to leave out repeated captures
+    pages = [(3, "http://a/x", "<p>é</p>"), (1, "http://a/y z", "<p>é</p>"), (2, None, None), (4, "http://b", ""), (5, "http://c", "solo\r\n\r\nWARC/1.1"), (None, "http://n", "<p>é</p>"), (1, "http://a/again", "<p>é</p>"), (6, "http://d", "x" * 3_000_000)]
+    archive = warc.write_archive(spark.createDataFrame(pages, PAGES).withColumns({"digest": F.lit(1), "payload": F.lit("own")}), Scratch(spark, "w"))
+    rows = warc.read_archive(archive).collect()
+    assert len(rows) == 8 and archive.payloads.count() == 4
+    html = {i: (t or "").encode() for i, _, t in pages}
     for r in rows:
         head, _, rest = bytes(r.record).partition(b"\r\n\r\n")
         n = int(re.search(rb"Content-Length: (\d+)", head)[1])
-        assert head.startswith(b"WARC/1.1\r\n") and rest[n:] == b"\r\n\r\n" and len(rest) == n + 4 and (r.record_type == "revisit" or rest[:n] == bytes(r.payload))
-        assert r.payload_digest == base64.b32encode(hashlib.sha1(bytes(r.payload)).digest()).decode() and r.payload_bytes == len(r.payload)
+        assert head.startswith(b"WARC/1.1\r\n") and rest[n:] == b"\r\n\r\n" and len(rest) == n + 4 and (rest[:n] == html[r.page_id] if r.record_type == "response" else n == 0)
+        assert r.payload_digest == base64.b32encode(hashlib.sha1(html[r.page_id]).digest()).decode() and r.payload_bytes == len(html[r.page_id])
     kinds = Counter((r.page_id, r.record_type, r.refers_to) for r in rows)
-    assert kinds == Counter({(1, "response", None): 2, (3, "revisit", 1): 1, (None, "revisit", 1): 1, (2, "response", None): 1, (4, "revisit", 2): 1, (5, "response", None): 1})
+    assert kinds == Counter({(1, "response", None): 2, (3, "revisit", 1): 1, (None, "revisit", 1): 1, (2, "response", None): 1, (4, "revisit", 2): 1, (5, "response", None): 1, (6, "response", None): 1})
+    assert Counter((r.page_id, r.html) for r in warc.restore_pages(archive).collect()) == Counter((i, t or "") for i, _, t in pages)
 
 
 def test_archive_of_nothing_and_damage(spark):
-    schema = "page_id long, url string, html string"
-    assert warc.read_archive(warc.write_archive(spark.createDataFrame([], schema), Scratch(spark, "w"))).isEmpty()
-    whole = warc.write_archive(spark.createDataFrame([(1, "u", "abc")], schema), Scratch(spark, "w"))
+    assert warc.read_archive(warc.write_archive(spark.createDataFrame([], PAGES), Scratch(spark, "w"))).isEmpty()
+    whole = warc.write_archive(spark.createDataFrame([(1, "u", "abc"), (2, "u", "abc")], PAGES), Scratch(spark, "w"))
     damaged = warc.Archive(whole.payloads.withColumn("payload", F.encode(F.lit("abd"), "UTF-8")), whole.records)
-    with pytest.raises(Exception, match="damaged"):
-        warc.read_archive(damaged).collect()
+    for archive in (damaged, warc.Archive(whole.payloads.limit(0), whole.records)):
+        with pytest.raises(Exception, match="damaged"):
+            warc.read_archive(archive).collect()
 
 
 # --- tokens ----------------------------------------------------------------------------------------------------------
@@ -368,89 +422,98 @@ def test_license_scan(spark):
 
 # --- language model --------------------------------------------------------------------------------------------------
 
+_LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def lm_tokens(text):
+    return [*re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(_LOW)), "\n"]
+
+
+class BruteTree:
+    """The suffix tree by its definition, in dictionaries."""
+
+    def __init__(self, texts, depth):
+        self.c, follow, self.states = Counter(), {}, {}
+        for t in map(lm_tokens, texts):
+            self.c.update(t)
+            for i in range(len(t)):
+                for k in range(1, min(depth, i) + 1):
+                    follow.setdefault(tuple(t[i - k : i]), Counter())[t[i]] += 1
+        self.total, self.kinds, self.depth = sum(self.c.values()), len(self.c), depth
+        for k in range(1, depth + 1):
+            found = {x: f for x, f in follow.items() if len(x) == k and sum(f.values()) >= language_model.LEAST_COUNT and self.gain(x, f) >= language_model.LEAST_GAIN}
+            self.states |= found
+
+    def gain(self, context, f):
+        n = sum(f.values())
+        return sum(m * math.log(m / n / self.p(context[1:], s)) for s, m in f.items())
+
+    def p(self, context, symbol):
+        p = (self.c[symbol] + 1) / (self.total + self.kinds + 1)
+        for k in range(1, len(context) + 1):
+            f = self.states.get(tuple(context[len(context) - k :]))
+            if f is not None:
+                p = (f[symbol] + language_model.SMOOTH * p) / (sum(f.values()) + language_model.SMOOTH)
+        return p
+
+    def score(self, text):
+        t = lm_tokens(text)
+        root = sum(math.log10((self.c[s] + 1) / (self.total + self.kinds + 1)) for s in t)
+        return len(t), sum(s in self.c for s in t), self.total, round(root, 6), round(sum(math.log10(self.p(t[max(0, i - self.depth) : i], s)) for i, s in enumerate(t)), 4)
+
+
+def lm_texts(rng):
+    """Words that depend on the three before them, of which some are rare."""
+    follow = {a: rng.sample(range(60), 2) for a in range(200)}
+    texts = []
+    for i in range(150):
+        w = [rng.randrange(60)]
+        while len(w) < 150:
+            w.append(follow[w[-1]][sum(w[-3:]) % 2] if rng.random() < 0.8 else rng.randrange(200))
+        texts.append((i, " ".join(f"v{x}" for x in w)))
+    return [*texts, (1000, None), (1001, "v1"), (1002, "V1 never v2 v3"), (None, "V1 v2"), (3, texts[3][1])]
+
+
+@pytest.mark.parametrize("depth, hot, block", [(5, 1_000_000, 1_000_000), (4, 30, 2_000)])
+def test_scores_match_the_tree_by_its_definition(spark, monkeypatch, depth, hot, block):
+    """With all contexts whole in one bucket and one block, and with most of them dealt out over many."""
+    monkeypatch.setattr(language_model, "HOT_LEAST", hot)
+    monkeypatch.setattr(language_model, "BLOCK_TOKENS", block)
+    rows = lm_texts(random.Random(12))
+    tree = BruteTree([t for i, t in rows if i is not None and i < 120], depth)
+    assert {len(x) for x in tree.states} >= {1, 2, 3}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = language_model.score_texts(docs, F.col("doc_id") < 120, depth).collect()
+    found = sorted((str(r.doc_id), (r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 4))) for r in got)
+    assert found == sorted((str(i), tree.score(t)) for i, t in rows)
+    if depth == 5:
+        for context in [*rng_contexts(tree), ("v1", "never"), ()]:
+            assert math.isclose(sum(tree.p(context, s) for s in [*tree.c, "unseen"]), 1.0, rel_tol=1e-9)
+        assert sum(r.score for r in got) > 0.9 * sum(r.base_score for r in got)
+
+
+def rng_contexts(tree):
+    return [max(tree.states, key=len), min(tree.states)]
+
 
 def test_base_scores_match_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(10_001, None), (10_002, ""), (None, "the x"), (3, "again")], "doc_id long, text string"))
     rows = docs.collect()
-    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    tokens = [[*re.findall(r"[^\x20\x09-\x0D]+", (r.text or "").translate(low)), "\n"] for r in rows]
+    tokens = [lm_tokens(r.text) for r in rows]
     fold = [zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 7 for r in rows]
     c = Counter(t for ts, f in zip(tokens, fold) if f != 2 for t in ts)
     n, v = sum(c.values()), len(c)
     want = sorted((str(r.doc_id), len(ts), sum(t in c for t in ts), n, round(sum(math.log10((c[t] + 1) / (n + v + 1)) for t in ts), 6)) for r, ts in zip(rows, tokens))
-    got = language_model.score_texts(docs, language_model.training_rows(docs)).collect()
+    got = language_model.score_texts(docs, language_model.teaching(), 2).collect()
     assert sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
     assert all(r.score < 0 for r in got)
 
 
-def test_tree_predicts_better_than_its_root_and_sums_to_one(spark):
-    rng = random.Random(8)
-    follow = {(a, b): rng.sample(range(12), 2) for a in range(12) for b in range(12)}
-    texts = []
-    for i in range(300):
-        w = [rng.randrange(12), rng.randrange(12)]
-        for _ in range(80):
-            w.append(rng.choice(follow[w[-2], w[-1]]) if rng.random() < 0.8 else rng.randrange(12))
-        texts.append((i, " ".join(f"v{x}" for x in w)))
-    docs = spark.createDataFrame(texts, "doc_id long, text string")
-    rows = language_model.score_texts(docs, language_model.training_rows(docs)).collect()
-    assert sum(r.score for r in rows) > 0.85 * sum(r.base_score for r in rows)
-    # the distribution after any two words sums to one over the vocabulary and one unknown token
-    known = WordHashes()
-    parts = [language_model.tokens_of(t, known) for _, t in texts]
-    h, n = np.unique(np.concatenate(parts), return_counts=True)
-    total, kinds = int(n.sum()), len(h)
-    keys = np.concatenate([language_model._contexts(h)(t, known)[0] for _, t in texts])
-    k, kn = np.unique(keys, return_counts=True)
-    tree = language_model.grow(h, n, k, kn, total, kinds)
-    assert len(tree.one_keys) and len(tree.two_contexts) and (tree.one_left < 1).any()
-    root = (n + 1) / (total + kinds + 1)
-    for a, b in ((0, 1), (3, 7), *[divmod(int(x), 1 << 11) for x in tree.two_contexts[:5]]):
-        p = 0.0
-        for s in range(kinds):
-            p += language_model.probabilities(tree, h[[a, b, s]], root[[a, b, s]], np.array([0]))[2]
-        p += language_model.probabilities(tree, np.array([h[a], h[b], 12345], np.uint64), np.array([root[a], root[b], 1 / (total + kinds + 1)]), np.array([0]))[2]
-        assert math.isclose(p, 1.0, rel_tol=1e-9)
-
-
 def test_language_model_on_odd_rows(spark):
     docs = odd_docs(spark)
-    assert language_model.score_texts(docs, language_model.training_rows(docs)).where("score <= 0").count() == 13
-    assert all(r.score == 0 and r.n_known == 0 for r in language_model.score_texts(docs, empty(spark)).where("n_tokens = 1").collect())
-    assert language_model.score_texts(empty(spark), docs).isEmpty() and language_model.score_texts(empty(spark), empty(spark)).isEmpty()
-
-
-def test_every_word_and_context_enters_the_tree(spark, monkeypatch):
-    """Against the tree in memory; many words, and nearly all pairs, have less than a share of 5e-4."""
-    rng = random.Random(12)
-    follow = {a: rng.sample(range(1900), 2) for a in range(1900)}
-    texts = []
-    for i in range(420):
-        w = [rng.randrange(1900)]
-        while len(w) < 1200:
-            w.append(follow[w[-1]][sum(w[-2:]) % 2] if rng.random() < 0.9 else rng.randrange(1900))
-        texts.append((i, " ".join(f"v{x}" for x in w)))
-    docs = spark.createDataFrame([*texts, (1000, None), (1001, "v1"), (1002, "v1 never v2 v3")], "doc_id long, text string")
-    training = docs.where("doc_id < 400")
-    known = WordHashes()
-    parts = [language_model.tokens_of(t, known) for i, t in texts if i < 400]
-    h, n = np.unique(np.concatenate(parts), return_counts=True)
-    total, kinds = int(n.sum()), len(h)
-    assert (n < 5e-4 * total).sum() > 500
-    k, kn = np.unique(np.concatenate([language_model._contexts(h)(t, known)[0] for i, t in texts if i < 400]), return_counts=True)
-    tree = language_model.grow(h, n, k[kn >= 2], kn[kn >= 2], total, kinds)
-    assert len(tree.two_contexts) and (tree.one_left < 1).sum() > 1000
-    want = {}
-    for i, t in [(r.doc_id, r.text) for r in docs.collect()]:
-        x = language_model.tokens_of(t, known)
-        at = language_model._find(h, x)
-        root = (np.where(at >= 0, n[at], 0) + 1) / (total + kinds + 1)
-        want[i] = round(float(np.log10(language_model.probabilities(tree, x, root, np.array([0]))).sum()), 6)
-    for share, block in ((2e-6, 2_000_000), (2e-4, 30_000)):  # all values broadcast, and few of them; one block and several
-        monkeypatch.setattr(language_model, "HEAD_SHARE", share)
-        monkeypatch.setattr(language_model, "HEAD_GRAMS", share)
-        monkeypatch.setattr(language_model, "BLOCK_GRAMS", block)
-        assert {r.doc_id: round(r.score, 6) for r in language_model.score_texts(docs, training).collect()} == want
+    assert language_model.score_texts(docs, language_model.teaching(), 3).where("score <= 0").count() == 13
+    assert all(r.score == 0 and r.n_known == 0 for r in language_model.score_texts(docs, F.lit(None).cast("boolean")).where("n_tokens = 1").collect())
+    assert language_model.score_texts(empty(spark), language_model.teaching()).isEmpty()
 
 
 # --- whole queries ---------------------------------------------------------------------------------------------------
