@@ -8,89 +8,197 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagequarry.functions.text import search_terms
+from pagequarry.sources.shared import shared_path
 
-#: Query vectors that go to the vectors at once, and asked terms that go to the documents.
-QUERY_BLOCK = 2_000
+#: Queries that meet a batch in one matrix product, and rows of a batch that do.
+QUERY_BLOCK, ROW_BLOCK = 2_000, 1_000
+#: Queries that one pass over the documents or vectors answers; more are answered in several passes.
+MOST_QUERIES = 100_000
 MOST_BROADCAST_TERMS = 500_000
 
 
 @dataclass(frozen=True)
 class Bm25Index:
-    docs: DataFrame  # doc_id
-    postings: DataFrame  # doc_id, term, tf, dl
+    docs: DataFrame  # doc_id, dl, terms: array of (term, tf)
     terms: DataFrame  # term, df
     stats: DataFrame  # one row: n_docs, avgdl
 
+    @property
+    def postings(self) -> DataFrame:
+        """doc_id, term, tf, dl"""
+        return self.docs.select("doc_id", "dl", F.explode("terms").alias("t")).select("doc_id", "t.term", "t.tf", "dl")
+
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term, qtf) of queries (query_id, text)."""
     return queries.select("query_id", F.explode(search_terms(F.coalesce("text", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
+def _counted(asked):
+    """(doc_id, dl, terms) from (doc_id, terms as they stand); with ``asked``, of these terms alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = None if asked is None else pa.array(asked.value, pa.string())
+        for b in batches:
+            lists = b.column(1)
+            sizes = np.diff(lists.offsets.to_numpy())
+            words, row = lists.flatten(), np.repeat(np.arange(len(b)), sizes)
+            if wanted is not None:
+                kept = pc.is_in(words, wanted)
+                words, row = words.filter(kept), row[kept.to_numpy(zero_copy_only=False)]
+            coded = words.dictionary_encode()
+            kinds = max(1, len(coded.dictionary))
+            key, tf = np.unique(row * kinds + coded.indices.to_numpy(), return_counts=True)
+            offsets = np.searchsorted(key // kinds, np.arange(len(b) + 1))
+            terms = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(key % kinds)), pa.array(tf.astype(np.int64))], names=["term", "tf"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), terms)], names=["doc_id", "dl", "terms"])
+
+    return run
+
+
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", queries: DataFrame | None = None) -> Bm25Index:
-    """Postings, document frequencies and corpus statistics over all documents, those without terms included.
+    """Terms of each document, document frequencies and corpus statistics over all documents, those without terms included.
 
-    With ``queries``, the index holds only what these ask for: other terms go before anything is shuffled. The asked terms are
-    broadcast if there are at most ``MOST_BROADCAST_TERMS``, else joined.
+    Texts are tokenised once, in as many tasks as there are cores at least, and the index is written to the shared folder. With
+    ``queries``, it holds only what these ask for, if they ask for at most ``MOST_BROADCAST_TERMS`` terms.
     """
-    tokens = docs.select(F.col(doc_id).alias("doc_id"), search_terms(F.coalesce(F.col(text), F.lit(""))).alias("terms"))
-    sized = tokens.select("doc_id", F.size("terms").alias("dl"), "terms")
-    stats = sized.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    places = sized.select("doc_id", "dl", F.explode("terms").alias("term"))
+    spark = docs.sparkSession
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    if rows.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        rows = rows.repartition(spark.sparkContext.defaultParallelism)
+    asked = None
     if queries is not None:
-        asked = query_terms(queries).select("term").distinct()
-        few = asked.limit(MOST_BROADCAST_TERMS + 1).count() <= MOST_BROADCAST_TERMS
-        places = places.join(F.broadcast(asked) if few else asked, "term", "left_semi")
-    postings = places.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    return Bm25Index(docs.select(F.col(doc_id).alias("doc_id")), postings, postings.groupBy("term").agg(F.count("*").alias("df")), stats)
+        wanted = query_terms(queries).select("term").distinct().limit(MOST_BROADCAST_TERMS + 1).toArrow().column(0).to_pylist()
+        if len(wanted) <= MOST_BROADCAST_TERMS:
+            asked = spark.sparkContext.broadcast(wanted)
+    kind = docs.schema[doc_id].dataType.simpleString()
+    tokens = rows.select("doc_id", F.coalesce(search_terms(F.coalesce("text", F.lit(""))), F.array().cast("array<string>")).alias("terms"))
+    path = shared_path(spark, "bm25-index")
+    tokens.mapInArrow(_counted(asked), f"doc_id {kind}, dl int, terms array<struct<term: string, tf: bigint>>").write.parquet(f"{path}/docs")
+    return _index(spark, path)
+
+
+def _index(spark: SparkSession, path: str) -> Bm25Index:
+    held = spark.read.parquet(f"{path}/docs")
+    df = held.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    df.write.mode("overwrite").parquet(f"{path}/terms")
+    held.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/stats")
+    return load_index(spark, path)
 
 
 def save_index(index: Bm25Index, path: str) -> None:
-    """Write an index as Parquet; postings lie in ranges of terms, so that a few terms' postings are found by file statistics."""
-    index.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    index.terms.write.mode("overwrite").parquet(f"{path}/terms")
-    index.stats.write.mode("overwrite").parquet(f"{path}/stats")
-    index.docs.write.mode("overwrite").parquet(f"{path}/docs")
+    """Write an index as Parquet to a place of its own."""
+    for name in ("docs", "terms", "stats"):
+        getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def load_index(spark: SparkSession, path: str) -> Bm25Index:
-    return Bm25Index(*(spark.read.parquet(f"{path}/{name}") for name in ("docs", "postings", "terms", "stats")))
-
+    return Bm25Index(*(spark.read.parquet(f"{path}/{name}") for name in ("docs", "terms", "stats")))
 
-def bm25_scores(index: Bm25Index, queries: DataFrame, k1: float = 1.5, b: float = 0.75, delta: float = 1.0, fill: int = 0) -> DataFrame:
-    """(query_id, doc_id, score) for every document that shares a term with a query (query_id, text).
 
-    A document that shares none has the query's base score alone. With ``fill``, enough of these come too, by the smallest ids,
-    for every query to have ``fill`` documents.
-    """
+def _weights(index: Bm25Index, queries: DataFrame) -> DataFrame:
+    """(query_id, term, w, avgdl)"""
     known = query_terms(queries).join(index.terms, "term").crossJoin(F.broadcast(index.stats))  # one row of statistics
-    weighted = known.select("query_id", "term", (F.col("qtf") * F.ln((F.col("n_docs") + 1) / F.col("df"))).alias("w"), "avgdl")
+    return known.select("query_id", "term", (F.col("qtf") * F.ln((F.col("n_docs") + 1) / F.col("df"))).alias("w"), "avgdl")
+
+
+def bm25_scores(index: Bm25Index, queries: DataFrame, k1: float = 1.5, b: float = 0.75, delta: float = 1.0) -> DataFrame:
+    """(query_id, doc_id, score) for every document that shares a term with a query (query_id, text): a row for each such pair."""
+    weighted = _weights(index, queries)
     base = weighted.groupBy("query_id").agg(F.sum(F.col("w") * delta).alias("base"))
     gain = F.col("w") * F.col("tf") * (k1 + 1) / (k1 * (1 - b + b * F.col("dl") / F.col("avgdl")) + F.col("tf"))
-    shared = index.postings.join(weighted, "term").select("query_id", "doc_id", gain.alias("gain"))
-    if fill:
-        first = index.docs.orderBy("doc_id").limit(fill)  # any query's best documents lie among its matches and these
-        shared = shared.union(queries.select("query_id").crossJoin(F.broadcast(first)).select("query_id", "doc_id", F.lit(0.0)))
-    summed = shared.groupBy("query_id", "doc_id").agg(F.sum("gain").alias("gain")).join(base, "query_id", "left")
+    summed = index.postings.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.sum(gain).alias("gain")).join(base, "query_id", "left")
     return summed.select("query_id", "doc_id", F.round(F.col("gain") + F.coalesce("base", F.lit(0.0)), 9).alias("score"))
 
 
+def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's best k positive scores; ties with the k-th stay."""
+    keep = min(k, scores.shape[1])
+    floor = np.partition(scores, scores.shape[1] - keep, axis=1)[:, scores.shape[1] - keep]
+    return np.nonzero(scores >= floor[:, None])
+
+
+def _passes(queries: DataFrame) -> Iterator[DataFrame]:
+    """The queries in parts of about ``MOST_QUERIES``."""
+    n = max(1, -(-queries.count() // MOST_QUERIES))
+    for i in range(n):
+        yield queries if n == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)
+
+
 def top_k(scores: DataFrame, k: int, *ties: Column, score: str = "score", query: str = "query_id") -> DataFrame:
     """The k best rows of each query with their rank from 1."""
     order = [F.col(score).desc(), *(ties or (F.col("doc_id"),))]
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def bm25_top_k(index: Bm25Index, queries: DataFrame, k: int = 15) -> DataFrame:
-    """(query_id, doc_id, score, rank) of the k best documents, those that share no term last, by their ids."""
-    return top_k(bm25_scores(index, queries, fill=k), k)
+def bm25_top_k(index: Bm25Index, queries: DataFrame, k: int = 15, k1: float = 1.5, b: float = 0.75, delta: float = 1.0) -> DataFrame:
+    """(query_id, doc_id, score, rank) of the k best documents, those that share no term last, by their ids.
+
+    The queries' weights go to the documents; a batch of these scores itself against a block of queries in one product and keeps
+    its own best k for each, so that no row for each pair of a query and a document is made.
+    """
+    spark = queries.sparkSession
+    stats = index.stats.first()
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("doc_id", index.docs.schema["doc_id"].dataType), T.StructField("score", T.DoubleType())])
+    average = float(stats["avgdl"] or 0.0)
+
+    def scored(sent):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, term_at, query_of, term_of, w = sent.value
+            known = pa.array(term_at, pa.string())
+            for batch in batches:
+                for b_ in (batch.slice(i, ROW_BLOCK) for i in range(0, len(batch), ROW_BLOCK)):
+                    lists = b_.column(2)
+                    offsets = lists.offsets.to_numpy()
+                    flat = lists.flatten()
+                    at = pc.index_in(flat.field(0), known)
+                    row = np.repeat(np.arange(len(b_)), np.diff(offsets))
+                    found = at.is_valid().to_numpy(zero_copy_only=False)
+                    at = at.fill_null(0).to_numpy()[found]
+                    row, tf = row[found], flat.field(1).to_numpy()[found].astype(np.float64)
+                    if not len(at):
+                        continue
+                    dl = b_.column(1).to_numpy().astype(np.float64)
+                    x = tf * (k1 + 1) / (k1 * (1 - b + b * dl[row] / average) + tf)
+                    here, column = np.unique(at, return_inverse=True)  # the terms of this batch alone
+                    terms = np.zeros((len(here), len(b_)))
+                    terms[column, row] = x
+                    place = np.searchsorted(here, term_of)
+                    used = (place < len(here)) & (here[np.minimum(place, len(here) - 1)] == term_of)
+                    for first in range(0, len(ids), QUERY_BLOCK):
+                        of = used & (query_of >= first) & (query_of < first + QUERY_BLOCK)
+                        matrix = np.zeros((min(QUERY_BLOCK, len(ids) - first), len(here)))
+                        matrix[query_of[of] - first, place[of]] = w[of]
+                        gains = matrix @ terms
+                        q, d = _best(gains, k)
+                        some = gains[q, d] > 0
+                        q, d = q[some], d[some]
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(q + first)), b_.column(0).take(pa.array(d)), pa.array(gains[q, d])], names=schema.names)
+
+        return run
+
+    parts = []
+    for some in _passes(queries.select("query_id", "text").where("query_id IS NOT NULL")):
+        weights = _weights(index, some).select("query_id", "term", "w").toArrow()
+        ids, terms = (weights.column(c).combine_chunks().dictionary_encode() for c in (0, 1))
+        sent = spark.sparkContext.broadcast((ids.dictionary, terms.dictionary.to_pylist(), ids.indices.to_numpy(), terms.indices.to_numpy(), weights.column(2).to_numpy()))
+        parts.append(index.docs.select("doc_id", "dl", "terms").mapInArrow(scored(sent), schema))
+    gains = reduce(DataFrame.union, parts)
+    first = index.docs.select("doc_id").orderBy("doc_id").limit(k)  # any query's best documents lie among its matches and these
+    fill = queries.select("query_id").where("query_id IS NOT NULL").crossJoin(F.broadcast(first)).select("query_id", "doc_id", F.lit(0.0).alias("score"))
+    base = _weights(index, queries).groupBy("query_id").agg(F.sum(F.col("w") * delta).alias("base"))
+    best = gains.union(fill).groupBy("query_id", "doc_id").agg(F.max("score").alias("gain")).join(base, "query_id", "left")
+    return top_k(best.select("query_id", "doc_id", F.round(F.col("gain") + F.coalesce("base", F.lit(0.0)), 9).alias("score")), k)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -101,41 +209,40 @@ def dot(a: Column, b: Column) -> Column:
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 15) -> DataFrame:
     """(query_id, doc_id, score, rank) of queries (query_id, vector) against all vectors (doc_id, vector), exactly.
 
-    Queries come in blocks of at most ``QUERY_BLOCK``, which are broadcast; a batch of vectors meets a block in one matrix
-    product and keeps its own best k for each query, so what is shuffled is a small share of the pairs. Rows without id or
-    vector match nothing.
+    All vectors are read once for up to ``MOST_QUERIES`` queries, which are broadcast. A batch of vectors meets the queries block by
+    block in matrix products and keeps its own best k for each query, so what is shuffled is a small share of the pairs. Ids may
+    have any type. Rows without id or vector match nothing.
     """
     spark = vectors.sparkSession
-    schema = f"query_id long, doc_id {vectors.schema['doc_id'].dataType.simpleString()}, score double"
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("doc_id", vectors.schema["doc_id"].dataType), T.StructField("score", T.DoubleType())])
     rows = vectors.where("doc_id IS NOT NULL AND vector IS NOT NULL").select("doc_id", "vector")
-    asked = queries.where("query_id IS NOT NULL AND vector IS NOT NULL").select(F.col("query_id").cast("long").alias("query_id"), "vector")
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
 
-    def scores(block):
+    def matrix_of(column) -> np.ndarray:
+        flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        return flat.reshape(len(column), -1)
+
+    def scores(sent):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, matrix = block.value
-            for b in batches:
-                if not len(b) or not len(ids):
+            ids, matrix = sent.value
+            for batch in batches:
+                if not len(ids):
                     continue
-                own = np.array(b.column(1).to_pylist(), np.float64)
-                product = np.round(matrix @ own.T, 9)
-                keep = min(k, len(b))
-                floor = np.partition(product, len(b) - keep, axis=1)[:, len(b) - keep]  # ties with the k-th stay
-                q, d = np.nonzero(product >= floor[:, None])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), b.column(0).take(pa.array(d)), pa.array(product[q, d])], names=["query_id", "doc_id", "score"])
+                for b in (batch.slice(i, ROW_BLOCK) for i in range(0, len(batch), ROW_BLOCK)):
+                    own = matrix_of(b.column(1))
+                    for first in range(0, len(ids), QUERY_BLOCK):
+                        product = np.round(matrix[first : first + QUERY_BLOCK] @ own.T, 9)
+                        q, d = _best(product, k)
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(q + first)), b.column(0).take(pa.array(d)), pa.array(product[q, d])], names=schema.names)
 
         return run
 
     parts = []
-    for i in range(blocks):
-        block = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)).collect()  # QUERY_BLOCK rows or about as many
-        matrix = np.array([r["vector"] for r in block], np.float64)
-        sent = spark.sparkContext.broadcast((np.array([r["query_id"] for r in block], np.int64), matrix))
-        parts.append(rows.mapInArrow(scores(sent), schema))
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.union(p)
-    return top_k(scored, k)
+    for some in _passes(queries.where("query_id IS NOT NULL AND vector IS NOT NULL").select("query_id", "vector")):
+        asked = some.toArrow().combine_chunks()
+        ids = asked.column(0).combine_chunks() if len(asked) else pa.nulls(0)
+        matrix = matrix_of(asked.column(1).combine_chunks()) if len(asked) else np.zeros((0, 0))
+        parts.append(rows.mapInArrow(scores(spark.sparkContext.broadcast((ids, matrix))), schema))
+    return top_k(reduce(DataFrame.union, parts), k)
 
 
 def fuse_ranks(dense: DataFrame, sparse: DataFrame, k: int = 60) -> DataFrame:

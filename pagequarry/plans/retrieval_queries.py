@@ -84,7 +84,6 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
 
 
-_SPARSE_LIST = "sk AS (SELECT query_id, (doc_id * 7 + query_id) % 500 AS doc_id, 1.0 / rank AS score, rank FROM dk)"
 _FUSED = """
 fu AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, round(coalesce(1.0::DOUBLE / (60 + a.rank), 0.0::DOUBLE) + coalesce(1.0::DOUBLE / (60 + b.rank), 0.0::DOUBLE), 9) AS rrf,
   a.score AS ds, b.score AS ss, a.rank AS ra, b.rank AS rb FROM {a} a FULL JOIN {b} b ON a.query_id = b.query_id AND a.doc_id = b.doc_id),
@@ -92,27 +91,29 @@ fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, ra
 """
 
 
-@query(f"WITH {_DENSE}, {_SPARSE_LIST}, {_FUSED.format(a='dk', b='sk')} SELECT query_id, doc_id, rrf, CAST(coalesce(ra, 0) AS INTEGER) AS rank_dense, CAST(coalesce(rb, 0) AS INTEGER) AS rank_sparse, CAST(rank AS INTEGER) AS rank FROM fr")
-def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dense = r.dense_top_k(vectors_of(spark, sf_dir), vector_queries(spark, sf_dir))
-    sparse = dense.select("query_id", ((F.col("doc_id") * 7 + F.col("query_id")) % 500).alias("doc_id"), (1.0 / F.col("rank")).alias("score"), "rank")
-    return r.fuse_ranks(dense, sparse).select("query_id", "doc_id", "rrf", "rank_dense", "rank_sparse", "rank")
-
-
 # --- texts and vectors that share an id ------------------------------------------------------------------------------
 
 _JOINT = f"""
-joint AS (SELECT doc_id, text, embedding FROM documents JOIN embeddings ON vec_id = doc_id),
+joint AS (SELECT doc_id, text, embedding FROM documents LEFT JOIN embeddings ON vec_id = doc_id),
 {BM25_SQL.replace("INPUT_DOCS", "joint")},
 jq AS (SELECT item_id AS query_id, embedding AS v FROM benchmark JOIN embeddings ON vec_id = item_id),
-js AS (SELECT query_id, doc_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])), 9) AS score FROM joint, jq),
+js AS (SELECT query_id, doc_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])), 9) AS score FROM joint, jq WHERE embedding IS NOT NULL),
 jd AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM js QUALIFY rank <= 15)
 """
 
 
 def joint(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    chunks = docs_of(spark, sf_dir).join(vectors_of(spark, sf_dir), "doc_id")
-    return chunks, asked(spark, sf_dir).join(vectors_of(spark, sf_dir).withColumnRenamed("doc_id", "query_id"), "query_id")
+    """All texts and all questions, with vectors where there are any."""
+    chunks = docs_of(spark, sf_dir).join(vectors_of(spark, sf_dir), "doc_id", "left")
+    return chunks, asked(spark, sf_dir).join(vectors_of(spark, sf_dir).withColumnRenamed("doc_id", "query_id"), "query_id", "left")
+
+
+@query(f"WITH {_JOINT}, {_FUSED.format(a='jd', b='bmk')} SELECT query_id, doc_id, rrf, CAST(coalesce(ra, 0) AS INTEGER) AS rank_dense, CAST(coalesce(rb, 0) AS INTEGER) AS rank_sparse, CAST(rank AS INTEGER) AS rank FROM fr")
+def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lists of both retrievers, each fifteen long."""
+    chunks, questions = joint(spark, sf_dir)
+    dense, sparse = r.dense_top_k(chunks, questions), r.bm25_top_k(index_of(spark, sf_dir), questions)
+    return r.fuse_ranks(dense, sparse).select("query_id", "doc_id", "rrf", "rank_dense", "rank_sparse", "rank")
 
 
 def _retrieved(spark: SparkSession, sf_dir: str, mode: str, route: str = "fast") -> DataFrame:

@@ -75,33 +75,50 @@ class Hooks:
     route: Callable[[Column], Column] = route_words
     score: Callable[[Column, Column], Column] = r.overlap_score
     generate: Callable[[Column, Column, Column], Column] = extract_answer
+    embed: Callable[[DataFrame], DataFrame] | None = None  # rows with text to rows with text and vector
 
 
 @dataclass(frozen=True)
 class Workflow:
-    """Chunks have doc_id, text, source_doc and page_number; the index is built once."""
+    """Chunks have doc_id, text, source_doc and page_number, and a vector where dense retrieval shall find them.
+
+    The index is built once and written. Questions may bring a ``vector``; where they don't, ``hooks.embed`` gives them one if it is
+    set. A question without a vector is answered by the sparse list alone. ``mode`` is one of ``retrieval.retrieve``.
+    """
 
     chunks: DataFrame
     index: r.Bm25Index
     hooks: Hooks = field(default_factory=Hooks)
     settings: r.Settings = field(default_factory=r.Settings)
+    mode: str = "hybrid"
 
     def route(self, questions: DataFrame) -> DataFrame:
         route, confidence = parse_route(self.hooks.route(F.col("text")))
         return questions.withColumns({"route": route, "confidence": confidence})
 
+    def _found(self, queries: DataFrame, route: str) -> DataFrame:
+        """Ranked chunks of queries (query_id, text, vector or none)."""
+        if self.hooks.embed is not None and "vector" not in queries.columns:
+            queries = self.hooks.embed(queries)
+        dense = "vector" in queries.columns and "vector" in self.chunks.columns
+        ranked = r.retrieve(self.chunks, queries, self.mode if dense else "sparse_only", route, self.settings, self.index)
+        return ranked.select("query_id", "doc_id", "rank")
+
     def _texts(self, ranked: DataFrame, questions: DataFrame) -> DataFrame:
         return ranked.join(self.chunks.select("doc_id", "text", "source_doc", "page_number"), "doc_id").join(questions.select("query_id", F.col("text").alias("query_text")), "query_id")
 
     def fast(self, questions: DataFrame) -> DataFrame:
         """Reranked chunks of each question, without a threshold."""
-        found = r.bm25_top_k(self.index, questions, self.settings.sparse_k)
-        return r.rerank(self._texts(found.where(F.col("rank") <= self.settings.final_fast), questions), self.settings.final_fast, scorer=self.hooks.score)
+        found = self._found(questions, "fast")
+        return r.rerank(self._texts(found, questions), self.settings.final_fast, scorer=self.hooks.score)
 
     def slow(self, questions: DataFrame, subtasks: DataFrame) -> DataFrame:
         """Reranked chunks of each question, over the queries of its sub-tasks (query_id, pos, description, strategy, key_terms)."""
-        planned = plan_queries(subtasks, "query_id").select(F.concat_ws("/", F.col("query_id").cast("string"), F.col("pos").cast("string")).alias("query_id"), F.col("query_id").alias("question_id"), F.col("query").alias("text"))
-        found = r.bm25_top_k(self.index, planned, self.settings.final_slow).join(planned.select("query_id", "question_id"), "query_id")
+        number = F.concat_ws("/", F.col("query_id").cast("string"), F.col("pos").cast("string"))
+        planned = plan_queries(subtasks, "query_id").select(number.alias("query_id"), F.col("query_id").alias("question_id"), F.col("query").alias("text"))
+        if self.hooks.embed is None and "vector" in questions.columns:  # a sub-task's query takes its question's vector
+            planned = planned.join(questions.select(F.col("query_id").alias("question_id"), "vector"), "question_id", "left")
+        found = self._found(planned, "slow").join(planned.select("query_id", "question_id"), "query_id")
         fused = r.fuse_queries(found, "question_id", self.settings.rrf_k, self.settings.final_slow).withColumnRenamed("question_id", "query_id")
         return r.rerank(self._texts(fused, questions), self.settings.final_slow, scorer=self.hooks.score)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagequarry.operators import retrieval as r
 from pagequarry.plans import workflow as w
 from pagequarry.plans.catalog import COLLECTION_SQL, collection, query, table
-from pagequarry.plans.retrieval_queries import _BM25, _terms_of, asked, docs_of
+from pagequarry.plans.retrieval_queries import _FUSED, _JOINT, _terms_of, asked, docs_of, joint, vectors_of
 from pagequarry.sources import collections as c
 from pagequarry.sources.shared import shared_path
 
@@ -67,13 +67,13 @@ def eval_jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(rows.schema).json(path).select("line", "answer", F.size("contexts").alias("n_contexts"))
 
 
-@query("SELECT a.item_id AS line, len(a.text) AS n_answer, len(d.text) AS n_context, d.source AS question FROM benchmark a JOIN documents d ON d.doc_id = a.item_id WHERE a.item_id < 30")
+@query("SELECT a.item_id AS line, len(a.text) AS n_answer, len(d.text) AS n_context, d.source AS question FROM benchmark a JOIN documents d ON d.doc_id = a.item_id")
 def eval_align_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers, contexts and questions by their line; the shortest input, of thirty lines, ends them all."""
+    """Answers, contexts and questions by their line; the shortest input ends them all."""
     answers = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("line"), F.length("text").cast("long").alias("n_answer"))
     docs = table(spark, sf_dir, "documents")
     contexts = docs.select(F.col("doc_id").alias("line"), F.length("text").cast("long").alias("n_context"))
-    questions = docs.where("doc_id < 30").select(F.col("doc_id").alias("line"), F.col("source").alias("question"))
+    questions = docs.select(F.col("doc_id").alias("line"), F.col("source").alias("question"))
     return c.align_by_position(answers, contexts, questions)
 
 
@@ -142,31 +142,36 @@ def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _workflow(spark: SparkSession, sf_dir: str) -> w.Workflow:
-    chunks = collection(spark, sf_dir).withColumnRenamed("chunk_id", "doc_id")
+    chunks = collection(spark, sf_dir).withColumnRenamed("chunk_id", "doc_id").join(vectors_of(spark, sf_dir), "doc_id", "left")
     return w.Workflow(chunks, r.build_index(docs_of(spark, sf_dir), queries=_probes(spark, sf_dir)))
 
 
+def _questions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joint(spark, sf_dir)[1]
+
+
 _RERANK = """
 cd AS (SELECT p.query_id, p.doc_id, coalesce(d.text, '') AS text, d.source, 1 + d.doc_id % 50 AS page, b.text AS qt FROM {pool} p JOIN documents d ON d.doc_id = p.doc_id JOIN benchmark b ON b.item_id = p.query_id),
 cs AS (SELECT *, list_distinct({x}) AS x, list_distinct({y}) AS y FROM cd),
 cj AS (SELECT *, coalesce(round(CAST(len(list_intersect(x, y)) AS DOUBLE) / nullif(len(list_distinct(list_concat(x, y))), 0), 9), 0.0) AS j FROM cs),
 cr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY j DESC, doc_id) AS rank FROM cj)
 """.replace("{x}", _terms_of("coalesce(text, '')")).replace("{y}", _terms_of("coalesce(qt, '')"))
-_FASTP = f"{_BM25}, fp AS (SELECT * FROM bmk WHERE rank <= 6), {_RERANK.replace('{pool}', 'fp')}"
+_FASTP = f"{_JOINT}, {_FUSED.format(a='jd', b='bmk')}, fp AS (SELECT * FROM fr WHERE rank <= 6), {_RERANK.replace('{pool}', 'fp')}"
 
 
 @query(f"WITH {_FASTP} SELECT query_id, doc_id, round(j, 4) AS rerank_score, CAST(rank AS INTEGER) AS rank FROM cr")
 def fast_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _workflow(spark, sf_dir).fast(asked(spark, sf_dir)).select("query_id", "doc_id", F.round("rerank_score", 4).alias("rerank_score"), "rank")
+    return _workflow(spark, sf_dir).fast(_questions_of(spark, sf_dir)).select("query_id", "doc_id", F.round("rerank_score", 4).alias("rerank_score"), "rank")
 
 
 @query(f"WITH {_FASTP} SELECT query_id, CAST(rank AS INTEGER) AS rank, source AS source_doc, page AS page_number, substr(text, 1, 200) AS text FROM cr")
 def citation_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return w.build_citations(_workflow(spark, sf_dir).fast(asked(spark, sf_dir)), "query_id")
+    return w.build_citations(_workflow(spark, sf_dir).fast(_questions_of(spark, sf_dir)), "query_id")
 
 
-_SLOWP = f"""{_BM25.replace("item_id AS query_id, unnest(", "item_id * 2 + h AS query_id, unnest(").replace("FROM benchmark) GROUP BY ALL", "FROM (SELECT item_id, h, CASE h WHEN 0 THEN text ELSE source_text END AS text FROM (SELECT item_id, text, 'the ' || substr(text, 1, 30) || ' (FY2024)' AS source_text FROM benchmark), range(0, 2) g(h))) GROUP BY ALL")},
-m AS (SELECT query_id // 2 AS query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf, min((query_id, rank)) AS f FROM bmk WHERE rank <= 8 GROUP BY 1, 2),
+_SLOWP = f"""{_JOINT.replace("item_id AS query_id, unnest(", "item_id * 2 + h AS query_id, unnest(").replace("FROM benchmark) GROUP BY ALL", "FROM (SELECT item_id, h, CASE h WHEN 0 THEN text ELSE source_text END AS text FROM (SELECT item_id, text, 'the ' || substr(text, 1, 30) || ' (FY2024)' AS source_text FROM benchmark), range(0, 2) g(h))) GROUP BY ALL")},
+jh AS (SELECT * REPLACE (query_id * 2 + h AS query_id) FROM jd, range(0, 2) g(h)), {_FUSED.format(a='jh', b='bmk')},
+m AS (SELECT query_id // 2 AS query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf, min((query_id, rank)) AS f FROM fr WHERE rank <= 8 GROUP BY 1, 2),
 sp AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, f) AS k FROM m QUALIFY k <= 8),
 {_RERANK.replace('{pool}', 'sp')}"""
 
@@ -174,7 +179,7 @@ sp AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER B
 @query(f"WITH {_SLOWP} SELECT query_id, doc_id, round(j, 4) AS rerank_score, CAST(rank AS INTEGER) AS rank FROM cr")
 def slow_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two sub-tasks for each question: itself, and its beginning with a key term."""
-    questions = asked(spark, sf_dir)
+    questions = _questions_of(spark, sf_dir)
     terms = lambda *x: F.array(*map(F.lit, x)).cast("array<string>")
     second = F.concat(F.lit("the "), F.substring("text", 1, 30))
     tasks = questions.select("query_id", F.lit(0).alias("pos"), F.col("text").alias("description"), F.lit("all").alias("strategy"), terms().alias("key_terms")).union(questions.select("query_id", F.lit(1), second, F.lit("text"), terms("FY2024")))
@@ -184,4 +189,4 @@ def slow_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def answer_workflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole workflow over the benchmark's items; its parts have SQL of their own."""
-    return _workflow(spark, sf_dir).answer(asked(spark, sf_dir))
+    return _workflow(spark, sf_dir).answer(_questions_of(spark, sf_dir))
