@@ -2,7 +2,8 @@
 
     python -m pagequarry.cli ingest PAGES.parquet -c reports --root DIR [--chunk-max-tokens 512 --overlap 64]
     python -m pagequarry.cli ask "What was the revenue?" -c reports --root DIR [--config-override retrieval.final_fast=4] [--show-retrieval]
-    python -m pagequarry.cli tools
+    python -m pagequarry.cli chat -c reports --root DIR
+    python -m pagequarry.cli tools [-c reports --root DIR]
 """
 
 from __future__ import annotations
@@ -13,29 +14,50 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from pagequarry import hooks
 from pagequarry.config import Config, override, parse_overrides
-from pagequarry.operators import chunking, retrieval
-from pagequarry.plans.workflow import Workflow, build_citations
-from pagequarry.registry import build_registry
+from pagequarry.operators import retrieval, verify
+from pagequarry.plans.ingest import IngestHooks, chunk_pages
+from pagequarry.plans.workflow import Hooks, Workflow, build_citations
+from pagequarry.registry import ToolModels, build_registry
 from pagequarry.session import build_session
 from pagequarry.sources.collections import Collections
 
 
+def embedded(rows):
+    """Vectors of the stand-in without weights; a model takes its place through ``hooks.embed``."""
+    return hooks.embed(rows, hooks.hashed_embedder)
+
+
 def ingest(spark: SparkSession, pages: str, root: str, name: str, most: int, overlap: int) -> int:
-    """Pages (source_doc, page_number, text) to text chunks with stable ids; returns how many."""
-    rows = spark.read.parquet(pages).select("source_doc", "page_number", "text").withColumn("page", F.struct("source_doc", "page_number"))
-    blocks = chunking.extract_blocks(rows.select("page", "text"))
-    chunks = chunking.chunk_blocks(blocks, "page", most, overlap)
-    made = chunks.select(
-        F.substring(F.sha2(F.concat_ws("/", "page.source_doc", F.col("page.page_number").cast("string"), F.lit("text"), F.col("chunk_index").cast("string")), 256), 1, 16).alias("chunk_id"),
-        "text", "page.source_doc", F.col("page.page_number").cast("long").alias("page_number"), F.col("token_count").cast("long").alias("token_count"),
-        F.split("path", " > ").alias("heading_path"), F.lit("text").alias("chunk_type"),
-    )
+    """Pages (source_doc, page_number, text) to chunks of all kinds with stable ids; returns how many."""
+    made = chunk_pages(spark.read.parquet(pages), IngestHooks(), most, overlap)
     held = Collections(spark, root)
     held.save(name, made)
     return held.count_lines(name)
 
 
+def open_collection(spark: SparkSession, root: str, name: str):
+    """A collection's chunks; vectors aren't stored with them."""
+    return Collections(spark, root).load(name).withColumnRenamed("chunk_id", "doc_id")
+
+
+def report(spark: SparkSession, flow: Workflow, questions, show_retrieval: bool = False, show_state: bool = False) -> bool:
+    """Print route, answer and each citation once for every question; whether all went well."""
+    try:
+        for row in flow.answer(questions).collect():
+            print(f"[{row['route']}] {row['answer']}")
+            if show_state:
+                print(", ".join(f"{k}={v}" for k, v in row.asDict().items() if k not in ("answer", "route")))
+        ranked = build_citations(flow.fast(questions), "query_id").select("query_id", F.col("rank").alias("pos"), F.col("source_doc").alias("doc"), F.col("page_number").alias("page"), "text")
+        for row in verify.first_citations(ranked, "query_id").orderBy("query_id", "pos").collect():
+            print(f"  {row['doc']}, page {row['page']}" + (f": {row['text'][:80]}" if show_retrieval else ""))
+        return True
+    except Exception as error:  # a question that fails doesn't end a session
+        print(f"error: {error}")
+        return False
+
+
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="pagequarry")
     commands = parser.add_subparsers(dest="command", required=True)
@@ -51,22 +73,33 @@ def main(args: list[str] | None = None) -> int:
     p.add_argument("--root", default="collections")
     p.add_argument("--config-override", nargs="*", default=[])
     p.add_argument("--show-retrieval", action="store_true")
-    commands.add_parser("tools")
+    p.add_argument("--show-state", action="store_true")
+    p = commands.add_parser("chat")
+    p.add_argument("-c", "--collection", default="default")
+    p.add_argument("--root", default="collections")
+    p.add_argument("--config-override", nargs="*", default=[])
+    p = commands.add_parser("tools")
+    p.add_argument("-c", "--collection")
+    p.add_argument("--root", default="collections")
     given = parser.parse_args(args)
     spark = build_session()
     if given.command == "ingest":
         print(ingest(spark, given.pages, given.root, given.collection, given.chunk_max_tokens, given.overlap), "chunks")
-    elif given.command == "ask":
+    elif given.command in ("ask", "chat"):
         config = override(Config(), parse_overrides(given.config_override))
-        chunks = Collections(spark, given.root).load(given.collection).withColumnRenamed("chunk_id", "doc_id")
-        flow = Workflow(chunks, retrieval.build_index(chunks), settings=config.retrieval)
-        questions = spark.createDataFrame([(0, given.question)], "query_id int, text string")
-        for row in flow.answer(questions).collect():
-            print(f"[{row['route']}] {row['answer']}")
-        if given.show_retrieval:
-            build_citations(flow.fast(questions), "query_id").orderBy("rank").show(truncate=80)
+        chunks = embedded(open_collection(spark, given.root, given.collection))
+        flow = Workflow(chunks, retrieval.build_index(chunks), Hooks(embed=embedded), config.retrieval)
+        asked = lambda text: spark.createDataFrame([(0, text)], "query_id int, text string")
+        if given.command == "ask":
+            return 0 if report(spark, flow, asked(given.question), given.show_retrieval, given.show_state) else 1
+        for line in sys.stdin:
+            if line.strip() in ("exit", "quit"):
+                break
+            if line.strip():
+                report(spark, flow, asked(line.strip()))
     else:
-        registry = build_registry(spark)
+        chunks = embedded(open_collection(spark, given.root, given.collection)) if given.collection else None
+        registry = build_registry(spark, chunks, models=ToolModels(embed=embedded))
         for line in sys.stdin:
             if line.strip():
                 print(registry.handle(line), flush=True)

@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.functions.text import search_terms
 
 
+def faithfulness(question: Column, answer: Column, contexts: Column, metric: Callable[[Column, Column, Column], Column] | None = None) -> Column:
+    """struct<faithfulness, error>: the score of a model's metric, 0 with an error where it gives none; without one, the proxy."""
+    score = metric(question, answer, contexts) if metric else faithfulness_proxy(answer, contexts)
+    error = F.when(score.isNull(), "the metric gave no score")
+    return F.struct(F.coalesce(score, F.lit(0.0)).alias("faithfulness"), error.alias("error"))
+
+
 def faithfulness_proxy(answer: Column, contexts: Column, least: float = 0.5) -> Column:
     """The share of an answer's sentences whose terms are covered by the contexts to ``least`` or more.
 

@@ -76,6 +76,22 @@ def history_tail(turns: DataFrame, last: int = 10) -> DataFrame:
     return turns.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= last).drop("_n")
 
 
+def full_history(turns: DataFrame) -> DataFrame:
+    """All turns of each conversation in order."""
+    return turns.orderBy("conv_id", "turn")
+
+
+def last_summary(turns: DataFrame) -> DataFrame:
+    """(conv_id, summary): the newest summary turn's text, without its head, of turns that ``truncate`` gave."""
+    newest = turns.where("is_summary").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))
+    return newest.select("conv_id", F.expr(f"substring(text, {len(SUMMARY_HEAD) + 1})").alias("summary"))
+
+
+def reset(turns: DataFrame, conversations: DataFrame) -> DataFrame:
+    """The turns without those of ``conversations`` (conv_id)."""
+    return turns.join(conversations.select("conv_id").distinct(), "conv_id", "left_anti")
+
+
 def prompt_block(turns: DataFrame) -> DataFrame:
     """(conv_id, block): the turns as a summariser reads them, oldest first."""
     line = lambda x: F.concat(F.lit("["), F.upper(x["role"]), F.lit("]\n"), x["text"])

@@ -165,6 +165,11 @@ def cells_to_rows(cells: DataFrame, table: str, columns: int) -> DataFrame:
     return rows.where(F.size("c") == columns).select(table, "row_no", F.col("c.text").alias("cells"))
 
 
+def spanning_cells(cells: DataFrame) -> DataFrame:
+    """Cells that span several rows or columns, of cells with ``row_span`` and ``col_span``."""
+    return cells.where((F.col("row_span") > 1) | (F.col("col_span") > 1))
+
+
 def merge_pages(rows: DataFrame, table: str) -> DataFrame:
     """(table, head, body) of row fragments (table, page, row_no, cells).
 

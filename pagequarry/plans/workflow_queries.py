@@ -37,7 +37,7 @@ def collection_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 def collection_save_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Saved as Parquet, partitioned by chunk type, and read again; the vectors stay out."""
     rows = _saved(spark, sf_dir, parquet=True).load("reports")
-    return rows.groupBy("chunk_type").agg(F.count("*").alias("n"), F.sum("token_count").alias("tokens"), F.max("ingested_at").alias("ingested_at"))
+    return rows.groupBy("chunk_type").agg(F.count("*").alias("n"), F.sum("token_count").alias("tokens"), F.date_format(F.max("ingested_at"), "yyyy-MM-dd'T'HH:mm:ss").alias("ingested_at"))
 
 
 @query(f"WITH {COLLECTION_SQL} SELECT chunk_type, CAST(count(*) AS BIGINT) AS n FROM collection GROUP BY 1")

@@ -85,8 +85,20 @@ class Registry:
         return json.dumps(reply, ensure_ascii=False, default=str)
 
 
-def build_registry(spark: SparkSession, chunks: DataFrame | None = None, index: retrieval.Bm25Index | None = None) -> Registry:
-    """All tools. Retrieval ones read ``chunks`` (doc_id, text, source_doc, page_number); others work on their arguments."""
+@dataclass(frozen=True)
+class ToolModels:
+    """``embed``: rows with text to rows with text and vector; ``judge`` and ``audit``: a prompt column to a reply column."""
+
+    embed: Callable[[DataFrame], DataFrame] | None = None
+    judge: verify.Model | None = None
+    audit: verify.Model | None = None
+
+
+def build_registry(spark: SparkSession, chunks: DataFrame | None = None, index: retrieval.Bm25Index | None = None, models: ToolModels = ToolModels()) -> Registry:
+    """All tools. Retrieval ones read ``chunks`` (doc_id, text, source_doc, page_number, and vector for dense retrieval); others work
+    on their arguments. The index is built when it is first asked for, once.
+    """
+    held = [index]
 
     def frame(rows: list[tuple], schema: str) -> DataFrame:
         return spark.createDataFrame(rows, schema)
@@ -118,14 +130,26 @@ def build_registry(spark: SparkSession, chunks: DataFrame | None = None, index:
     def corpus():
         if chunks is None:
             raise ValueError("no collection is loaded")
-        return chunks, index or retrieval.build_index(chunks)
+        held[0] = held[0] or retrieval.build_index(chunks)
+        return chunks, held[0]
 
     def shown(ranked: DataFrame, score: str) -> list[dict[str, Any]]:
         rows = ranked.join(corpus()[0], "doc_id").orderBy("rank")
         return many(rows.select("doc_id", F.substring("text", 1, 300).alias("text"), "source_doc", "page_number", F.round(score, 4).alias("score"), "rank"))
 
-    def hybrid_search(query: str, top_k: int = 6):
-        return shown(retrieval.bm25_top_k(corpus()[1], frame([(0, query)], "query_id int, text string"), top_k), "score")
+    def hybrid_search(query: str, top_k: int = 6, mode: str = "hybrid"):
+        """Without vectors or a model that makes them, a mode that needs both lists makes do with the sparse one."""
+        texts, postings = corpus()
+        asked = frame([(0, query)], "query_id int, text string")
+        if "vector" in texts.columns and models.embed is not None:
+            asked = models.embed(asked)
+        elif mode in ("hybrid", "rerank"):
+            mode = "sparse_only"
+        elif mode == "dense_only":
+            raise ValueError("the collection has no vectors, or no model makes the query's")
+        settings = retrieval.Settings(final_fast=top_k, candidates=max(20, top_k), dense_k=max(15, top_k), sparse_k=max(15, top_k))
+        ranked = retrieval.retrieve(texts, asked, mode, settings=settings, index=postings)
+        return shown(ranked, "rerank_score" if mode == "rerank" else "rrf")
 
     def rerank(query: str, documents: list, top_k: int = 5):
         pairs = frame([(0, i, query, d) for i, d in enumerate(documents)], "query_id int, doc_id int, query_text string, text string")
@@ -167,20 +191,21 @@ def build_registry(spark: SparkSession, chunks: DataFrame | None = None, index:
 
     # verification
     def evidence_check(question: str, evidence_chunks: list):
-        verdict, confidence = verify.evidence_check_default(F.col("e"))
-        return one(frame([([c["text"] for c in evidence_chunks],)], "e array<string>").select(verdict.alias("verdict"), confidence.alias("confidence")))
+        row = frame([(question, [c["text"] for c in evidence_chunks])], "q string, e array<string>")
+        return one(row.select(verify.evidence_check(F.col("q"), F.col("e"), models.judge).alias("c")).select("c.*"))
 
     def citation_verify(answer: str, evidence_chunks: list):
         evidence = frame([(0, c["source_doc"], int(c["page_number"])) for c in evidence_chunks], "answer_id int, doc string, page int")
         return one(verify.verify_citations(frame([(0, answer)], "answer_id int, answer string"), evidence))
 
-    def groundedness(answer: str, evidence_chunks: list):
-        raise ValueError("no auditing model is set")
+    def groundedness(answer: str, evidence_chunks: list, question: str = ""):
+        row = frame([(question, answer, [c["text"] for c in evidence_chunks])], "q string, a string, e array<string>")
+        return one(row.select(verify.answer_groundedness(F.col("q"), F.col("a"), F.col("e"), models.audit).alias("g")).select("g.*"))
 
     def missing_data(answer: str, evidence_chunks: list):
         numbers, years, percents, level = verify.missing_data(F.col("a"), F.col("e"))
         row = frame([(answer, " ".join(c["text"] for c in evidence_chunks))], "a string, e string")
-        return one(row.select(numbers.alias("missing_numbers"), years.alias("missing_years"), percents.alias("missing_percentages"), level.alias("alert_level")))
+        return one(row.select(F.slice(numbers, 1, 10).alias("missing_numbers"), years.alias("missing_years"), percents.alias("missing_percentages"), level.alias("alert_level")))
 
     s, n, a, o = "string", "number", "array", "object"
     return Registry([
@@ -188,7 +213,7 @@ def build_registry(spark: SparkSession, chunks: DataFrame | None = None, index:
         Tool("document_cross_page_merge", "One table from its fragments on several pages.", {"fragments": a}, cross_page_merge),
         Tool("document_chart_extract", "Type, title, points and description of a chart's text.", {"ocr_text": s, "caption": "string?", "page": "number?"}, chart_extract),
         Tool("document_ocr_correct", "Corrected cell texts.", {"cell_texts": a, "language": "string?"}, ocr_correct),
-        Tool("retrieval_hybrid_search", "The best chunks for a query.", {"query": s, "top_k": "number?"}, hybrid_search),
+        Tool("retrieval_hybrid_search", "The best chunks for a query.", {"query": s, "top_k": "number?", "mode": "string?"}, hybrid_search),
         Tool("retrieval_rerank", "Documents in the order of their relevance to a query.", {"query": s, "documents": a, "top_k": "number?"}, rerank),
         Tool("retrieval_multi_query", "The best chunks for several queries together.", {"queries": a, "top_k_per_query": "number?", "final_k": "number?"}, multi_query),
         Tool("analysis_metric_extract", "Values of a metric in Markdown tables.", {"tables_": a, "metric": s, "context_fields": "array?"}, metric_extract),
@@ -199,6 +224,6 @@ def build_registry(spark: SparkSession, chunks: DataFrame | None = None, index:
         Tool("analysis_yoy_growth", "Growth over the year before.", {"current_value": n, "prior_value": n, "period_label": "string?"}, yoy),
         Tool("verification_evidence_check", "Whether evidence suffices for a question.", {"question": s, "evidence_chunks": a}, evidence_check),
         Tool("verification_citation_backtrack", "Whether citations point to the evidence.", {"answer": s, "evidence_chunks": a}, citation_verify),
-        Tool("verification_groundedness", "Whether claims are supported; needs a model.", {"answer": s, "evidence_chunks": a}, groundedness),
+        Tool("verification_groundedness", "Whether claims are supported; needs a model.", {"answer": s, "evidence_chunks": a, "question": "string?"}, groundedness),
         Tool("verification_missing_data", "Numbers and years of an answer that its evidence lacks.", {"answer": s, "evidence_chunks": a}, missing_data),
     ])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,7 +12,7 @@ CHUNK_SCHEMA = T.StructType([
     T.StructField("page_number", T.LongType()), T.StructField("token_count", T.LongType()), T.StructField("heading_path", T.ArrayType(T.StringType())),
     T.StructField("is_cross_page", T.BooleanType()), T.StructField("table_name", T.StringType()), T.StructField("page_span", T.ArrayType(T.LongType())),
     T.StructField("chart_type", T.StringType()), T.StructField("title", T.StringType()), T.StructField("metadata", T.MapType(T.StringType(), T.StringType())),
-    T.StructField("chunk_type", T.StringType()), T.StructField("ingested_at", T.StringType()),
+    T.StructField("chunk_type", T.StringType()), T.StructField("ingested_at", T.TimestampType()),
 ])
 
 
@@ -32,7 +32,7 @@ class Collections:
 
     def save(self, name: str, chunks: DataFrame, ingested_at: str | None = None) -> None:
         """Overwrite a collection; vectors aren't stored with it, the time of ingest is."""
-        stamp = F.lit(ingested_at) if ingested_at else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
+        stamp = F.lit(ingested_at).cast("timestamp") if ingested_at else F.current_timestamp()
         rows = chunks.drop("embedding").withColumn("ingested_at", stamp)
         writer = rows.write.mode("overwrite")
         writer.partitionBy("chunk_type").parquet(self.path(name)) if self.parquet else writer.json(self.path(name))
@@ -61,13 +61,11 @@ def union_chunks(text: DataFrame, table: DataFrame, chart: DataFrame) -> DataFra
 
 def discover_pdfs(spark: SparkSession, folder: str) -> DataFrame:
     """(path, length, content) of the PDF files of a folder, whatever the case of their suffix."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.{pdf,PDF}").load(folder)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(folder)
 
 
 def first_of_each(df: DataFrame, key: list[str], order: list) -> DataFrame:
     """Rows whose key has not come before in the given order."""
-    from pyspark.sql import Window
-
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
 
 

@@ -10,19 +10,26 @@ from pagequarry.functions.text import count_tokens
 
 
 def ingest_stream(chunks: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Append arriving chunks to a Parquet collection, each id once within an hour; ends when what is there has been read."""
+    """Append arriving chunks to a Parquet collection, each id once within an hour; ends when what is there has been read.
+
+    ``ingested_at`` is a timestamp, as in a stored collection, so that ``Collections.load`` reads what has been streamed.
+    """
     seen = chunks.withWatermark("ingested_at", "1 hour").dropDuplicatesWithinWatermark(["chunk_id"])
     writer = seen.drop("embedding").writeStream.format("parquet").partitionBy("chunk_type").option("path", target).option("checkpointLocation", checkpoint)
     return writer.outputMode("append").trigger(availableNow=True).start()
 
 
-def memory_totals_stream(turns: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+def memory_totals_stream(turns: DataFrame, target: str, checkpoint: str, event_time: str | None = None, late: str = "1 day") -> StreamingQuery:
     """Running token totals of conversations from arriving turns (conv_id, turn, role, text); a repeated turn counts once.
 
-    The state of a conversation is its total and the numbers of its turns seen. Each micro-batch replaces the totals of the
-    conversations that it touched.
+    The state of a conversation is its total and the numbers of its turns seen. With ``event_time``, a column of the turns' times,
+    a turn's number is forgotten when it is ``late`` behind the newest, so that the state of repeats stays bounded; without it, every
+    number is kept. Each micro-batch replaces the totals of the conversations that it touched.
     """
-    once = turns.dropDuplicates(["conv_id", "turn"])
+    if event_time:
+        once = turns.withWatermark(event_time, late).dropDuplicatesWithinWatermark(["conv_id", "turn"])
+    else:
+        once = turns.dropDuplicates(["conv_id", "turn"])
     totals = once.groupBy("conv_id").agg(F.sum(count_tokens(F.coalesce("text", F.lit("")))).alias("total_tokens"), F.count("*").alias("n_turns"))
 
     def write(batch: DataFrame, number: int) -> None:

@@ -201,13 +201,86 @@ def test_registry(spark):
     assert registry.call("document_ocr_correct", cell_texts=["￥5", "x"])["result"]["num_corrected"] == 1
     assert registry.call("nothing")["error"]["code"] == -32602 and registry.call("analysis_cagr", start_value=1)["error"]["code"] == -32602
     assert registry.call("analysis_yoy_growth", current_value=1, prior_value=0)["error"]["code"] == -32603
-    with pytest.raises(RuntimeError):
-        registry.bind()["verification_groundedness"](answer="a", evidence_chunks=[])
+    assert registry.bind()["verification_groundedness"](answer="a", evidence_chunks=[])["error"] == "no auditing model is set"
+    assert registry.call("verification_evidence_check", question="q", evidence_chunks=[])["result"]["confidence"] == 1.0
+    assert registry.call("retrieval_hybrid_search", query="pear", mode="dense_only")["error"]["code"] == -32603
     ask = lambda **x: json.loads(registry.handle(json.dumps(x)))
     assert len(ask(id=1, method="tools/list")["result"]["tools"]) == 17 and ask(id=2, method="odd")["error"]["code"] == -32601 and json.loads(registry.handle("{"))["error"]["code"] == -32700
     assert ask(id=3, method="tools/call", params={"name": "analysis_cagr", "arguments": {"start_value": 100, "end_value": 121, "years": 2}})["result"] == {"cagr_percent": 10.0}
 
 
+def test_registry_with_models(spark):
+    from pagequarry import hooks
+    from pagequarry.registry import ToolModels, build_registry
+
+    embed = lambda df: hooks.embed(df, hooks.hashed_embedder)
+    rows = [(1, "apple revenue rose", "a.pdf", 1), (2, "pear cost fell", "b.pdf", 2), (3, None, "c.pdf", 3)]
+    chunks = embed(spark.createDataFrame(rows, "doc_id long, text string, source_doc string, page_number int"))
+    judge = lambda prompt: F.when(prompt.contains("pear"), 'so: {"verdict": "SUFFICIENT", "confidence": 0.9}').otherwise("no idea")
+    audit = lambda prompt: F.when(prompt.contains("pear"), '{"groundedness_score": 0.5, "num_claims": 2}').otherwise("{")
+    registry = build_registry(spark, chunks, models=ToolModels(embed, judge, audit))
+    for mode in ("dense_only", "sparse_only", "hybrid", "rerank"):
+        assert registry.call("retrieval_hybrid_search", query="pear cost", mode=mode)["result"][0]["doc_id"] == 2
+    told = lambda tool, **x: registry.call(tool, **x)["result"]
+    assert told("verification_evidence_check", question="q", evidence_chunks=[{"text": "pear"}])["verdict"] == "SUFFICIENT"
+    assert told("verification_evidence_check", question="q", evidence_chunks=[{"text": "fig"}])["reasoning"] == "no idea"
+    assert told("verification_groundedness", answer="pear", evidence_chunks=[])["groundedness_score"] == 0.5
+    assert told("verification_groundedness", answer="fig", evidence_chunks=[])["error"] == "the reply can't be read"
+
+
+def test_dense_ids_of_any_type_and_several_passes(spark, monkeypatch):
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", None)], "doc_id string, vector array<float>")
+    asked = spark.createDataFrame([("7/0", [1.0, 0.1]), ("7/1", [0.1, 1.0]), ("8/0", None)], "query_id string, vector array<float>")
+    texts = spark.createDataFrame([("a", "fig pear"), ("b", "pear pear nut"), ("c", None)], "doc_id string, text string")
+    words = spark.createDataFrame([("7/0", "fig"), ("7/1", "nut pear"), ("8/0", None)], "query_id string, text string")
+    index = retrieval.build_index(texts)
+    for most, block in ((100, 100), (1, 1)):
+        monkeypatch.setattr(retrieval, "MOST_QUERIES", most)
+        monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
+        monkeypatch.setattr(retrieval, "ROW_BLOCK", block)
+        assert sorted((r.query_id, r.doc_id) for r in retrieval.dense_top_k(vectors, asked, 1).collect()) == [("7/0", "a"), ("7/1", "b")]
+        top = {(r.query_id, r["rank"]): r for r in retrieval.bm25_top_k(index, words, 2).collect()}
+        assert [top[q, 1].doc_id for q in ("7/0", "7/1", "8/0")] == ["a", "b", "a"] and len(top) == 6
+        every = {(r.query_id, r.doc_id): r.score for r in retrieval.bm25_scores(index, words).collect()}
+        assert all(top[q, k].score == every[q, top[q, k].doc_id] for q, k in (("7/0", 1), ("7/1", 1), ("7/1", 2)))
+
+
+def test_pages_to_chunks_of_all_kinds(spark, tmp_path):
+    from pagequarry.plans import ingest
+
+    text = "# Revenue\nThe revenue of the year was 5 million, more than before.\n| Year | Revenue |\n| --- | --- |\n| 2024 | 5 |\nMore text follows here, of a few words."
+    pages = spark.createDataFrame([("a.pdf", 1, text), ("b.pdf", 1, None)], "source_doc string, page_number int, text string")
+    chunks = ingest.chunk_pages(pages).collect()
+    assert sorted(r.chunk_type for r in chunks) == ["table", "text"] and len({r.chunk_id for r in chunks}) == 2
+    assert "2024" in next(r.text for r in chunks if r.chunk_type == "table") and "|" not in next(r.text for r in chunks if r.chunk_type == "text")
+
+    def layout(rows):
+        return ingest.split_regions(rows).union(rows.where("source_doc = 'b.pdf'").select("source_doc", "page_number", F.lit(9), F.lit("chart"), F.lit("Sales by year\n2023: 4\n2024: 5"), F.lit("bar chart")))
+
+    hooks = ingest.IngestHooks(layout=layout, embed=lambda df: df.withColumn("vector", F.array(F.lit(1.0))))
+    drawn = [r for r in ingest.chunk_pages(pages, hooks).collect() if r.chunk_type == "chart"]
+    assert len(drawn) == 1 and drawn[0].vector == [1.0] and drawn[0].source_doc == "b.pdf"
+    assert [r.page_number for r in ingest.mock_chunks(spark, "m.pdf").orderBy("page_number").collect()] == [1, 2, 3, 4]
+    (tmp_path / "x.pdf").write_bytes(b"1")
+    first = ingest.back_up(str(tmp_path / "x.pdf"), str(tmp_path / "raw"))
+    (tmp_path / "x.pdf").write_bytes(b"2")
+    assert ingest.back_up(str(tmp_path / "x.pdf"), str(tmp_path / "raw")) == first and open(first, "rb").read() == b"1"
+
+
+def test_spans_summaries_and_faithfulness(spark):
+    from pagequarry.operators import evaluate, memory, tables
+
+    cells = spark.createDataFrame([(1, 1, 1), (2, 2, 1), (3, 1, 3)], "pos int, row_span int, col_span int")
+    assert sorted(r.pos for r in tables.spanning_cells(cells).collect()) == [2, 3]
+    turns = spark.createDataFrame([(1, i, "user", "word " * 50) for i in range(8)] + [(2, 0, "user", "hi")], "conv_id long, turn int, role string, text string")
+    cut = memory.truncate(turns, memory.Budget(tokens=100, keep=2))
+    assert [(r.conv_id, r.summary.split()[0]) for r in memory.last_summary(cut).collect()] == [(1, "word")]
+    assert memory.reset(turns, spark.createDataFrame([(1,)], "conv_id long")).count() == 1 and memory.full_history(turns).first().turn == 0
+    row = spark.createDataFrame([("q", "It rose.", "It rose in 2024")], "q string, a string, c string")
+    judged = lambda metric: row.select(evaluate.faithfulness(F.col("q"), F.col("a"), F.col("c"), metric).alias("f")).first().f
+    assert judged(None).faithfulness == 1.0 and judged(lambda q, a, c: F.lit(0.3)).faithfulness == 0.3 and judged(lambda q, a, c: F.lit(None).cast("double")).error
+
+
 def test_hooks(spark):
     from pagequarry import hooks
 
@@ -220,6 +293,7 @@ def test_hooks(spark):
 
 def test_streams_end_like_batches(spark, sf, tmp_path):
     from pagequarry.operators.memory import totals
+    from pagequarry.sources.collections import Collections
     from pagequarry.streaming import incremental
 
     turns = spark.read.parquet(f"{sf}/conversations.parquet")
@@ -231,8 +305,17 @@ def test_streams_end_like_batches(spark, sf, tmp_path):
     chunks = spark.createDataFrame([("a", "x", "text"), ("b", "y", "table"), ("a", "x", "text")], "chunk_id string, text string, chunk_type string").withColumn("ingested_at", F.lit("2024-01-01 00:00:00").cast("timestamp"))
     chunks.write.parquet(str(tmp_path / "chunks"))
     arriving = spark.readStream.schema(chunks.schema).parquet(str(tmp_path / "chunks"))
-    incremental.ingest_stream(arriving, str(tmp_path / "collection"), str(tmp_path / "cp2")).awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "collection")).count() == 2
+    incremental.ingest_stream(arriving, str(tmp_path / "c" / "streamed"), str(tmp_path / "cp2")).awaitTermination(120)
+    held = Collections(spark, str(tmp_path / "c"), parquet=True)
+    rows = held.load("streamed").collect()
+    assert sorted((r.chunk_id, r.chunk_type, str(r.ingested_at)) for r in rows) == [("a", "text", "2024-01-01 00:00:00"), ("b", "table", "2024-01-01 00:00:00")]
+    held.save("stored", chunks, "2024-01-02T00:00:00")
+    again = spark.readStream.schema(held.load("stored").schema).parquet(held.path("stored"))
+    incremental.ingest_stream(again, str(tmp_path / "c" / "again"), str(tmp_path / "cp3")).awaitTermination(120)
+    assert held.load("again").count() == 2
+    timed = spark.readStream.schema(turns.schema).parquet(str(tmp_path / "in")).withColumn("at", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    incremental.memory_totals_stream(timed, str(tmp_path / "out2"), str(tmp_path / "cp4"), event_time="at").awaitTermination(120)
+    assert {r.conv_id: r.total_tokens for r in incremental.latest_totals(spark, str(tmp_path / "out2")).collect()} == got
 
 
 def test_collections_and_command_line(spark, tmp_path, capsys):
@@ -247,6 +330,6 @@ def test_collections_and_command_line(spark, tmp_path, capsys):
     assert held.names() == ["r"] and held.count_lines("r") == 2 and held.load("missing").count() == 0 and held.count_lines("missing") == 0
     assert cli.main(["ask", "What was the revenue?", "-c", "r", "--root", str(tmp_path / "c"), "--show-retrieval"]) == 0
     assert "[Source: a.pdf, page 1]" in capsys.readouterr().out
-    for name in ("x.pdf", "y.PDF", "z.txt"):
+    for name in ("x.pdf", "y.PDF", "w.Pdf", "z.txt"):
         (tmp_path / name).write_bytes(b"%PDF")
-    assert discover_pdfs(spark, str(tmp_path)).count() == 2
+    assert discover_pdfs(spark, str(tmp_path)).count() == 3
