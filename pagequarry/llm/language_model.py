@@ -14,7 +14,7 @@ what all blocks sent for a context, tests it, and answers every block with the c
 distinct continuation once with its count, so repeated passages cost one entry a block. A context of ``hot`` occurrences or more
 is dealt out by continuation; its sums come together in an aggregation, and the verdicts of these contexts are broadcast (there
 are at most 1 / ``HOT_SHARE`` of them, 16 bytes each). So no task reads more of a context than its share, and what is gathered
-follows the input. Words and contexts are told by 64-bit hashes, continuations of a context by 48 bits of theirs.
+follows the input. Words and contexts are told by 64-bit hashes, continuations of a context by 40 bits of theirs.
 
 Defined results: null and empty texts are one end token. Without training texts every token is unknown and has probability 1.
 A row whose ``teaches`` is null teaches nothing. Rows that repeat an id, and equal texts, teach and are scored each by itself.
@@ -26,17 +26,19 @@ from __future__ import annotations
 
 import gc
 import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, WordHashes, bound_batches, fold, mix, nested, release, rows_of, unnested, words
+from .common import Scratch, bound_batches, fold, mix, nested, release, rows_of, unnested, words
 
 #: Words of the longest context, and how often a context must be seen.
 DEPTH = 5
@@ -44,13 +46,13 @@ LEAST_COUNT = 4
 LEAST_GAIN = 25.0
 SMOOTH = 5.0
 #: Tokens that a map task holds at once, and asked continuations for which there is one bucket.
-BLOCK_TOKENS = 1_500_000
+BLOCK_TOKENS = 2_000_000
 BUCKET_ENTRIES = 1_500_000
 #: A context is hot from this count, and from this share of all training tokens.
 HOT_LEAST, HOT_SHARE = 1_000_000, 1e-6
 _END = b"\n"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_TOLD = np.uint64(~0xFFFF & (1 << 64) - 1)
+_TOLD = np.uint64(~0xFFFFFF & (1 << 64) - 1)
 
 MADE = T.StructType([
     *(T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")),
@@ -62,10 +64,6 @@ _MAIL = "block long, bucket long, payload binary, tokens long, kinds long"
 _MAIL_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("payload", pa.binary()), ("tokens", pa.int64()), ("kinds", pa.int64())])
 
 
-def tokens_of(text: str | None, known: WordHashes) -> np.ndarray:
-    return known.of([*words(text, lower=True), _END])
-
-
 def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays in byte planes, compressed together."""
     flat = [(a.dtype.str, a.view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b"") for a in map(np.ascontiguousarray, arrays)]
@@ -134,34 +132,63 @@ def _total(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 class _Block:
-    """A block's tokens and what is known of them: arrays over its tokens, one after the other, text after text."""
-
-    def __init__(self, payload: bytes):
-        self.kept = _unpack(payload)
-        self.own, self.totals, ids, self.sizes, teaches = self.kept[:5]
-        self.levels = [self.kept[i : i + 2] for i in range(5, len(self.kept), 2)]
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.h = self.own[ids]
-        self.place = np.arange(len(ids)) - np.repeat(self.starts, self.sizes)
-        self.teaches = np.repeat(teaches, self.sizes)
-        self.count = self.totals[ids].astype(np.int64) if len(self.totals) else None  # of the words that end at a token
-
-    def follow(self, total: int, kinds: int) -> None:
-        """Go up all known levels: probabilities, counts and keys of what ends at each token."""
-        self.p = (self.count + 1.0) / (total + kinds + 1)
-        self.root = self.p.copy()
-        self.n, self.key = self.count, self.h
-        for found, verdicts in self.levels:
-            self.step(found, np.unpackbits(verdicts, count=len(found)).astype(bool))
+    """A block's tokens and what is known of them: arrays over its tokens, one after the other, text after text.
+
+    Up to level one all tokens are kept and the levels are gone up again from the counts that came; from level two on a block is
+    narrowed to the tokens that longer contexts still concern, as they are, and sums over the others.
+    """
+
+    def __init__(self, payload: bytes, total: int, kinds: int):
+        self.parts, self._asked = pickle.loads(payload), None
+        arrays = [x for part in self.parts for x in _unpack(part)]
+        self.narrow = len(arrays) == 12
+        if self.narrow:
+            own, ids, self.key, self.n, self.p, going, self.text, self.sizes, self.known, self.root, self.done, self.teaching = arrays
+            self.h, self.n, self.p = own[ids], self.n.astype(np.int64), self.p.astype(np.float64)
+            self.place = np.where(going, 1 << 30, 0)
+        else:
+            own, ids, self.sizes, self.teaching, totals = arrays[:5]
+            self.h, self.count = own[ids], totals[ids].astype(np.int64)
+            self.text = np.repeat(np.arange(len(self.sizes), dtype=np.uint32), self.sizes)
+            self.place = np.arange(len(ids), dtype=np.int32) - np.repeat((np.cumsum(self.sizes) - self.sizes).astype(np.int32), self.sizes)
+            self.p = (self.count + 1.0) / (total + kinds + 1)
+            self.size, self.done = total + kinds + 1, np.zeros(len(self.sizes))
+            self.n, self.key = self.count, self.h
+            for found, verdicts in zip(arrays[5::2], arrays[6::2], strict=True):
+                self.step(found, np.unpackbits(verdicts, count=len(found)).astype(bool))
+
+    def _by_text(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.text, values, len(self.sizes))
+
+    def base(self) -> tuple[np.ndarray, np.ndarray]:
+        """(known tokens, score of the root) of each text"""
+        if self.narrow:
+            return self.known, self.root
+        return self._by_text((self.count > 0).astype(np.float64)).astype(np.int64), self._by_text(np.log10((self.count + 1.0) / self.size))
+
+    def scores(self) -> np.ndarray:
+        return self.done + self._by_text(np.log10(self.p))
+
+    def narrowed(self) -> bytes:
+        """The payload of a block of which only what concerns the next level is left."""
+        at = self.candidates()
+        going, before = np.zeros(len(self.h), bool), np.zeros(len(self.h), bool)
+        going[at], before[at - 1] = True, True
+        done = self.done + self._by_text(np.where(going, 0.0, np.log10(self.p)))
+        kept = np.flatnonzero(going | before)
+        own, ids = np.unique(self.h[kept], return_inverse=True)
+        key, n = (np.where(before[kept], x[kept], x.dtype.type(0)) for x in (self.key, self.n))
+        p = np.where(going[kept], self.p[kept], 1.0).astype(np.float32)
+        return pickle.dumps([_pack(own, ids.astype(np.uint32), key, _small(n), p, going[kept], self.text[kept], self.sizes, *self.base(), done), _pack(self.teaching)])
 
     def step(self, found: np.ndarray, state: np.ndarray) -> None:
         """One level further: counts of the asked continuations, and whether their contexts are states."""
-        at, n_context, gram, _ = self.asked()
+        at, n_context, gram, _ = self._asked or self.asked()
         n = found.astype(np.int64)
         self.p[at[state]] = (n[state] + SMOOTH * self.p[at[state]]) / (n_context[state] + SMOOTH)
         self.n, self.key = np.zeros(len(self.h), np.int64), np.zeros(len(self.h), np.uint64)
         self.n[at], self.key[at] = n, gram
-        self.place = self.place - 1
+        self.place, self._asked = self.place - 1, None
 
     def candidates(self) -> np.ndarray:
         """Tokens whose context is a candidate of the next level."""
@@ -172,34 +199,50 @@ class _Block:
         """(candidates, counts of their contexts, keys of the continuations, keys of the contexts)"""
         at = self.candidates()
         context = self.key[at - 1]
-        return at, self.n[at - 1], mix(context * _STEP + self.h[at]), context
+        self._asked = at, self.n[at - 1], mix(context * _STEP + self.h[at]), context
+        return self._asked
 
     def entries(self, hot: int) -> tuple[np.ndarray, ...]:
         """(candidates, entry of each; then by entry, in the order of sending: a candidate, route, context, its count, key)"""
         at, n_context, gram, context = self.asked()
-        order = np.argsort(gram)
-        first = _firsts(gram[order])
-        which = np.empty(len(at), np.int64)
-        which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(at))))
-        some = order[first]
-        route = np.where(n_context[some] >= hot, gram[some], context[some])
-        turn = np.argsort(route, kind="stable")
-        rank = np.empty(len(turn), np.int64)
-        rank[turn] = np.arange(len(turn))
-        some = some[turn]
-        return at, rank[which], some, route[turn], context[some], n_context[some], gram[some]
+        # one sort brings equal continuations together, by bucket and nearly by context; the places lie in the low bits, so that
+        # the order is the same on any machine. A continuation between whose places another one falls is sent twice.
+        bits = max(21, len(at).bit_length())
+        route = np.where(n_context >= hot, gram, context)
+        low = np.uint64(64 - 24)
+        keys = (route >> low << low) | (gram >> np.uint64(24 + bits) << np.uint64(bits)) | np.arange(len(at), dtype=np.uint64)
+        keys.sort()
+        order = (keys & np.uint64((1 << bits) - 1)).astype(np.uint32)
+        new = np.ones(len(at), bool)
+        ordered = gram[order]
+        new[1:] = ordered[1:] != ordered[:-1]
+        entry = np.empty(len(at), np.uint32)
+        entry[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+        some = order[new]
+        return at, entry, some, route[some], context[some], n_context[some], ordered[new]
+
+
+class _Ids(dict):
+    """Word -> its number in a block."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
 
 
 def _tokenise(names: list[str]):
     """Rows of texts with the block and the place that they have there, and a row with the payload of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, parts, teach, held = WordHashes(), [], [], 0
+        known, parts, teach, held = _Ids(), [], [], 0
         block, own_type = TaskContext.get().partitionId() << 32, None
 
         def payload() -> bytes:
-            own, ids = np.unique(np.concatenate(parts), return_inverse=True)
-            return _pack(own, np.empty(0, np.uint32), ids.astype(np.uint32), np.array([len(p) for p in parts], np.int64), np.array(teach, bool))
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
+            order = np.argsort(hashes)
+            number = np.empty(len(order), np.uint32)
+            number[order] = np.arange(len(order), dtype=np.uint32)
+            return _pack(hashes[order], number[np.concatenate(parts)], np.array([len(p) for p in parts], np.int64), np.array(teach, bool))
 
         def flush() -> pa.RecordBatch:
             row = [pa.nulls(1, own_type), pa.array([block], pa.int64()), pa.array([None], pa.int64()), pa.array([payload()], pa.binary())]
@@ -208,19 +251,20 @@ def _tokenise(names: list[str]):
         for b in batches:
             own_type, blocks, places, done = b.column(2).type, [], [], []
             for text, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                parts.append(tokens_of(text, known))
+                tokens = [*words(text, lower=True), _END]
+                parts.append(np.fromiter(map(known.__getitem__, tokens), np.uint32, len(tokens)))
                 teach.append(bool(t))
                 blocks.append(block)
                 places.append(len(parts) - 1)
                 held += len(parts[-1])
                 if held >= BLOCK_TOKENS:
                     done.append(flush())
-                    parts, teach, held, block = [], [], 0, block + 1
+                    known, parts, teach, held, block = _Ids(), [], [], 0, block + 1
             yield pa.RecordBatch.from_arrays([b.column(2), pa.array(blocks, pa.int64()), pa.array(places, pa.int64()), pa.nulls(len(b), pa.binary())], names=names)
             yield from done
         if parts:
             yield flush()
-        parts = []
+        known, parts = None, []
         release()
 
     return run
@@ -232,7 +276,7 @@ def _word_mail(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, payload in rows_of(batch):
-                own, _, ids, sizes, teaches = _unpack(payload)
+                own, ids, sizes, teaches = _unpack(payload)
                 n = _small(np.bincount(ids[np.repeat(teaches, sizes)], minlength=len(own)))
                 yield from _mail([(number, bucket, _pack(own[part], n[part]), None, None) for bucket, part in _slices(own, buckets)])
         release()
@@ -251,17 +295,18 @@ def _word_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
 
 
-def _ask(total: int, kinds: int, buckets: int, hot: int):
+def _ask(level: int, total: int, kinds: int, buckets: int, hot: int):
     """The continuations of a block's candidate contexts, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, payload in rows_of(batch):
-                block = _Block(payload)
-                block.follow(total, kinds)
+                block = _Block(payload, total, kinds)
                 at, entry, some, route, context, n_context, gram = block.entries(hot)
-                n = _small(np.bincount(entry, block.teaches[at], len(some)))
-                p, is_hot = block.p[at[some]].astype(np.float32), n_context >= hot
+                n = _small(np.bincount(entry, block.teaching[block.text[at]], len(some)))
+                # the root's probabilities go as counts, which take less room
+                p = _small(block.count[at[some]]) if level == 1 else block.p[at[some]].astype(np.float32)
+                is_hot = n_context >= hot
                 block = at = entry = None
                 out = []
                 for bucket, part in _slices(route, buckets):
@@ -274,24 +319,34 @@ def _ask(total: int, kinds: int, buckets: int, hot: int):
     return run
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bucket(held: list[tuple], size: float) -> list[tuple]:
     """Counts and verdicts for each block that asked, and a row without block with a bucket's sums of hot contexts."""
-    for held in _groups(batches, 1):
-        sent = [_unpack(r[2]) for r in held]
-        context, is_hot = (np.concatenate([np.repeat(s[i], s[1]) for s in sent]) for i in (0, 2))
-        gram, n, p = (np.concatenate([s[i] for s in sent]) for i in (3, 4, 5))
-        some, total, which = _total(mix(context * _STEP + gram), n)
-        of, _, owner = _total(context[some], np.ones(len(some)))
-        gain = np.bincount(owner, total * np.log(np.maximum(total, 1) / p[some].astype(np.float64)), len(of))
-        n_context = np.bincount(owner, total, len(of))
-        verdict = np.round(gain - n_context * np.log(np.maximum(n_context, 1)), 6) >= LEAST_GAIN
-        counts, verdicts = total[which], verdict[owner][which]
-        cuts = np.cumsum([len(s[3]) for s in sent])[:-1]
-        yield from _mail([(r[0], r[1], _pack(_small(c), np.packbits(v)), None, None) for r, c, v in zip(held, np.split(counts, cuts), np.split(verdicts, cuts), strict=True)])
-        parts = np.flatnonzero(is_hot[some][of])
-        if len(parts):
-            yield from _mail([(None, held[0][1], _pack(context[some][of][parts], n_context[parts], gain[parts]), None, None)])
-    release()
+    sent = [_unpack(r[2]) for r in held]
+    context, is_hot = (np.concatenate([np.repeat(s[i], s[1]) for s in sent]) for i in (0, 2))
+    gram, n, p = (np.concatenate([s[i] for s in sent]) for i in (3, 4, 5))
+    some, total, which = _total(mix(context * _STEP + gram), n)
+    of, _, owner = _total(context[some], np.ones(len(some)))
+    p = (p[some] + 1.0) / size if p.dtype.kind == "u" else p[some].astype(np.float64)
+    gain = np.bincount(owner, total * np.log(np.maximum(total, 1) / p), len(of))
+    n_context = np.bincount(owner, total, len(of))
+    verdict = np.round(gain - n_context * np.log(np.maximum(n_context, 1)), 6) >= LEAST_GAIN
+    counts, verdicts = total[which], verdict[owner][which]
+    cuts = np.cumsum([len(s[3]) for s in sent])[:-1]
+    out = [(r[0], r[1], _pack(_small(c), np.packbits(v)), None, None) for r, c, v in zip(held, np.split(counts, cuts), np.split(verdicts, cuts), strict=True)]
+    parts = np.flatnonzero(is_hot[some][of])
+    if len(parts):
+        out.append((None, held[0][1], _pack(context[some][of][parts], n_context[parts], gain[parts]), None, None))
+    return out
+
+
+def _answer(total: int, kinds: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _groups(batches, 1):
+            yield from _mail(_bucket(held, total + kinds + 1.0))
+            held = None
+        release()
+
+    return run
 
 
 def _hot_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,32 +356,31 @@ def _hot_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(context.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(gain)], names=["context", "n", "gain"])
 
 
-def _hear(total: int, kinds: int, hot: int, states) -> object:
-    """Blocks with the answers of one level, or of the words where ``states`` is None, and how many candidates follow."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _groups(batches, 0):
-            answers = [_unpack(r[2]) for r in held[1:]]
-            block = _Block(held[0][2])
-            kept = block.kept
-            if states is None:
-                kept[1] = _small(np.concatenate([a[0] for a in answers]))
-                block = _Block(_pack(*kept))
-                block.follow(total, kinds)
-            else:
-                block.follow(total, kinds)
-                _, entry, _, _, context, n_context, _ = block.entries(hot)
-                counts, verdicts = np.empty(0, np.uint32), np.empty(0, bool)
-                if answers:
-                    counts = np.concatenate([a[0].astype(np.int64) for a in answers])
-                    verdicts = np.concatenate([np.unpackbits(a[1], count=len(a[0])) for a in answers]).astype(bool)
-                at = np.flatnonzero(n_context >= hot)
-                verdicts[at] = np.isin(context[at], states.value)
-                found, state = _small(counts[entry]), verdicts[entry]
-                block.step(found, state)
-                kept = [*kept, found, np.packbits(state)]
-            yield from _mail([(held[0][0], None, _pack(*kept), len(block.candidates()), None)])
-        release()
+def _hear(total: int, kinds: int, hot: int, states):
+    """A block with the answers of one level, or of the words where ``states`` is None, and how many candidates follow."""
+
+    def run(of: pa.Table, answers: pa.Table) -> pa.Table:
+        number, payload = of.column("block")[0].as_py(), of.column("payload")[0].as_py()
+        heard = sorted(zip(answers.column("bucket").to_pylist(), answers.column("payload").to_pylist(), strict=True))
+        heard = [_unpack(x) for _, x in heard]
+        if states is None:
+            payload = pickle.dumps([payload, _pack(_small(np.concatenate([a[0] for a in heard])))])
+            block = _Block(payload, total, kinds)
+        else:
+            block = _Block(payload, total, kinds)
+            _, entry, _, _, context, n_context, _ = block.entries(hot)
+            counts, verdicts = np.empty(0, np.uint32), np.empty(0, bool)
+            if heard:
+                counts = np.concatenate([a[0].astype(np.int64) for a in heard])
+                verdicts = np.concatenate([np.unpackbits(a[1], count=len(a[0])) for a in heard]).astype(bool)
+            at = np.flatnonzero(n_context >= hot)
+            verdicts[at] = np.isin(context[at], states.value)
+            found, state = _small(counts[entry]), verdicts[entry]
+            first = not block.narrow and len(block.parts) == 2
+            block.step(found, state)
+            payload = pickle.dumps([*block.parts, _pack(found, np.packbits(state))]) if first else block.narrowed()
+        row = ([number], [payload], [len(block.candidates())])
+        return pa.table([pa.array(x, t) for x, t in zip(row, (pa.int64(), pa.binary(), pa.int64()), strict=True)], names=["block", "payload", "tokens"])
 
     return run
 
@@ -337,12 +391,9 @@ def _scores(total: int, kinds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, payload in rows_of(batch):
-                block = _Block(payload)
-                block.follow(total, kinds)
-                by_text = lambda x, starts=block.starts: pa.array(np.add.reduceat(x, starts))
-                new = [by_text((block.count > 0).astype(np.int64)), by_text(np.log10(block.root)), by_text(np.log10(block.p))]
-                places = [pa.array(np.full(len(block.sizes), number)), pa.array(np.arange(len(block.sizes))), pa.array(block.sizes)]
-                yield pa.RecordBatch.from_arrays([*places, *new], names=["block", "place", "n_tokens", "n_known", "base_score", "score"])
+                block = _Block(payload, total, kinds)
+                columns = (np.full(len(block.sizes), number), np.arange(len(block.sizes)), block.sizes, *block.base(), block.scores())
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), names=["block", "place", "n_tokens", "n_known", "base_score", "score"])
         release()
 
     return run
@@ -368,44 +419,54 @@ def score_texts(docs: DataFrame, teaches: Column, depth: int = DEPTH) -> DataFra
     rows = docs.select(F.col("text"), F.coalesce(teaches, F.lit(False)).alias("teaches"), own.alias("own"))
     made = T.StructType([T.StructField("own", rows.schema["own"].dataType), T.StructField("block", T.LongType()), T.StructField("place", T.LongType()), T.StructField("payload", T.BinaryType())])
     whole = scratch.save(rows.mapInArrow(_tokenise(names), made), "texts")
-    texts, blocks = whole.where("payload IS NULL").select("own", "block", "place"), whole.where("payload IS NOT NULL").select("block", "payload")
+    texts = scratch.save(whole.where("payload IS NULL").select("own", "block", "place"), "rows")
+    blocks = whole.where("payload IS NOT NULL").select("block", "payload")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_blocks = blocks.select("block").count()
-    by_block = max(partitions, 2 * n_blocks)
+    n_blocks = blocks.count()
+    by_block = max(partitions, n_blocks)
+    tables: list[str] = []
 
     def exchanged(mail: DataFrame, buckets: int, answer, name: str) -> DataFrame:
-        answered = mail.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(answer, _MAIL)
-        saved = scratch.save(answered, name)
-        _forget(spark)
-        return saved
+        return scratch.save(mail.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(answer, _MAIL), name)
 
     def heard(states: DataFrame, answers: DataFrame, hear, name: str) -> DataFrame:
-        sent = states.select("block", F.lit(None).cast("long").alias("bucket"), "payload").union(answers.where("block IS NOT NULL").select("block", "bucket", "payload"))
-        saved = scratch.save(sent.repartition(by_block, "block").sortWithinPartitions("block", F.col("bucket").asc_nulls_first()).mapInArrow(hear, _MAIL), name)
-        _forget(spark)
-        return saved
+        """Blocks lie in a bucketed table, so that they stay where they are and only answers move."""
+        mine = answers.where("block IS NOT NULL").select("block", "bucket", "payload").repartition(by_block, "block")
+        both = states.select("block", "payload").groupby("block").cogroup(mine.groupby("block"))
+        tables.append(f"language_model_{uuid.uuid4().hex}")
+        both.applyInArrow(hear, "block long, payload binary, tokens long").write.bucketBy(by_block, "block").option("compression", "zstd").option("path", f"{scratch.base}/{name}").saveAsTable(tables[-1])
+        return spark.table(tables[-1])
+
+    def done(name: str) -> None:
+        spark.sql(f"DROP TABLE IF EXISTS {tables.pop(0)}")
+        scratch.drop(name)
 
     buckets = max(16, partitions, n_blocks)
     answers = exchanged(blocks.mapInArrow(_word_mail(buckets), _MAIL), buckets, _word_totals, "words")
+    _forget(spark)
     total, kinds = answers.where("block IS NULL").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     hot = int(max(HOT_LEAST, HOT_SHARE * total))
-    now = heard(blocks, answers, _hear(total, kinds, hot, None), "level-0")
+    now = heard(blocks.repartition(by_block, "block"), answers, _hear(total, kinds, hot, None), "level-0")
+    scratch.drop("texts")
     scratch.drop("words")
-    for level in range(1, depth + 1):
-        open_tokens = now.agg(F.sum("tokens")).first()[0] or 0
-        if not open_tokens:
-            break
+    level = 0
+    while level < depth and (open_tokens := now.agg(F.sum("tokens")).first()[0]):
+        level += 1
+        _forget(spark)
         buckets = max(16, partitions, open_tokens // BUCKET_ENTRIES)
-        answers = exchanged(now.select("block", "payload").mapInArrow(_ask(total, kinds, buckets, hot), _MAIL), buckets, _answer, f"answers-{level}")
+        answers = exchanged(now.select("block", "payload").mapInArrow(_ask(level, total, kinds, buckets, hot), _MAIL), buckets, _answer(total, kinds), f"answers-{level}")
+        _forget(spark)
         sums = answers.where("block IS NULL").select("payload").mapInArrow(_hot_sums, "context long, n long, gain double").groupBy("context").agg(F.sum("n").alias("n"), F.sum("gain").alias("gain"))
         passed = F.round(F.col("gain") - F.col("n") * F.log(F.greatest("n", F.lit(1))), 6) >= LEAST_GAIN
         states = sums.where(passed).select("context").toArrow().column(0).to_numpy()  # at most 1 / HOT_SHARE
         sent = spark.sparkContext.broadcast(np.sort(states.view(np.uint64)))
-        before, now = now, heard(now, answers, _hear(total, kinds, hot, sent), f"level-{level}")
+        now = heard(now, answers, _hear(total, kinds, hot, sent), f"level-{level}")
         scratch.drop(f"answers-{level}")
-        scratch.drop(f"level-{level - 1}")
-        del before
+        done(f"level-{level - 1}")
     scores = now.select("block", "payload").mapInArrow(_scores(total, kinds), "block long, place long, n_tokens long, n_known long, base_score double, score double")
+    scores = scratch.save(scores, "scores")
+    done(f"level-{level}")
+    _forget(spark)
     found = texts.join(scores, ["block", "place"])
     return found.select(*unnested(kept), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
