@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import numpy as np
@@ -33,6 +34,23 @@ def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+_REMOVE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is written inside gives up its shuffles as soon as it stands, and not when the driver next collects garbage.
+
+    A write is planned anew each time, so nothing else reads these shuffles; until it ends, lost ones are made again as ever.
+    """
+    before = spark.conf.get(_REMOVE, "false")
+    spark.conf.set(_REMOVE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_REMOVE, before)
+
+
 _OPEN: dict[str, list[Scratch]] = {}
 
 
@@ -46,7 +64,8 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return the written table; its lineage ends there."""
         path = f"{self.base}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        with shuffles_removed(self.spark):
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:

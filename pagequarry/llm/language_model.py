@@ -24,7 +24,6 @@ named like the made ones are replaced.
 
 from __future__ import annotations
 
-import gc
 import pickle
 import uuid
 from collections.abc import Iterator
@@ -34,11 +33,11 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, bound_batches, fold, mix, nested, release, rows_of, unnested, words
+from .common import Scratch, bound_batches, fold, mix, nested, release, rows_of, shuffles_removed, unnested, words
 
 #: Words of the longest context, and how often a context must be seen.
 DEPTH = 5
@@ -399,12 +398,6 @@ def _scores(total: int, kinds: int):
     return run
 
 
-def _forget(spark: SparkSession) -> None:
-    """Let Spark remove the shuffles of what has been saved."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def score_texts(docs: DataFrame, teaches: Column, depth: int = DEPTH) -> DataFrame:
     """``docs`` (text, ...) without text, with n_tokens, n_known, train_tokens, base_score and score.
 
@@ -434,7 +427,9 @@ def score_texts(docs: DataFrame, teaches: Column, depth: int = DEPTH) -> DataFra
         mine = answers.where("block IS NOT NULL").select("block", "bucket", "payload").repartition(by_block, "block")
         both = states.select("block", "payload").groupby("block").cogroup(mine.groupby("block"))
         tables.append(f"language_model_{uuid.uuid4().hex}")
-        both.applyInArrow(hear, "block long, payload binary, tokens long").write.bucketBy(by_block, "block").option("compression", "zstd").option("path", f"{scratch.base}/{name}").saveAsTable(tables[-1])
+        written = both.applyInArrow(hear, "block long, payload binary, tokens long").write.bucketBy(by_block, "block").option("compression", "zstd")
+        with shuffles_removed(spark):
+            written.option("path", f"{scratch.base}/{name}").saveAsTable(tables[-1])
         return spark.table(tables[-1])
 
     def done(name: str) -> None:
@@ -443,7 +438,6 @@ def score_texts(docs: DataFrame, teaches: Column, depth: int = DEPTH) -> DataFra
 
     buckets = max(16, partitions, n_blocks)
     answers = exchanged(blocks.mapInArrow(_word_mail(buckets), _MAIL), buckets, _word_totals, "words")
-    _forget(spark)
     total, kinds = answers.where("block IS NULL").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     hot = int(max(HOT_LEAST, HOT_SHARE * total))
     now = heard(blocks.repartition(by_block, "block"), answers, _hear(total, kinds, hot, None), "level-0")
@@ -452,10 +446,8 @@ def score_texts(docs: DataFrame, teaches: Column, depth: int = DEPTH) -> DataFra
     level = 0
     while level < depth and (open_tokens := now.agg(F.sum("tokens")).first()[0]):
         level += 1
-        _forget(spark)
         buckets = max(16, partitions, open_tokens // BUCKET_ENTRIES)
         answers = exchanged(now.select("block", "payload").mapInArrow(_ask(level, total, kinds, buckets, hot), _MAIL), buckets, _answer(total, kinds), f"answers-{level}")
-        _forget(spark)
         sums = answers.where("block IS NULL").select("payload").mapInArrow(_hot_sums, "context long, n long, gain double").groupBy("context").agg(F.sum("n").alias("n"), F.sum("gain").alias("gain"))
         passed = F.round(F.col("gain") - F.col("n") * F.log(F.greatest("n", F.lit(1))), 6) >= LEAST_GAIN
         states = sums.where(passed).select("context").toArrow().column(0).to_numpy()  # at most 1 / HOT_SHARE
@@ -466,7 +458,6 @@ def score_texts(docs: DataFrame, teaches: Column, depth: int = DEPTH) -> DataFra
     scores = now.select("block", "payload").mapInArrow(_scores(total, kinds), "block long, place long, n_tokens long, n_known long, base_score double, score double")
     scores = scratch.save(scores, "scores")
     done(f"level-{level}")
-    _forget(spark)
     found = texts.join(scores, ["block", "place"])
     return found.select(*unnested(kept), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
