@@ -9,7 +9,8 @@ one. A token is scored by the state of the longest suffix of the words before it
 
 The tree grows level by level and is never held in one place. Texts are tokenised once, into blocks of about ``BLOCK_TOKENS``
 tokens (a text is never split) with a dictionary of their words. For each level a block asks, packed by bucket, for the
-continuations of those of its contexts that are frequent enough; whatever isn't has no longer context either. A bucket adds up
+continuations of those of its contexts that are frequent enough; whatever isn't has no longer context either. Buckets take turns,
+so that only a part of what is asked lies on disk at once, and shuffles go when their table is written. A bucket adds up
 what all blocks sent for a context, tests it, and answers every block with the counts and the verdicts. A block sends each
 distinct continuation once with its count, so repeated passages cost one entry a block. A context of ``hot`` occurrences or more
 is dealt out by continuation; its sums come together in an aggregation, and the verdicts of these contexts are broadcast (there
@@ -27,6 +28,7 @@ from __future__ import annotations
 import pickle
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,8 @@ SMOOTH = 5.0
 #: Tokens that a map task holds at once, and asked continuations for which there is one bucket.
 BLOCK_TOKENS = 2_000_000
 BUCKET_ENTRIES = 1_500_000
+#: Turns in which the buckets of a level are asked, so that only this share of what is asked lies on disk at once.
+TURNS = 2
 #: A context is hot from this count, and from this share of all training tokens.
 HOT_LEAST, HOT_SHARE = 1_000_000, 1e-6
 _END = b"\n"
@@ -146,14 +150,15 @@ class _Block:
             self.h, self.n, self.p = own[ids], self.n.astype(np.int64), self.p.astype(np.float64)
             self.place = np.where(going, 1 << 30, 0)
         else:
-            own, ids, self.sizes, self.teaching, totals = arrays[:5]
+            own, at, ranks, self.sizes, self.teaching, totals = arrays[:6]
+            ids = at[ranks]
             self.h, self.count = own[ids], totals[ids].astype(np.int64)
             self.text = np.repeat(np.arange(len(self.sizes), dtype=np.uint32), self.sizes)
             self.place = np.arange(len(ids), dtype=np.int32) - np.repeat((np.cumsum(self.sizes) - self.sizes).astype(np.int32), self.sizes)
             self.p = (self.count + 1.0) / (total + kinds + 1)
             self.size, self.done = total + kinds + 1, np.zeros(len(self.sizes))
             self.n, self.key = self.count, self.h
-            for found, verdicts in zip(arrays[5::2], arrays[6::2], strict=True):
+            for found, verdicts in zip(arrays[6::2], arrays[7::2], strict=True):
                 self.step(found, np.unpackbits(verdicts, count=len(found)).astype(bool))
 
     def _by_text(self, values: np.ndarray) -> np.ndarray:
@@ -241,7 +246,12 @@ def _tokenise(names: list[str]):
             order = np.argsort(hashes)
             number = np.empty(len(order), np.uint32)
             number[order] = np.arange(len(order), dtype=np.uint32)
-            return _pack(hashes[order], number[np.concatenate(parts)], np.array([len(p) for p in parts], np.int64), np.array(teach, bool))
+            # tokens are told by the ranks of their words, whose high bytes are mostly zero
+            tokens = np.concatenate(parts)
+            by_rank = np.argsort(-np.bincount(tokens, minlength=len(order)), kind="stable")
+            rank = np.empty(len(order), np.uint32)
+            rank[by_rank] = np.arange(len(order), dtype=np.uint32)
+            return _pack(hashes[order], number[by_rank], rank[tokens], np.array([len(p) for p in parts], np.int64), np.array(teach, bool))
 
         def flush() -> pa.RecordBatch:
             row = [pa.nulls(1, own_type), pa.array([block], pa.int64()), pa.array([None], pa.int64()), pa.array([payload()], pa.binary())]
@@ -275,8 +285,8 @@ def _word_mail(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, payload in rows_of(batch):
-                own, ids, sizes, teaches = _unpack(payload)
-                n = _small(np.bincount(ids[np.repeat(teaches, sizes)], minlength=len(own)))
+                own, at, ranks, sizes, teaches = _unpack(payload)
+                n = _small(np.bincount(at[ranks[np.repeat(teaches, sizes)]], minlength=len(own)))
                 yield from _mail([(number, bucket, _pack(own[part], n[part]), None, None) for bucket, part in _slices(own, buckets)])
         release()
 
@@ -294,8 +304,8 @@ def _word_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
 
 
-def _ask(level: int, total: int, kinds: int, buckets: int, hot: int):
-    """The continuations of a block's candidate contexts, by bucket."""
+def _ask(level: int, total: int, kinds: int, buckets: int, hot: int, turn: int):
+    """The continuations of a block's candidate contexts, by bucket, for the buckets whose turn it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,6 +319,8 @@ def _ask(level: int, total: int, kinds: int, buckets: int, hot: int):
                 block = at = entry = None
                 out = []
                 for bucket, part in _slices(route, buckets):
+                    if bucket % TURNS != turn:
+                        continue
                     first = _firsts(context[part])
                     runs = np.diff(np.append(first, part.stop - part.start)).astype(np.uint32)
                     out.append((number, bucket, _pack(context[part][first], runs, is_hot[part][first], gram[part] & _TOLD, n[part], p[part]), None, None))
@@ -447,13 +459,18 @@ def score_texts(docs: DataFrame, teaches: Column, depth: int = DEPTH) -> DataFra
     while level < depth and (open_tokens := now.agg(F.sum("tokens")).first()[0]):
         level += 1
         buckets = max(16, partitions, open_tokens // BUCKET_ENTRIES)
-        answers = exchanged(now.select("block", "payload").mapInArrow(_ask(level, total, kinds, buckets, hot), _MAIL), buckets, _answer(total, kinds), f"answers-{level}")
+        answers = []
+        for turn in range(TURNS):
+            mail = now.select("block", "payload").mapInArrow(_ask(level, total, kinds, buckets, hot, turn), _MAIL)
+            answers.append(exchanged(mail, max(partitions, buckets // TURNS), _answer(total, kinds), f"answers-{level}-{turn}"))
+        answers = reduce(DataFrame.union, answers)
         sums = answers.where("block IS NULL").select("payload").mapInArrow(_hot_sums, "context long, n long, gain double").groupBy("context").agg(F.sum("n").alias("n"), F.sum("gain").alias("gain"))
         passed = F.round(F.col("gain") - F.col("n") * F.log(F.greatest("n", F.lit(1))), 6) >= LEAST_GAIN
         states = sums.where(passed).select("context").toArrow().column(0).to_numpy()  # at most 1 / HOT_SHARE
         sent = spark.sparkContext.broadcast(np.sort(states.view(np.uint64)))
         now = heard(now, answers, _hear(total, kinds, hot, sent), f"level-{level}")
-        scratch.drop(f"answers-{level}")
+        for turn in range(TURNS):
+            scratch.drop(f"answers-{level}-{turn}")
         done(f"level-{level - 1}")
     scores = now.select("block", "payload").mapInArrow(_scores(total, kinds), "block long, place long, n_tokens long, n_known long, base_score double, score double")
     scores = scratch.save(scores, "scores")
