@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_model, license_scan, near_dedup, quality_rules, quality_trees, substring_dedup, toxicity, warc
+from . import bpe, decontaminate, language_model, license_scan, near_dedup, quality_rules, quality_trees, substring_dedup, toxicity, vector_forest, warc
 from .common import Scratch, fold, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -80,9 +80,16 @@ def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality_trees.score_quality(docs, model), "quality", 0.3)
 
 
+def op11_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_minhash_dedup, op2_decontaminate, op3_quality_rules, op4_warc, op5_toxicity, op6_bpe, op7_substring_dedup, op8_license_scan, op9_lm_score, op10_quality_trees)
+    for f in (
+        op1_minhash_dedup, op2_decontaminate, op3_quality_rules, op4_warc, op5_toxicity, op6_bpe, op7_substring_dedup, op8_license_scan, op9_lm_score, op10_quality_trees,
+        op11_nearest_vectors,
+    )
 }
 
 # --- SQL -------------------------------------------------------------------------------------------------------------
