@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_model, license_scan, near_dedup, quality_rules, quality_trees, substring_dedup, toxicity, vector_forest, warc
+from . import bpe, decontaminate, language_model, license_scan, near_dedup, quality_rules, quality_trees, substring_dedup, toxicity, vector_codes, vector_forest, warc
 from .common import Scratch, fold, table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -84,11 +84,19 @@ def op11_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_forest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    digits = F.lower(F.hex("codes"))  # of each code the low byte, then the high one, which 256 entries leave at zero
+    code = F.concat(*(F.substring(digits, 4 * p + 1, 2) for p in range(vector_codes.PARTS)))
+    digest = F.lit(vector_codes.books_digest(books))
+    return vector_codes.with_label_error(coded).select("vec_id", code.alias("code"), "error", "label_error", digest.alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_minhash_dedup, op2_decontaminate, op3_quality_rules, op4_warc, op5_toxicity, op6_bpe, op7_substring_dedup, op8_license_scan, op9_lm_score, op10_quality_trees,
-        op11_nearest_vectors,
+        op11_nearest_vectors, op12_vector_codes,
     )
 }
 
@@ -180,10 +188,34 @@ SELECT w.doc_id, CAST(len(w.ws) AS BIGINT) AS n_words, CAST(coalesce(b.n, 0) AS
 FROM w LEFT JOIN b USING (doc_id) LEFT JOIN f USING (doc_id)
 """
 
+
+def _op12_sql() -> str:
+    nearest = "SELECT p.r, p.q, arg_min(b.e, 256 * (list_inner_product(b.c, b.c) - 2 * list_inner_product(p.x, b.c)) + b.e) AS e FROM p JOIN b{n} b ON b.q = p.q GROUP BY 1, 2"
+    rounds = "".join(
+        f"""a{n} AS MATERIALIZED ({nearest.format(n=n)}),
+m{n} AS (SELECT q, e, list(m ORDER BY i) AS c FROM (SELECT a.q, a.e, i, floor(sum(p.x[i]) / count(*)) AS m FROM p JOIN a{n} a ON a.r = p.r AND a.q = p.q, range(1, 17) t(i) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+b{n + 1} AS MATERIALIZED (SELECT b.q, b.e, coalesce(m.c, b.c) AS c FROM b{n} b LEFT JOIN m{n} m ON m.q = b.q AND m.e = b.e),
+"""
+        for n in range(vector_codes.ROUNDS)
+    )
+    return f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT r, q, v[16 * q + 1:16 * q + 16] AS x FROM k, range(4) t(q)),
+b0 AS MATERIALIZED (SELECT q, r - 1 AS e, x AS c FROM p WHERE r <= 256),
+{rounds}a AS MATERIALIZED ({nearest.format(n=vector_codes.ROUNDS)}),
+d AS (SELECT a.r, string_agg(printf('%02x', a.e), '' ORDER BY a.q) AS code, CAST(sum(list_inner_product(p.x, p.x) + list_inner_product(b.c, b.c) - 2 * list_inner_product(p.x, b.c)) AS BIGINT) AS error
+      FROM a JOIN p ON p.r = a.r AND p.q = a.q JOIN b{vector_codes.ROUNDS} b ON b.q = a.q AND b.e = a.e GROUP BY 1),
+s AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: CAST(x AS BIGINT)), ','), ',' ORDER BY q, e)) AS h FROM b{vector_codes.ROUNDS})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM k JOIN d USING (r), s
+"""
+
+
 ORACLES: dict[str, str] = {
     "op1_minhash_dedup": OP1_SQL,
     "op2_decontaminate": OP2_SQL,
     "op4_warc": OP4_SQL,
     "op7_substring_dedup": OP7_SQL,
     "op8_license_scan": OP8_SQL,
+    "op12_vector_codes": _op12_sql(),
 }
