@@ -10,11 +10,10 @@ from pagequarry.plans.catalog import HEADED_SQL, headed, query
 from pagequarry.plans.text_queries import level_sql
 
 _S = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
-_TOKENS = r"CAST(len(regexp_extract_all({}, '[\p{{L}}\p{{N}}_.+%-]+')) AS INTEGER)"
+TOKENS_SQL = r"CAST(len(regexp_extract_all({}, '[\p{{L}}\p{{N}}_.+%-]+')) AS INTEGER)"
 _SPACED = r"CAST(len(list_filter(regexp_split_to_array({}, '\s+'), lambda x: x <> '')) AS INTEGER)"
 _CLEAN = _S.format(r"regexp_replace(regexp_replace({}, '[ \t]+', ' ', 'g'), '\n([a-z])', ' \1', 'g')")
-BLOCKS_SQL = f"""
-{HEADED_SQL},
+_BLOCKS_SQL = f"""
 ln AS (SELECT doc_id, i, {_S.format("l")} AS s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM headed)),
 lv AS (SELECT *, {level_sql("s")} AS level FROM ln),
 gr AS (SELECT *, sum(CASE WHEN s = '' OR level IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM lv),
@@ -27,6 +26,7 @@ blk AS (SELECT bl.doc_id, pos, level, CASE WHEN n = 0 THEN CAST([] AS VARCHAR[])
         regexp_replace(line, '^#+\\s*', '') AS content, CASE WHEN level IS NOT NULL THEN repeat('#', level) || ' ' || line ELSE line END AS raw, line FROM bl LEFT JOIN hs USING (doc_id)),
 blocks AS (SELECT doc_id, pos, level, path, content, raw, CASE WHEN level IS NOT NULL THEN {_SPACED.format("content")} ELSE {_SPACED.format("line")} END AS token_count FROM blk)
 """
+BLOCKS_SQL = f"{HEADED_SQL}, {_BLOCKS_SQL}"
 
 
 @query(f"WITH {BLOCKS_SQL} SELECT doc_id, CAST(pos AS INTEGER) AS pos, level, array_to_string(path, ' > ') AS path, content, raw, token_count FROM blocks")
@@ -34,15 +34,16 @@ def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.extract_blocks(headed(spark, sf_dir).drop("source")).withColumn("path", F.array_join("path", " > "))
 
 
-_MOST = 60
-CHUNKS_SQL = f"""
-RECURSIVE {BLOCKS_SQL.lstrip()},
-se AS (SELECT *, sum(CASE WHEN pos = 0 OR level IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS sec, {_TOKENS.format("raw")} AS n FROM blocks),
+def chunks_sql(headed_sql: str, most: int) -> str:
+    """WITH's part that ends with ch, the chunks of headed (doc_id, source, text), which ``headed_sql`` gives."""
+    return f"""
+RECURSIVE {headed_sql.strip()}, {_BLOCKS_SQL},
+se AS (SELECT *, sum(CASE WHEN pos = 0 OR level IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS sec, {TOKENS_SQL.format("raw")} AS n FROM blocks),
 pp AS (SELECT doc_id, sec, row_number() OVER (PARTITION BY doc_id, sec ORDER BY pos) - 1 AS k, raw, n FROM se WHERE level IS NULL),
 r AS (SELECT doc_id, sec, k, 0 AS first, n AS total, n AS last_n, CAST(NULL AS BIGINT) AS ef, CAST(NULL AS BIGINT) AS el FROM pp WHERE k = 0
       UNION ALL
-      SELECT p.doc_id, p.sec, p.k, CASE WHEN r.total + p.n > {_MOST} THEN p.k - 1 ELSE r.first END, CASE WHEN r.total + p.n > {_MOST} THEN r.last_n + p.n ELSE r.total + p.n END, p.n,
-             CASE WHEN r.total + p.n > {_MOST} THEN r.first END, CASE WHEN r.total + p.n > {_MOST} THEN p.k - 1 END
+      SELECT p.doc_id, p.sec, p.k, CASE WHEN r.total + p.n > {most} THEN p.k - 1 ELSE r.first END, CASE WHEN r.total + p.n > {most} THEN r.last_n + p.n ELSE r.total + p.n END, p.n,
+             CASE WHEN r.total + p.n > {most} THEN r.first END, CASE WHEN r.total + p.n > {most} THEN p.k - 1 END
       FROM r JOIN pp p ON p.doc_id = r.doc_id AND p.sec = r.sec AND p.k = r.k + 1),
 sp AS (SELECT doc_id, sec, ef AS f, el AS l FROM r WHERE ef IS NOT NULL UNION ALL SELECT doc_id, sec, arg_max(first, k), max(k) FROM r GROUP BY 1, 2),
 hd AS (SELECT doc_id, sec, arg_min(level, pos) FILTER (WHERE level IS NOT NULL) AS level, arg_min(path, pos) AS path, arg_min(raw, pos) AS raw, arg_min(token_count, pos) FILTER (WHERE level IS NOT NULL) AS tc FROM se GROUP BY 1, 2),
@@ -52,9 +53,12 @@ ch AS (SELECT tx.doc_id, tx.sec, f, l, level, path, {_S.format("CASE WHEN len(pa
 """
 
 
+_MOST = 60
+
+
 @query(
-    f"WITH {CHUNKS_SQL} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY sec, f) - 1 AS INTEGER) AS chunk_index, text, level AS heading_level, array_to_string(path, ' > ') AS path, "
-    f"CAST(nb AS INTEGER) AS num_blocks, coalesce(tc, {_TOKENS.format('text')}) AS token_count FROM ch"
+    f"WITH {chunks_sql(HEADED_SQL, _MOST)} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY sec, f) - 1 AS INTEGER) AS chunk_index, text, level AS heading_level, array_to_string(path, ' > ') AS path, "
+    f"CAST(nb AS INTEGER) AS num_blocks, coalesce(tc, {TOKENS_SQL.format('text')}) AS token_count FROM ch"
 )
 def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = chunking.extract_blocks(_spread(spark, sf_dir))

@@ -144,7 +144,7 @@ def title_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- finance ---------------------------------------------------------------------------------------------------------
 
-_RATIO_SQL = {
+RATIO_SQL = {
     "gross_profit_margin": "gross_profit / revenue * 100", "operating_profit_margin": "operating_income / revenue * 100", "net_profit_margin": "net_income / revenue * 100",
     "roe": "net_income / shareholders_equity * 100", "roa": "net_income / total_assets * 100", "current_ratio": "current_assets / current_liabilities",
     "quick_ratio": "(current_assets - inventory) / current_liabilities", "debt_to_equity": "total_liabilities / shareholders_equity", "debt_to_assets": "total_liabilities / total_assets",
@@ -152,9 +152,9 @@ _RATIO_SQL = {
 }
 
 
-@query(f"WITH {STATEMENTS_SQL} SELECT company, fy, " + ", ".join(f"round({e}, 4) AS {m}" for m, e in _RATIO_SQL.items()) + " FROM statements")
+@query(f"WITH {STATEMENTS_SQL} SELECT company, fy, " + ", ".join(f"round({e}, 4) AS {m}" for m, e in RATIO_SQL.items()) + " FROM statements")
 def calc_all_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statements(spark, sf_dir).select("company", "fy", *(finance.ratio(m, F.col).alias(m) for m in _RATIO_SQL))
+    return statements(spark, sf_dir).select("company", "fy", *(finance.ratio(m, F.col).alias(m) for m in RATIO_SQL))
 
 
 _CASES = "unnest(['roe', 'ROA', 'current_ratio', 'interest_coverage', 'nothing', 'gross_profit_margin', 'debt_to_equity'])"
