@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagequarry.functions import geometry as g
 
@@ -37,6 +42,67 @@ def cross_page_pairs(regions: DataFrame, margin: float = 5.0, tolerance: float =
     return now.join(top, ["doc", "page"]).where(like).withColumn("n", F.row_number().over(first)).where("n = 1").select("doc", "page", "region", "next_region")
 
 
+def page_links(regions: DataFrame, margin: float = 5.0, tolerance: float = 0.1) -> DataFrame:
+    """(doc, page, region, next_region): a table that reaches its page's lower edge, and its continuation at the top of the next page.
+
+    Like ``cross_page_pairs``, but a table at the upper edge alone goes nowhere, and each table continues one table at most: of
+    several that claim it the first by region, which then have no other.
+    """
+    tables = regions_of(regions, "table")
+    now = tables.where(F.col("box.y2") > F.col("page_height") - margin).select("doc", "page", "region", g.width(F.col("box")).alias("wide"))
+    top = tables.where(F.col("box.y1") <= margin).select("doc", (F.col("page") - 1).alias("page"), F.col("region").alias("next_region"), g.width(F.col("box")).alias("next_wide"))
+    like = F.abs(F.col("wide") - F.col("next_wide")) / F.greatest(F.col("wide"), F.lit(1.0)) < tolerance
+    one = now.join(top, ["doc", "page"]).where(like).groupBy("doc", "page", "region").agg(F.min("next_region").alias("next_region"))
+    return one.groupBy("doc", "page", "next_region").agg(F.min("region").alias("region")).select("doc", "page", "region", "next_region")
+
+
+def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of a document, in the order of their pages, to the members of its chains: each link is looked at once."""
+    for batch in batches:
+        docs, links = batch.column(0), batch.column(1)
+        sizes = np.diff(links.offsets.to_numpy())
+        flat = links.flatten()
+        page, region, following = (flat.field(i).to_pylist() for i in range(3))
+        out: list[tuple] = []
+        at = 0
+        for d, n in enumerate(sizes):
+            chain_of: dict[tuple, list[tuple]] = {}
+            chains = []
+            for i in range(at, at + n):
+                chain = chain_of.pop((page[i], region[i]), None)
+                if chain is None:
+                    chain = [(page[i], region[i])]
+                    chains.append(chain)
+                chain.append((page[i] + 1, following[i]))
+                chain_of[page[i] + 1, following[i]] = chain
+            at += n
+            out += [(d, *node, *chain[0], k, len(chain)) for chain in chains for k, node in enumerate(chain)]
+        columns = list(zip(*out, strict=True)) or [()] * 7
+        kinds = (flat.field(0).type, flat.field(1).type, flat.field(0).type, flat.field(1).type, pa.int32(), pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [docs.take(pa.array(columns[0], pa.int64())), *(pa.array(c, k) for c, k in zip(columns[1:], kinds, strict=True))],
+            names=["doc", "page", "region", "chain_page", "chain_region", "fragment", "n_fragments"],
+        )
+
+
+def table_chains(regions: DataFrame, margin: float = 5.0, tolerance: float = 0.1) -> DataFrame:
+    """(doc, page, region, chain_page, chain_region, fragment, n_fragments) of every table region.
+
+    A chain is a table that goes on over pages, named by its first region; a table that stays on its page is a chain of one. The
+    links of a document, three values for each page that a table crosses, meet in one row.
+    """
+    links = page_links(regions, margin, tolerance)
+    met = links.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("page", "region", "next_region"))).alias("links"))
+    kind = {f.name: f.dataType for f in links.schema}
+    made = T.StructType([T.StructField(n, kind[k]) for n, k in (("doc", "doc"), ("page", "page"), ("region", "region"), ("chain_page", "page"), ("chain_region", "region"))])
+    members = met.mapInArrow(_follow, made.add("fragment", T.IntegerType()).add("n_fragments", T.IntegerType()))
+    alone = regions_of(regions, "table").select("doc", "page", "region")
+    return alone.join(members, ["doc", "page", "region"], "left").select(
+        "doc", "page", "region", F.coalesce("chain_page", "page").alias("chain_page"), F.coalesce("chain_region", "region").alias("chain_region"),
+        F.coalesce("fragment", F.lit(0)).alias("fragment"), F.coalesce("n_fragments", F.lit(1)).alias("n_fragments"),
+    )
+
+
 def captions(regions: DataFrame, radius: float = 20.0) -> DataFrame:
     """(doc, page, region, caption) of charts: the text of the nearest region that ends above them within ``radius``."""
     charts = regions_of(regions, "chart").select("doc", "page", "region", F.col("box.y1").alias("top"))

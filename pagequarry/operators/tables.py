@@ -181,6 +181,13 @@ def merge_pages(rows: DataFrame, table: str) -> DataFrame:
     return ordered.select(table, head["cells"].alias("head"), F.transform(rest, lambda x: x["cells"]).alias("body"))
 
 
+def join_fragments(fragments: Column) -> Column:
+    """The rows of a table from those of its fragments, array<array<array<string>>>: the first fragment's first row is the header, and a
+    later fragment's first row goes if it repeats it."""
+    head = header(F.get(fragments, F.lit(0)))
+    return F.flatten(F.transform(fragments, lambda rows, i: F.when((i > 0) & (header(rows) == head), body(rows)).otherwise(rows)))
+
+
 def grid_cells(images: DataFrame, rows: int = 10, columns: int = 8) -> DataFrame:
     """Cells of an even grid over images (table, width, height), for where no structure model decodes them."""
     grid = F.explode(F.sequence(F.lit(0), F.lit(rows * columns - 1)))

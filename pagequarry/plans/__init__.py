@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: Modules that register queries.
-MODULES = ["text_queries", "retrieval_queries", "table_queries", "chunk_queries", "layout_queries", "answer_queries", "workflow_queries"]
+MODULES = ["text_queries", "retrieval_queries", "table_queries", "chunk_queries", "layout_queries", "answer_queries", "workflow_queries", "ingest_queries"]
 
 
 def load_queries():

@@ -67,6 +67,30 @@ def cross_page_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.cross_page_pairs(regions(spark, sf_dir))
 
 
+_EDGED = """
+edged AS (SELECT o_orderkey // 400 AS doc, (o_orderkey % 400) // 8 AS page, o_orderkey AS region, CASE WHEN o_orderkey % 3 = 0 THEN 30.0 ELSE 2.0 END AS y1,
+  CASE WHEN o_custkey % 4 = 0 THEN 60.0 ELSE 98.0 END AS y2, CASE WHEN o_custkey % 5 = 0 THEN 50.0 ELSE 40.0 + 20 * (o_orderkey % 2) + o_custkey % 3 END AS x2 FROM orders WHERE o_orderkey % 8 IN (1, 4, 5))"""
+
+
+def _edged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three tables a page, most of them from its upper to its lower edge, in widths that let them go on in one another."""
+    k, u = F.col("o_orderkey"), F.col("o_custkey")
+    wide = F.when(u % 5 == 0, 50.0).otherwise(40.0 + 20 * (k % 2) + u % 3)
+    box = F.struct(F.lit(0.0).alias("x1"), F.when(k % 3 == 0, 30.0).otherwise(2.0).alias("y1"), wide.alias("x2"), F.when(u % 4 == 0, 60.0).otherwise(98.0).alias("y2"))
+    rows = table(spark, sf_dir, "orders").where((k % 8).isin(1, 4, 5))
+    return rows.select(F.floor(k / 400).alias("doc"), F.floor(k % 400 / 8).alias("page"), k.alias("region"), F.lit("table").alias("label"), box.alias("box"), F.lit(100.0).alias("page_height"))
+
+
+@query(f"WITH RECURSIVE {_EDGED}, one AS (SELECT a.doc, a.page, a.region, min(b.region) AS next_region FROM edged a JOIN edged b ON a.doc = b.doc AND b.page = a.page + 1 "
+       "WHERE a.y2 > 95 AND b.y1 <= 5 AND abs(a.x2 - b.x2) / greatest(a.x2, 1) < 0.1 GROUP BY 1, 2, 3), link AS (SELECT doc, page, next_region, min(region) AS region FROM one GROUP BY 1, 2, 3), "
+       "ch AS (SELECT doc, page, region, page AS chain_page, region AS chain_region, 0 AS fragment FROM edged WHERE region NOT IN (SELECT next_region FROM link) "
+       "UNION ALL SELECT ch.doc, ch.page + 1, link.next_region, chain_page, chain_region, fragment + 1 FROM ch JOIN link ON link.doc = ch.doc AND link.page = ch.page AND link.region = ch.region) "
+       "SELECT *, CAST(count(*) OVER (PARTITION BY doc, chain_page, chain_region) AS INTEGER) AS n_fragments FROM ch")
+def table_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables that go on over pages, followed from page to page."""
+    return layout.table_chains(_edged(spark, sf_dir))
+
+
 @query(f"WITH {REGIONS_SQL}, j AS (SELECT a.region, b.text, row_number() OVER (PARTITION BY a.region ORDER BY b.y2 DESC, b.region) AS n FROM reg a JOIN reg b ON a.doc = b.doc AND a.page = b.page WHERE a.label = 'chart' AND b.label = 'text' AND b.y2 > greatest(0.0, a.y1 - 20) AND b.y2 < a.y1) "
        "SELECT doc, page, reg.region, coalesce(j.text, '') AS caption FROM reg LEFT JOIN j ON j.region = reg.region AND n = 1 WHERE label = 'chart'")
 def chart_caption(spark: SparkSession, sf_dir: str) -> DataFrame:
