@@ -30,16 +30,17 @@ def embedded(rows):
 
 
 def ingest(spark: SparkSession, pages: str, root: str, name: str, most: int, overlap: int) -> int:
-    """Pages (source_doc, page_number, text) to chunks of all kinds with stable ids; returns how many."""
-    made = chunk_pages(spark.read.parquet(pages), IngestHooks(), most, overlap)
+    """Pages (source_doc, page_number, text) to chunks of all kinds with stable ids, and their vectors; returns how many."""
+    made = chunk_pages(spark.read.parquet(pages), IngestHooks(embed=embedded), most, overlap)
     held = Collections(spark, root)
     held.save(name, made)
     return held.count_lines(name)
 
 
 def open_collection(spark: SparkSession, root: str, name: str):
-    """A collection's chunks; vectors aren't stored with them."""
-    return Collections(spark, root).load(name).withColumnRenamed("chunk_id", "doc_id")
+    """A collection's chunks and the table of their vectors, which were made at ingest; None where there is none."""
+    held = Collections(spark, root)
+    return held.load(name).withColumnRenamed("chunk_id", "doc_id"), held.vectors(name)
 
 
 def report(spark: SparkSession, flow: Workflow, questions, show_retrieval: bool = False, show_state: bool = False) -> bool:
@@ -87,8 +88,8 @@ def main(args: list[str] | None = None) -> int:
         print(ingest(spark, given.pages, given.root, given.collection, given.chunk_max_tokens, given.overlap), "chunks")
     elif given.command in ("ask", "chat"):
         config = override(Config(), parse_overrides(given.config_override))
-        chunks = embedded(open_collection(spark, given.root, given.collection))
-        flow = Workflow(chunks, retrieval.build_index(chunks), Hooks(embed=embedded), config.retrieval)
+        chunks, vectors = open_collection(spark, given.root, given.collection)
+        flow = Workflow(chunks, retrieval.build_index(chunks), Hooks(embed=embedded), config.retrieval, vectors=vectors)
         asked = lambda text: spark.createDataFrame([(0, text)], "query_id int, text string")
         if given.command == "ask":
             return 0 if report(spark, flow, asked(given.question), given.show_retrieval, given.show_state) else 1
@@ -98,8 +99,8 @@ def main(args: list[str] | None = None) -> int:
             if line.strip():
                 report(spark, flow, asked(line.strip()))
     else:
-        chunks = embedded(open_collection(spark, given.root, given.collection)) if given.collection else None
-        registry = build_registry(spark, chunks, models=ToolModels(embed=embedded))
+        chunks, vectors = open_collection(spark, given.root, given.collection) if given.collection else (None, None)
+        registry = build_registry(spark, chunks, models=ToolModels(embed=embedded), vectors=vectors)
         for line in sys.stdin:
             if line.strip():
                 print(registry.handle(line), flush=True)

@@ -6,9 +6,8 @@ which a cluster adds up doubles.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +21,8 @@ from pagequarry.sources.shared import shared_path
 
 #: Queries that meet a batch in one matrix product, and rows of a batch that do.
 QUERY_BLOCK, ROW_BLOCK = 2_000, 1_000
-#: Queries that one pass over the documents or vectors answers; more are answered in several passes.
-MOST_QUERIES = 100_000
+#: Queries, and bytes of their vectors or weights, that one pass over the documents or vectors answers; more are answered in several passes.
+MOST_QUERIES, MOST_BYTES = 100_000, 64_000_000
 MOST_BROADCAST_TERMS = 500_000
 
 
@@ -121,18 +120,42 @@ def bm25_scores(index: Bm25Index, queries: DataFrame, k1: float = 1.5, b: float
     return summed.select("query_id", "doc_id", F.round(F.col("gain") + F.coalesce("base", F.lit(0.0)), 9).alias("score"))
 
 
-def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def best_of(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of each row's best k positive scores; ties with the k-th stay."""
     keep = min(k, scores.shape[1])
     floor = np.partition(scores, scores.shape[1] - keep, axis=1)[:, scores.shape[1] - keep]
     return np.nonzero(scores >= floor[:, None])
 
 
-def _passes(queries: DataFrame) -> Iterator[DataFrame]:
-    """The queries in parts of about ``MOST_QUERIES``."""
-    n = max(1, -(-queries.count() // MOST_QUERIES))
+def vector_queries(queries: DataFrame) -> DataFrame:
+    """(query_id, vector, bytes) of the queries that have both."""
+    rows = queries.where("query_id IS NOT NULL AND vector IS NOT NULL AND size(vector) > 0")
+    return rows.select("query_id", "vector", (8 * F.size("vector")).cast("long").alias("bytes"))
+
+
+def text_queries(queries: DataFrame) -> DataFrame:
+    """(query_id, text, bytes) of the queries with an id; a word of the text makes two numbers."""
+    return queries.where("query_id IS NOT NULL").select("query_id", "text", (8 * F.coalesce(F.octet_length("text"), F.lit(0))).cast("long").alias("bytes"))
+
+
+def in_passes(queries: DataFrame, run: Callable[[DataFrame], tuple[DataFrame, list]], schema: T.StructType) -> DataFrame:
+    """The results of queries (query_id, …, bytes) in passes of about ``MOST_QUERIES`` queries and ``MOST_BYTES`` bytes at most.
+
+    ``run`` gives a pass's result and what it has broadcast. One pass is planned and left to the caller; of several, each is
+    written and its broadcasts are destroyed before the next is sent, so that driver and executors hold one at a time.
+    """
+    total = queries.agg(F.count("*").alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    n = max(1, -(-total["n"] // MOST_QUERIES), -(-total["bytes"] // MOST_BYTES))
+    slim = queries.drop("bytes")
+    if n == 1:
+        return run(slim)[0]
+    spark, path = queries.sparkSession, shared_path(queries.sparkSession, "passes")
     for i in range(n):
-        yield queries if n == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)
+        part, sent = run(slim.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i))
+        part.write.parquet(f"{path}/{i}")
+        for s in sent:
+            s.destroy()
+    return spark.read.schema(schema).parquet(*(f"{path}/{i}" for i in range(n)))
 
 
 def top_k(scores: DataFrame, k: int, *ties: Column, score: str = "score", query: str = "query_id") -> DataFrame:
@@ -180,20 +203,20 @@ def bm25_top_k(index: Bm25Index, queries: DataFrame, k: int = 15, k1: float = 1.
                         matrix = np.zeros((min(QUERY_BLOCK, len(ids) - first), len(here)))
                         matrix[query_of[of] - first, place[of]] = w[of]
                         gains = matrix @ terms
-                        q, d = _best(gains, k)
+                        q, d = best_of(gains, k)
                         some = gains[q, d] > 0
                         q, d = q[some], d[some]
                         yield pa.RecordBatch.from_arrays([ids.take(pa.array(q + first)), b_.column(0).take(pa.array(d)), pa.array(gains[q, d])], names=schema.names)
 
         return run
 
-    parts = []
-    for some in _passes(queries.select("query_id", "text").where("query_id IS NOT NULL")):
+    def one(some: DataFrame) -> tuple[DataFrame, list]:
         weights = _weights(index, some).select("query_id", "term", "w").toArrow()
         ids, terms = (weights.column(c).combine_chunks().dictionary_encode() for c in (0, 1))
         sent = spark.sparkContext.broadcast((ids.dictionary, terms.dictionary.to_pylist(), ids.indices.to_numpy(), terms.indices.to_numpy(), weights.column(2).to_numpy()))
-        parts.append(index.docs.select("doc_id", "dl", "terms").mapInArrow(scored(sent), schema))
-    gains = reduce(DataFrame.union, parts)
+        return index.docs.select("doc_id", "dl", "terms").mapInArrow(scored(sent), schema), [sent]
+
+    gains = in_passes(text_queries(queries), one, schema)
     first = index.docs.select("doc_id").orderBy("doc_id").limit(k)  # any query's best documents lie among its matches and these
     fill = queries.select("query_id").where("query_id IS NOT NULL").crossJoin(F.broadcast(first)).select("query_id", "doc_id", F.lit(0.0).alias("score"))
     base = _weights(index, queries).groupBy("query_id").agg(F.sum(F.col("w") * delta).alias("base"))
@@ -209,40 +232,41 @@ def dot(a: Column, b: Column) -> Column:
 def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 15) -> DataFrame:
     """(query_id, doc_id, score, rank) of queries (query_id, vector) against all vectors (doc_id, vector), exactly.
 
-    All vectors are read once for up to ``MOST_QUERIES`` queries, which are broadcast. A batch of vectors meets the queries block by
-    block in matrix products and keeps its own best k for each query, so what is shuffled is a small share of the pairs. Ids may
-    have any type. Rows without id or vector match nothing.
+    All vectors are read once for each pass of queries (``in_passes``), which are broadcast. A batch of vectors meets the queries of its
+    length block by block in matrix products and keeps its own best k for each query, so what is shuffled is a small share of the
+    pairs. Ids may have any type. Rows without id or vector match nothing, nor do vectors of different lengths one another.
     """
     spark = vectors.sparkSession
     schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("doc_id", vectors.schema["doc_id"].dataType), T.StructField("score", T.DoubleType())])
-    rows = vectors.where("doc_id IS NOT NULL AND vector IS NOT NULL").select("doc_id", "vector")
+    rows = vectors.where("doc_id IS NOT NULL AND vector IS NOT NULL AND size(vector) > 0").select("doc_id", "vector")
 
-    def matrix_of(column) -> np.ndarray:
-        flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        return flat.reshape(len(column), -1)
+    def by_length(ids, column) -> dict[int, tuple]:
+        sizes = np.diff(column.offsets.to_numpy())
+        out = {}
+        for size in np.unique(sizes):
+            at = pa.array(np.flatnonzero(sizes == size))
+            out[int(size)] = ids.take(at), column.take(at).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
+        return out
 
     def scores(sent):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, matrix = sent.value
             for batch in batches:
-                if not len(ids):
-                    continue
                 for b in (batch.slice(i, ROW_BLOCK) for i in range(0, len(batch), ROW_BLOCK)):
-                    own = matrix_of(b.column(1))
-                    for first in range(0, len(ids), QUERY_BLOCK):
-                        product = np.round(matrix[first : first + QUERY_BLOCK] @ own.T, 9)
-                        q, d = _best(product, k)
-                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(q + first)), b.column(0).take(pa.array(d)), pa.array(product[q, d])], names=schema.names)
+                    for size, (docs, own) in by_length(b.column(0), b.column(1)).items():
+                        ids, matrix = sent.value.get(size, ([], []))
+                        for first in range(0, len(ids), QUERY_BLOCK):
+                            product = np.round(matrix[first : first + QUERY_BLOCK] @ own.T, 9)
+                            q, d = best_of(product, k)
+                            yield pa.RecordBatch.from_arrays([ids.take(pa.array(q + first)), docs.take(pa.array(d)), pa.array(product[q, d])], names=schema.names)
 
         return run
 
-    parts = []
-    for some in _passes(queries.where("query_id IS NOT NULL AND vector IS NOT NULL").select("query_id", "vector")):
+    def one(some: DataFrame) -> tuple[DataFrame, list]:
         asked = some.toArrow().combine_chunks()
-        ids = asked.column(0).combine_chunks() if len(asked) else pa.nulls(0)
-        matrix = matrix_of(asked.column(1).combine_chunks()) if len(asked) else np.zeros((0, 0))
-        parts.append(rows.mapInArrow(scores(spark.sparkContext.broadcast((ids, matrix))), schema))
-    return top_k(reduce(DataFrame.union, parts), k)
+        sent = spark.sparkContext.broadcast(by_length(*(c.combine_chunks() for c in asked.columns)) if len(asked) else {})
+        return rows.mapInArrow(scores(sent), schema), [sent]
+
+    return top_k(in_passes(vector_queries(queries), one, schema), k)
 
 
 def fuse_ranks(dense: DataFrame, sparse: DataFrame, k: int = 60) -> DataFrame:
@@ -287,10 +311,10 @@ class Settings:
     threshold: float = 0.15
 
 
-def retrieve(chunks: DataFrame, queries: DataFrame, mode: str = "hybrid", route: str = "fast", settings: Settings = Settings(), index: Bm25Index | None = None) -> DataFrame:
+def retrieve(chunks: DataFrame, queries: DataFrame, mode: str = "hybrid", route: str = "fast", settings: Settings = Settings(), index: Bm25Index | None = None, vectors=None) -> DataFrame:
     """Ranked chunks for queries (query_id, text, vector) from chunks (doc_id, text, vector); only what the mode needs is built.
 
-    Modes: dense_only, sparse_only, hybrid, rerank (hybrid candidates, reranked, with a threshold).
+    A stored ``vectors.VectorTable`` takes the place of the chunks' own vectors. Modes: dense_only, sparse_only, hybrid, rerank (hybrid candidates, reranked, with a threshold).
     """
     final = settings.final_slow if route == "slow" else settings.final_fast
     empty = lambda x: x.limit(0)
@@ -298,7 +322,7 @@ def retrieve(chunks: DataFrame, queries: DataFrame, mode: str = "hybrid", route:
         raise ValueError(f"unknown mode {mode}")
     dense = sparse = None
     if mode != "sparse_only":
-        dense = dense_top_k(chunks, queries, settings.dense_k)
+        dense = dense_top_k(chunks, queries, settings.dense_k) if vectors is None else vectors.top_k(queries, settings.dense_k)
     if mode != "dense_only":
         sparse = bm25_top_k(index or build_index(chunks, queries=queries), queries, settings.sparse_k)
     fused = fuse_ranks(dense if dense is not None else empty(sparse), sparse if sparse is not None else empty(dense), settings.rrf_k)

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagequarry.operators import retrieval as r
+from pagequarry.operators.vectors import write_vectors
 from pagequarry.plans.catalog import query, table
 from pagequarry.plans.text_queries import _TERMS
+from pagequarry.sources.shared import shared_path
 
 
 def _terms_of(text: str) -> str:
@@ -84,6 +86,15 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
 
 
+@query(f"WITH {_DENSE} SELECT query_id, doc_id, round(score, 4) AS score, CAST(rank AS INTEGER) AS rank FROM dk")
+def dense_topk_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stored table, in two segments, of which the second came later."""
+    rows = vectors_of(spark, sf_dir)
+    held = write_vectors(rows.where("doc_id % 3 > 0"), shared_path(spark, "vectors"), cells=16)
+    held.append(rows.where("doc_id % 3 = 0"), 1)
+    return held.top_k(vector_queries(spark, sf_dir)).select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
+
+
 _FUSED = """
 fu AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.doc_id, b.doc_id) AS doc_id, round(coalesce(1.0::DOUBLE / (60 + a.rank), 0.0::DOUBLE) + coalesce(1.0::DOUBLE / (60 + b.rank), 0.0::DOUBLE), 9) AS rrf,
   a.score AS ds, b.score AS ss, a.rank AS ra, b.rank AS rb FROM {a} a FULL JOIN {b} b ON a.query_id = b.query_id AND a.doc_id = b.doc_id),

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pagequarry.functions.text import augment_query, json_in_text
 from pagequarry.operators import retrieval as r
 from pagequarry.operators import verify
+from pagequarry.operators.vectors import VectorTable
 
 SLOW_WORDS = ["compare", "trend", "growth", "analyze", "analyse", "calculate", "drove", "across", "versus", " vs ", "risk", "why"]
 TASK_TYPES = ["factual_query", "comparative", "trend", "risk", "financial_calc", "cross_table", "unknown"]
@@ -80,7 +81,8 @@ class Hooks:
 
 @dataclass(frozen=True)
 class Workflow:
-    """Chunks have doc_id, text, source_doc and page_number, and a vector where dense retrieval shall find them.
+    """Chunks have doc_id, text, source_doc and page_number, and a vector where dense retrieval shall find them, unless ``vectors`` is their
+    stored table.
 
     The index is built once and written. Questions may bring a ``vector``; where they don't, ``hooks.embed`` gives them one if it is
     set. A question without a vector is answered by the sparse list alone. ``mode`` is one of ``retrieval.retrieve``.
@@ -91,6 +93,7 @@ class Workflow:
     hooks: Hooks = field(default_factory=Hooks)
     settings: r.Settings = field(default_factory=r.Settings)
     mode: str = "hybrid"
+    vectors: VectorTable | None = None
 
     def route(self, questions: DataFrame) -> DataFrame:
         route, confidence = parse_route(self.hooks.route(F.col("text")))
@@ -100,8 +103,8 @@ class Workflow:
         """Ranked chunks of queries (query_id, text, vector or none)."""
         if self.hooks.embed is not None and "vector" not in queries.columns:
             queries = self.hooks.embed(queries)
-        dense = "vector" in queries.columns and "vector" in self.chunks.columns
-        ranked = r.retrieve(self.chunks, queries, self.mode if dense else "sparse_only", route, self.settings, self.index)
+        dense = "vector" in queries.columns and (self.vectors is not None or "vector" in self.chunks.columns)
+        ranked = r.retrieve(self.chunks, queries, self.mode if dense else "sparse_only", route, self.settings, self.index, self.vectors)
         return ranked.select("query_id", "doc_id", "rank")
 
     def _texts(self, ranked: DataFrame, questions: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.functions import finance, text
 from pagequarry.operators import charts, retrieval, tables, verify
+from pagequarry.operators.vectors import VectorTable
 
 INVALID_PARAMS, INTERNAL_ERROR, PARSE_ERROR, NO_METHOD = -32602, -32603, -32700, -32601
 
@@ -94,9 +95,9 @@ class ToolModels:
     audit: verify.Model | None = None
 
 
-def build_registry(spark: SparkSession, chunks: DataFrame | None = None, index: retrieval.Bm25Index | None = None, models: ToolModels = ToolModels()) -> Registry:
-    """All tools. Retrieval ones read ``chunks`` (doc_id, text, source_doc, page_number, and vector for dense retrieval); others work
-    on their arguments. The index is built when it is first asked for, once.
+def build_registry(spark: SparkSession, chunks: DataFrame | None = None, index: retrieval.Bm25Index | None = None, models: ToolModels = ToolModels(), vectors: VectorTable | None = None) -> Registry:
+    """All tools. Retrieval ones read ``chunks`` (doc_id, text, source_doc, page_number, and for dense retrieval vector, or the stored
+    ``vectors``); others work on their arguments. The index is built when it is first asked for, once.
     """
     held = [index]
 
@@ -137,27 +138,30 @@ def build_registry(spark: SparkSession, chunks: DataFrame | None = None, index:
         rows = ranked.join(corpus()[0], "doc_id").orderBy("rank")
         return many(rows.select("doc_id", F.substring("text", 1, 300).alias("text"), "source_doc", "page_number", F.round(score, 4).alias("score"), "rank"))
 
-    def hybrid_search(query: str, top_k: int = 6, mode: str = "hybrid"):
-        """Without vectors or a model that makes them, a mode that needs both lists makes do with the sparse one."""
+    def found(asked: DataFrame, k: int, mode: str) -> tuple[DataFrame, str]:
+        """Ranked chunks and the mode they were found by: without vectors or a model that makes them, a mode that needs both lists makes
+        do with the sparse one."""
         texts, postings = corpus()
-        asked = frame([(0, query)], "query_id int, text string")
-        if "vector" in texts.columns and models.embed is not None:
+        if (vectors is not None or "vector" in texts.columns) and models.embed is not None:
             asked = models.embed(asked)
         elif mode in ("hybrid", "rerank"):
             mode = "sparse_only"
         elif mode == "dense_only":
             raise ValueError("the collection has no vectors, or no model makes the query's")
-        settings = retrieval.Settings(final_fast=top_k, candidates=max(20, top_k), dense_k=max(15, top_k), sparse_k=max(15, top_k))
-        ranked = retrieval.retrieve(texts, asked, mode, settings=settings, index=postings)
-        return shown(ranked, "rerank_score" if mode == "rerank" else "rrf")
+        settings = retrieval.Settings(final_fast=k, candidates=max(20, k), dense_k=max(15, k), sparse_k=max(15, k))
+        return retrieval.retrieve(texts, asked, mode, settings=settings, index=postings, vectors=vectors), mode
+
+    def hybrid_search(query: str, top_k: int = 6, mode: str = "hybrid"):
+        ranked, used = found(frame([(0, query)], "query_id int, text string"), top_k, mode)
+        return shown(ranked, "rerank_score" if used == "rerank" else "rrf")
 
     def rerank(query: str, documents: list, top_k: int = 5):
         pairs = frame([(0, i, query, d) for i, d in enumerate(documents)], "query_id int, doc_id int, query_text string, text string")
         return many(retrieval.rerank(pairs, top_k).orderBy("rank").select("doc_id", "rerank_score", "rank"))
 
-    def multi_query(queries: list, top_k_per_query: int = 15, final_k: int = 10):
-        asked = frame([(i, 0, q) for i, q in enumerate(queries)], "query_id int, g int, text string")
-        ranked = retrieval.bm25_top_k(corpus()[1], asked, top_k_per_query).join(asked.select("query_id", "g"), "query_id")
+    def multi_query(queries: list, top_k_per_query: int = 15, final_k: int = 10, mode: str = "hybrid"):
+        asked = frame([(i, q) for i, q in enumerate(queries)], "query_id int, text string")
+        ranked = found(asked, top_k_per_query, mode)[0].select("query_id", "doc_id", "rank").withColumn("g", F.lit(0))
         return shown(retrieval.fuse_queries(ranked, "g", final=final_k), "rrf")
 
     # analysis
@@ -215,7 +219,7 @@ def build_registry(spark: SparkSession, chunks: DataFrame | None = None, index:
         Tool("document_ocr_correct", "Corrected cell texts.", {"cell_texts": a, "language": "string?"}, ocr_correct),
         Tool("retrieval_hybrid_search", "The best chunks for a query.", {"query": s, "top_k": "number?", "mode": "string?"}, hybrid_search),
         Tool("retrieval_rerank", "Documents in the order of their relevance to a query.", {"query": s, "documents": a, "top_k": "number?"}, rerank),
-        Tool("retrieval_multi_query", "The best chunks for several queries together.", {"queries": a, "top_k_per_query": "number?", "final_k": "number?"}, multi_query),
+        Tool("retrieval_multi_query", "The best chunks for several queries together.", {"queries": a, "top_k_per_query": "number?", "final_k": "number?", "mode": "string?"}, multi_query),
         Tool("analysis_metric_extract", "Values of a metric in Markdown tables.", {"tables_": a, "metric": s, "context_fields": "array?"}, metric_extract),
         Tool("analysis_calculate", "A ratio from named values.", {"metric": s, "values": o}, calculate),
         Tool("analysis_unit_normalize", "Numbers of texts with unit suffixes.", {"values": a, "target_unit": "string?", "cjk_units": "boolean?"}, unit_normalize),

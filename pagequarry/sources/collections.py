@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagequarry.operators.vectors import VectorTable, write_vectors
+from pagequarry.sources.shared import shared_path
+
 #: Columns of a stored chunk; those of one type are null in others.
 CHUNK_SCHEMA = T.StructType([
     T.StructField("chunk_id", T.StringType()), T.StructField("text", T.StringType()), T.StructField("source_doc", T.StringType()),
@@ -31,11 +35,22 @@ class Collections:
         return f"{self.root}/{name}" if self.parquet else f"{self.root}/{name}.jsonl"
 
     def save(self, name: str, chunks: DataFrame, ingested_at: str | None = None) -> None:
-        """Overwrite a collection; vectors aren't stored with it, the time of ingest is."""
+        """Overwrite a collection with the time of ingest. A column ``vector`` goes to a table of vectors beside it, made once and here."""
         stamp = F.lit(ingested_at).cast("timestamp") if ingested_at else F.current_timestamp()
-        rows = chunks.drop("embedding").withColumn("ingested_at", stamp)
+        rows = chunks.drop("embedding", "vector").withColumn("ingested_at", stamp)
         writer = rows.write.mode("overwrite")
         writer.partitionBy("chunk_type").parquet(self.path(name)) if self.parquet else writer.json(self.path(name))
+        if "vector" in chunks.columns:
+            path = shared_path(self.spark, "embedded")
+            chunks.select(F.col("chunk_id").alias("doc_id"), "vector").write.parquet(path)  # the model runs once, the table is made in several passes
+            write_vectors(self.spark.read.parquet(path), self.vector_path(name))
+
+    def vector_path(self, name: str) -> str:
+        return f"{self.root}/{name}.vectors"
+
+    def vectors(self, name: str) -> VectorTable | None:
+        """The stored vectors (doc_id is the chunk's id) of a collection that was saved with them."""
+        return VectorTable(self.spark, self.vector_path(name)) if _exists(self.spark, self.vector_path(name)) else None
 
     def load(self, name: str, schema: T.StructType = CHUNK_SCHEMA) -> DataFrame:
         """A collection's rows; blank lines are none, and a missing collection is empty."""
@@ -51,6 +66,7 @@ class Collections:
         root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
         fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         found = [x.getPath().getName() for x in fs.listStatus(root)] if fs.exists(root) else []
+        found = [x for x in found if not x.endswith(".vectors")]
         return sorted(x.removesuffix(".jsonl") for x in found if self.parquet or x.endswith(".jsonl"))
 
 
@@ -61,7 +77,12 @@ def union_chunks(text: DataFrame, table: DataFrame, chart: DataFrame) -> DataFra
 
 def discover_pdfs(spark: SparkSession, folder: str) -> DataFrame:
     """(path, length, content) of the PDF files of a folder, whatever the case of their suffix."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(folder)
+    try:
+        return spark.read.format("binaryFile").load(f"{folder}/*.[pP][dD][fF]")
+    except AnalysisException as none:
+        if none.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
 
 
 def first_of_each(df: DataFrame, key: list[str], order: list) -> DataFrame:
