@@ -7,7 +7,7 @@ which a cluster adds up doubles.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,7 @@ class Bm25Index:
     docs: DataFrame  # doc_id, dl, terms: array of (term, tf)
     terms: DataFrame  # term, df
     stats: DataFrame  # one row: n_docs, avgdl
+    asked: DataFrame | None = None  # the terms that a partial index was built for; None: all
 
     @property
     def postings(self) -> DataFrame:
@@ -65,38 +66,49 @@ def _counted(asked):
     return run
 
 
+def counted_terms(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", asked=None) -> DataFrame:
+    """(doc_id, dl, terms: array of (term, tf)) of documents, tokenised in as many tasks as there are cores at least."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    files = len(docs.inputFiles()) if rows.isStreaming is False else 0
+    if files < spark.sparkContext.defaultParallelism:
+        rows = rows.repartition(spark.sparkContext.defaultParallelism)
+    kind = docs.schema[doc_id].dataType.simpleString()
+    tokens = rows.select("doc_id", F.coalesce(search_terms(F.coalesce("text", F.lit(""))), F.array().cast("array<string>")).alias("terms"))
+    return tokens.mapInArrow(_counted(asked), f"doc_id {kind}, dl int, terms array<struct<term: string, tf: bigint>>")
+
+
 def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", queries: DataFrame | None = None) -> Bm25Index:
     """Terms of each document, document frequencies and corpus statistics over all documents, those without terms included.
 
-    Texts are tokenised once, in as many tasks as there are cores at least, and the index is written to the shared folder. With
-    ``queries``, it holds only what these ask for, if they ask for at most ``MOST_BROADCAST_TERMS`` terms.
+    The index is written to the shared folder. With ``queries``, it holds only what these ask for, if they ask for at most
+    ``MOST_BROADCAST_TERMS`` terms; it then refuses queries that ask for others.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    if rows.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
-        rows = rows.repartition(spark.sparkContext.defaultParallelism)
-    asked = None
+    asked, wanted = None, []
     if queries is not None:
         wanted = query_terms(queries).select("term").distinct().limit(MOST_BROADCAST_TERMS + 1).toArrow().column(0).to_pylist()
         if len(wanted) <= MOST_BROADCAST_TERMS:
             asked = spark.sparkContext.broadcast(wanted)
-    kind = docs.schema[doc_id].dataType.simpleString()
-    tokens = rows.select("doc_id", F.coalesce(search_terms(F.coalesce("text", F.lit(""))), F.array().cast("array<string>")).alias("terms"))
     path = shared_path(spark, "bm25-index")
-    tokens.mapInArrow(_counted(asked), f"doc_id {kind}, dl int, terms array<struct<term: string, tf: bigint>>").write.parquet(f"{path}/docs")
-    return _index(spark, path)
+    counted_terms(docs, doc_id, text, asked).write.parquet(f"{path}/docs")
+    if asked is not None:
+        spark.createDataFrame([(t,) for t in wanted], "term string").write.parquet(f"{path}/asked")
+    return _index(spark, path, asked is not None)
 
 
-def _index(spark: SparkSession, path: str) -> Bm25Index:
+def _index(spark: SparkSession, path: str, partial: bool) -> Bm25Index:
     held = spark.read.parquet(f"{path}/docs")
     df = held.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     df.write.mode("overwrite").parquet(f"{path}/terms")
     held.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{path}/stats")
-    return load_index(spark, path)
+    return replace(load_index(spark, path), asked=spark.read.parquet(f"{path}/asked") if partial else None)
 
 
 def save_index(index: Bm25Index, path: str) -> None:
-    """Write an index as Parquet to a place of its own."""
+    """Write a whole index as Parquet to a place of its own."""
+    if index.asked is not None:
+        raise ValueError("an index of some queries' terms alone isn't saved")
     for name in ("docs", "terms", "stats"):
         getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
@@ -105,14 +117,26 @@ def load_index(spark: SparkSession, path: str) -> Bm25Index:
     return Bm25Index(*(spark.read.parquet(f"{path}/{name}") for name in ("docs", "terms", "stats")))
 
 
-def _weights(index: Bm25Index, queries: DataFrame) -> DataFrame:
+def _weights(index, queries: DataFrame) -> DataFrame:
     """(query_id, term, w, avgdl)"""
-    known = query_terms(queries).join(index.terms, "term").crossJoin(F.broadcast(index.stats))  # one row of statistics
+    return weigh(queries, index.terms, index.stats)
+
+
+def _check(index: Bm25Index, queries: DataFrame) -> None:
+    """A partial index would be silent about terms that it wasn't built for."""
+    if index.asked is not None and (odd := query_terms(queries).join(index.asked, "term", "left_anti").first()):
+        raise ValueError(f"the index was built for other queries; it doesn't hold {odd.term!r}")
+
+
+def weigh(queries: DataFrame, terms: DataFrame, stats: DataFrame) -> DataFrame:
+    """(query_id, term, w, avgdl) from (term, df) and one row of statistics."""
+    known = query_terms(queries).join(terms, "term").crossJoin(F.broadcast(stats))
     return known.select("query_id", "term", (F.col("qtf") * F.ln((F.col("n_docs") + 1) / F.col("df"))).alias("w"), "avgdl")
 
 
 def bm25_scores(index: Bm25Index, queries: DataFrame, k1: float = 1.5, b: float = 0.75, delta: float = 1.0) -> DataFrame:
     """(query_id, doc_id, score) for every document that shares a term with a query (query_id, text): a row for each such pair."""
+    _check(index, queries)
     weighted = _weights(index, queries)
     base = weighted.groupBy("query_id").agg(F.sum(F.col("w") * delta).alias("base"))
     gain = F.col("w") * F.col("tf") * (k1 + 1) / (k1 * (1 - b + b * F.col("dl") / F.col("avgdl")) + F.col("tf"))
@@ -170,6 +194,7 @@ def bm25_top_k(index: Bm25Index, queries: DataFrame, k: int = 15, k1: float = 1.
     The queries' weights go to the documents; a batch of these scores itself against a block of queries in one product and keeps
     its own best k for each, so that no row for each pair of a query and a document is made.
     """
+    _check(index, queries)
     spark = queries.sparkSession
     stats = index.stats.first()
     schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("doc_id", index.docs.schema["doc_id"].dataType), T.StructField("score", T.DoubleType())])
@@ -216,11 +241,16 @@ def bm25_top_k(index: Bm25Index, queries: DataFrame, k: int = 15, k1: float = 1.
         sent = spark.sparkContext.broadcast((ids.dictionary, terms.dictionary.to_pylist(), ids.indices.to_numpy(), terms.indices.to_numpy(), weights.column(2).to_numpy()))
         return index.docs.select("doc_id", "dl", "terms").mapInArrow(scored(sent), schema), [sent]
 
-    gains = in_passes(text_queries(queries), one, schema)
+    return rank_gains(index, queries, in_passes(text_queries(queries), one, schema).withColumnRenamed("score", "gain"), k, delta)
+
+
+def rank_gains(index, queries: DataFrame, gains: DataFrame, k: int, delta: float) -> DataFrame:
+    """(query_id, doc_id, score, rank) from (query_id, doc_id, gain) of the best matches: what every document gets is added, and queries with
+    fewer matches than k are filled by id."""
     first = index.docs.select("doc_id").orderBy("doc_id").limit(k)  # any query's best documents lie among its matches and these
-    fill = queries.select("query_id").where("query_id IS NOT NULL").crossJoin(F.broadcast(first)).select("query_id", "doc_id", F.lit(0.0).alias("score"))
+    fill = queries.select("query_id").where("query_id IS NOT NULL").crossJoin(F.broadcast(first)).select("query_id", "doc_id", F.lit(0.0).alias("gain"))
     base = _weights(index, queries).groupBy("query_id").agg(F.sum(F.col("w") * delta).alias("base"))
-    best = gains.union(fill).groupBy("query_id", "doc_id").agg(F.max("score").alias("gain")).join(base, "query_id", "left")
+    best = gains.union(fill).groupBy("query_id", "doc_id").agg(F.max("gain").alias("gain")).join(base, "query_id", "left")
     return top_k(best.select("query_id", "doc_id", F.round(F.col("gain") + F.coalesce("base", F.lit(0.0)), 9).alias("score")), k)
 
 
@@ -314,7 +344,7 @@ class Settings:
 def retrieve(chunks: DataFrame, queries: DataFrame, mode: str = "hybrid", route: str = "fast", settings: Settings = Settings(), index: Bm25Index | None = None, vectors=None) -> DataFrame:
     """Ranked chunks for queries (query_id, text, vector) from chunks (doc_id, text, vector); only what the mode needs is built.
 
-    A stored ``vectors.VectorTable`` takes the place of the chunks' own vectors. Modes: dense_only, sparse_only, hybrid, rerank (hybrid candidates, reranked, with a threshold).
+    A stored ``vectors.VectorTable`` takes the place of the chunks' own vectors, a ``postings.PostingsIndex`` that of a ``Bm25Index``. Modes: dense_only, sparse_only, hybrid, rerank (hybrid candidates, reranked, with a threshold).
     """
     final = settings.final_slow if route == "slow" else settings.final_fast
     empty = lambda x: x.limit(0)
@@ -324,7 +354,8 @@ def retrieve(chunks: DataFrame, queries: DataFrame, mode: str = "hybrid", route:
     if mode != "sparse_only":
         dense = dense_top_k(chunks, queries, settings.dense_k) if vectors is None else vectors.top_k(queries, settings.dense_k)
     if mode != "dense_only":
-        sparse = bm25_top_k(index or build_index(chunks, queries=queries), queries, settings.sparse_k)
+        held = build_index(chunks, queries=queries) if index is None else index
+        sparse = bm25_top_k(held, queries, settings.sparse_k) if isinstance(held, Bm25Index) else held.top_k(queries, settings.sparse_k)
     fused = fuse_ranks(dense if dense is not None else empty(sparse), sparse if sparse is not None else empty(dense), settings.rrf_k)
     fused = fused.where(F.col("rank") <= settings.candidates)
     if mode == "rerank":

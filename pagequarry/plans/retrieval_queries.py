@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagequarry.operators import postings
 from pagequarry.operators import retrieval as r
 from pagequarry.operators.vectors import write_vectors
 from pagequarry.plans.catalog import query, table
@@ -51,6 +52,15 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
 
 
+@query(f"WITH {_BM25} SELECT query_id, doc_id, round(score, 4) AS score, CAST(rank AS INTEGER) AS rank FROM bmk")
+def bm25_topk_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from an index by term that grew by a second segment."""
+    docs = docs_of(spark, sf_dir)
+    index = postings.build(docs.where("doc_id % 4 > 0"), shared_path(spark, "postings"))
+    index.add(docs.where("doc_id % 4 = 0"), 1)
+    return index.top_k(asked(spark, sf_dir)).select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
+
+
 @query(f"WITH {_BM25} SELECT query_id, CAST(count(*) AS BIGINT) AS n_docs, round(max(score), 4) AS best, round(min(score), 4) AS least FROM bm GROUP BY 1")
 def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = r.bm25_scores(index_of(spark, sf_dir), asked(spark, sf_dir))

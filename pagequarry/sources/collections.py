@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagequarry.operators.vectors import VectorTable, write_vectors
-from pagequarry.sources.shared import shared_path
+from pagequarry.sources.shared import exists, shared_path
 
 #: Columns of a stored chunk; those of one type are null in others.
 CHUNK_SCHEMA = T.StructType([
@@ -20,11 +20,6 @@ CHUNK_SCHEMA = T.StructType([
 ])
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-
 class Collections:
     """Collections under one folder, each a directory of JSON lines, or of Parquet files where ``parquet`` is set."""
 
@@ -50,17 +45,17 @@ class Collections:
 
     def vectors(self, name: str) -> VectorTable | None:
         """The stored vectors (doc_id is the chunk's id) of a collection that was saved with them."""
-        return VectorTable(self.spark, self.vector_path(name)) if _exists(self.spark, self.vector_path(name)) else None
+        return VectorTable(self.spark, self.vector_path(name)) if exists(self.spark, self.vector_path(name)) else None
 
     def load(self, name: str, schema: T.StructType = CHUNK_SCHEMA) -> DataFrame:
         """A collection's rows; blank lines are none, and a missing collection is empty."""
-        if not _exists(self.spark, self.path(name)):
+        if not exists(self.spark, self.path(name)):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(self.path(name)) if self.parquet else self.spark.read.schema(schema).json(self.path(name))
 
     def count_lines(self, name: str) -> int:
         """Lines of a JSON collection, blank ones too; 0 where it is missing."""
-        return self.spark.read.text(self.path(name)).count() if _exists(self.spark, self.path(name)) else 0
+        return self.spark.read.text(self.path(name)).count() if exists(self.spark, self.path(name)) else 0
 
     def names(self) -> list[str]:
         root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)

@@ -1,4 +1,4 @@
-"""A folder that the driver and all executors share."""
+"""Paths that the driver and all executors share."""
 
 from __future__ import annotations
 
@@ -18,3 +18,9 @@ def shared_path(spark: SparkSession, name: str) -> str:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
         base = context.getCheckpointDir()
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in whatever file system the path names."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)

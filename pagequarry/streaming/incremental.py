@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pagequarry.functions.text import count_tokens
+from pagequarry.operators import postings
+from pagequarry.sources.shared import exists
 
 
 def ingest_stream(chunks: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
@@ -19,6 +21,20 @@ def ingest_stream(chunks: DataFrame, target: str, checkpoint: str) -> StreamingQ
     return writer.outputMode("append").trigger(availableNow=True).start()
 
 
+def index_stream(chunks: DataFrame, path: str, checkpoint: str, doc_id: str = "chunk_id") -> StreamingQuery:
+    """Add arriving chunks to a stored postings index, a segment for each micro-batch; ends when what is there has been read.
+
+    A batch that runs again replaces its segment, so that the index ends like one that was built from all chunks at once. The first
+    run makes the index; ids are those of new chunks (``ingest_stream`` takes each once).
+    """
+    spark = chunks.sparkSession
+    if not exists(spark, f"{path}/kind"):
+        postings.create(spark, path, chunks.schema[doc_id].dataType.simpleString())
+    index = postings.PostingsIndex(spark, path)
+    add = lambda batch, number: index.add(batch, number, doc_id)
+    return chunks.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def memory_totals_stream(turns: DataFrame, target: str, checkpoint: str, event_time: str | None = None, late: str = "1 day") -> StreamingQuery:
     """Running token totals of conversations from arriving turns (conv_id, turn, role, text); a repeated turn counts once.
 
