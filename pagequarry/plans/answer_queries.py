@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagequarry.operators import evaluate, memory, verify
 from pagequarry.plans.catalog import ANSWERS_SQL, answers, query, table
 from pagequarry.plans.text_queries import _TERMS
+from pagequarry.streaming import memory as running
 
 _TOK = r"CAST(len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_.+%-]+')) AS BIGINT)"
 _TURNS = f"tn AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, {_TOK} AS n FROM conversations)"
@@ -72,6 +73,28 @@ def memory_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.step(turns(spark, sf_dir), _SMALL)
 
 
+_RUN = f"""
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM tn),
+r AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS k, CAST(-1 AS BIGINT) AS turn, CAST([] AS STRUCT(t VARCHAR, n BIGINT)[]) AS kept, CAST(NULL AS VARCHAR) AS s, false AS cut FROM tn
+  UNION ALL
+  SELECT conv_id, k, turn, CASE WHEN cut THEN kept[greatest(len(kept) - 1, 1):] ELSE kept END, CASE WHEN cut AND len(kept) > 2 THEN {_FIFTH.replace('{}', 'old')} ELSE s END, cut
+  FROM (SELECT *, list_sum(list_transform(kept, lambda x: x.n)) >= 200 AS cut, array_to_string(list_concat(CASE WHEN s IS NULL THEN [] ELSE [{_HEAD} || s] END, list_transform(kept[1:len(kept) - 2], lambda x: x.t)), ' ') AS old
+        FROM (SELECT o.conv_id, o.k, o.turn, list_append(r.kept, struct_pack(t := o.text, n := o.n)) AS kept, r.s FROM r JOIN o ON o.conv_id = r.conv_id AND o.k = r.k + 1))),
+e AS (SELECT *, list_concat(CASE WHEN s IS NULL THEN [] ELSE [CAST(len(regexp_extract_all(s, '[\\p{{L}}\\p{{N}}_.+%-]+')) AS BIGINT)] END, list_transform(kept, lambda x: x.n)) AS c FROM r WHERE k > 0 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY k DESC) = 1),
+f AS (SELECT *, list_reduce(list_prepend(struct_pack(t := CAST(0 AS HUGEINT), n := CAST(0 AS BIGINT)), list_transform(c, lambda x: struct_pack(t := CAST(x AS HUGEINT), n := CAST(1 AS BIGINT)))),
+        lambda a, x: CASE WHEN a.t + x.t <= 200 THEN struct_pack(t := a.t + x.t, n := a.n + 1) ELSE a END) AS fit FROM e)
+"""
+
+
+@query(
+    f"WITH RECURSIVE {_TURNS}, {_RUN} SELECT conv_id, turn AS last_turn, cut AS truncated, CAST(CASE WHEN cut THEN fit.t ELSE list_sum(list_transform(kept, lambda x: x.n)) END AS BIGINT) AS total_tokens, "
+    "CAST(CASE WHEN cut THEN fit.n ELSE len(c) END AS BIGINT) AS n_turns, s AS summary FROM f"
+)
+def memory_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The memory node after every turn, as it stands after the last one."""
+    return running.run(turns(spark, sf_dir), _SMALL)
+
+
 @query(f"SELECT conv_id, turn, {_FIFTH.replace('{}', "coalesce(text, '')")} AS summary FROM conversations")
 def memory_fallback_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns(spark, sf_dir).select("conv_id", "turn", memory.first_fifth(F.col("text")).alias("summary"))
