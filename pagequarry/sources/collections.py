@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagequarry.operators.vectors import VectorTable, write_vectors
+from pagequarry.sources.lines import json_lines
 from pagequarry.sources.shared import exists, shared_path
 
 #: Columns of a stored chunk; those of one type are null in others.
@@ -89,3 +90,11 @@ def align_by_position(answers: DataFrame, contexts: DataFrame, questions: DataFr
     """Rows of several inputs joined on their ``line`` column, as far as the shortest goes."""
     joined = answers.join(contexts, "line")
     return joined.join(questions, "line") if questions is not None else joined
+
+
+def align_files(spark: SparkSession, answers: str, contexts: str, questions: str | None = None) -> DataFrame:
+    """(line, answer, citations, contexts, question) of evaluation files of JSON lines, zipped by position; the shortest ends them."""
+    kinds = {"answers": "answer string, citations array<string>", "contexts": "contexts array<string>", "questions": "question string"}
+    held = [json_lines(spark, path, kinds[name]) for name, path in (("answers", answers), ("contexts", contexts), ("questions", questions)) if path]
+    aligned = align_by_position(*held)
+    return aligned if questions else aligned.withColumn("question", F.lit(None).cast("string"))
