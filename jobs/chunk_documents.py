@@ -91,7 +91,7 @@ def new_versions(rows: DataFrame, known: DataFrame) -> DataFrame:
 def chunk(docs: DataFrame, most_tokens: int, overlap: int) -> DataFrame:
     """The chunks of documents (doc_id, source_doc, text), without batch."""
     own = F.struct("doc_id", "source_doc")
-    made = chunking.chunk_blocks(chunking.extract_blocks(docs.select(own.alias("doc"), "text")), "doc", most_tokens, overlap)
+    made = chunking.chunk_regions(docs.select(own.alias("doc"), "text"), most_tokens, overlap)
     number = F.substring(F.sha2(F.concat_ws("/", F.col("doc.doc_id").cast("string"), F.col("chunk_index").cast("string")), 256), 1, 16)
     source = F.coalesce(F.nullif("doc.source_doc", F.lit("")), F.lit("unknown"))
     return made.select(

@@ -51,12 +51,17 @@ def count_spaced(text: Column) -> Column:
 
 def heading_level(text: Column, font_size: Column | None = None) -> Column:
     """1-6 where a line is taken for a heading, else null: by markers, section numbers, font size, then first word."""
-    s = strip(text)
+    return level_of_line(strip(text), font_size)
+
+
+def level_of_line(s: Column, font_size: Column | None = None) -> Column:
+    """``heading_level`` of a line without white space at its ends; what a line begins with decides which patterns are tried."""
     marks = F.length(F.regexp_extract(s, r"^(#{1,6})\s+(.+)", 1))
     number = F.regexp_extract(s, r"^(\d+(?:\.\d+)*)\s+", 1)
     depth = F.size(F.split(number, r"\."))
     first = F.regexp_replace(F.lower(F.regexp_extract(s, r"^\S+", 0)), r"\.+$", "")
-    level = F.when(s == "", F.lit(None).cast("int")).when(marks > 0, marks).when((number != "") & (depth <= 3), depth + 1)
+    digit = F.left(s, F.lit(1)).between("0", "9")
+    level = F.when(s == "", F.lit(None).cast("int")).when(s.startswith("#") & (marks > 0), marks).when(digit & (number != "") & (depth <= 3), depth + 1)
     if font_size is not None:
         level = level.when(font_size >= 18, 1).when(font_size >= 15, 2).when(font_size >= 13, 3).when(font_size >= 12, 4)
     return level.when(first.isin(HEADING_WORDS), 2).cast("int")

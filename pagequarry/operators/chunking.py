@@ -5,37 +5,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.functions.text import clean_paragraph, continued, count_spaced, count_tokens, heading_level, strip, strip_marks
+from pagequarry.functions.text import clean_paragraph, continued, count_spaced, count_tokens, level_of_line, strip, strip_marks
 
-#: Private characters that mark block ends and headings inside a row's text.
-_CUT, _HEAD = "\ue000", "\ue001"
+#: Private characters that mark block ends and headings inside a row's text; where a text has them itself, they are written with a third.
+_CUT, _HEAD, _OWN = "\ue000", "\ue001", "\ue002"
 
 
-def extract_blocks(regions: DataFrame, text: str = "text") -> DataFrame:
-    """A row for each heading or paragraph of a region, in reading order.
+def _escaped(text: Column) -> Column:
+    """The text without the marks' characters."""
+    plain = text
+    for i, c in enumerate((_OWN, _CUT, _HEAD)):
+        plain = F.replace(plain, F.lit(c), F.lit(f"{_OWN}{i}"))
+    return F.when(text.rlike(f"[{_CUT}{_HEAD}{_OWN}]"), plain).otherwise(text)
 
-    Other columns stay; new ones are pos, level (null for paragraphs), path (headings above, the own one included), content,
-    raw and token_count. A blank line or a heading ends a paragraph; paragraphs of fewer than three characters are dropped.
-    A heading's path is the path so far, cut to its level less one, with the heading added.
+
+def _unescaped(text: Column) -> Column:
+    plain = text
+    for i, c in reversed([*enumerate((_OWN, _CUT, _HEAD))]):
+        plain = F.replace(plain, F.lit(f"{_OWN}{i}"), F.lit(c))
+    return F.when(text.contains(_OWN), plain).otherwise(text)
+
+
+def _sections(regions: DataFrame, text: str) -> DataFrame:
+    """``regions`` with _sections, array<struct<first, path, part: array<struct<level, line>>>>, in place of the text.
+
+    A section is a heading with the paragraphs up to the next one; the first may have none. ``first`` is its first block's place. Each value is
+    made once and handed to the function after it, and blocks are cut, not gathered one by one, so that work grows with the text's length.
     """
     others = [c for c in regions.columns if c != text]
 
     def mark(line: Column) -> Column:
-        s = strip(line)
-        level = heading_level(s)
+        s, level = line["s"], line["level"]
         return F.when(s == "", _CUT).when(level.isNotNull(), F.concat(F.lit(_CUT + _HEAD), level.cast("string"), F.lit(_HEAD), s, F.lit(_CUT))).otherwise(continued(s))
 
-    marked = F.array_join(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), mark), "\n")
+    lines = F.transform(F.split(_escaped(F.coalesce(F.col(text), F.lit(""))), "\n"), strip)
+    leveled = F.transform(lines, lambda s: F.struct(s.alias("s"), level_of_line(s).alias("level")))
+    marked = F.array_join(F.transform(leveled, mark), "\n")
     pieces = F.filter(F.split(marked, f"\n?{_CUT}\n?"), lambda p: p != "")
 
     def block(p: Column) -> Column:
         heading = p.startswith(_HEAD)
         level = F.when(heading, F.split_part(p, F.lit(_HEAD), F.lit(2)).try_cast("int"))
-        line = F.when(heading, F.split_part(p, F.lit(_HEAD), F.lit(3))).otherwise(clean_paragraph(p))
-        return F.struct(level.alias("level"), line.alias("line"))
+        return F.struct(level.alias("level"), F.when(heading, F.split_part(p, F.lit(_HEAD), F.lit(3))).otherwise(clean_paragraph(p)).alias("line"))
 
-    blocks = F.filter(F.transform(pieces, block), lambda b: b["level"].isNotNull() | (F.length(b["line"]) >= 3))
-    made = regions.select(*others, blocks.alias("_blocks"))
+    plain = F.transform(F.transform(pieces, block), lambda b: F.struct(b["level"].alias("level"), _unescaped(b["line"]).alias("line")))
+    made = regions.select(*others, F.filter(plain, lambda b: b["level"].isNotNull() | (F.length(b["line"]) >= 3)).alias("_blocks"))
     path_type = "struct<path:array<string>,paths:array<array<string>>>"
     start = F.struct(F.array().cast("array<string>").alias("path"), F.array().cast("array<array<string>>").alias("paths")).cast(path_type)
 
@@ -43,20 +57,76 @@ def extract_blocks(regions: DataFrame, text: str = "text") -> DataFrame:
         path = F.concat(F.slice(state["path"], F.lit(1), b["level"] - 1), F.array(b["line"]))
         return F.struct(path.alias("path"), F.concat(state["paths"], F.array(path)).alias("paths")).cast(path_type)
 
-    heads = F.filter("_blocks", lambda b: b["level"].isNotNull())
-    paths = F.aggregate(heads, start, step, lambda s: s["paths"])
-    # the number of headings up to each block, by a running count inside the row
-    counts = F.aggregate("_blocks", F.array().cast("array<int>"), lambda a, b: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)) + F.when(b["level"].isNotNull(), 1).otherwise(0))))
-    rows = made.select(*others, F.posexplode(F.arrays_zip(F.col("_blocks").alias("b"), counts.alias("n"))).alias("pos", "z"), paths.alias("_paths"))
-    line, level = F.col("z.b.line"), F.col("z.b.level")
+    paths = F.aggregate(F.filter("_blocks", lambda b: b["level"].isNotNull()), start, step, lambda s: s["paths"])
+    starts = F.filter(F.transform("_blocks", lambda b, i: F.when(b["level"].isNotNull(), i)), lambda i: i.isNotNull())
+    placed = made.select(*others, "_blocks", starts.alias("_starts"), F.concat(F.array(F.array().cast("array<string>")), paths).alias("_paths"))
+    ends = F.concat("_starts", F.array(F.size("_blocks")))
+    spans = F.zip_with(F.concat(F.array(F.lit(0)), "_starts"), F.zip_with(ends, "_paths", lambda b, p: F.struct(b.alias("end"), p.alias("path"))), lambda a, x: F.struct(a.alias("first"), x["end"].alias("end"), x["path"].alias("path")))
+    cut = F.transform(
+        F.filter(spans, lambda z: z["end"] > z["first"]), lambda z: F.struct(z["first"].alias("first"), z["path"].alias("path"), F.slice(F.col("_blocks"), z["first"] + 1, z["end"] - z["first"]).alias("part"))
+    )
+    return placed.select(*others, cut.alias("_sections"))
+
+
+def _raw(level: Column, line: Column) -> Column:
+    """A block as Markdown."""
+    return F.when(level.isNotNull(), F.concat(F.repeat(F.lit("#"), level), F.lit(" "), line)).otherwise(line)
+
+
+def extract_blocks(regions: DataFrame, text: str = "text") -> DataFrame:
+    """A row for each heading or paragraph of a region, in reading order.
+
+    Other columns stay; new ones are pos, level (null for paragraphs), path (headings above, the own one included), content,
+    raw and token_count. A blank line or a heading ends a paragraph; paragraphs of fewer than three characters are dropped.
+    A heading's path is the path so far, cut to its level less one, with the heading added.
+    """
+    others = [c for c in regions.columns if c != text]
+    # explode_outer: for explode, a filter on the sections' number would be pushed down, and make them once more
+    sections = _sections(regions, text).select(*others, F.explode_outer("_sections").alias("_z")).where("_z IS NOT NULL")
+    rows = sections.select(*others, F.col("_z.first").alias("_first"), F.col("_z.path").alias("path"), F.posexplode("_z.part").alias("_at", "_b"))
+    line, level = F.col("_b.line"), F.col("_b.level")
     content = strip_marks(line)
     return rows.select(
-        *others, "pos", level.alias("level"), F.coalesce(F.get("_paths", F.col("z.n") - 1), F.array().cast("array<string>")).alias("path"), content.alias("content"),
-        F.when(level.isNotNull(), F.concat(F.repeat(F.lit("#"), level), F.lit(" "), line)).otherwise(line).alias("raw"),
+        *others, (F.col("_first") + F.col("_at")).alias("pos"), level.alias("level"), "path", content.alias("content"), _raw(level, line).alias("raw"),
         F.when(level.isNotNull(), count_spaced(content)).otherwise(count_spaced(line)).alias("token_count"),
     )
 
 
+def chunk_regions(regions: DataFrame, most: int = 512, overlap: int = 64, least_heading: int = 32, text: str = "text") -> DataFrame:
+    """The chunks of ``chunk_blocks`` for regions that are documents of their own, without a shuffle: a row's chunks are made in the row.
+
+    Other columns stay; new ones are chunk_index, text, heading_level, path, num_blocks and token_count.
+    """
+    others = [c for c in regions.columns if c != text]
+    none = F.array().cast("array<struct<first:int,last:int>>")
+
+    def sized(z: Column) -> Column:
+        head = F.get(z["part"], F.lit(0))
+        paragraphs = F.filter(z["part"], lambda b: b["level"].isNull())
+        counted = F.when(head["level"].isNotNull(), count_spaced(strip_marks(head["line"])))
+        return F.struct(z["path"].alias("path"), F.when(head["level"].isNotNull(), head).alias("head"), counted.alias("n_head"), F.transform(paragraphs, lambda b: F.struct(b["line"].alias("line"), count_tokens(b["line"]).alias("n"))).alias("p"))
+
+    def spanned(z: Column) -> Column:
+        own = F.when(z["n_head"] >= least_heading, F.array(F.struct(F.lit(-1).alias("first"), F.lit(-1).alias("last")))).otherwise(none)
+        spans = F.concat(own, pack(F.transform(z["p"], lambda x: x["n"]), most, overlap > 0))
+        prefix = F.when(F.size(z["path"]) > 0, F.concat(F.array_join(F.transform(z["path"], lambda h: F.concat(F.lit("## "), h)), "\n"), F.lit("\n"))).otherwise("")
+        return F.struct(z["head"].alias("head"), z["n_head"].alias("n_head"), z["p"].alias("p"), F.array_join(z["path"], " > ").alias("path"), prefix.alias("prefix"), spans.alias("spans"))
+
+    def chunks(z: Column) -> Column:
+        def one(c: Column) -> Column:
+            own = c["first"] < 0
+            inside = F.slice(z["p"], c["first"] + 1, c["last"] - c["first"] + 1)
+            joined = strip(F.concat(z["prefix"], F.array_join(F.transform(inside, lambda x: x["line"]), "\n\n")))
+            whole = F.when(own, _raw(z["head"]["level"], z["head"]["line"])).otherwise(joined)
+            return F.struct(whole.alias("text"), z["head"]["level"].alias("heading_level"), z["path"].alias("path"), F.when(own, 1).otherwise(c["last"] - c["first"] + 1).alias("num_blocks"), F.when(own, z["n_head"]).alias("n"))
+
+        return F.transform(z["spans"], one)
+
+    made = F.flatten(F.transform(F.transform(F.transform("_sections", sized), spanned), chunks))
+    rows = _sections(regions, text).select(*others, F.posexplode(made).alias("chunk_index", "_c"))
+    return rows.select(*others, "chunk_index", "_c.text", "_c.heading_level", "_c.path", "_c.num_blocks", F.coalesce("_c.n", count_tokens(F.col("_c.text"))).alias("token_count"))
+
+
 def pack(sizes: Column, most: int, overlap: bool) -> Column:
     """array<struct<first, last>> of greedy chunks over paragraph sizes; with overlap, a chunk begins with the last paragraph before it.
 

@@ -32,6 +32,25 @@ def overlapping(regions: DataFrame) -> DataFrame:
     return pairs.select("doc", "page", "a", "b", F.round(share, 4).alias("iou"), inside.alias("a_contains_b")).where((F.col("iou") > 0) | F.col("a_contains_b"))
 
 
+def suppress(regions: DataFrame, confidence: float = 0.5, overlap: float = 0.4) -> DataFrame:
+    """Detected regions (doc, page, region, label, box, confidence) that stay: those of at least ``confidence`` that no surer one of their
+    label on the page overlaps by more than ``overlap`` of their union; of equally sure ones the smaller region is the surer.
+
+    A fold over a page's boxes, the surest first; a page's own regions bound its row. Other columns are joined again by the keys.
+    """
+    keys = ["doc", "page", "label"]
+    sure = regions.where(F.col("confidence") >= confidence)
+    one = F.struct((-F.col("confidence")).alias("order"), "region", "box")
+    boxes = sure.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("b"))
+    kind = boxes.schema["b"].dataType
+
+    def step(kept, x):
+        return F.when(F.exists(kept, lambda k: g.iou(k["box"], x["box"]) > overlap), kept).otherwise(F.concat(kept, F.array(x)))
+
+    stay = boxes.select(*keys, F.explode(F.aggregate("b", F.array().cast(kind), step)).alias("x")).select(*keys, "x.region")
+    return sure.join(stay, [*keys, "region"], "left_semi").select(*regions.columns)
+
+
 def cross_page_pairs(regions: DataFrame, margin: float = 5.0, tolerance: float = 0.1) -> DataFrame:
     """(doc, page, region, next_region): a table at a page's edge and the first table like it at the top of the next page."""
     tables = regions_of(regions, "table")

@@ -61,9 +61,4 @@ _MOST = 60
     f"CAST(nb AS INTEGER) AS num_blocks, coalesce(tc, {TOKENS_SQL.format('text')}) AS token_count FROM ch"
 )
 def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = chunking.extract_blocks(_spread(spark, sf_dir))
-    return chunking.chunk_blocks(blocks, "doc_id", most=_MOST)
-
-
-def _spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return headed(spark, sf_dir).drop("source")
+    return chunking.chunk_regions(headed(spark, sf_dir).drop("source"), most=_MOST)

@@ -122,8 +122,7 @@ def chunk_pages(pages: DataFrame, hooks: IngestHooks = IngestHooks(), most: int
     placed = {"box", "page_height"} <= set(regions.columns)
     of = lambda kind: regions.where(F.col("kind") == kind)
     place = F.struct("source_doc", "page_number", "pos")
-    blocks = chunking.extract_blocks(of("text").select(place.alias("page"), "text"))
-    texts = chunking.chunk_blocks(blocks, "page", most, overlap).select(
+    texts = chunking.chunk_regions(of("text").select(place.alias("page"), "text"), most, overlap).select(
         "page.source_doc", "page.page_number", F.concat_ws(".", F.col("page.pos").cast("string"), F.col("chunk_index").cast("string")).alias("chunk_index"),
         "text", F.col("token_count").cast("long").alias("token_count"), F.split("path", " > ").alias("heading_path"),
     )

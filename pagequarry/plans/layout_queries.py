@@ -67,6 +67,21 @@ def cross_page_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.cross_page_pairs(regions(spark, sf_dir))
 
 
+_DETECTED = f"""{REGIONS_SQL}, det AS (SELECT doc, page, region, label, x1, y1, x2, y2, (region * 7 + doc) % 20 / 20.0::DOUBLE AS confidence FROM reg)"""
+_IOU = """list_aggregate(list_transform(s.kept, lambda k: greatest(0.0, least(k.x2, o.x2) - greatest(k.x1, o.x1)) * greatest(0.0, least(k.y2, o.y2) - greatest(k.y1, o.y1)) /
+  ((k.x2 - k.x1) * (k.y2 - k.y1) + (o.x2 - o.x1) * (o.y2 - o.y1) - greatest(0.0, least(k.x2, o.x2) - greatest(k.x1, o.x1)) * greatest(0.0, least(k.y2, o.y2) - greatest(k.y1, o.y1)))), 'max')"""
+
+
+@query(f"WITH RECURSIVE {_DETECTED}, o AS (SELECT *, row_number() OVER (PARTITION BY doc, page, label ORDER BY confidence DESC, region) AS n FROM det WHERE confidence >= 0.5), "
+       "s AS (SELECT doc, page, label, 1 AS n, [{'r': region, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}] AS kept FROM o WHERE n = 1 UNION ALL "
+       "SELECT o.doc, o.page, o.label, s.n + 1, CASE WHEN {iou} > 0.4 THEN s.kept ELSE list_append(s.kept, {'r': o.region, 'x1': o.x1, 'y1': o.y1, 'x2': o.x2, 'y2': o.y2}) END FROM s JOIN o ON o.doc = s.doc AND o.page = s.page AND o.label = s.label AND o.n = s.n + 1), "
+       "f AS (SELECT doc, page, label, unnest(arg_max(kept, n)).r AS region FROM s GROUP BY 1, 2, 3) SELECT doc, page, label, region, confidence FROM f JOIN det USING (doc, page, label, region)".replace("{iou}", _IOU))
+def layout_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections after the cut by confidence and the suppression of those that a surer one overlaps."""
+    sure = (F.col("region") * 7 + F.col("doc")) % 20 / 20.0
+    return layout.suppress(regions(spark, sf_dir).withColumn("confidence", sure)).select("doc", "page", "label", "region", "confidence")
+
+
 _EDGED = """
 edged AS (SELECT o_orderkey // 400 AS doc, (o_orderkey % 400) // 8 AS page, o_orderkey AS region, CASE WHEN o_orderkey % 3 = 0 THEN 30.0 ELSE 2.0 END AS y1,
   CASE WHEN o_custkey % 4 = 0 THEN 60.0 ELSE 98.0 END AS y2, CASE WHEN o_custkey % 5 = 0 THEN 50.0 ELSE 40.0 + 20 * (o_orderkey % 2) + o_custkey % 3 END AS x2 FROM orders WHERE o_orderkey % 8 IN (1, 4, 5))"""
