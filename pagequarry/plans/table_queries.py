@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagequarry import sql
 from pagequarry.functions import finance
 from pagequarry.operators import tables as t
 from pagequarry.plans.catalog import MD_TABLES_SQL, STATEMENTS_SQL, md_tables, query, statements, table
@@ -27,6 +28,35 @@ def md_table_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parsed(spark, sf_dir, False)
 
 
+@query(f"WITH {_BASE}, {_ROWS} SELECT company, CAST(row_no AS INTEGER) AS row_no, CAST(len(cells) AS INTEGER) AS n_cells, array_to_string(cells, '~') AS cells FROM pr")
+def sql_table_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``md_table_parse`` as SQL text over the registered functions."""
+    sql.register(spark)
+    return spark.sql("SELECT company, r.row_no, size(r.cells) AS n_cells, array_join(r.cells, '~') AS cells FROM {tables} t, LATERAL md_table(t.md) r", tables=md_tables(spark, sf_dir))
+
+
+@query(
+    f"WITH {_BASE}, {_ROWS} SELECT company, CAST(row_no - 1 AS INTEGER) AS pos, TRY_CAST(regexp_extract(replace(cells[2], ',', ''), '-?[\\d,]+\\.?\\d*') AS DOUBLE) AS value, cells[1] AS year FROM pr WHERE row_no > 0"
+)
+def sql_metric_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``metric_extract`` as SQL text over the registered functions."""
+    sql.register(spark)
+    text = """
+    WITH parsed AS (SELECT company, md_rows(md) AS rows FROM {tables}),
+    placed AS (SELECT company, rows, header_place(rows[0], array('Revenue', 'Total Revenue', 'Net Revenue', 'Operating Revenue')) AS at, header_place(rows[0], array('year')) AS year_at FROM parsed),
+    body AS (SELECT company, at, year_at, b.pos, b.col AS cells FROM placed, LATERAL posexplode(slice(rows, 2, greatest(size(rows) - 1, 0))) b WHERE at > 0)
+    SELECT company, pos, first_number(get(cells, at - 1)) AS value, get(cells, year_at - 1) AS year FROM body WHERE first_number(get(cells, at - 1)) IS NOT NULL
+    """
+    return spark.sql(text, tables=md_tables(spark, sf_dir))
+
+
+@query(f"WITH {_BASE}, {_ROWS} SELECT company, CAST(row_no - 1 AS INTEGER) AS row_no, kept[1] AS Year, kept[5] AS \"Current Assets\", CAST(NULL AS VARCHAR) AS Missing FROM pr WHERE row_no > 0")
+def sql_markdown_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of Markdown tables by the names of their headers, which the call states."""
+    sql.register(spark)
+    return spark.sql("SELECT * FROM markdown_columns(TABLE(SELECT * FROM {tables}) PARTITION BY (company), 'md', 'Year, Current Assets, Missing')", tables=md_tables(spark, sf_dir))
+
+
 @query(f"WITH {_BASE}, {_ROWS} SELECT company, CAST(row_no AS INTEGER) AS row_no, CAST(len(kept) AS INTEGER) AS n_cells, array_to_string(kept, '~') AS cells FROM pr")
 def md_table_parse_positional(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parsed(spark, sf_dir, True)
