@@ -2,7 +2,7 @@
 
     python -m pagequarry.cli ingest PAGES.parquet -c reports --root DIR [--chunk-max-tokens 512 --overlap 64]
     python -m pagequarry.cli ask "What was the revenue?" -c reports --root DIR [--config-override retrieval.final_fast=4] [--show-retrieval]
-    python -m pagequarry.cli chat -c reports --root DIR
+    python -m pagequarry.cli chat -c reports --root DIR          (commands: history, clear, state, exit)
     python -m pagequarry.cli tools [-c reports --root DIR]
 """
 
@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 from pagequarry import hooks
 from pagequarry.config import Config, override, parse_overrides
 from pagequarry.operators import retrieval, verify
+from pagequarry.operators.memory import Budget
 from pagequarry.plans.ingest import IngestHooks, chunk_pages
 from pagequarry.plans.workflow import Hooks, Workflow, build_citations
 from pagequarry.registry import ToolModels, build_registry
 from pagequarry.session import build_session
 from pagequarry.sources.collections import Collections
+from pagequarry.streaming.memory import TOKEN, Session
 
 
 def embedded(rows):
@@ -30,23 +32,50 @@ def embedded(rows):
 
 
 def ingest(spark: SparkSession, pages: str, root: str, name: str, most: int, overlap: int) -> int:
-    """Pages (source_doc, page_number, text) to chunks of all kinds with stable ids, and their vectors; returns how many."""
+    """Pages (source_doc, page_number, text) to chunks of all kinds with stable ids, their vectors and their index; returns how many."""
     made = chunk_pages(spark.read.parquet(pages), IngestHooks(embed=embedded), most, overlap)
     held = Collections(spark, root)
     held.save(name, made)
+    held.build_index(name)
     return held.count_lines(name)
 
 
 def open_collection(spark: SparkSession, root: str, name: str):
-    """A collection's chunks and the table of their vectors, which were made at ingest; None where there is none."""
+    """A collection's chunks, the table of their vectors and their index, which were made at ingest; None where there is none."""
     held = Collections(spark, root)
-    return held.load(name).withColumnRenamed("chunk_id", "doc_id"), held.vectors(name)
+    return held.load(name).withColumnRenamed("chunk_id", "doc_id"), held.vectors(name), held.index(name)
 
 
-def report(spark: SparkSession, flow: Workflow, questions, show_retrieval: bool = False, show_state: bool = False) -> bool:
+class Chat:
+    """A conversation on the command line: what was said, kept within a budget."""
+
+    def __init__(self, budget: Budget):
+        self.budget, self.turns, self.session = budget, [], Session()
+
+    def add(self, role: str, text: str) -> None:
+        self.session.add(len(self.turns), text, len(TOKEN.findall(text)), self.budget)
+        self.turns.append((role, text))
+
+    def command(self, line: str) -> str | None:
+        """The reply to ``history``, ``clear`` or ``state``; None for what is a question."""
+        line = line.lower()
+        if line == "history":
+            return "\n".join(f"[{role.upper()}] {text}" for role, text in self.turns) or "nothing was said yet"
+        if line == "clear":
+            self.turns, self.session = [], Session()
+            return "cleared"
+        if line == "state":
+            _, turn, cut, tokens, n, summary = self.session.row(None, self.budget)
+            return f"turns={turn + 1}, kept={n}, tokens={tokens} of {self.budget.tokens}, truncated={cut}, summary={summary}"
+        return None
+
+
+def report(spark: SparkSession, flow: Workflow, questions, show_retrieval: bool = False, show_state: bool = False, chat: Chat | None = None) -> bool:
     """Print route, answer and each citation once for every question; whether all went well."""
     try:
         for row in flow.answer(questions).collect():
+            if chat is not None:
+                chat.add("assistant", row["answer"])
             print(f"[{row['route']}] {row['answer']}")
             if show_state:
                 print(", ".join(f"{k}={v}" for k, v in row.asDict().items() if k not in ("answer", "route")))
@@ -88,19 +117,23 @@ def main(args: list[str] | None = None) -> int:
         print(ingest(spark, given.pages, given.root, given.collection, given.chunk_max_tokens, given.overlap), "chunks")
     elif given.command in ("ask", "chat"):
         config = override(Config(), parse_overrides(given.config_override))
-        chunks, vectors = open_collection(spark, given.root, given.collection)
-        flow = Workflow(chunks, retrieval.build_index(chunks), Hooks(embed=embedded), config.retrieval, vectors=vectors)
+        chunks, vectors, index = open_collection(spark, given.root, given.collection)
+        flow = Workflow(chunks, index or retrieval.build_index(chunks), Hooks(embed=embedded), config.retrieval, vectors=vectors)
         asked = lambda text: spark.createDataFrame([(0, text)], "query_id int, text string")
         if given.command == "ask":
             return 0 if report(spark, flow, asked(given.question), given.show_retrieval, given.show_state) else 1
-        for line in sys.stdin:
-            if line.strip() in ("exit", "quit"):
+        chat = Chat(config.memory)
+        for line in map(str.strip, sys.stdin):
+            if line.lower() in ("exit", "quit", "q"):
                 break
-            if line.strip():
-                report(spark, flow, asked(line.strip()))
+            if (said := chat.command(line)) is not None:
+                print(said)
+            elif line:
+                chat.add("user", line)
+                report(spark, flow, asked(line), chat=chat)
     else:
-        chunks, vectors = open_collection(spark, given.root, given.collection) if given.collection else (None, None)
-        registry = build_registry(spark, chunks, models=ToolModels(embed=embedded), vectors=vectors)
+        chunks, vectors, index = open_collection(spark, given.root, given.collection) if given.collection else (None, None, None)
+        registry = build_registry(spark, chunks, index, ToolModels(embed=embedded), vectors)
         for line in sys.stdin:
             if line.strip():
                 print(registry.handle(line), flush=True)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pagequarry.functions.text import augment_query, json_in_text
 from pagequarry.operators import retrieval as r
 from pagequarry.operators import verify
+from pagequarry.operators.postings import PostingsIndex
 from pagequarry.operators.vectors import VectorTable
 from pagequarry.plans.models import Remembered
 from pagequarry.sources.shared import shared_path
@@ -126,7 +127,7 @@ class Workflow:
     """
 
     chunks: DataFrame
-    index: r.Bm25Index
+    index: r.Bm25Index | PostingsIndex
     hooks: Hooks = field(default_factory=Hooks)
     settings: r.Settings = field(default_factory=r.Settings)
     mode: str = "hybrid"

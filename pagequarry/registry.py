@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.functions import finance, text
 from pagequarry.operators import charts, retrieval, tables, verify
+from pagequarry.operators.postings import PostingsIndex
 from pagequarry.operators.vectors import VectorTable
 
 INVALID_PARAMS, INTERNAL_ERROR, PARSE_ERROR, NO_METHOD = -32602, -32603, -32700, -32601
@@ -95,7 +96,7 @@ class ToolModels:
     audit: verify.Model | None = None
 
 
-def build_registry(spark: SparkSession, chunks: DataFrame | None = None, index: retrieval.Bm25Index | None = None, models: ToolModels = ToolModels(), vectors: VectorTable | None = None) -> Registry:
+def build_registry(spark: SparkSession, chunks: DataFrame | None = None, index: retrieval.Bm25Index | PostingsIndex | None = None, models: ToolModels = ToolModels(), vectors: VectorTable | None = None) -> Registry:
     """All tools. Retrieval ones read ``chunks`` (doc_id, text, source_doc, page_number, and for dense retrieval vector, or the stored
     ``vectors``); others work on their arguments. The index is built when it is first asked for, once.
     """

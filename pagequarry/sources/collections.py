@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagequarry.operators import postings
+from pagequarry.operators.postings import PostingsIndex
 from pagequarry.operators.vectors import VectorTable, write_vectors
 from pagequarry.sources.lines import json_lines
 from pagequarry.sources.shared import exists, shared_path
@@ -48,6 +50,17 @@ class Collections:
         """The stored vectors (doc_id is the chunk's id) of a collection that was saved with them."""
         return VectorTable(self.spark, self.vector_path(name)) if exists(self.spark, self.vector_path(name)) else None
 
+    def index_path(self, name: str) -> str:
+        return f"{self.root}/{name}.index"
+
+    def build_index(self, name: str) -> PostingsIndex:
+        """Index the stored chunks by their terms, beside the collection."""
+        return postings.build(self.load(name), self.index_path(name), "chunk_id")
+
+    def index(self, name: str) -> PostingsIndex | None:
+        """The stored index of a collection that has one."""
+        return PostingsIndex(self.spark, self.index_path(name)) if exists(self.spark, self.index_path(name)) else None
+
     def load(self, name: str, schema: T.StructType = CHUNK_SCHEMA) -> DataFrame:
         """A collection's rows; blank lines are none, and a missing collection is empty."""
         if not exists(self.spark, self.path(name)):
@@ -62,7 +75,7 @@ class Collections:
         root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
         fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         found = [x.getPath().getName() for x in fs.listStatus(root)] if fs.exists(root) else []
-        found = [x for x in found if not x.endswith(".vectors")]
+        found = [x for x in found if not x.endswith((".vectors", ".index"))]
         return sorted(x.removesuffix(".jsonl") for x in found if self.parquet or x.endswith(".jsonl"))
 
 

@@ -24,7 +24,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from pagequarry.operators.memory import SUMMARY_HEAD, Budget, with_tokens
 
 ROW = "conv_id long, last_turn long, truncated boolean, total_tokens long, n_turns long, summary string"
-_SPACE, _TOKEN = re.compile(r"[ \t\n\x0b\f\r]+"), re.compile(r"[\w.+%-]+")
+_SPACE, TOKEN = re.compile(r"[ \t\n\x0b\f\r]+"), re.compile(r"[\w.+%-]+")
 
 
 def first_fifth(text: str) -> str:
@@ -52,7 +52,7 @@ class Session:
             if old:
                 before = [] if self.summary is None else [SUMMARY_HEAD + self.summary]
                 self.summary = summarise(" ".join([*before, *(text for _, text, _ in old)]))
-                self.summary_tokens = len(_TOKEN.findall(self.summary))
+                self.summary_tokens = len(TOKEN.findall(self.summary))
 
     @property
     def total(self) -> int:
