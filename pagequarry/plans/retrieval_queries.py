@@ -70,8 +70,9 @@ def bm25_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_BM25} SELECT n AS n_docs, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM dfr) AS n_terms, (SELECT CAST(sum(tf) AS BIGINT) FROM post) AS n_tokens FROM st")
 def bm25_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = r.build_index(docs_of(spark, sf_dir))
-    sums = index.postings.groupBy("term").agg(F.sum("tf").alias("n")).agg(F.count("*").alias("n_terms"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_tokens"))
-    return index.stats.select("n_docs", F.round("avgdl", 6).alias("avgdl")).crossJoin(F.broadcast(sums))
+    terms = index.terms.agg(F.count("*").alias("n_terms"))
+    tokens = index.docs.agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("n_tokens"))
+    return index.stats.select("n_docs", F.round("avgdl", 6).alias("avgdl")).crossJoin(F.broadcast(terms)).crossJoin(F.broadcast(tokens))  # one row each
 
 
 _DENSE = """
