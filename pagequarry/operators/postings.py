@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagequarry.operators import retrieval as r
+from pagequarry.sources.shared import remove, shared_path
 
 #: Documents of a block (a power of two), and buckets of terms.
 BLOCK, BUCKETS = 256, 32
@@ -122,10 +123,9 @@ def merge(index: PostingsIndex, path: str) -> PostingsIndex:
 def _write_segment(forward: DataFrame, path: str, segment: int) -> None:
     """The tables of documents (doc_id, dl, terms: array of (term, tf))."""
     spark = forward.sparkSession
-    at = f"segment={segment}"
-    staged = f"{r.shared_path(spark, 'postings')}/forward"
+    at, staged = f"segment={segment}", shared_path(spark, "postings")
     block = F.shiftright(F.monotonically_increasing_id(), BLOCK.bit_length() - 1)  # as the rows are written, so that each keeps its own
-    forward.withColumn("block", block).write.parquet(staged)
+    forward.withColumn("block", block).write.option("compression", "zstd").parquet(staged)
     held = spark.read.parquet(staged)
     kind = dict(forward.dtypes)["doc_id"]
     rows = held.select("block", "doc_id", "dl", "terms").mapInArrow(_by_term, f"term string, block long, docs array<{kind}>, tfs array<int>, dls array<int>, max_tf int, min_dl int")
@@ -136,6 +136,7 @@ def _write_segment(forward: DataFrame, path: str, segment: int) -> None:
     df.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms/{at}")
     held.select("doc_id", "dl").write.mode("overwrite").parquet(f"{path}/docs/{at}")
     held.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("sum_dl")).write.mode("overwrite").parquet(f"{path}/stats/{at}")
+    remove(spark, staged)
 
 
 def _by_term(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

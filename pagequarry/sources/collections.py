@@ -11,7 +11,7 @@ from pagequarry.operators import postings
 from pagequarry.operators.postings import PostingsIndex
 from pagequarry.operators.vectors import VectorTable, write_vectors
 from pagequarry.sources.lines import json_lines
-from pagequarry.sources.shared import exists, shared_path
+from pagequarry.sources.shared import exists, remove, shared_path
 
 #: Columns of a stored chunk; those of one type are null in others.
 CHUNK_SCHEMA = T.StructType([
@@ -42,6 +42,7 @@ class Collections:
             path = shared_path(self.spark, "embedded")
             chunks.select(F.col("chunk_id").alias("doc_id"), "vector").write.parquet(path)  # the model runs once, the table is made in several passes
             write_vectors(self.spark.read.parquet(path), self.vector_path(name))
+            remove(self.spark, path)
 
     def vector_path(self, name: str) -> str:
         return f"{self.root}/{name}.vectors"
