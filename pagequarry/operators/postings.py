@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagequarry.operators import retrieval as r
-from pagequarry.sources.shared import remove, shared_path
+from pagequarry.sources.shared import remove, shared_path, small_batches
 
 #: Documents of a block (a power of two), and buckets of terms.
 BLOCK, BUCKETS = 256, 32
@@ -125,13 +125,15 @@ def _write_segment(forward: DataFrame, path: str, segment: int) -> None:
     spark = forward.sparkSession
     at, staged = f"segment={segment}", shared_path(spark, "postings")
     block = F.shiftright(F.monotonically_increasing_id(), BLOCK.bit_length() - 1)  # as the rows are written, so that each keeps its own
-    forward.withColumn("block", block).write.option("compression", "zstd").parquet(staged)
+    with small_batches(spark):
+        forward.withColumn("block", block).write.option("compression", "zstd").parquet(staged)
     held = spark.read.parquet(staged)
     kind = dict(forward.dtypes)["doc_id"]
     rows = held.select("block", "doc_id", "dl", "terms").mapInArrow(_by_term, f"term string, block long, docs array<{kind}>, tfs array<int>, dls array<int>, max_tf int, min_dl int")
     bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
     rows = rows.withColumn("bucket", bucket).hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "block")
-    rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/{at}")
+    with small_batches(spark):
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/{at}")
     df = spark.read.schema(rows.schema).parquet(f"{path}/postings/{at}").groupBy("bucket", "term").agg(F.sum(F.size("docs")).alias("df"))
     df.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms/{at}")
     held.select("doc_id", "dl").write.mode("overwrite").parquet(f"{path}/docs/{at}")
@@ -139,9 +141,28 @@ def _write_segment(forward: DataFrame, path: str, segment: int) -> None:
     remove(spark, staged)
 
 
-def _by_term(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with their terms to rows of a term and a block. A block that is read in parts has a row for each part."""
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, cut where a block ends: the last block of a batch waits for the next batch."""
+    rest: list[pa.RecordBatch] = []
     for batch in batches:
+        if not len(batch):
+            continue
+        block = batch.column(0).to_numpy()
+        ends = np.flatnonzero(block[1:] != block[:-1]) + 1
+        if rest and rest[-1].column(0)[-1].as_py() != block[0]:
+            yield pa.concat_batches(rest)
+            rest = []
+        if len(ends):
+            yield pa.concat_batches([*rest, batch.slice(0, ends[-1])])
+            rest = []
+        rest.append(batch.slice(ends[-1]) if len(ends) else batch)
+    if rest:
+        yield pa.concat_batches(rest)
+
+
+def _by_term(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with their terms to rows of a term and a block. A block that two tasks read has a row from each."""
+    for batch in _whole_blocks(batches):
         lists = batch.column(3)
         offsets = lists.offsets.to_numpy()
         sizes, flat = np.diff(offsets), lists.flatten()

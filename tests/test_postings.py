@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +116,30 @@ def test_retrieve_takes_either_index(spark, held):
     asked = spark.createDataFrame(questions(5), ASKED)
     rows = lambda i: sorted(map(str, retrieval.retrieve(docs, asked, "sparse_only", index=i).collect()))
     assert rows(index) == rows(retrieval.build_index(docs))
+
+
+def test_texts_reach_python_in_small_batches(spark, monkeypatch):
+    counted = retrieval._counted
+
+    def watched(asked):
+        run = counted(asked)
+
+        def small(batches):
+            for b in batches:
+                assert b.nbytes < 9_000_000, b.nbytes
+                yield from run(iter([b]))
+
+        return small
+
+    monkeypatch.setattr(retrieval, "_counted", watched)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 2000).alias("text"))  # 16 MB of terms a task
+    assert retrieval.build_index(docs).stats.first() == (4000, 2000.0) and spark.conf.get(key) == before
+
+
+def test_blocks_stay_whole_wherever_batches_end():
+    rows = pa.record_batch({"block": pa.array([0] * 5 + [1] * 3 + [7] * 4), "doc_id": pa.array(range(12)), "dl": pa.array([2] * 12, pa.int32()), "terms": pa.array([[{"term": "a", "tf": 1}, {"term": f"t{i % 2}", "tf": 1}] for i in range(12)])})
+    made = lambda *cuts: sorted(str(x) for b in postings._by_term(rows.slice(i, j - i) for i, j in zip((0, *cuts), (*cuts, 12), strict=True)) for x in b.to_pylist())
+    whole = made()
+    assert len(whole) == 9 and all(made(*cuts) == whole for cuts in ((3,), (5,), (2, 4), (4, 4, 9), (5, 8), tuple(range(1, 12))))
