@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.functions.text import correct_ocr, count_spaced
 from pagequarry.operators import charts, chunking, layout, tables
+from pagequarry.sources.shared import shared_path
 
 Step = Callable[[DataFrame], DataFrame]
 _TABLE = r"(?m)((?:^[ \t]*\|[^\n]*(?:\n|$))+)"
@@ -75,10 +76,18 @@ def with_captions(regions: DataFrame) -> DataFrame:
 
 
 def join_pages(recovered: DataFrame) -> DataFrame:
-    """Table regions with rows (source_doc, page_number, pos, caption, rows, box, page_height), those of one table joined: one row for each
-    table, at its first fragment's place, with ``pages``, the pages that it is on."""
-    chains = layout.table_chains(_spans(recovered))
-    parts = recovered.join(chains, _same_region(recovered, chains))
+    """Table regions with rows (source_doc, page_number, pos, kind, caption, rows, box, page_height), those of one table joined: one row for
+    each table, at its first fragment's place, with ``pages``, the pages that it is on.
+
+    The regions are written to the shared folder first: the chains ask for their places three times and the join for their rows, and
+    each would make them from the pages again.
+    """
+    spark, path = recovered.sparkSession, shared_path(recovered.sparkSession, "tables")
+    found = recovered.select("source_doc", "page_number", "pos", "kind", F.col("caption").cast("string").alias("caption"), "rows", "box", "page_height")
+    found.write.parquet(path)
+    held = spark.read.schema(found.schema).parquet(path)
+    chains = layout.table_chains(_spans(held.withColumn("text", F.lit(""))))
+    parts = held.join(chains, _same_region(held, chains))
     part = F.struct("fragment", F.col("page_number").cast("long").alias("page"), "rows", "caption")
     whole = parts.groupBy("source_doc", F.col("chain_page").alias("page_number"), F.col("chain_region").alias("pos")).agg(F.array_sort(F.collect_list(part)).alias("parts"))
     return whole.select(

@@ -77,3 +77,17 @@ def test_captions_of_charts_from_a_layout_model(spark):
 def test_fragments_join_row_by_row(spark):
     one = spark.createDataFrame([([[["h"], ["1"]], [["h"], ["2"]], [["3"]], []],), ([[["h"]]],), ([[], [["x"]]],)], "f array<array<array<string>>>")
     assert [r.j for r in one.select(tables.join_fragments(F.col("f")).alias("j")).collect()] == [[["h"], ["1"], ["2"], ["3"]], [["h"]], [["x"]]]
+
+
+def test_tables_are_made_from_the_pages_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    pages = [("a", i, HEAD + rows(2000 + i)) for i in range(1, 5)]
+    model = lambda p: ingest.place_regions(p.mapInArrow(counted, p.schema))
+    got = table_chunks(spark, pages, hooks=ingest.IngestHooks(layout=model))
+    assert len(got) == 1 and got[0].page_span == [1, 2, 3, 4] and seen.value == 4
