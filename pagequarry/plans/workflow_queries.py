@@ -77,6 +77,10 @@ def eval_align_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.align_by_position(answers, contexts, questions)
 
 
+#: Lines of a part of an evaluation file, so that no task's share grows with the input.
+_LINES_A_PART = 10_000
+
+
 @query(
     "WITH a AS (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS line FROM benchmark), d AS (SELECT text, source, row_number() OVER (ORDER BY doc_id) - 1 AS line FROM documents) "
     "SELECT line, a.text AS answer, d.text AS context, d.source AS question FROM a JOIN d USING (line)"
@@ -85,8 +89,9 @@ def eval_align_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation files without ids, in several parts each, zipped by the positions of their lines."""
     base, docs = shared_path(spark, "evaluation"), table(spark, sf_dir, "documents")
     table(spark, sf_dir, "benchmark").orderBy("item_id").select(F.col("text").alias("answer")).write.json(f"{base}/answers")
-    docs.repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id").select(F.array("text").alias("contexts")).write.json(f"{base}/contexts")
-    docs.repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").select(F.col("source").alias("question")).write.json(f"{base}/questions")
+    parts = docs.count() // _LINES_A_PART
+    docs.repartitionByRange(max(5, parts), "doc_id").sortWithinPartitions("doc_id").select(F.array("text").alias("contexts")).write.json(f"{base}/contexts")
+    docs.repartitionByRange(max(3, parts), "doc_id").sortWithinPartitions("doc_id").select(F.col("source").alias("question")).write.json(f"{base}/questions")
     rows = c.align_files(spark, f"{base}/answers", f"{base}/contexts", f"{base}/questions")
     return rows.select("line", "answer", F.get("contexts", F.lit(0)).alias("context"), "question")
 

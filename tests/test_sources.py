@@ -83,3 +83,12 @@ def test_rendered_pages(spark, tmp_path):
     whole = pages.render_pages(found.where("path like '%a.pdf'"), load)
     assert [t for _, _, t in sorted(whole.collect(), key=lambda r: r.page_number)] == [f"p{i}" for i in range(200)] and rows(pages.count_pages(whole)) == [("a.pdf", 200)]
     assert rows(pages.render_pages(found.where("path like '%a.pdf'"), load, first=199, last=300)) == [("a.pdf", 199, "p198"), ("a.pdf", 200, "p199")]
+
+
+def test_evaluation_files_have_more_parts_where_they_are_longer(spark, sf, tmp_path, monkeypatch):
+    from pagequarry.plans import workflow_queries
+
+    monkeypatch.setattr(workflow_queries, "_LINES_A_PART", 20, raising=False)
+    monkeypatch.setattr(workflow_queries, "shared_path", lambda *_: str(tmp_path))
+    workflow_queries.eval_align_files(spark, sf)
+    assert all(len(list((tmp_path / name).glob("part-*"))) > 5 for name in ("contexts", "questions"))
