@@ -138,6 +138,27 @@ def test_texts_reach_python_in_small_batches(spark, monkeypatch):
     assert retrieval.build_index(docs).stats.first() == (4000, 2000.0) and spark.conf.get(key) == before
 
 
+def test_counted_terms_are_scored_in_small_batches(spark, monkeypatch):
+    terms = F.transform(F.sequence(F.lit(0), F.lit(1999)), lambda i: F.struct(F.concat(F.lit("w"), i).alias("term"), F.lit(1).cast("long").alias("tf")))
+    docs = spark.range(0, 2000, numPartitions=2).select(F.col("id").alias("doc_id"), F.lit(2000).alias("dl"), terms.alias("terms"))  # over 30 MB a task
+    index = retrieval.Bm25Index(docs, spark.createDataFrame([("w7", 2000)], "term string, df long"), spark.createDataFrame([(2000, 2000.0)], "n_docs long, avgdl double"))
+    plain = type(docs).mapInArrow
+
+    def watched(self, run, schema, **more):
+        def small(batches):
+            for b in batches:
+                assert b.nbytes < 9_000_000, b.nbytes
+                yield from run(iter([b]))
+
+        return plain(self, small, schema, **more)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", watched)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    top = retrieval.bm25_top_k(index, spark.createDataFrame([(1, "w7")], ASKED), 2).orderBy("rank").collect()
+    assert [r.doc_id for r in top] == [0, 1] and spark.conf.get(key) == before
+
+
 def test_blocks_stay_whole_wherever_batches_end():
     rows = pa.record_batch({"block": pa.array([0] * 5 + [1] * 3 + [7] * 4), "doc_id": pa.array(range(12)), "dl": pa.array([2] * 12, pa.int32()), "terms": pa.array([[{"term": "a", "tf": 1}, {"term": f"t{i % 2}", "tf": 1}] for i in range(12)])})
     made = lambda *cuts: sorted(str(x) for b in postings._by_term(rows.slice(i, j - i) for i, j in zip((0, *cuts), (*cuts, 12), strict=True)) for x in b.to_pylist())
