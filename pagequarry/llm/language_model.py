@@ -10,7 +10,8 @@ one. A token is scored by the state of the longest suffix of the words before it
 The tree grows level by level and is never held in one place. Texts are tokenised once, into blocks of about ``BLOCK_TOKENS``
 tokens (a text is never split) with a dictionary of their words. For each level a block asks, packed by bucket, for the
 continuations of those of its contexts that are frequent enough; whatever isn't has no longer context either. Buckets take turns,
-so that only a part of what is asked lies on disk at once, and shuffles go when their table is written. A bucket adds up
+so that only a part of what is asked lies on disk at once, blocks go from level to level in lots, and shuffles go when their table
+is written. A bucket adds up
 what all blocks sent for a context, tests it, and answers every block with the counts and the verdicts. A block sends each
 distinct continuation once with its count, so repeated passages cost one entry a block. A context of ``hot`` occurrences or more
 is dealt out by continuation; its sums come together in an aggregation, and the verdicts of these contexts are broadcast (there
@@ -50,7 +51,9 @@ SMOOTH = 5.0
 BLOCK_TOKENS = 2_000_000
 BUCKET_ENTRIES = 1_500_000
 #: Turns in which the buckets of a level are asked, so that only this share of what is asked lies on disk at once.
-TURNS = 2
+TURNS = 3
+#: Lots of blocks, one table each: a level is written lot by lot, and the level before it goes likewise.
+LOTS = 4
 #: A context is hot from this count, and from this share of all training tokens.
 HOT_LEAST, HOT_SHARE = 1_000_000, 1e-6
 _END = b"\n"
@@ -107,9 +110,14 @@ def _groups(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[list[tuple]
         yield held
 
 
+def _buckets(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The buckets of keys, by their 24 highest bits, which are what entries are sorted by."""
+    return (keys >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)
+
+
 def _slices(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
-    """The buckets of ascending keys."""
-    bucket = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    """The buckets of keys whose 24 highest bits ascend."""
+    bucket = _buckets(keys, buckets)
     cuts = [*np.flatnonzero(np.diff(bucket, prepend=bucket[:1] + np.uint64(1))).tolist(), len(keys)]
     for i, j in zip(cuts, cuts[1:], strict=False):
         yield int(bucket[i]), slice(i, j)
@@ -206,24 +214,27 @@ class _Block:
         self._asked = at, self.n[at - 1], mix(context * _STEP + self.h[at]), context
         return self._asked
 
-    def entries(self, hot: int) -> tuple[np.ndarray, ...]:
-        """(candidates, entry of each; then by entry, in the order of sending: a candidate, route, context, its count, key)"""
+    def entries(self, hot: int, buckets: int = 0, turn: int = 0) -> tuple[np.ndarray, ...]:
+        """(candidates, which of them in the order of sending, entry of each of these; by entry: a candidate, route, context, its count, key)
+
+        With ``buckets``, only what is sent to those whose turn it is, in the same order.
+        """
         at, n_context, gram, context = self.asked()
         # one sort brings equal continuations together, by bucket and nearly by context; the places lie in the low bits, so that
         # the order is the same on any machine. A continuation between whose places another one falls is sent twice.
         bits = max(21, len(at).bit_length())
         route = np.where(n_context >= hot, gram, context)
         low = np.uint64(64 - 24)
-        keys = (route >> low << low) | (gram >> np.uint64(24 + bits) << np.uint64(bits)) | np.arange(len(at), dtype=np.uint64)
+        places = np.flatnonzero(_buckets(route, buckets) % np.uint64(TURNS) == turn) if buckets else np.arange(len(at))
+        keys = (route[places] >> low << low) | (gram[places] >> np.uint64(24 + bits) << np.uint64(bits)) | places.astype(np.uint64)
         keys.sort()
         order = (keys & np.uint64((1 << bits) - 1)).astype(np.uint32)
-        new = np.ones(len(at), bool)
+        new = np.ones(len(order), bool)
         ordered = gram[order]
         new[1:] = ordered[1:] != ordered[:-1]
-        entry = np.empty(len(at), np.uint32)
-        entry[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+        entry = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
         some = order[new]
-        return at, entry, some, route[some], context[some], n_context[some], ordered[new]
+        return at, order, entry, some, route[some], context[some], n_context[some], ordered[new]
 
 
 class _Ids(dict):
@@ -311,16 +322,14 @@ def _ask(level: int, total: int, kinds: int, buckets: int, hot: int, turn: int):
         for batch in batches:
             for number, payload in rows_of(batch):
                 block = _Block(payload, total, kinds)
-                at, entry, some, route, context, n_context, gram = block.entries(hot)
-                n = _small(np.bincount(entry, block.teaching[block.text[at]], len(some)))
+                at, order, entry, some, route, context, n_context, gram = block.entries(hot, buckets, turn)
+                n = _small(np.bincount(entry, block.teaching[block.text[at[order]]], len(some)))
                 # the root's probabilities go as counts, which take less room
                 p = _small(block.count[at[some]]) if level == 1 else block.p[at[some]].astype(np.float32)
                 is_hot = n_context >= hot
-                block = at = entry = None
+                block = at = order = entry = None
                 out = []
                 for bucket, part in _slices(route, buckets):
-                    if bucket % TURNS != turn:
-                        continue
                     first = _firsts(context[part])
                     runs = np.diff(np.append(first, part.stop - part.start)).astype(np.uint32)
                     out.append((number, bucket, _pack(context[part][first], runs, is_hot[part][first], gram[part] & _TOLD, n[part], p[part]), None, None))
@@ -379,14 +388,16 @@ def _hear(total: int, kinds: int, hot: int, states):
             block = _Block(payload, total, kinds)
         else:
             block = _Block(payload, total, kinds)
-            _, entry, _, _, context, n_context, _ = block.entries(hot)
+            _, order, entry, _, _, context, n_context, _ = block.entries(hot)
             counts, verdicts = np.empty(0, np.uint32), np.empty(0, bool)
             if heard:
                 counts = np.concatenate([a[0].astype(np.int64) for a in heard])
                 verdicts = np.concatenate([np.unpackbits(a[1], count=len(a[0])) for a in heard]).astype(bool)
             at = np.flatnonzero(n_context >= hot)
             verdicts[at] = np.isin(context[at], states.value)
-            found, state = _small(counts[entry]), verdicts[entry]
+            found, state = np.empty(len(order), counts.dtype), np.empty(len(order), bool)
+            found[order], state[order] = counts[entry], verdicts[entry]
+            found = _small(found)
             first = not block.narrow and len(block.parts) == 2
             block.step(found, state)
             payload = pickle.dumps([*block.parts, _pack(found, np.packbits(state))]) if first else block.narrowed()
@@ -428,34 +439,43 @@ def score_texts(docs: DataFrame, teaches: Column, depth: int = DEPTH) -> DataFra
     blocks = whole.where("payload IS NOT NULL").select("block", "payload")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_blocks = blocks.count()
-    by_block = max(partitions, n_blocks)
-    tables: list[str] = []
+    by_block = -(-max(partitions, n_blocks) // LOTS)
+    lot = F.pmod(F.xxhash64("block"), F.lit(LOTS))
+    tables: dict[str, str] = {}
 
     def exchanged(mail: DataFrame, buckets: int, answer, name: str) -> DataFrame:
         return scratch.save(mail.repartition(buckets, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(answer, _MAIL), name)
 
-    def heard(states: DataFrame, answers: DataFrame, hear, name: str) -> DataFrame:
-        """Blocks lie in a bucketed table, so that they stay where they are and only answers move."""
-        mine = answers.where("block IS NOT NULL").select("block", "bucket", "payload").repartition(by_block, "block")
-        both = states.select("block", "payload").groupby("block").cogroup(mine.groupby("block"))
-        tables.append(f"language_model_{uuid.uuid4().hex}")
-        written = both.applyInArrow(hear, "block long, payload binary, tokens long").write.bucketBy(by_block, "block").option("compression", "zstd")
+    def bucketed(rows: DataFrame, name: str) -> DataFrame:
+        """Blocks in a bucketed table, so that they stay where they are and only answers move."""
+        tables[name] = f"language_model_{uuid.uuid4().hex}"
         with shuffles_removed(spark):
-            written.option("path", f"{scratch.base}/{name}").saveAsTable(tables[-1])
-        return spark.table(tables[-1])
+            rows.write.bucketBy(by_block, "block").option("compression", "zstd").option("path", f"{scratch.base}/{name}").saveAsTable(tables[name])
+        return spark.table(tables[name])
 
     def done(name: str) -> None:
-        spark.sql(f"DROP TABLE IF EXISTS {tables.pop(0)}")
+        spark.sql(f"DROP TABLE IF EXISTS {tables.pop(name)}")
         scratch.drop(name)
 
+    def heard(states: list[DataFrame], answers: DataFrame, hear, before: str, name: str) -> list[DataFrame]:
+        """The next level of each lot; the lot's table of the level before goes."""
+        out = []
+        for i, mine in enumerate(states):
+            sent = answers.where("block IS NOT NULL").where(lot == i).select("block", "bucket", "payload").repartition(by_block, "block")
+            both = mine.select("block", "payload").groupby("block").cogroup(sent.groupby("block"))
+            out.append(bucketed(both.applyInArrow(hear, "block long, payload binary, tokens long"), f"{name}-{i}"))
+            done(f"{before}-{i}")
+        return out
+
     buckets = max(16, partitions, n_blocks)
     answers = exchanged(blocks.mapInArrow(_word_mail(buckets), _MAIL), buckets, _word_totals, "words")
     total, kinds = answers.where("block IS NULL").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     hot = int(max(HOT_LEAST, HOT_SHARE * total))
-    now = heard(blocks.repartition(by_block, "block"), answers, _hear(total, kinds, hot, None), "level-0")
+    lots = [bucketed(blocks.where(lot == i), f"blocks-{i}") for i in range(LOTS)]
     scratch.drop("texts")
+    lots = heard(lots, answers, _hear(total, kinds, hot, None), "blocks", "level-0")
     scratch.drop("words")
-    level = 0
+    level, now = 0, reduce(DataFrame.union, lots)
     while level < depth and (open_tokens := now.agg(F.sum("tokens")).first()[0]):
         level += 1
         buckets = max(16, partitions, open_tokens // BUCKET_ENTRIES)
@@ -468,13 +488,14 @@ def score_texts(docs: DataFrame, teaches: Column, depth: int = DEPTH) -> DataFra
         passed = F.round(F.col("gain") - F.col("n") * F.log(F.greatest("n", F.lit(1))), 6) >= LEAST_GAIN
         states = sums.where(passed).select("context").toArrow().column(0).to_numpy()  # at most 1 / HOT_SHARE
         sent = spark.sparkContext.broadcast(np.sort(states.view(np.uint64)))
-        now = heard(now, answers, _hear(total, kinds, hot, sent), f"level-{level}")
+        lots = heard(lots, answers, _hear(total, kinds, hot, sent), f"level-{level - 1}", f"level-{level}")
+        now = reduce(DataFrame.union, lots)
         for turn in range(TURNS):
             scratch.drop(f"answers-{level}-{turn}")
-        done(f"level-{level - 1}")
     scores = now.select("block", "payload").mapInArrow(_scores(total, kinds), "block long, place long, n_tokens long, n_known long, base_score double, score double")
     scores = scratch.save(scores, "scores")
-    done(f"level-{level}")
+    for i in range(LOTS):
+        done(f"level-{level}-{i}")
     found = texts.join(scores, ["block", "place"])
     return found.select(*unnested(kept), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 

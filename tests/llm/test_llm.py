@@ -509,6 +509,11 @@ def test_base_scores_match_brute_force(spark, sf):
     assert all(r.score < 0 for r in got)
 
 
+def test_a_bucket_is_sent_once_however_entries_are_sorted():
+    edge = np.uint64((1 << 64) // 80 >> 40 << 40)  # the high bits in which a bucket of 80 ends
+    assert len(list(language_model._slices(edge | np.array([0, (1 << 40) - 1, 0, (1 << 40) - 1], np.uint64), 80))) == 1
+
+
 def test_language_model_on_odd_rows(spark):
     docs = odd_docs(spark)
     assert language_model.score_texts(docs, language_model.teaching(), 3).where("score <= 0").count() == 13
