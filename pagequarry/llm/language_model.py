@@ -9,8 +9,8 @@ one. A token is scored by the state of the longest suffix of the words before it
 
 The tree grows level by level and is never held in one place. Texts are tokenised once, into blocks of about ``BLOCK_TOKENS``
 tokens (a text is never split) with a dictionary of their words. For each level a block asks, packed by bucket, for the
-continuations of those of its contexts that are frequent enough; whatever isn't has no longer context either. Buckets take turns,
-so that only a part of what is asked lies on disk at once, blocks go from level to level in lots, and shuffles go when their table
+continuations of those of its contexts that are frequent enough; whatever isn't has no longer context either. Buckets of large levels
+take turns, so that only a part of what is asked lies on disk at once, blocks go from level to level in lots, and shuffles go when their table
 is written. A bucket adds up
 what all blocks sent for a context, tests it, and answers every block with the counts and the verdicts. A block sends each
 distinct continuation once with its count, so repeated passages cost one entry a block. A context of ``hot`` occurrences or more
@@ -33,6 +33,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -40,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, bound_batches, fold, mix, nested, release, rows_of, shuffles_removed, unnested, words
+from .common import Scratch, bound_batches, fold, mix, nested, release, rows_of, shuffles_removed, unnested
 
 #: Words of the longest context, and how often a context must be seen.
 DEPTH = 5
@@ -50,12 +51,15 @@ SMOOTH = 5.0
 #: Tokens that a map task holds at once, and asked continuations for which there is one bucket.
 BLOCK_TOKENS = 2_000_000
 BUCKET_ENTRIES = 1_500_000
-#: Turns in which the buckets of a level are asked, so that only this share of what is asked lies on disk at once.
-TURNS = 3
+#: Turns in which the buckets of a level are asked, so that only this share of what is asked lies on disk at once. A level that concerns
+#: less than ``TURNS_FROM`` of the first one's tokens asks all buckets in one turn.
+TURNS, TURNS_FROM = 3, 0.25
 #: Lots of blocks, one table each: a level is written lot by lot, and the level before it goes likewise.
 LOTS = 4
 #: A context is hot from this count, and from this share of all training tokens.
 HOT_LEAST, HOT_SHARE = 1_000_000, 1e-6
+#: Values whose bytes are turned at once.
+_PIECE = 8_192
 _END = b"\n"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _TOLD = np.uint64(~0xFFFFFF & (1 << 64) - 1)
@@ -72,15 +76,32 @@ _MAIL_ARROW = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("payloa
 
 def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays in byte planes, compressed together."""
-    flat = [(a.dtype.str, a.view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b"") for a in map(np.ascontiguousarray, arrays)]
-    return zstandard.compress(pickle.dumps(flat), 1)
+    return zstandard.compress(pickle.dumps([(a.dtype.str, _planes(a)) for a in map(np.ascontiguousarray, arrays)]), 1)
+
+
+def _planes(a: np.ndarray) -> bytes:
+    """An array's bytes: the first of all values, the second of all, and so on. Turned in pieces that stay in the processor's cache."""
+    if a.itemsize == 1 or not len(a):
+        return a.tobytes()
+    rows = a.view(np.uint8).reshape(len(a), -1)
+    out = np.empty(rows.shape[::-1], np.uint8)
+    for i in range(0, len(a), _PIECE):
+        out[:, i : i + _PIECE] = rows[i : i + _PIECE].T
+    return out.tobytes()
 
 
 def _unpack(data: bytes) -> list[np.ndarray]:
     out = []
     for kind, planes in pickle.loads(zstandard.decompress(data)):
         bytes_of = np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1)
-        out.append(np.ascontiguousarray(bytes_of.T).view(kind).ravel())
+        if kind == "<u4":  # shifts are quicker than a turn of so few bytes
+            values = bytes_of[3].astype(np.uint32)
+            for plane in bytes_of[2::-1]:
+                values <<= np.uint32(8)
+                values |= plane
+            out.append(values)
+        else:
+            out.append(np.ascontiguousarray(bytes_of.T).view(kind).ravel())
     return out
 
 
@@ -204,8 +225,11 @@ class _Block:
 
     def candidates(self) -> np.ndarray:
         """Tokens whose context is a candidate of the next level."""
-        at = np.flatnonzero(self.place >= 1)
-        return at[self.n[at - 1] >= LEAST_COUNT]
+        if not len(self.n):
+            return np.empty(0, np.int64)
+        going = self.n[:-1] >= LEAST_COUNT
+        going &= self.place[1:] >= 1
+        return np.flatnonzero(going) + 1
 
     def asked(self) -> tuple[np.ndarray, ...]:
         """(candidates, counts of their contexts, keys of the continuations, keys of the contexts)"""
@@ -214,19 +238,32 @@ class _Block:
         self._asked = at, self.n[at - 1], mix(context * _STEP + self.h[at]), context
         return self._asked
 
-    def entries(self, hot: int, buckets: int = 0, turn: int = 0) -> tuple[np.ndarray, ...]:
+    def _asked_in(self, hot: int, buckets: int, turn: int, turns: int) -> tuple[np.ndarray, ...]:
+        """``asked`` for the buckets of one turn; other candidates' continuations aren't hashed."""
+        at = self.candidates()
+        context, n_context = self.key[at - 1], self.n[at - 1]
+        mine, is_hot = _buckets(context, buckets) % np.uint64(turns) == turn, n_context >= hot
+        some = np.flatnonzero(mine | is_hot)
+        at, context, n_context, is_hot = at[some], context[some], n_context[some], is_hot[some]
+        gram = mix(context * _STEP + self.h[at])
+        if is_hot.any():
+            mine = _buckets(np.where(is_hot, gram, context), buckets) % np.uint64(turns) == turn
+            at, context, n_context, gram = at[mine], context[mine], n_context[mine], gram[mine]
+        return at, n_context, gram, context
+
+    def entries(self, hot: int, buckets: int = 0, turn: int = 0, turns: int = 1) -> tuple[np.ndarray, ...]:
         """(candidates, which of them in the order of sending, entry of each of these; by entry: a candidate, route, context, its count, key)
 
-        With ``buckets``, only what is sent to those whose turn it is, in the same order.
+        With several ``turns``, only the candidates of the ``buckets`` whose turn it is, in the same order.
         """
-        at, n_context, gram, context = self.asked()
+        at, n_context, gram, context = self.asked() if turns == 1 else self._asked_in(hot, buckets, turn, turns)
         # one sort brings equal continuations together, by bucket and nearly by context; the places lie in the low bits, so that
         # the order is the same on any machine. A continuation between whose places another one falls is sent twice.
-        bits = max(21, len(at).bit_length())
-        route = np.where(n_context >= hot, gram, context)
+        bits = max(21, len(self.h).bit_length())
+        is_hot = n_context >= hot
+        route = np.where(is_hot, gram, context) if is_hot.any() else context
         low = np.uint64(64 - 24)
-        places = np.flatnonzero(_buckets(route, buckets) % np.uint64(TURNS) == turn) if buckets else np.arange(len(at))
-        keys = (route[places] >> low << low) | (gram[places] >> np.uint64(24 + bits) << np.uint64(bits)) | places.astype(np.uint64)
+        keys = (route >> low << low) | (gram >> np.uint64(24 + bits) << np.uint64(bits)) | np.arange(len(at), dtype=np.uint64)
         keys.sort()
         order = (keys & np.uint64((1 << bits) - 1)).astype(np.uint32)
         new = np.ones(len(order), bool)
@@ -237,54 +274,68 @@ class _Block:
         return at, order, entry, some, route[some], context[some], n_context[some], ordered[new]
 
 
-class _Ids(dict):
-    """Word -> its number in a block."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
-        return number
+def _tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(the words of all texts, each text's number of words): Arrow splits at the six bytes that ``words`` splits at."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(pc.ascii_lower(texts), ""))
+    flat = lists.flatten()
+    there = pc.greater(pc.binary_length(flat), 0)  # white space at an edge leaves an empty piece
+    ends = np.append(0, np.cumsum(there.to_numpy(zero_copy_only=False)))[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+    return flat.filter(there), np.diff(ends)
+
+
+def _payload(held: list[pa.Array], sizes: list[int], teach: list[bool]) -> bytes:
+    """A block of texts from their words and numbers of words; an end follows each text."""
+    coded = pa.chunked_array([*held, pa.array([_END], pa.binary()).cast(held[0].type)]).dictionary_encode()
+    known = coded.chunk(0).dictionary.cast(pa.large_binary() if pa.types.is_large_string(held[0].type) else pa.binary()).to_pylist()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
+    order = np.argsort(hashes)
+    number = np.empty(len(order), np.uint32)
+    number[order] = np.arange(len(order), dtype=np.uint32)
+    sizes = np.array(sizes, np.int64) + 1
+    tokens = np.empty(sizes.sum(), np.uint32)
+    words_at = np.ones(len(tokens), bool)
+    words_at[np.cumsum(sizes) - 1] = False
+    numbers = np.concatenate([c.indices.to_numpy() for c in coded.chunks])
+    tokens[words_at], tokens[~words_at] = numbers[:-1], numbers[-1]
+    # tokens are told by the ranks of their words, whose high bytes are mostly zero
+    by_rank = np.argsort(-np.bincount(tokens, minlength=len(order)), kind="stable")
+    rank = np.empty(len(order), np.uint32)
+    rank[by_rank] = np.arange(len(order), dtype=np.uint32)
+    return _pack(hashes[order], number[by_rank], rank[tokens], sizes, np.array(teach, bool))
 
 
 def _tokenise(names: list[str]):
     """Rows of texts with the block and the place that they have there, and a row with the payload of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, parts, teach, held = _Ids(), [], [], 0
+        held, sizes, teach, tokens = [], [], [], 0
         block, own_type = TaskContext.get().partitionId() << 32, None
 
-        def payload() -> bytes:
-            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, known), np.uint64, len(known))
-            order = np.argsort(hashes)
-            number = np.empty(len(order), np.uint32)
-            number[order] = np.arange(len(order), dtype=np.uint32)
-            # tokens are told by the ranks of their words, whose high bytes are mostly zero
-            tokens = np.concatenate(parts)
-            by_rank = np.argsort(-np.bincount(tokens, minlength=len(order)), kind="stable")
-            rank = np.empty(len(order), np.uint32)
-            rank[by_rank] = np.arange(len(order), dtype=np.uint32)
-            return _pack(hashes[order], number[by_rank], rank[tokens], np.array([len(p) for p in parts], np.int64), np.array(teach, bool))
-
         def flush() -> pa.RecordBatch:
-            row = [pa.nulls(1, own_type), pa.array([block], pa.int64()), pa.array([None], pa.int64()), pa.array([payload()], pa.binary())]
+            row = [pa.nulls(1, own_type), pa.array([block], pa.int64()), pa.array([None], pa.int64()), pa.array([_payload(held, sizes, teach)], pa.binary())]
             return pa.RecordBatch.from_arrays(row, names=names)
 
         for b in batches:
-            own_type, blocks, places, done = b.column(2).type, [], [], []
-            for text, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                tokens = [*words(text, lower=True), _END]
-                parts.append(np.fromiter(map(known.__getitem__, tokens), np.uint32, len(tokens)))
-                teach.append(bool(t))
+            own_type, blocks, places, done, first = b.column(2).type, [], [], [], 0
+            found, counts = _tokens(b.column(0))
+            ends = np.cumsum(counts).tolist()
+            for n, end, t in zip(counts.tolist(), ends, b.column(1).to_pylist(), strict=True):
                 blocks.append(block)
-                places.append(len(parts) - 1)
-                held += len(parts[-1])
-                if held >= BLOCK_TOKENS:
+                places.append(len(sizes))
+                sizes.append(n)
+                teach.append(bool(t))
+                tokens += n + 1
+                if tokens >= BLOCK_TOKENS:
+                    held.append(found.slice(first, end - first))
                     done.append(flush())
-                    known, parts, teach, held, block = _Ids(), [], [], 0, block + 1
+                    held, sizes, teach, tokens, block, first = [], [], [], 0, block + 1, end
+            if sizes:
+                held.append(found.slice(first))
             yield pa.RecordBatch.from_arrays([b.column(2), pa.array(blocks, pa.int64()), pa.array(places, pa.int64()), pa.nulls(len(b), pa.binary())], names=names)
             yield from done
-        if parts:
+        if sizes:
             yield flush()
-        known, parts = None, []
+        held, sizes = [], []
         release()
 
     return run
@@ -315,19 +366,20 @@ def _word_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
 
 
-def _ask(level: int, total: int, kinds: int, buckets: int, hot: int, turn: int):
+def _ask(level: int, total: int, kinds: int, buckets: int, hot: int, turn: int, turns: int):
     """The continuations of a block's candidate contexts, by bucket, for the buckets whose turn it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, payload in rows_of(batch):
                 block = _Block(payload, total, kinds)
-                at, order, entry, some, route, context, n_context, gram = block.entries(hot, buckets, turn)
-                n = _small(np.bincount(entry, block.teaching[block.text[at[order]]], len(some)))
+                at, order, entry, some, route, context, n_context, gram = block.entries(hot, buckets, turn, turns)
+                taught = block.teaching[block.text][at][order].astype(np.uint32)  # entries stand one after the other
+                n = _small(np.add.reduceat(taught, _firsts(entry)) if len(entry) else taught)
                 # the root's probabilities go as counts, which take less room
                 p = _small(block.count[at[some]]) if level == 1 else block.p[at[some]].astype(np.float32)
                 is_hot = n_context >= hot
-                block = at = order = entry = None
+                block = at = order = entry = taught = None
                 out = []
                 for bucket, part in _slices(route, buckets):
                     first = _firsts(context[part])
@@ -434,13 +486,13 @@ def score_texts(docs: DataFrame, teaches: Column, depth: int = DEPTH) -> DataFra
     names = ["own", "block", "place", "payload"]
     rows = docs.select(F.col("text"), F.coalesce(teaches, F.lit(False)).alias("teaches"), own.alias("own"))
     made = T.StructType([T.StructField("own", rows.schema["own"].dataType), T.StructField("block", T.LongType()), T.StructField("place", T.LongType()), T.StructField("payload", T.BinaryType())])
-    whole = scratch.save(rows.mapInArrow(_tokenise(names), made), "texts")
+    lot = F.pmod(F.xxhash64("block"), F.lit(LOTS)).cast("int")
+    whole = scratch.save(rows.mapInArrow(_tokenise(names), made).withColumn("lot", lot), "texts", "lot")
     texts = scratch.save(whole.where("payload IS NULL").select("own", "block", "place"), "rows")
-    blocks = whole.where("payload IS NOT NULL").select("block", "payload")
+    blocks = whole.where("payload IS NOT NULL").select("block", "payload", "lot")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_blocks = blocks.count()
     by_block = -(-max(partitions, n_blocks) // LOTS)
-    lot = F.pmod(F.xxhash64("block"), F.lit(LOTS))
     tables: dict[str, str] = {}
 
     def exchanged(mail: DataFrame, buckets: int, answer, name: str) -> DataFrame:
@@ -468,21 +520,25 @@ def score_texts(docs: DataFrame, teaches: Column, depth: int = DEPTH) -> DataFra
         return out
 
     buckets = max(16, partitions, n_blocks)
-    answers = exchanged(blocks.mapInArrow(_word_mail(buckets), _MAIL), buckets, _word_totals, "words")
+    answers = exchanged(blocks.select("block", "payload").mapInArrow(_word_mail(buckets), _MAIL), buckets, _word_totals, "words")
     total, kinds = answers.where("block IS NULL").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     hot = int(max(HOT_LEAST, HOT_SHARE * total))
-    lots = [bucketed(blocks.where(lot == i), f"blocks-{i}") for i in range(LOTS)]
+    lots = []
+    for i in range(LOTS):
+        lots.append(bucketed(blocks.where(F.col("lot") == i).select("block", "payload"), f"blocks-{i}"))
+        scratch.drop(f"texts/lot={i}")
     scratch.drop("texts")
     lots = heard(lots, answers, _hear(total, kinds, hot, None), "blocks", "level-0")
     scratch.drop("words")
-    level, now = 0, reduce(DataFrame.union, lots)
+    level, now, first_open = 0, reduce(DataFrame.union, lots), 0
     while level < depth and (open_tokens := now.agg(F.sum("tokens")).first()[0]):
         level += 1
-        buckets = max(16, partitions, open_tokens // BUCKET_ENTRIES)
+        buckets, first_open = max(16, partitions, open_tokens // BUCKET_ENTRIES), first_open or open_tokens
+        turns = TURNS if open_tokens >= TURNS_FROM * first_open else 1
         answers = []
-        for turn in range(TURNS):
-            mail = now.select("block", "payload").mapInArrow(_ask(level, total, kinds, buckets, hot, turn), _MAIL)
-            answers.append(exchanged(mail, max(partitions, buckets // TURNS), _answer(total, kinds), f"answers-{level}-{turn}"))
+        for turn in range(turns):
+            mail = now.select("block", "payload").mapInArrow(_ask(level, total, kinds, buckets, hot, turn, turns), _MAIL)
+            answers.append(exchanged(mail, max(partitions, buckets // turns), _answer(total, kinds), f"answers-{level}-{turn}"))
         answers = reduce(DataFrame.union, answers)
         sums = answers.where("block IS NULL").select("payload").mapInArrow(_hot_sums, "context long, n long, gain double").groupBy("context").agg(F.sum("n").alias("n"), F.sum("gain").alias("gain"))
         passed = F.round(F.col("gain") - F.col("n") * F.log(F.greatest("n", F.lit(1))), 6) >= LEAST_GAIN
@@ -490,7 +546,7 @@ def score_texts(docs: DataFrame, teaches: Column, depth: int = DEPTH) -> DataFra
         sent = spark.sparkContext.broadcast(np.sort(states.view(np.uint64)))
         lots = heard(lots, answers, _hear(total, kinds, hot, sent), f"level-{level - 1}", f"level-{level}")
         now = reduce(DataFrame.union, lots)
-        for turn in range(TURNS):
+        for turn in range(turns):
             scratch.drop(f"answers-{level}-{turn}")
     scores = now.select("block", "payload").mapInArrow(_scores(total, kinds), "block long, place long, n_tokens long, n_known long, base_score double, score double")
     scores = scratch.save(scores, "scores")

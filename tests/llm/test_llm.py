@@ -17,7 +17,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from pagequarry.llm import bpe, components, decontaminate, language_model, license_scan, near_dedup, quality_rules, quality_trees, queries, substring_dedup, toxicity, warc
-from pagequarry.llm.common import Scratch, WordHashes
+from pagequarry.llm.common import Scratch, WordHashes, words
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -514,6 +514,34 @@ def test_a_bucket_is_sent_once_however_entries_are_sorted():
     assert len(list(language_model._slices(edge | np.array([0, (1 << 40) - 1, 0, (1 << 40) - 1], np.uint64), 80))) == 1
 
 
+def test_only_large_levels_ask_in_turns(spark, monkeypatch):
+    """Each turn goes through all blocks again, which levels that concern few tokens don't need."""
+    asked, ask, rng = Counter(), language_model._ask, random.Random(4)
+    monkeypatch.setattr(language_model, "_ask", lambda level, *more: asked.update([level]) or ask(level, *more))
+    texts = [" ".join(f"v{rng.randrange(200)}" for _ in range(100)) + (" one two three four five six seven eight" if i < 8 else "") for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tree = BruteTree(texts, 3)
+    got = {r.doc_id: round(r.score, 4) for r in language_model.score_texts(docs, F.lit(True), 3).collect()}
+    assert got == {i: tree.score(t)[-1] for i, t in enumerate(texts)}
+    assert asked == {1: language_model.TURNS, 2: 1, 3: 1}
+
+
+def test_arrow_splits_texts_as_words_does():
+    texts = ["left out", "", None, " a\x0bB\x1cc\x85d\u00a0e \t\n", "\x00 x", "\u00c9 \u00c0B\r\x0c", "\n\n", "Z"]
+    for some in (pa.array(texts), pa.array(texts).slice(1), pa.array(texts, pa.large_string()).slice(1, 5), pa.array([None, ""], pa.string())):
+        found, sizes = language_model._tokens(some)
+        want = [words(t, lower=True) for t in some.to_pylist()]
+        assert sizes.tolist() == [len(w) for w in want]
+        assert [w.encode() for w in found.to_pylist()] == [x for w in want for x in w]
+
+
+def test_packed_arrays_come_back():
+    rng = np.random.default_rng(2)
+    made = [rng.integers(0, 1 << 31, n).astype(kind) for n in (0, 1, 8_192, 20_001) for kind in (np.uint8, np.uint32, np.int32, np.uint64, np.int64, np.float32, np.float64)]
+    for a, b in zip(made, language_model._unpack(language_model._pack(*made)), strict=True):
+        assert a.dtype == b.dtype and (a == b).all()
+
+
 def test_language_model_on_odd_rows(spark):
     docs = odd_docs(spark)
     assert language_model.score_texts(docs, language_model.teaching(), 3).where("score <= 0").count() == 13
